@@ -20,8 +20,8 @@ BROADCAST_ROWS = 20_000
 
 
 def lower_az(text: Column) -> Column:
-    """Lower-case A-Z and nothing else, so that the result doesn't depend on a locale."""
-    return F.translate(text, UPPER, LOWER)
+    """Lower-case A-Z and nothing else. Texts of ASCII only take the built-in function, which is faster."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def words(text: Column) -> Column:

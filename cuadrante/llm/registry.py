@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, url_filters
+from . import mixing, quality_rules, sharding, url_filters
 
 URL_RULES = (
     ("com", "/en/", "block"),
@@ -28,7 +28,19 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs).select("doc_id", *quality_rules.RESULTS)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    planned, n = mixing.plan_mix(docs)
+    return planned.select("doc_id", "source", *[planned[n[c]].alias(c) for c in ("n_tokens", "weight", "epochs", "block", "order", "copies")])
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 24)
+
+
 QUERIES = {
+    "op2_mixing": op2_mixing,
     "op3_url_filters": op3_url_filters,
     "op7_quality_rules": op7_quality_rules,
+    "op10_sharding": op10_sharding,
 }
