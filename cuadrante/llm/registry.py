@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_rules, sharding, url_filters
+from . import decontaminate, mixing, quality_rules, sharding, url_filters
 
 URL_RULES = (
     ("com", "/en/", "block"),
@@ -34,6 +34,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "source", *[planned[n[c]].alias(c) for c in ("n_tokens", "weight", "epochs", "block", "order", "copies")])
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 24)
 
@@ -42,5 +47,6 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_url_filters": op3_url_filters,
     "op7_quality_rules": op7_quality_rules,
+    "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
 }
