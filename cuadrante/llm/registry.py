@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality_rules, sharding, url_filters
+from . import decontaminate, mixing, quality_rules, sharding, simhash, url_filters
 
 URL_RULES = (
     ("com", "/en/", "block"),
@@ -23,6 +23,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(table(spark, sf_dir, "pages"), url_filters.rules_frame(spark, URL_RULES))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.judge(docs).select("doc_id", *quality_rules.RESULTS)
@@ -46,6 +50,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_url_filters": op3_url_filters,
+    "op4_simhash": op4_simhash,
     "op7_quality_rules": op7_quality_rules,
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
