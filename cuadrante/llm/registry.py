@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality_rules, sharding, simhash, url_filters
+from . import decontaminate, mixing, quality_rules, sharding, simhash, token_files, url_filters
 
 URL_RULES = (
     ("com", "/en/", "block"),
@@ -38,6 +38,13 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "source", *[planned[n[c]].alias(c) for c in ("n_tokens", "weight", "epochs", "block", "order", "copies")])
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_files.read_documents(token_files.write_shards(docs, str(public_tokenizers.path("word_bpe_49k.json")), end_id=2))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
@@ -52,6 +59,7 @@ QUERIES = {
     "op3_url_filters": op3_url_filters,
     "op4_simhash": op4_simhash,
     "op7_quality_rules": op7_quality_rules,
+    "op8_token_files": op8_token_files,
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
 }
