@@ -54,7 +54,7 @@ def window_table(items: DataFrame, id_col: str, text_col: str, window: int, shin
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated, text_key (xxhash64 of the text)."""
     classes, windows = window_table(items, item_id_col, item_text_col, window, shingle)
     widths = [r[0] for r in windows.select("width").distinct().orderBy("width").collect()]  # at most SHINGLE values
     tokens = windows.select("h").distinct()
@@ -111,4 +111,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         F.size("ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        F.col("key").alias("text_key"),
     )

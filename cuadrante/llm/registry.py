@@ -63,7 +63,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark").select("item_id", "text")).drop("text_key")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
