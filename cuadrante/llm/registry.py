@@ -82,3 +82,12 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
 }
+
+ORACLES = {
+    "op3_url_filters": r"""
+WITH cut AS (SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1)) AS host, regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+rules(h, p, v) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+found AS (SELECT page_id, host, path, max(struct_pack(n := length(h || p), rule := h || p, v := v)) FILTER (WHERE h IS NOT NULL) AS best
+  FROM cut LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id, host, path)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.v, 'allow') AS verdict FROM found""",
+}
