@@ -90,4 +90,30 @@ rules(h, p, v) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'al
 found AS (SELECT page_id, host, path, max(struct_pack(n := length(h || p), rule := h || p, v := v)) FILTER (WHERE h IS NOT NULL) AS best
   FROM cut LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id, host, path)
 SELECT page_id, host, path, best.rule AS rule, coalesce(best.v, 'allow') AS verdict FROM found""",
+    "op7_quality_rules": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lines AS (SELECT doc_id, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
+judged AS (SELECT doc_id, line, len(lw) AS n, len(lw) > 0 AND (len(regexp_extract_all(line, '[#*$%&|<>]')) * 10 > len(lw) * 3
+    OR (len(lw) >= 5 AND line = upper(line) AND line <> lower(line)) OR (len(lw) >= 10 AND len(list_distinct(lw)) * 10 < len(lw) * 3)
+    OR (len(lw) < 4 AND NOT regexp_matches(line, '[.!?:;…)"»]\s*$'))
+    OR contains(lower(line), 'licensed under') OR contains(lower(line), 'all rights reserved') OR contains(lower(line), 'spdx-license') OR contains(lower(line), 'copyright (c)')
+    OR contains(lower(line), 'cookie policy') OR contains(lower(line), 'accept cookies') OR contains(lower(line), 'privacy policy') OR contains(lower(line), 'terms of service')
+    OR contains(lower(line), 'terms of use') OR contains(lower(line), 'sign in') OR contains(lower(line), 'click here')) AS fails FROM lines),
+by_line AS (SELECT doc_id, count(*) FILTER (WHERE n > 0) - count(DISTINCT line) FILTER (WHERE n > 0) AS n_dup_lines, CAST(coalesce(sum(n) FILTER (WHERE fails), 0) AS BIGINT) AS n_lost_words FROM judged GROUP BY doc_id),
+windows AS (SELECT doc_id, i, [w[i], w[i + 1], w[i + 2]] AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS c FROM windows) WHERE c > 1),
+repeats AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(3) t(k) GROUP BY doc_id),
+figures AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, n_lost_words
+  FROM d JOIN by_line USING (doc_id) LEFT JOIN repeats r ON r.doc_id = d.doc_id)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_lost_words <= n_words * 0.3 AS kept FROM figures""",
+    "op9_decontamination": r"""
+WITH iw AS (SELECT CAST(item_id AS VARCHAR) AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+wins AS (SELECT DISTINCT id, n, array_to_string(list_slice(w, s, s + n - 1), ' ') AS win FROM (SELECT id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS s FROM iw WHERE len(w) > 0)),
+dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+places AS (SELECT doc_id, n, s, array_to_string(list_slice(w, s, s + n - 1), ' ') AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM dw, (SELECT DISTINCT n FROM wins) WHERE len(w) >= n)),
+hits AS (SELECT doc_id, places.n, s, id FROM places JOIN wins ON places.win = wins.win AND places.n = wins.n),
+covered AS (SELECT doc_id, count(DISTINCT s + k) AS n_hit FROM (SELECT doc_id, s, unnest(range(n)) AS k FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, id FROM hits) GROUP BY doc_id)
+SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)""",
 }
