@@ -22,10 +22,12 @@ import io
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,12 +35,31 @@ from .common import BROADCAST_ROWS, settle
 
 SHARD_IDS = 2_000_000
 CACHE = 500_000
+BATCH_BYTES = 6_000_000
 MAGIC = b"CWM1"
 SAMPLE = 512  # bits between two rank samples
 
 
+class Recent(dict):
+    """A cache of two generations: when the young one is full it becomes the old one, so what is used often stays."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.old = size, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old[key]  # a KeyError if it is in neither
+        self[key] = value
+        return value
+
+    def age(self) -> None:
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
-    """Ids of texts by a tokenizer file, with a bounded cache of pieces."""
+    """Ids of texts by a tokenizer file, with bounded caches of words and of their pieces."""
 
     #: Beyond these characters, or with these strings, a text is left to the library as a whole.
     UNSAFE = re.compile("[\x1c-\x1f]|[^\x00-ɏ]|<\\|")
@@ -51,40 +72,63 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words, self.pieces = Recent(CACHE // 2), Recent(CACHE)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > CACHE:
-            self.words.clear()
-        if len(self.pieces) > CACHE:
-            self.pieces.clear()
-        cut = {w: self.PIECE.findall(w.lower()) for w in words}
-        new = list({p for ps in cut.values() for p in ps} - self.pieces.keys())
-        for i in range(0, len(new), 10_000):
-            self.pieces.update(zip(new[i : i + 10_000], self._whole(new[i : i + 10_000])))
-        pieces = self.pieces
-        self.words.update((w, b"".join([pieces[p] for p in ps])) for w, ps in cut.items())
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
-        safe = [None if t is None or self.UNSAFE.search(t) else t.split() for t in texts]
-        out = []
-        words = self.words
-        for t, ws in zip(texts, safe):
-            if ws is None:
-                out.append(self._whole([t])[0] if t else b"")
-                continue
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _known(self, keys: list[str], cache: Recent, learn) -> list[bytes]:
+        """The values of different keys; ``learn`` gives those of a list of unknown ones."""
+        cache.age()
+        out: list[bytes | None] = []
+        new, at = [], []
+        for k in keys:
             try:
-                out.append(b"".join([words[w] for w in ws]))
+                out.append(cache[k])
             except KeyError:
-                self._learn({w for w in ws if w not in words} if len(words) < CACHE else set(ws))
-                out.append(b"".join([words[w] for w in ws]))
+                new.append(k)
+                at.append(len(out))
+                out.append(None)
+        for i, k, v in zip(at, new, learn(new) if new else ()):
+            out[i] = cache[k] = v
         return out
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        cut = [self.PIECE.findall(w.lower()) for w in words]
+        pieces = list({p for ps in cut for p in ps})
+        ids = dict(zip(pieces, self._known(pieces, self.pieces, self._whole)))
+        return [ids[ps[0]] if len(ps) == 1 else b"".join([ids[p] for p in ps]) for ps in cut]
+
+    def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with the end id, and where each text ends). Words are looked up once a call."""
+        odd = [i for i, t in enumerate(texts) if t and self.UNSAFE.search(t)]
+        plain = pa.array([t or "" for t in texts], pa.large_string())
+        if odd:
+            known = dict(zip(odd, self._whole([texts[i] for i in odd])))
+            plain = pa.array(["" if i in known else t or "" for i, t in enumerate(texts)], pa.large_string())
+        split = pc.utf8_split_whitespace(plain)
+        coded = split.flatten().dictionary_encode()
+        values = self._known(coded.dictionary.to_pylist(), self.words, self._words)
+        pool = np.frombuffer(b"".join(values), "<u4")
+        sizes = np.array([len(v) // 4 for v in values] or [0], np.int64)
+        code = coded.indices.to_numpy() if len(coded) else np.zeros(0, np.int64)
+        each = sizes[code]
+        # Where each word's ids go; a text's own ids are followed by the end id.
+        word_text = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+        lens = np.bincount(word_text, each, len(texts)).astype(np.int64)
+        for i in odd:
+            lens[i] = len(known[i]) // 4
+        ends = np.cumsum(lens + 1)
+        out = np.full(int(ends[-1]) if len(texts) else 0, end_id, np.uint32)
+        at = np.cumsum(each) - each
+        at += (ends - lens - 1)[word_text] - (np.cumsum(np.bincount(word_text, each, len(texts))) - np.bincount(word_text, each, len(texts))).astype(np.int64)[word_text]
+        begin = (np.cumsum(sizes) - sizes)[code]
+        within = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+        out[np.repeat(at, each) + within] = pool[np.repeat(begin, each) + within]
+        for i in odd:
+            out[ends[i] - 1 - lens[i] : ends[i] - 1] = np.frombuffer(known[i], "<u4")
+        return out, ends
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -221,33 +265,44 @@ def read_shard(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix
     return doc_ids, np.frombuffer(parts[2], "<i8"), WaveletMatrix(n, planes, [int(x) for x in np.frombuffer(parts[3], "<u8")], ranks)
 
 
+def by_size(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of about BATCH_BYTES of text, one row at least."""
+    size = pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).cumsum()
+    first = 0
+    while first < batch.num_rows:
+        before = size[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(size, before + BATCH_BYTES)))
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def write_shards(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS) -> DataFrame:
     """(part, seq, n_docs, n_ids, data): the shards in ascending order of doc_id, written to the shared folder."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyspark
 
-        part, seq, end = pyspark.TaskContext.get().partitionId(), 0, np.array([end_id], dtype="<u4").tobytes()
+        part, seq = pyspark.TaskContext.get().partitionId(), 0
         names: list[int | None] = []
-        held: list[bytes] = []
+        ids: list[np.ndarray] = []
+        ends: list[np.ndarray] = []
         size = 0
 
         def close() -> pa.RecordBatch:
-            ends = np.cumsum([len(x) // 4 for x in held])
-            data = write_shard(names, ends, np.frombuffer(b"".join(held), "<u4"))
-            return pa.record_batch([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(names)], pa.int64()), pa.array([int(ends[-1])], pa.int64()), pa.array([data], pa.binary())], names=["part", "seq", "n_docs", "n_ids", "data"])
+            data = write_shard(names, np.concatenate(ends), np.concatenate(ids))
+            return pa.record_batch([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(names)], pa.int64()), pa.array([size], pa.int64()), pa.array([data], pa.binary())], names=["part", "seq", "n_docs", "n_ids", "data"])
 
         code = encoder(path)
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                piece = batch.slice(first, 256)
-                for name, ids in zip(piece.column(0).to_pylist(), code.encode(piece.column(1).to_pylist())):
-                    names.append(name)
-                    held.append(ids + end)
-                    size += len(ids) // 4 + 1
-                    if size >= shard_ids:
-                        yield close()
-                        names, held, size, seq = [], [], 0, seq + 1
+            for piece in by_size(batch):
+                own, own_ends = code.encode(piece.column(1).to_pylist(), end_id)
+                names += piece.column(0).to_pylist()
+                ids.append(own)
+                ends.append(own_ends + size)
+                size += len(own)
+                if size >= shard_ids:
+                    yield close()
+                    names, ids, ends, size, seq = [], [], [], 0, seq + 1
         if names:
             yield close()
 
