@@ -23,6 +23,7 @@ not read.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +34,9 @@ from pyspark.sql import functions as F
 from .common import settle, utf8
 
 SPAN, GRAM = 50, 24
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 3_000_000
 BLOCK_BYTES = 2_000_000
-FLUSH_BYTES = 32_000_000
+FLUSH_BYTES = 20_000_000
 LAST = 2**63 - 1
 BASE, MIX = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93
 
@@ -185,27 +186,72 @@ def _cut(data: bytes, *kinds_and_sizes) -> list[np.ndarray]:
     return out
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(part, data) -> (id, key, part, mask): which of a document's anchors in the part occur in two texts."""
-    for part, blobs in by_part(batches):
-        ids, keys, counts, hashes = [], [], [], []
+def to_buckets(ids: np.ndarray, keys: np.ndarray, values: list[bytes], n: int) -> pa.RecordBatch:
+    """Values of documents, packed by a hash of the document: (part, data)."""
+    bucket = part_of((ids ^ keys).view(np.uint64) * np.uint64(MIX) >> np.uint64(32), n)
+    order = np.argsort(bucket, kind="stable")
+    bounds = np.searchsorted(bucket[order], np.arange(n + 1))
+    names, blobs = [], []
+    for b in range(n):
+        mine = order[bounds[b] : bounds[b + 1]]
+        if len(mine):
+            own = [values[i] for i in mine.tolist()]
+            text = b"".join(own)
+            blobs.append(b"".join([np.array([len(mine), len(text)], np.int64).tobytes(), ids[mine].tobytes(), keys[mine].tobytes(), np.array([len(x) for x in own], np.int64).tobytes(), text]))
+            names.append(b)
+    return pa.record_batch([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "data"])
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, data) -> (id, key, data): one row per document, its values one after another."""
+    for _, blobs in by_part(batches):
+        cols: list[list[np.ndarray]] = [[] for _ in range(3)]
+        values: list[bytes] = []
         for b in blobs:
             n, m = np.frombuffer(b, np.int64, 2)
-            for to, x in zip((ids, keys, counts, hashes), _cut(b[16:], (np.int64, n), (np.int64, n), (np.int32, n), (np.uint32, m))):
+            for to, x in zip(cols, _cut(b[16:], (np.int64, n), (np.int64, n), (np.int64, n))):
                 to.append(x)
-        ids, keys, counts, hashes = map(np.concatenate, (ids, keys, counts, hashes))
-        text = np.repeat(keys, counts)
-        order = np.argsort(hashes, kind="stable")
-        h, t = hashes[order], text[order]
-        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        sizes = np.diff(np.append(starts, len(h)))
-        many = np.minimum.reduceat(t, starts) != np.maximum.reduceat(t, starts)
-        flag = np.zeros(len(h), bool)
-        flag[order] = np.repeat(many, sizes)
-        ends = np.cumsum(counts)
-        some = np.flatnonzero(np.add.reduceat(flag.astype(np.int64), ends - counts))
-        masks = [np.packbits(flag[ends[i] - counts[i] : ends[i]]).tobytes() for i in some]
-        yield pa.record_batch([pa.array(ids[some]), pa.array(keys[some]), pa.array(np.full(len(some), part, np.int32)), pa.array(masks, pa.binary())], names=["id", "key", "part", "mask"])
+            at = np.cumsum(cols[2][-1]) + 16 + 24 * n
+            values += [b[e - l : e] for e, l in zip(at.tolist(), cols[2][-1].tolist())]
+        ids, keys, _ = map(np.concatenate, cols)
+        order = np.lexsort((keys, ids))
+        i, k = ids[order], keys[order]
+        new = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (k[1:] != k[:-1])]))
+        places = order.tolist()
+        joined = [b"".join([values[x] for x in places[a:b]]) for a, b in zip(new.tolist(), [*new[1:].tolist(), len(places)])]
+        yield pa.record_batch([pa.array(i[new]), pa.array(k[new]), pa.array(joined, pa.binary())], names=["id", "key", "data"])
+
+
+def mark_repeated(n_parts: int):
+    """(part, data) -> (part, data): which of a document's anchors in a part occur in two texts, packed for
+    _by_document as part, size and bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, blobs in by_part(batches):
+            yield to_buckets(*_repeated(part, blobs), n_parts)
+
+    return run
+
+
+def _repeated(part: int, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    ids, keys, counts, hashes = [], [], [], []
+    for b in blobs:
+        n, m = np.frombuffer(b, np.int64, 2)
+        for to, x in zip((ids, keys, counts, hashes), _cut(b[16:], (np.int64, n), (np.int64, n), (np.int32, n), (np.uint32, m))):
+            to.append(x)
+    ids, keys, counts, hashes = map(np.concatenate, (ids, keys, counts, hashes))
+    text = np.repeat(keys, counts)
+    order = np.argsort(hashes, kind="stable")
+    h, t = hashes[order], text[order]
+    starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    sizes = np.diff(np.append(starts, len(h)))
+    many = np.minimum.reduceat(t, starts) != np.maximum.reduceat(t, starts)
+    flag = np.zeros(len(h), bool)
+    flag[order] = np.repeat(many, sizes)
+    ends = np.cumsum(counts)
+    some = np.flatnonzero(np.add.reduceat(flag.astype(np.int64), ends - counts))
+    masks = [np.packbits(flag[a:b]).tobytes() for a, b in zip((ends - counts)[some].tolist(), ends[some].tolist())]
+    return ids[some], keys[some], [struct.pack("<ii", part, len(m)) + m for m in masks]
 
 
 def cut_segments(n_parts: int):
@@ -220,9 +266,12 @@ def cut_segments(n_parts: int):
             where = {(int(doc[order[s]]), int(part[order[s]])): (s, e) for s, e in zip(starts, np.append(starts[1:], len(order)))}
             chosen = []
             for i, own in enumerate(masks):
-                for m in own:
-                    s, e = where[i, m["part"]]
-                    chosen.append(order[s:e][np.unpackbits(np.frombuffer(m["mask"], np.uint8), count=e - s).astype(bool)])
+                at = 0
+                while at < len(own):
+                    p, size = struct.unpack_from("<ii", own, at)
+                    s, e = where[i, p]
+                    chosen.append(order[s:e][np.unpackbits(np.frombuffer(own, np.uint8, size, at + 8), count=e - s).astype(bool)])
+                    at += 8 + size
             mine = np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
             mine = mine[np.lexsort((first[mine], doc[mine], part[mine]))]
             bounds = np.searchsorted(part[mine], np.arange(n_parts + 1))
@@ -380,8 +429,10 @@ class Shard:
 def distinct(text: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(one segment of each content, the content of every segment)."""
     width = -(-int(lens.max()) // 8) * 8
-    at = starts[:, None] + np.arange(width)[None, :]
-    rows = np.where(np.arange(width)[None, :] < lens[:, None], text[np.minimum(at, len(text) - 1)], 0).astype(np.uint8)
+    rows = np.zeros((len(starts), width), np.uint8)
+    for k in range(width):
+        has = np.flatnonzero(lens > k)
+        rows[has, k] = text[starts[has] + k]
     w = rows.view(np.uint64)
     h = lens.astype(np.uint64)
     for k in range(w.shape[1]):
@@ -439,22 +490,30 @@ def merge(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return s[new], e[np.append(new[1:], len(s)) - 1] if len(s) else e
 
 
-def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(part, data) -> (id, key, spans): a document's repeated intervals, as packed pairs."""
-    for _, blobs in by_part(batches):
-        cols: list[list[np.ndarray]] = [[] for _ in range(5)]
-        for b in blobs:
-            n, m = np.frombuffer(b, np.int64, 2)
-            for to, x in zip(cols, _cut(b[16:], (np.int64, n), (np.int64, n), (np.int64, n), (np.int64, n), (np.uint8, m))):
-                to.append(x)
-        ids, keys, firsts, lens, text = map(np.concatenate, cols)
-        seg, place = repeated_places(ids, firsts, lens, text)
-        order = np.lexsort((place, keys[seg], ids[seg]))
-        seg, place = seg[order], place[order]
-        i, k = ids[seg], keys[seg]
-        new = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (k[1:] != k[:-1])])) if len(seg) else np.zeros(0, np.int64)
-        spans = [np.concatenate(merge(place[a:b], place[a:b] + SPAN)).tobytes() for a, b in zip(new, np.append(new[1:], len(seg)))]
-        yield pa.record_batch([pa.array(i[new]), pa.array(k[new]), pa.array(spans, pa.binary())], names=["id", "key", "spans"])
+def find_intervals(n_parts: int):
+    """(part, data) -> (part, data): documents' repeated intervals in a part, packed for _by_document as pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, blobs in by_part(batches):
+            yield to_buckets(*_intervals(blobs), n_parts)
+
+    return run
+
+
+def _intervals(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    cols: list[list[np.ndarray]] = [[] for _ in range(5)]
+    for b in blobs:
+        n, m = np.frombuffer(b, np.int64, 2)
+        for to, x in zip(cols, _cut(b[16:], (np.int64, n), (np.int64, n), (np.int64, n), (np.int64, n), (np.uint8, m))):
+            to.append(x)
+    ids, keys, firsts, lens, text = map(np.concatenate, cols)
+    seg, place = repeated_places(ids, firsts, lens, text)
+    order = np.lexsort((place, keys[seg], ids[seg]))
+    seg, place = seg[order], place[order]
+    i, k = ids[seg], keys[seg]
+    new = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (k[1:] != k[:-1])])) if len(seg) else np.zeros(0, np.int64)
+    spans = [np.column_stack(merge(place[a:b], place[a:b] + SPAN)).tobytes() for a, b in zip(new.tolist(), [*new[1:].tolist(), len(seg)])] if len(seg) else []
+    return i[new], k[new], spans
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -466,8 +525,8 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if copy and len(text) >= SPAN:
                 s, e = np.array([0]), np.array([len(text)])
             else:
-                pairs = [np.frombuffer(x, np.int64) for x in spans or []]
-                s, e = merge(np.concatenate([p[: len(p) // 2] for p in pairs] or [np.zeros(0, np.int64)]), np.concatenate([p[len(p) // 2 :] for p in pairs] or [np.zeros(0, np.int64)]))
+                pairs = np.frombuffer(spans or b"", np.int64).reshape(-1, 2)
+                s, e = merge(pairs[:, 0], pairs[:, 1])
             kept = b"".join([text[a:b] for a, b in zip([0, *e.tolist()], [*s.tolist(), len(text)])])
             rows.append((None if name == LAST else name, len(text), len(text) - len(kept), len(s), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -490,12 +549,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     later = names.join(F.broadcast(hot), "sha").unionByName(names.join(F.broadcast(hot), "sha", "left_anti").join(cold, "sha")).where("id > low")
     copies = settle(later.select("id", "key").distinct().withColumn("copy", F.lit(True)))
 
-    packed = rows.mapInArrow(anchors(n), "part int, data binary")
-    masks = settle(packed.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_repeated, "id bigint, key bigint, part int, mask binary"))
-    own = masks.join(copies, ["id", "key"], "left_anti").groupBy("id", "key").agg(F.collect_set(F.struct("part", "mask")).alias("masks"))
-    cut = rows.join(own, ["id", "key"]).select("id", "key", "data", "masks").mapInArrow(cut_segments(n), "part int, data binary")
-    spans = settle(cut.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_intervals, "id bigint, key bigint, spans binary"))
-    by_doc = spans.groupBy("id", "key").agg(F.collect_list("spans").alias("spans"))
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(n, "part").sortWithinPartitions("part")
+
+    blob, row = "part int, data binary", "id bigint, key bigint, data binary"
+    marks = dealt(rows.mapInArrow(anchors(n), blob)).mapInArrow(mark_repeated(n), blob)
+    masks = settle(dealt(marks).mapInArrow(_by_document, row)).withColumnRenamed("data", "masks").join(copies, ["id", "key"], "left_anti")
+    cut = rows.join(masks, ["id", "key"]).select("id", "key", "data", "masks").mapInArrow(cut_segments(n), blob)
+    spans = dealt(cut).mapInArrow(find_intervals(n), blob)
+    by_doc = settle(dealt(spans).mapInArrow(_by_document, row)).withColumnRenamed("data", "spans")
     last = rows.join(by_doc, ["id", "key"], "left").join(copies, ["id", "key"], "left").select("id", "key", "data", F.coalesce("copy", F.lit(False)).alias("copy"), "spans")
     out = last.mapInArrow(_finish, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string")
     return out.withColumnRenamed("id", id_col)
