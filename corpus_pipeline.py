@@ -15,9 +15,8 @@ from cuadrante.llm.common import free_name, settle
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the others lose the lines that failed, and n_chars follows."""
-    judged = quality_rules.judge(docs).where("kept")
-    changed = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
-    return judged.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+    kept = quality_rules.clean(docs)
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else kept
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

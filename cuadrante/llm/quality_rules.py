@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, words
+from .common import free_name, let, words
 
 #: Phrases of boilerplate lines.
 BOILERPLATE = ("licensed under", "all rights reserved", "spdx-license", "copyright (c)", "cookie policy", "accept cookies", "privacy policy", "terms of service", "terms of use", "sign in", "click here")
@@ -117,3 +117,15 @@ def judge(docs: DataFrame, text_col: str = "text", max_lost: float = MAX_LOST) -
     judged = judged.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT))
     judged = judged.withColumn("kept", ~F.col("base_failed") & (F.col("n_lost_words") <= F.col("n_words") * F.lit(max_lost)))
     return judged.withColumn("clean_text", F.col("clean_text.clean_text"))
+
+
+def clean(docs: DataFrame, text_col: str = "text", max_lost: float = MAX_LOST) -> DataFrame:
+    """The kept documents with the columns of ``docs``; the failed lines are gone from their text.
+
+    The verdict passes through a generator: a plain filter would be pushed below the projections, and every figure of
+    the verdict would be computed once more for it.
+    """
+    passed = free_name(docs, "passed")
+    judged = judge(docs, text_col, max_lost)
+    kept = judged.select(*[c for c in docs.columns if c != text_col], F.explode_outer(F.when(F.col("kept"), F.array(F.col("clean_text")))).alias(passed))
+    return kept.where(F.col(passed).isNotNull()).select(*[F.col(passed).alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -340,6 +340,11 @@ def test_quality(spark, docs, empty):
     assert not kept[900][0] and kept[901] == (True, "\n".join(more[1][1].split("\n")[:2])) and kept[902][0]
     assert quality_rules.judge(empty).count() == 0 and judged.where("base_failed and kept").count() == 0
     assert quality_rules.judge(docs).columns[: len(docs.columns)] == docs.columns
+    kept = quality_rules.clean(both)
+    assert kept.columns == both.columns and quality_rules.clean(empty).count() == 0
+    assert rows_of(kept.select("doc_id", "text")) == rows_of(judged.where("kept").select("doc_id", "clean_text"))
+    # The figures of the verdict are computed once, not once more for a filter.
+    assert quality_rules.clean(docs)._jdf.queryExecution().optimizedPlan().toString().count("all rights reserved") <= 1
 
 
 # --- op8
