@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuadrante.llm import decontaminate, mixing, quality_rules, sharding, simhash
-from cuadrante.llm.common import free_name, settle
+from cuadrante.llm import decontaminate, mixing, quality_rules, sharding, similar
+from cuadrante.llm.common import settle
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,12 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document that names it stays; of repeated rows one does."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    key = free_name(docs, "text_key")
-    stay = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return stay.withColumn(key, F.xxhash64("text")).dropDuplicates(["doc_id", key]).drop(key)
+    """Of each component of texts with 0.8 or more of their 5-word shingles in common one stays, the smallest doc_id."""
+    return similar.without_near_copies(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
