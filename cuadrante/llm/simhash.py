@@ -213,10 +213,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = settle(fingerprints(docs, id_col, text_col))
     classes = settle(prints.groupBy("fp").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")))
     links = settle(near_links(classes.select("fp"), max_bits))
-    named = classes.select("fp", "low")
-    edges = links.join(named.toDF("a", "la"), "a").join(named.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-    roots = components(edges)
-    known = settle(classes.join(roots, classes["low"] == roots["node"], "left").select("fp", "n", F.coalesce("root", "low").alias("component_id")))
+    roots = components(links)
+    rooted = settle(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root")))
+    known = settle(rooted.join(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "n", "component_id"))
     # Fingerprints of over a thousandth of the rows are at most a thousand; their rows need not meet in one task.
     total = known.agg(F.sum("n")).first()[0] or 0
     hot = known.where(F.col("n") > max(1000, total / 1000)).select("fp", "component_id")

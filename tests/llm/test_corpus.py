@@ -197,6 +197,15 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_a_class_of_null_ids_between_two_others(spark, monkeypatch):
+    texts = {"left": 0b111, "middle": 0b111111, "right": 0b111111111, "far": 2**40 - 1}
+    prints = lambda docs, *_: docs.select(F.col("doc_id").alias("id"), F.element_at(F.create_map(*[F.lit(x) for kv in texts.items() for x in kv]), F.col("text")).cast("long").alias("fp"))
+    monkeypatch.setattr(simhash, "fingerprints", prints)
+    rows = [(7, "left"), (None, "middle"), (3, "right"), (None, "far")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert rows_of(got) == brute_components([(d, texts[t]) for d, t in rows])
+
+
 @pytest.mark.parametrize("split", [20_000, 3])
 def test_near_links(spark, split):
     rng = random.Random(4)
