@@ -187,7 +187,7 @@ def near_links(classes: DataFrame, max_bits: int = MAX_BITS, split: int = SPLIT)
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, root): the smallest node of each component, for nodes with an edge (a, b); large-star, then small-star,
-    until a round changes nothing. Each round is written to the shared folder."""
+    until a round changes nothing; an error if ``rounds`` don't suffice. Each round is written to the shared folder."""
 
     def figures(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -205,6 +205,9 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if now == seen:
             break
         seen = now
+    else:
+        if seen[0]:
+            raise RuntimeError(f"components still change after {rounds} rounds")
     return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
 
 

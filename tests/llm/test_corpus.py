@@ -241,6 +241,13 @@ def test_components_of_a_path(spark):
     assert got == {i: 0 for i in range(1, 51)} | {101: 100}
 
 
+def test_components_that_need_more_rounds(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        simhash.components(edges, rounds=1)
+    assert simhash.components(edges.limit(0)).count() == 0
+
+
 # --- op5
 
 
