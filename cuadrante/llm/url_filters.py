@@ -21,6 +21,9 @@ from .common import BROADCAST_ROWS, lower_az
 
 DEFAULT_VERDICT = "allow"
 
+#: Paths of rules may have this many different lengths; more is an error, as rules left out would never fit.
+MAX_LENGTHS = 4096
+
 
 def host_of(url: Column) -> Column:
     return lower_az(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")))
@@ -53,7 +56,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDI
         lower_az(F.col("host")).alias("r_host"), F.coalesce(F.col("path"), F.lit("")).alias("r_path"), F.lower("verdict").alias("r_verdict")
     ).where("r_host <> ''")
     # Path lengths of rules are few: a url is cut at these only, whatever the number of rules.
-    lengths = sorted(r[0] for r in known.select(F.length("r_path")).distinct().limit(4096).collect()) or [0]
+    lengths = sorted(r[0] for r in known.select(F.length("r_path")).distinct().limit(MAX_LENGTHS + 1).collect()) or [0]
+    if len(lengths) > MAX_LENGTHS:
+        raise ValueError(f"rules have paths of more than {MAX_LENGTHS} different lengths")
     small = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     digest = _digest(F.col("r_host"), F.col("r_path"))
     known = known.groupBy("r_host", "r_path").agg(F.max("r_verdict").alias("r_verdict")).select(

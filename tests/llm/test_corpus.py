@@ -162,6 +162,13 @@ def test_urls(spark):
     assert url_filters.filter_urls(pages, url_filters.rules_frame(spark, rules).limit(0)).where("verdict = 'block'").count() == 0
 
 
+def test_rules_of_too_many_lengths(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/x")], "page_id long, url string")
+    rules = spark.createDataFrame([("a.com", "/" * n, "block") for n in range(url_filters.MAX_LENGTHS + 1)], "host string, path string, verdict string")
+    with pytest.raises(ValueError):
+        url_filters.filter_urls(pages, rules)
+
+
 # --- op4
 
 
