@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -41,11 +42,14 @@ def utf8(text: Column) -> Column:
 def scratch(spark: SparkSession) -> str:
     """A fresh path below the folder that all executors share.
 
-    The cluster names that folder in spark.checkpoint.dir; only where it is unset (tests, a single machine) a
-    local folder is taken.
+    The cluster names that folder in spark.checkpoint.dir. Where it is unset, a local folder is taken if everything
+    runs in one process, as in tests; on a cluster that is an error, as executors don't see each other's disks.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         root = "file://" + tempfile.mkdtemp(prefix="cuadrante-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/cuadrante-{uuid.uuid4().hex}"
@@ -58,6 +62,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def parts(docs: DataFrame, text_col: str, part_bytes: int) -> int:
+    """How many partitions to deal texts over: what the session has set, or more where a part would hold over
+    ``part_bytes`` of text."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't have, for working columns beside unknown ones."""
     taken = {c.lower() for c in df.columns}

@@ -4,12 +4,13 @@ Documents are dealt out by ranges of doc_id, sorted, encoded and appended; a sha
 ids. Its file holds, most significant bit first, one bit-plane for each bit of an id. The ids are stably partitioned by
 the bit of a plane before the next plane is taken, so rank and select on the planes give the id at a place, the count
 of an id before a place, and the place of its k-th occurrence, without ever unpacking the sequence. The planes, their
-rank samples and the documents' ids and ends are packed into one compressed file. Files are rows of a table (one
-binary value each), so they are written and read by Spark's own committers on whatever store the cluster has.
+rank samples and the documents' ids and ends are packed into one file, in compressed blocks: a look at one place
+unpacks one block of each plane. Files are rows of a table (one binary value each), so they are written and read by
+Spark's own committers on whatever store the cluster has.
 
 Encoding uses the tokenizers library; the path of the vocabulary is a parameter. The vocabulary meant here drops white
-space and never merges across it, so the ids of a text are those of its pieces: these are kept in a bounded cache and
-only unknown ones are encoded. Texts with characters for which Python's classes may differ from the library's, or with
+space and never merges across it, so the ids of a text are those of its pieces: these are kept in a bounded table and
+only unknown ones are encoded. Texts with characters for which Arrow's classes may differ from the library's, or with
 the strings of special tokens, are encoded whole by the library.
 
 Defined cases: a null text is empty and has only the end id; repeated rows follow each other; a null doc_id comes
@@ -18,11 +19,8 @@ first; an empty table gives no file. Other columns are not read.
 
 from __future__ import annotations
 
-import io
-import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,103 +29,102 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, settle
+from .common import BROADCAST_ROWS, parts, settle
 
 SHARD_IDS = 2_000_000
+PART_BYTES = 256_000_000  # of text in a range of ids
 CACHE = 500_000
-BATCH_BYTES = 6_000_000
-MAGIC = b"CWM1"
+BATCH_BYTES = 12_000_000
+BLOCK = 32_768  # bytes of a plane that are compressed together
+MAGIC = b"CWM2"
 SAMPLE = 512  # bits between two rank samples
 
 
-class Recent(dict):
-    """A cache of two generations: when the young one is full it becomes the old one, so what is used often stays."""
-
-    def __init__(self, size: int):
-        super().__init__()
-        self.size, self.old = size, {}
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.old[key]  # a KeyError if it is in neither
-        self[key] = value
-        return value
-
-    def age(self) -> None:
-        if len(self) > self.size:
-            self.old = dict(self)
-            self.clear()
-
-
 class Encoder:
-    """Ids of texts by a tokenizer file, with bounded caches of words and of their pieces."""
+    """Ids of texts by a tokenizer file, with a bounded table of pieces and their ids. Words, pieces and ids stay in
+    Arrow arrays throughout; only pieces that are in no table reach the library."""
 
     #: Beyond these characters, or with these strings, a text is left to the library as a whole.
-    UNSAFE = re.compile("[\x1c-\x1f]|[^\x00-ɏ]|<\\|")
-    PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w\s]|_)+")
+    UNSAFE = r"[\x1c-\x1f\x{130}]|[^\x00-\x{24F}]|<\|"
+    PIECE = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)"
+    WORD_END = "</w>"
+    TOGETHER = 50  # pieces that go to the library as one string
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.pieces = Recent(CACHE // 2), Recent(CACHE)
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _known(self, keys: list[str], cache: Recent, learn) -> list[bytes]:
-        """The values of different keys; ``learn`` gives those of a list of unknown ones."""
-        cache.age()
-        out: list[bytes | None] = []
-        new, at = [], []
-        for k in keys:
-            try:
-                out.append(cache[k])
-            except KeyError:
-                new.append(k)
-                at.append(len(out))
-                out.append(None)
-        for i, k, v in zip(at, new, learn(new) if new else ()):
-            out[i] = cache[k] = v
+        # Pieces are lower-cased and cut already: the model alone is left to do.
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a piece
+        self.last[[i for t, i in vocabulary.items() if t.endswith(self.WORD_END)]] = True
+        self.pieces = pa.array([""], pa.large_string())
+        self.ids = pa.array([[]], pa.large_list(pa.uint32()))
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_pieces(self, pieces: pa.Array) -> pa.Array:
+        """The list of ids of each piece."""
+        every = pieces.to_pylist()
+        found = self.model.encode_batch_fast([" ".join(every[i : i + self.TOGETHER]) for i in range(0, len(every), self.TOGETHER)], add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, np.uint32), *[np.array(x.ids, np.uint32) for x in found]])
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(every):  # a model whose pieces don't end in a mark
+            each = self._whole(every)
+            ids, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
+        return pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int64()), pa.array(ids))
+
+    def _ids_of_pieces(self, pieces: pa.Array) -> pa.Array:
+        """The ids of different pieces. The table keeps what it has until it is full, then what was asked for last."""
+        new = pieces.filter(pc.is_null(pc.index_in(pieces, value_set=self.pieces)))
+        if len(new):
+            self.pieces, self.ids = pa.concat_arrays([self.pieces, new]), pa.concat_arrays([self.ids, self._encode_pieces(new)])
+        out = self.ids.take(pc.index_in(pieces, value_set=self.pieces))
+        if len(self.pieces) > CACHE:
+            self.pieces, self.ids = pieces, out
         return out
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        cut = [self.PIECE.findall(w.lower()) for w in words]
-        pieces = list({p for ps in cut for p in ps})
-        ids = dict(zip(pieces, self._known(pieces, self.pieces, self._whole)))
-        return [ids[ps[0]] if len(ps) == 1 else b"".join([ids[p] for p in ps]) for ps in cut]
-
-    def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, each with the end id, and where each text ends). Words are looked up once a call."""
-        odd = [i for i, t in enumerate(texts) if t and self.UNSAFE.search(t)]
-        plain = pa.array([t or "" for t in texts], pa.large_string())
-        if odd:
-            known = dict(zip(odd, self._whole([texts[i] for i in odd])))
-            plain = pa.array(["" if i in known else t or "" for i, t in enumerate(texts)], pa.large_string())
+    def _ids_of_words(self, words: pa.Array) -> pa.Array:
+        low = pc.utf8_lower(words)
+        mixed = pc.invert(pc.utf8_is_alpha(low))
+        cut = pc.replace_with_mask(low, mixed, pc.replace_substring_regex(low.filter(mixed), self.PIECE, r"\1 "))
+        split = pc.split_pattern(cut, " ")
+        coded = split.flatten().dictionary_encode()
+        ids = self._ids_of_pieces(coded.dictionary)
+        at = coded.indices
+        sizes = pc.list_value_length(ids).to_numpy(zero_copy_only=False)[at.to_numpy(zero_copy_only=False)]
+        return pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)])[split.offsets.to_numpy()], pa.int64()), ids.take(at).flatten())
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with the end id, and where each text ends)."""
+        plain = texts.cast(pa.large_string()).fill_null("")
+        odd = np.flatnonzero(pc.match_substring_regex(plain, self.UNSAFE).to_numpy(zero_copy_only=False))
+        whole = self._whole(plain.take(pa.array(odd)).to_pylist()) if len(odd) else []
+        if len(odd):
+            mask = np.zeros(len(plain), bool)
+            mask[odd] = True
+            plain = pc.if_else(pa.array(mask), "", plain)
         split = pc.utf8_split_whitespace(plain)
         coded = split.flatten().dictionary_encode()
-        values = self._known(coded.dictionary.to_pylist(), self.words, self._words)
-        pool = np.frombuffer(b"".join(values), "<u4")
-        sizes = np.array([len(v) // 4 for v in values] or [0], np.int64)
-        code = coded.indices.to_numpy() if len(coded) else np.zeros(0, np.int64)
-        each = sizes[code]
-        # Where each word's ids go; a text's own ids are followed by the end id.
-        word_text = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
-        lens = np.bincount(word_text, each, len(texts)).astype(np.int64)
-        for i in odd:
-            lens[i] = len(known[i]) // 4
-        ends = np.cumsum(lens + 1)
-        out = np.full(int(ends[-1]) if len(texts) else 0, end_id, np.uint32)
-        at = np.cumsum(each) - each
-        at += (ends - lens - 1)[word_text] - (np.cumsum(np.bincount(word_text, each, len(texts))) - np.bincount(word_text, each, len(texts))).astype(np.int64)[word_text]
-        begin = (np.cumsum(sizes) - sizes)[code]
-        within = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
-        out[np.repeat(at, each) + within] = pool[np.repeat(begin, each) + within]
-        for i in odd:
-            out[ends[i] - 1 - lens[i] : ends[i] - 1] = np.frombuffer(known[i], "<u4")
-        return out, ends
+        words = self._ids_of_words(coded.dictionary)
+        # Each text's words are followed by one more: the end id alone, or the ids of a whole odd text and the end id.
+        more = pa.array([[end_id], *[np.append(x, np.uint32(end_id)) for x in whole]], pa.large_list(pa.uint32()))
+        words = pa.concat_arrays([words, more])
+        n, after = len(plain), split.offsets.to_numpy()[1:] + np.arange(len(plain))
+        code = np.empty(len(coded) + n, np.int64)
+        own = np.ones(len(code), bool)
+        own[after] = False
+        code[own] = coded.indices.to_numpy(zero_copy_only=False)
+        code[after] = len(coded.dictionary)
+        code[after[odd]] += 1 + np.arange(len(odd))
+        sizes = np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False)[code])
+        return words.take(pa.array(code)).flatten().to_numpy(zero_copy_only=False), sizes[after].astype(np.int64)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -139,10 +136,38 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+class Packed:
+    """Bytes in compressed blocks; a read unpacks the blocks that it touches and no others."""
+
+    def __init__(self, data: bytes | memoryview, at: int = 0):
+        self.size, n = struct.unpack_from("<QI", data, at)
+        first = at + 12 + 4 * n
+        self.bounds = first + np.concatenate([[0], np.cumsum(np.frombuffer(data, "<u4", n, at + 12), dtype=np.int64)])
+        self.data, self.end, self.unpacked = data, int(self.bounds[-1]), (-1, b"")
+
+    @staticmethod
+    def pack(raw: bytes) -> bytes:
+        blocks = [pa.compress(raw[i : i + BLOCK], codec="zstd", asbytes=True) for i in range(0, len(raw), BLOCK)]
+        return b"".join([struct.pack("<QI", len(raw), len(blocks)), np.array([len(b) for b in blocks], "<u4").tobytes(), *blocks])
+
+    def _block(self, i: int) -> bytes:
+        if self.unpacked[0] != i:
+            a, b = int(self.bounds[i]), int(self.bounds[i + 1])
+            self.unpacked = i, pa.decompress(self.data[a:b], decompressed_size=min(BLOCK, self.size - i * BLOCK), codec="zstd", asbytes=True)
+        return self.unpacked[1]
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        a, b, _ = part.indices(self.size)
+        if a >= b:
+            return np.zeros(0, np.uint8)
+        joined = b"".join([self._block(i) for i in range(a // BLOCK, (b - 1) // BLOCK + 1)])
+        return np.frombuffer(joined, np.uint8, b - a, a % BLOCK)
+
+
 class WaveletMatrix:
-    """A sequence of non-negative integers as bit-planes with rank samples."""
+    """A sequence of non-negative integers as bit-planes with rank samples. A plane is an array of bytes, or Packed."""
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int], ranks: list[np.ndarray]):
+    def __init__(self, n: int, planes: list[np.ndarray | Packed], zeros: list[int], ranks: list[np.ndarray]):
         self.n, self.planes, self.zeros, self.ranks = n, planes, zeros, ranks
 
     @classmethod
@@ -168,15 +193,15 @@ class WaveletMatrix:
         return np.concatenate([[0], np.cumsum(ones)]).astype("<u4")
 
     def bit(self, level: int, i: int) -> int:
-        return int(self.planes[level][i >> 3]) >> (i & 7) & 1
+        return int(self.planes[level][i >> 3 : (i >> 3) + 1][0]) >> (i & 7) & 1
 
     def rank(self, level: int, i: int) -> int:
         """Ones among the first i bits of a plane."""
         block = i // SAMPLE
         first = block * (SAMPLE // 8)
-        part = self.planes[level][first : i >> 3]
-        more = int(self.planes[level][i >> 3]) & ((1 << (i & 7)) - 1) if i & 7 else 0
-        return int(self.ranks[level][block]) + int(np.bitwise_count(part).sum()) + more.bit_count()
+        part = self.planes[level][first : (i + 7) >> 3]
+        over = int(part[-1]) >> (i & 7) if i & 7 else 0  # bits of the last byte from the place on
+        return int(self.ranks[level][block]) + int(np.bitwise_count(part).sum()) - over.bit_count()
 
     def access(self, i: int) -> int:
         value = 0
@@ -228,7 +253,7 @@ class WaveletMatrix:
         kind = np.uint16 if len(self.planes) <= 16 else np.uint32
         v = np.zeros(self.n, dtype=kind)
         for level in range(len(self.planes) - 1, -1, -1):
-            bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
+            bit = np.unpackbits(self.planes[level][:], count=self.n, bitorder="little").astype(bool)
             up = np.empty_like(v)
             up[~bit] = v[: self.zeros[level]]
             up[bit] = v[self.zeros[level] :] | kind(1 << (len(self.planes) - 1 - level))
@@ -237,32 +262,26 @@ class WaveletMatrix:
 
 
 def write_shard(doc_ids: list[int | None], ends: np.ndarray, ids: np.ndarray) -> bytes:
-    """One file: magic, numbers of ids, documents and planes, then compressed parts with their sizes."""
+    """One file: magic, numbers of ids, documents and planes, then Packed parts."""
     m = WaveletMatrix.build(ids)
-    out = io.BytesIO()
-    out.write(MAGIC + struct.pack("<QQI", m.n, len(doc_ids), len(m.planes)))
     known = np.array([x is not None for x in doc_ids], dtype=np.uint8)
     parts = [np.array([x or 0 for x in doc_ids], dtype="<i8"), known, ends.astype("<i8"), np.array(m.zeros, dtype="<u8")]
-    for part in [*parts, *[x for pair in zip(m.planes, m.ranks) for x in pair]]:
-        raw = part.tobytes()
-        packed = pa.compress(raw, codec="zstd", asbytes=True)
-        out.write(struct.pack("<QQ", len(raw), len(packed)) + packed)
-    return out.getvalue()
+    return b"".join([MAGIC + struct.pack("<QQI", m.n, len(doc_ids), len(m.planes)), *[Packed.pack(x.tobytes()) for x in (*parts, *m.ranks, *m.planes)]])
 
 
 def read_shard(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
+    """(ids of documents, their ends, the ids' matrix). Bit-planes stay packed until a place in them is asked for."""
     if data[:4] != MAGIC:
         raise ValueError("not a shard")
     n, n_docs, n_planes = struct.unpack_from("<QQI", data, 4)
     at, parts = 24, []
     for _ in range(4 + 2 * n_planes):
-        size, packed = struct.unpack_from("<QQ", data, at)
-        parts.append(pa.decompress(data[at + 16 : at + 16 + packed], decompressed_size=size, codec="zstd", asbytes=True))
-        at += 16 + packed
-    doc_ids = [int(x) if k else None for x, k in zip(np.frombuffer(parts[0], "<i8"), parts[1])]
-    planes = [np.frombuffer(p, np.uint8) for p in parts[4::2]]
-    ranks = [np.frombuffer(p, "<u4") for p in parts[5::2]]
-    return doc_ids, np.frombuffer(parts[2], "<i8"), WaveletMatrix(n, planes, [int(x) for x in np.frombuffer(parts[3], "<u8")], ranks)
+        parts.append(Packed(data, at))
+        at = parts[-1].end
+    names, known, ends, zeros = (p[:].tobytes() for p in parts[:4])
+    doc_ids = [int(x) if k else None for x, k in zip(np.frombuffer(names, "<i8"), known)]
+    ranks = [np.frombuffer(p[:].tobytes(), "<u4") for p in parts[4 : 4 + n_planes]]
+    return doc_ids, np.frombuffer(ends, "<i8"), WaveletMatrix(n, parts[4 + n_planes :], [int(x) for x in np.frombuffer(zeros, "<u8")], ranks)
 
 
 def by_size(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -295,7 +314,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id"
         code = encoder(path)
         for batch in batches:
             for piece in by_size(batch):
-                own, own_ends = code.encode(piece.column(1).to_pylist(), end_id)
+                own, own_ends = code.encode(piece.column(1), end_id)
                 names += piece.column(0).to_pylist()
                 ids.append(own)
                 ends.append(own_ends + size)
@@ -306,9 +325,9 @@ def write_shards(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id"
         if names:
             yield close()
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange(n, "id").sortWithinPartitions("id")
+    # The tie spreads the rows of a repeated id over ranges; rows of one id may stand in any order.
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("tie"))
+    ordered = rows.repartitionByRange(parts(docs, text_col, PART_BYTES), "id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
     return settle(ordered.mapInArrow(encode, "part int, seq int, n_docs bigint, n_ids bigint, data binary"))
 
 
