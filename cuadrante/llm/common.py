@@ -5,7 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,3 +80,13 @@ def free_name(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``size`` bytes of a text column, one row at least."""
+    upto = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).cumsum()
+    first = 0
+    while first < batch.num_rows:
+        last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + size, side="right")))
+        yield batch.slice(first, last - first)
+        first = last

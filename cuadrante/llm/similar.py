@@ -1,4 +1,4 @@
-"""Near copies by exact Jaccard similarity of word shingles: SHINGLE words, SIMILAR or more.
+"""Candidates and verification for texts whose sets of word shingles have a Jaccard similarity of PART / WHOLE or more.
 
 A set of n shingles and one that it is similar to share a shingle among the first n - ceil(4n/5) + 1 of each, whatever
 order the shingles are given. Here that order is: cold shingles by hash, then hot ones from the rarest to the commonest.
@@ -6,29 +6,30 @@ Hot are the HOT_ROWS commonest of those found HOT times or more in one of SAMPLE
 changes the cost, never the result. Sets that meet at a shingle are candidates:
 
 * a shingle of at most SMALL sets gives all its pairs;
-* a shingle of more sets first links each to the smallest of them; pairs that are still apart are then given one by
-  one, so a large group of near copies doesn't emit all its pairs.
+* a shingle of more sets first links each to the smallest of them (``stars``); pairs that no link has connected by then
+  are given one by one (``apart``), so a large group of near copies doesn't emit all its pairs.
 
 A pair that shares c of its first shingles shares at most c plus the rest of the longer one, which removes most pairs;
-the others are verified on their whole sets. So every pair that is similar ends up linked, and no other.
+the others are verified on their whole sets. So every pair that is similar ends up connected, and by no other.
 
-Defined cases: texts of fewer than SHINGLE words have the whole sequence as their one shingle; null, empty and blank texts have
-none and are copies of each other. Only distinct sets take part. Of each component the row with the smallest id stays,
-null ids last, then the smallest hash of the text; of repeated rows one does.
+Defined cases: texts of fewer words than a shingle has have the whole sequence as their one shingle; null, empty and
+blank texts have none and are copies of each other. Only distinct sets take part.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, settle
-from .simhash import components, shingle_hashes
+from .common import BROADCAST_ROWS, settle, slices
 
 SHINGLE = 5
 #: Similarity as a fraction: 4 of 5.
@@ -37,6 +38,8 @@ SMALL = 64
 SAMPLE = 16
 HOT = 20
 HOT_ROWS = 100_000
+SLICE_BYTES = 8_000_000  # of text, taken at once
+BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def prefix_size(n):
@@ -48,41 +51,74 @@ def enough(shared, sizes):
     return shared * (PART + WHOLE) >= sizes * PART
 
 
-def hot_shingles(docs: DataFrame, text_col: str) -> list[int]:
+def shingled(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of the shingles of all texts, their number in each): A-Z in lower case, ASCII space between words,
+    repeats included."""
+    plain = pc.ascii_trim_whitespace(pc.ascii_lower(texts.cast(pa.large_string()).fill_null("")))
+    split = pc.ascii_split_whitespace(plain)
+    coded = split.flatten().dictionary_encode()
+    known = pd.util.hash_array(np.asarray(coded.dictionary.to_pylist(), object), categorize=False) if len(coded) else np.zeros(0, np.uint64)
+    words = known[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else known
+    n = np.diff(split.offsets.to_numpy())
+    n[pc.equal(plain, "").to_numpy(zero_copy_only=False)] = 0  # an empty text is split into one empty word
+    begin = split.offsets.to_numpy()[:-1] - split.offsets[0].as_py()
+    counts = np.where(n >= width, n - width + 1, np.minimum(n, 1))
+    at = np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+    size = np.repeat(np.minimum(n, width), counts)
+    out = size.astype(np.uint64)
+    for k in range(width):
+        has = np.flatnonzero(size > k) if (size <= k).any() else slice(None)
+        out[has] = out[has] * BASE + words[at[has] + k]
+    out = (out ^ (out >> np.uint64(29))) * MIX
+    return out ^ (out >> np.uint64(32)), counts
+
+
+class Order:
+    """The order of shingles: by hash, the hot ones (given from the rarest to the commonest) last."""
+
+    def __init__(self, hot: list[int]):
+        self.ranked = np.array(hot, np.int64).view(np.uint64)
+        self.by_hash = np.argsort(self.ranked)
+        self.known = self.ranked[self.by_hash]
+
+    def first(self, u: np.ndarray) -> np.ndarray:
+        """The shingles of a sorted set that are compared first."""
+        if len(u) and len(self.known):
+            at = np.minimum(np.searchsorted(self.known, u), len(self.known) - 1)
+            hot = self.known[at] == u
+            if hot.any():
+                u = np.concatenate([u[~hot], self.ranked[np.sort(self.by_hash[at[hot]])]])
+        return u[: prefix_size(len(u))] if len(u) else u
+
+    def cut(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """(hash of each text's set, its size, its first shingles)."""
+        keys, sizes, first = [], [], []
+        ends = np.cumsum(counts)
+        for a, b in zip((ends - counts).tolist(), ends.tolist()):
+            u = np.unique(hashes[a:b])
+            keys.append(int.from_bytes(hashlib.blake2b(u.tobytes(), digest_size=8).digest(), "little", signed=True))
+            sizes.append(len(u))
+            first.append(self.first(u))
+        flat = np.concatenate([np.zeros(0, np.uint64), *first]).view(np.int64)
+        return pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first)]), pa.int32()), pa.array(flat))
+
+
+def hot_shingles(docs: DataFrame, text_col: str, width: int = SHINGLE) -> list[int]:
     """The commonest shingles of a sample, the rarest first; at most HOT_ROWS are collected."""
-    text = F.col(text_col)
-    some = docs.where(F.pmod(F.xxhash64(text), F.lit(SAMPLE)) == 0).select(F.explode(F.array_distinct(shingle_hashes(text, SHINGLE))).alias("h"))
-    found = some.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT).orderBy(F.desc("n"), "h").limit(HOT_ROWS).collect()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x for b in batches for x in slices(b, 0, SLICE_BYTES)):
+            hashes, counts = shingled(batch.column(0), width)
+            by_text = np.unique(np.column_stack([np.repeat(np.arange(len(counts)).astype(np.uint64), counts), hashes]), axis=0)[:, 1] if len(hashes) else hashes
+            h, n = np.unique(by_text, return_counts=True)
+            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["h", "n"])
+
+    some = docs.where(F.pmod(F.xxhash64(text_col), F.lit(SAMPLE)) == 0).select(text_col).mapInArrow(count, "h bigint, n bigint")
+    found = some.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT).orderBy(F.desc("n"), "h").limit(HOT_ROWS).collect()
     return [r["h"] for r in reversed(found)]
 
 
-def prefixes(docs: DataFrame, id_col: str, text_col: str, hot: list[int]) -> DataFrame:
-    """(id, text_key, key, n, first): key is a hash of the set of shingles, n its size, first its first shingles."""
-    ranked = np.array(hot, np.int64).view(np.uint64)
-    order = np.argsort(ranked)
-    known = ranked[order]
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(2)
-            hashes, offsets = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            keys, sizes, first = [], [], []
-            for a, b in zip(offsets[:-1], offsets[1:]):
-                u = np.unique(hashes[a:b])
-                keys.append(int.from_bytes(hashlib.blake2b(u.tobytes(), digest_size=8).digest(), "little", signed=True))
-                sizes.append(len(u))
-                if len(u) and len(known):
-                    at = np.minimum(np.searchsorted(known, u), len(known) - 1)
-                    is_hot = known[at] == u
-                    u = np.concatenate([u[~is_hot], ranked[np.sort(order[at[is_hot]])]])
-                first.append(u[: prefix_size(len(u))] if len(u) else u)
-            ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
-            flat = np.concatenate([np.zeros(0, np.uint64), *first]).view(np.int64)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "text_key", "key", "n", "first"])
-
-    text = F.col(text_col)
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_key"), shingle_hashes(text, SHINGLE).alias("h"))
-    return rows.mapInArrow(cut, f"id {docs.schema[id_col].dataType.simpleString()}, text_key bigint, key bigint, n bigint, first array<bigint>")
+# --- pairs ----------------------------------------------------------------------------------------------------------
 
 
 def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -121,7 +157,7 @@ def _could(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     return enough(np.minimum(na, nb), na + nb)
 
 
-def meet(small: int):
+def _meet(small: int):
     """Rows (h, key, n) sorted by h -> all pairs of cells of up to ``small`` sets; the rows of larger cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,6 +194,30 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield _pairs(None, k[x + i], k[y], m[x + i], m[y])
 
 
+def meet_at_first(classes: DataFrame, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+    """(pairs: a, b, na, nb, one row for each first shingle that two sets share), (large: cell, key, n, the sets of
+    shingles with more than ``small`` of them)."""
+    placed = classes.select(F.explode("first").alias("h"), "key", "n")
+    n = max(12, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    met = settle(placed.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_meet(small), PAIRS))
+    return met.where("cell is null").drop("cell"), met.where("cell is not null").select("cell", F.col("a").alias("key"), F.col("na").alias("n"))
+
+
+def stars(large: DataFrame) -> DataFrame:
+    """Of each large cell the pairs with its smallest set."""
+    middle = large.groupBy("cell").agg(F.min(F.struct("key", "n")).alias("m"))
+    return large.join(middle, "cell").where("key <> m.key").select(F.col("m.key").alias("a"), F.col("key").alias("b"), F.col("m.n").alias("na"), F.col("n").alias("nb"))
+
+
+def apart(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs of large cells that ``roots`` (node, root) doesn't connect."""
+    at = large.join(roots, large["key"] == roots["node"], "left").select("cell", "key", "n", F.coalesce("root", "key").alias("root"))
+    # A cell whose sets are all connected has no such pairs, and is not dealt out.
+    open_cells = at.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell")
+    n = max(12, int(large.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return at.join(open_cells, "cell").repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(_apart, PAIRS).drop("cell")
+
+
 def likely(pairs: DataFrame) -> DataFrame:
     """(a, b, na, nb): the pairs that share enough of their first shingles; a row of ``pairs`` is one shared shingle."""
     n = pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count(F.lit(1)).alias("c"))
@@ -166,45 +226,45 @@ def likely(pairs: DataFrame) -> DataFrame:
     return n.where(enough(most, F.col("na") + F.col("nb"))).drop("c")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, text_col: str, classes: DataFrame) -> DataFrame:
-    """(a, b): the pairs whose whole sets are similar. Sets are made again from the texts, for the sets named only."""
-    text = F.col(text_col)
-    named = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct().join(classes, "key").select("key", "text_key")
-    rows = docs.select(text.alias("text"), F.xxhash64(text).alias("text_key")).join(named, "text_key").dropDuplicates(["key"])
-    sets = settle(rows.select("key", F.array_distinct(shingle_hashes(F.col("text"), SHINGLE)).alias("s")))
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    return both.where(enough(F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb"))).select("a", "b")
+def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs that ``roots`` doesn't connect."""
+    both = pairs.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
+    return both.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b", "na", "nb")
 
 
-def similar_links(docs: DataFrame, rows: DataFrame, text_col: str = "text", small: int = SMALL) -> DataFrame:
-    """(a, b): keys of similar sets; connected as all such pairs are. ``rows`` are the prefixes of ``docs``."""
-    classes = rows.groupBy("key").agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("first").alias("first"))
-    placed = classes.select(F.explode("first").alias("h"), "key", "n")
-    n = max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    met = settle(placed.repartition(n, "h").sortWithinPartitions("h").mapInArrow(meet(small), PAIRS))
-    reps = rows.groupBy("key").agg(F.min("text_key").alias("text_key"))
-    pairs, large = met.where("cell is null").drop("cell"), met.where("cell is not null").select("cell", F.col("a").alias("key"), F.col("na").alias("n"))
-    if large.isEmpty():
-        return settle(verified(settle(likely(pairs)), docs, text_col, reps))
-    middle = large.groupBy("cell").agg(F.min(F.struct("key", "n")).alias("m"))
-    star = large.join(middle, "cell").where("key <> m.key").select(F.col("m.key").alias("a"), F.col("key").alias("b"), F.col("m.n").alias("na"), F.col("n").alias("nb"))
-    links = settle(verified(settle(likely(star)), docs, text_col, reps))
-    roots = settle(components(links))
-    at = large.join(roots, large["key"] == roots["node"], "left").select("cell", "key", "n", F.coalesce("root", "key").alias("root"))
-    apart = at.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(_apart, PAIRS).drop("cell")
-    known = roots.toDF("a", "ra"), roots.toDF("b", "rb")
-    rest = likely(pairs.unionByName(apart)).join(known[0], "a", "left").join(known[1], "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b", "na", "nb")
-    return links.unionByName(settle(verified(settle(rest), docs, text_col, reps)))
-
-
-def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each component of similar texts."""
-    rows = settle(prefixes(docs, id_col, text_col, hot_shingles(docs, text_col)))
-    roots = components(similar_links(docs, rows, text_col, small))
-    by_set = rows.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_key")).alias("m"))
-    named = by_set.join(roots, by_set["key"] == roots["node"], "left").groupBy(F.coalesce("root", "key")).agg(F.min("m").alias("m"))
-    keep = settle(named.select(F.col("m.id").alias("kept_id"), F.col("m.text_key").alias("kept_key")))
-    key = free_name(docs, "text_key")
-    known = docs.withColumn(key, F.xxhash64(text_col))
-    stay = known.join(keep, F.col(id_col).eqNullSafe(F.col("kept_id")) & (F.col(key) == F.col("kept_key")), "left_semi")
-    return stay.dropDuplicates([id_col, key]).drop(key)
+# --- verification ---------------------------------------------------------------------------------------------------
+
+
+@dataclass
+class Texts:
+    """Where sets come from: ``keys`` (key, text_key) has one text of each."""
+
+    docs: DataFrame
+    text_col: str
+    width: int
+    keys: DataFrame
+
+    def sets(self, named: DataFrame) -> DataFrame:
+        """(key, s): the whole sets of the keys in ``named``, made again from the texts."""
+        width = self.width
+
+        def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in (x for b in batches for x in slices(b, 1, SLICE_BYTES)):
+                hashes, counts = shingled(batch.column(1), width)
+                ends = np.cumsum(counts)
+                each = [np.unique(hashes[a:b]).view(np.int64) for a, b in zip((ends - counts).tolist(), ends.tolist())]
+                flat = np.concatenate([np.zeros(0, np.int64), *each])
+                yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, each)]), pa.int32()), pa.array(flat))], names=["key", "s"])
+
+        wanted = settle(named.distinct().join(self.keys, "key").select("key", "text_key"))
+        few = wanted.limit(10 * BROADCAST_ROWS + 1).count() <= 10 * BROADCAST_ROWS  # two numbers a row
+        rows = self.docs.select(F.xxhash64(self.text_col).alias("text_key"), F.col(self.text_col).alias("text"))
+        found = rows.join(F.broadcast(wanted) if few else wanted, "text_key")
+        return found.select("key", "text").mapInArrow(make, "key bigint, s array<bigint>").dropDuplicates(["key"])
+
+
+def verified(pairs: DataFrame, texts: Texts) -> DataFrame:
+    """(a, b): the pairs whose whole sets are similar."""
+    sets = settle(texts.sets(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key")))))
+    both = pairs.select("a", "b").join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    return both.where(enough(F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb"))).select("a", "b")

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, parts, settle
+from .common import BROADCAST_ROWS, parts, settle, slices
 
 SHARD_IDS = 2_000_000
 PART_BYTES = 256_000_000  # of text in a range of ids
@@ -284,17 +284,6 @@ def read_shard(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix
     return doc_ids, np.frombuffer(ends, "<i8"), WaveletMatrix(n, parts[4 + n_planes :], [int(x) for x in np.frombuffer(zeros, "<u8")], ranks)
 
 
-def by_size(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of about BATCH_BYTES of text, one row at least."""
-    size = pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).cumsum()
-    first = 0
-    while first < batch.num_rows:
-        before = size[first - 1] if first else 0
-        last = max(first + 1, int(np.searchsorted(size, before + BATCH_BYTES)))
-        yield batch.slice(first, last - first)
-        first = last
-
-
 def write_shards(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS) -> DataFrame:
     """(part, seq, n_docs, n_ids, data): the shards in ascending order of doc_id, written to the shared folder."""
 
@@ -313,7 +302,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id"
 
         code = encoder(path)
         for batch in batches:
-            for piece in by_size(batch):
+            for piece in slices(batch, 1, BATCH_BYTES):
                 own, own_ends = code.encode(piece.column(1), end_id)
                 names += piece.column(0).to_pylist()
                 ids.append(own)

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cuadrante.llm import decontaminate, mixing, quality_rules, sharding, simhash, suffix_dedup, token_counts, token_files, toxicity, url_filters
+from cuadrante.llm import decontaminate, links, mixing, quality_rules, sharding, simhash, suffix_dedup, token_counts, token_files, toxicity, url_filters
 
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SYLLABLES = ["ra", "The", "ño", "ti", "él", "on", "st", "q", "Íx", "be"]
@@ -244,15 +244,15 @@ def test_near_links(spark, split):
 
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101)], "a long, b long")
-    got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
+    got = {r["node"]: r["root"] for r in links.components(edges).collect()}
     assert got == {i: 0 for i in range(1, 51)} | {101: 100}
 
 
 def test_components_that_need_more_rounds(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long")
     with pytest.raises(RuntimeError):
-        simhash.components(edges, rounds=1)
-    assert simhash.components(edges.limit(0)).count() == 0
+        links.components(edges, rounds=1)
+    assert links.components(edges.limit(0)).count() == 0
 
 
 # --- op5

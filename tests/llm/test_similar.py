@@ -7,7 +7,7 @@ import re
 
 import pytest
 
-from cuadrante.llm import similar
+from cuadrante.llm import similar, simhash
 
 
 def shingles(text):
@@ -60,10 +60,10 @@ def test_near_copies(spark, small, hot, monkeypatch):
     monkeypatch.setattr(similar, "SAMPLE", 2)
     rows = edited_copies()
     docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, key int").repartition(5)
-    got = similar.without_near_copies(docs, small=small)
+    got = simhash.one_of_each(docs, small=small)
     assert got.columns == docs.columns
     assert sorted((r["doc_id"] for r in got.collect()), key=lambda d: (d is None, d)) == brute_kept(rows)
-    assert similar.without_near_copies(docs.limit(0)).count() == 0
+    assert simhash.one_of_each(docs.limit(0)).count() == 0
 
 
 def test_the_stage_takes_near_copies(spark):
@@ -79,3 +79,14 @@ def test_the_stage_takes_near_copies(spark):
         rows += [(i, " ".join(base)), (100 + i, " ".join(copy))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in pipeline.near_duplicates(spark, docs, "").collect()) == list(range(20))
+
+
+def test_shingle_hashes_are_of_words():
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["A b c d e f", "a  b\tc\nd e f ", "a b c", "", None, " \n", "é b c d e é b c d e", "a b c d e"]
+    hashes, counts = similar.shingled(pa.array(texts), 5)
+    assert counts.tolist() == [2, 2, 1, 0, 0, 0, 6, 1]
+    each = np.split(hashes, np.cumsum(counts)[:-1])
+    assert (each[0] == each[1]).all() and each[0][0] == each[7][0] and each[6][0] == each[6][5] and len({int(h) for h in hashes}) == 2 + 1 + 5
