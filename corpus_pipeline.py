@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuadrante.llm import decontaminate, mixing, quality_rules, sharding, similar
+from cuadrante.llm import decontaminate, mixing, quality_rules, sharding, simhash
 from cuadrante.llm.common import settle
 
 
@@ -21,7 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of texts with 0.8 or more of their 5-word shingles in common one stays, the smallest doc_id."""
-    return similar.without_near_copies(docs)
+    return simhash.one_of_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
