@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import free_column
+
 #: Endings of links that are never followed.
-SKIPPED = ("jpg", "jpeg", "png", "gif", "svg", "css", "js", "ico", "mp4", "mp3", "zip", "rar", "doc", "docx", "xls", "xlsx", "pptx")
+SKIPPED = ("jpg", "jpeg", "png", "gif", "svg", "webp", "css", "js", "zip", "rar", "7z", "doc", "docx", "xls", "xlsx", "ppt", "pptx")
 SPLIT = r"^(?i)(https?)://([^/?#]*)([^?#]*)(\?[^#]*)?"
 
 
@@ -37,29 +41,68 @@ def is_skipped(url: Column, domain: Column) -> Column:
     return ~url.rlike(r"^(?i)https?://") | (host(url) != F.lower(domain)) | url.rlike(ending)
 
 
+def without_dots(path: Column) -> Column:
+    """A path from the root without its dot segments, whatever their number: a segment is kept, "." goes, ".." takes the
+    last one back, and none climbs above the root. A path that ends in a dot segment ends in a slash."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(
+        F.slice(parts, F.lit(2), F.size(parts)),
+        F.array().cast("array<string>"),
+        lambda acc, x: F.when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.array_append(acc, x)),
+    )
+    out = F.concat(F.lit("/"), F.array_join(kept, "/"))
+    return F.when(path.rlike(r"/\.\.?$") & (F.size(kept) > 0), F.concat(out, F.lit("/"))).otherwise(out)
+
+
 def resolve(base: Column, href: Column) -> Column:
     """``href`` as seen from ``base``: absolute, scheme-relative, root-relative, fragment, query or sibling links;
-    dot segments are taken out."""
+    dot segments of links that aren't whole urls are taken out."""
     scheme, place, folder = F.regexp_extract(base, SPLIT, 1), F.regexp_extract(base, SPLIT, 2), F.regexp_extract(base, r"^(?i)https?://[^/?#]*([^?#]*/)", 1)
-    root = F.concat(scheme, F.lit("://"), place)
     own = F.regexp_extract(base, r"^([^?#]*)", 1)
-    joined = F.concat(root, F.when(folder == "", "/").otherwise(folder), href)
-    out = (
+    target, rest = F.regexp_extract(href, r"^([^?#]*)", 1), F.regexp_extract(href, r"^[^?#]*(.*)$", 1)
+    below = F.regexp_replace(F.concat(F.when(folder == "", "/").otherwise(folder), target), "/{2,}", "/")  # as joined urls are
+    whole = F.when(F.startswith(target, F.lit("/")), target).otherwise(below)
+    joined = F.concat(scheme, F.lit("://"), place, F.when(whole.rlike(r"/\.\.?(/|$)"), without_dots(whole)).otherwise(whole), rest)
+    return (
         F.when(href.rlike(r"^(?i)[a-z][a-z0-9+.\-]*:"), href)
         .when(F.startswith(href, F.lit("//")), F.concat(scheme, F.lit(":"), href))
-        .when(F.startswith(href, F.lit("/")), F.concat(root, href))
         .when(F.startswith(href, F.lit("#")), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), href))
         .when(F.startswith(href, F.lit("?")), F.concat(own, href))
         .otherwise(joined)
     )
-    out = F.regexp_replace(out, r"(?<=/)\./", "")
-    for _ in range(4):
-        out = F.regexp_replace(out, r"(?<![:/])/(?!\.\./)[^/?#]+/\.\./", "/")
-    return out
+
+
+REFERENCE = r"&(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);"
+
+
+def unescape(c: Column) -> Column:
+    """Text with its character references (names of HTML 4, decimal and hexadecimal numbers) as characters; unknown
+    ones stay."""
+    names = F.create_map(*[F.lit(x) for name, code in sorted(name2codepoint.items()) for x in (name, chr(code))])
+
+    def one(ref: Column) -> Column:
+        number = F.when(ref.rlike("^#[xX]"), F.conv(F.substring(ref, F.lit(3), F.lit(6)), 16, 10)).otherwise(F.substring(ref, F.lit(2), F.lit(7))).try_cast("int")
+        letter = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        real = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        return F.coalesce(F.when(F.startswith(ref, F.lit("#")), F.when(real, letter)).otherwise(F.try_element_at(names, ref)), F.concat(F.lit("&"), ref, F.lit(";")))
+
+    plain = F.split(c, REFERENCE)
+    refs = F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(1))
+    pieces = F.zip_with(plain, refs, lambda t, ref: F.concat(t, F.coalesce(one(ref), F.lit(""))))
+    return F.when(F.contains(c, F.lit("&")), F.array_join(pieces, "")).otherwise(c)
+
+
+HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>"
+VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
+LINK = rf"""(?is)<a(?:[\s/]+(?!href[\s=])[^\s=>/]+(?:\s*=\s*{VALUE})?)*+[\s/]+href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
 
 def hrefs(html: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""), F.lit(1))
+    """The targets of all links, quoted either way or not at all, with character references resolved; what stands in
+    comments, scripts and styles is none."""
+    shown = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, "")
+    kinds = [F.regexp_extract_all(shown, F.lit(LINK), F.lit(i)) for i in (1, 2, 3)]
+    return F.transform(F.arrays_zip(*[k.alias(f"k{i}") for i, k in enumerate(kinds)]), lambda x: unescape(F.concat(x["k0"], x["k1"], x["k2"])))
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
@@ -75,19 +118,50 @@ def content_kind(content_type: Column) -> Column:
 
 
 def safe_filename(url: Column) -> Column:
-    """The last part of the path, percent-decoded, odd characters as "_", ending in .pdf; without a last part it is
-    made from host and path."""
-    base = F.regexp_extract(path(url), r"([^/]*)$", 1)
-    made = F.concat(F.regexp_replace(F.regexp_replace(F.concat(host(url), path(url)), r"[^a-zA-Z0-9._\-]", "_"), r"^_+|_+$", ""), F.lit(".pdf"))
-    plus = F.replace(F.when(base == "", made).otherwise(base), F.lit("+"), F.lit("%2B"))
-    name = F.regexp_replace(F.coalesce(F.try_url_decode(plus), plus), r"(?U)[^\w.\-]", "_")
+    """The last part of the path if it ends in .pdf, else host and path with odd characters as "_"; percent-decoded, odd
+    characters as "_", ending in .pdf."""
+    place, whole = F.regexp_extract(url, SPLIT, 2), path(url)
+    base = F.regexp_extract(whole, r"([^/]*)$", 1)
+    made = F.concat(F.regexp_replace(F.regexp_replace(F.concat(place, whole), r"[^a-zA-Z0-9._\-]", "_"), r"^_+|_+$", ""), F.lit(".pdf"))
+    chosen = F.when(F.endswith(F.lower(base), F.lit(".pdf")), base).otherwise(made)
+    # "+" stays itself, and so does a percent sign without two hexadecimal digits.
+    encoded = F.regexp_replace(F.replace(chosen, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    name = F.regexp_replace(F.url_decode(encoded), r"(?U)[^\w.\-]", "_")
     return F.when(F.endswith(F.lower(name), F.lit(".pdf")), name).otherwise(F.concat(name, F.lit(".pdf")))
 
 
-def unique_filenames(files: DataFrame, name: str, order: str) -> DataFrame:
-    """Equal names get _1, _2, ... before their ending, in the given order."""
-    from pyspark.sql import Window
+FAMILY = r"^(.*?)((?:_\d+)*)(\.[^.]*)?$"
 
-    n = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
-    stem, end = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
-    return files.withColumn(name, F.when(n == 0, F.col(name)).otherwise(F.concat(stem, F.lit("_"), n.cast("string"), end)))
+
+def unique_filenames(files: DataFrame, name: str, order: str) -> DataFrame:
+    """In the given order a name that is taken gets _1, _2, ... before its ending, the first that is free.
+
+    Names can only clash with names of their family: those that differ in numbers at the end alone. Rows of a family
+    pass one task in order, one at a time; it keeps the family's names and nothing else."""
+    family = free_column(files, "family")
+    schema = files.schema
+
+    def name_them(batches):
+        now, taken, last = None, set(), {}
+        for batch in batches:
+            out = []
+            for of, wanted in zip(batch[family], batch[name]):
+                if of != now:
+                    now, taken, last = of, set(), {}
+                if wanted is None:
+                    out.append(None)
+                    continue
+                stem, dot, end = wanted.rpartition(".")
+                stem, end = (stem, dot + end) if stem else (wanted, "")
+                free, n = wanted, last.get(wanted, 0)
+                while free in taken:
+                    n += 1
+                    free = f"{stem}_{n}{end}"
+                last[wanted] = n
+                taken.add(free)
+                out.append(free)
+            yield batch.assign(**{name: out}).drop(columns=[family])
+
+    key = F.concat_ws("/", F.regexp_extract(F.col(name), FAMILY, 1), F.regexp_extract(F.col(name), FAMILY, 3))
+    dealt = files.withColumn(family, key).repartition(family).sortWithinPartitions(family, order)
+    return dealt.mapInPandas(name_them, schema)

@@ -60,7 +60,16 @@ def nearest(left: DataFrame, right: DataFrame, key: list[str], left_at: str, rig
     return left.join(best.select(id_col, F.col("x.at").alias("nearest"), F.col("x.gap").alias("gap")), id_col, "left")
 
 
-def colour_index(selected: DataFrame, subject: str, order: str, colours: int = 8) -> DataFrame:
-    """Subjects by first selection, modulo the number of colours."""
+def colour_index(selected: DataFrame, subject: str, order: str, colours: int = 8, buckets: int = 64) -> DataFrame:
+    """Subjects by first selection, modulo the number of colours; subjects with equal firsts share one.
+
+    Ranks are counted in ``buckets`` ranges of the order and added up over these, so no task ranks all subjects."""
     first = selected.groupBy(subject).agg(F.min(order).alias("first"))
-    return first.withColumn("colour", ((F.dense_rank().over(Window.orderBy("first")) - 1) % colours).cast("int")).drop("first")
+    cuts = first.select(F.percentile_approx("first", [i / buckets for i in range(1, buckets)])).first()[0] or []
+    bucket = F.size(F.filter(F.array(*[F.lit(x) for x in sorted(set(cuts))]), lambda x: x <= F.col("first"))) if cuts else F.lit(0)
+    ranked = first.withColumn("_bucket", F.coalesce(bucket, F.lit(-1)))
+    sizes = ranked.groupBy("_bucket").agg((F.count_distinct("first") + F.max(F.col("first").isNull().cast("int"))).alias("n"))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most one row a bucket
+    offsets = sizes.select("_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    rank = F.dense_rank().over(Window.partitionBy("_bucket").orderBy("first")) - 1 + F.col("_before")
+    return ranked.join(F.broadcast(offsets), "_bucket").select(subject, (rank % colours).cast("int").alias("colour"))

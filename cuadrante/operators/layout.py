@@ -84,11 +84,17 @@ def row_bounds(rows: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def cell_words(words: DataFrame, rows: DataFrame, columns: DataFrame) -> DataFrame:
-    """Words in cells; a word on a border is in both. Words that look like a time are left out."""
-    cells = rows.select(*PAGE, "row_idx", "start_time", "end_time", F.col("y0").alias("cy0"), F.col("y1").alias("cy1")).join(columns.select(*PAGE, "day_idx", "day", F.col("x0").alias("cx0"), F.col("x1").alias("cx1")), PAGE)
-    inside = F.col("cx").between(F.col("cx0"), F.col("cx1")) & F.col("cy").between(F.col("cy0"), F.col("cy1"))
-    plain = words.where(~F.col("text").rlike(r"^\d{1,2}:\d{2}"))
-    return plain.join(cells, PAGE).where(inside)
+    """Words in cells; a word on a border is in both. Words that look like a time are left out.
+
+    A page's rows and columns come to its words as two short arrays, and a word leaves its row only for the cells that
+    it is in: the join gives a row a word, not one for every cell of the page."""
+    row = F.struct("row_idx", "start_time", "end_time", F.col("y0").alias("cy0"), F.col("y1").alias("cy1"))
+    column = F.struct("day_idx", "day", F.col("x0").alias("cx0"), F.col("x1").alias("cx1"))
+    page = rows.groupBy(*PAGE).agg(F.collect_list(row).alias("_rows")).join(columns.groupBy(*PAGE).agg(F.collect_list(column).alias("_columns")), PAGE)
+    inside = lambda cells, at, low, high: F.filter(cells, lambda c: F.col(at).between(c[low], c[high]))
+    met = words.where(~F.col("text").rlike(r"^\d{1,2}:\d{2}")).join(page, PAGE)
+    met = met.withColumn("_row", F.explode(inside(F.col("_rows"), "cy", "cy0", "cy1"))).withColumn("_column", F.explode(inside(F.col("_columns"), "cx", "cx0", "cx1")))
+    return met.select(*words.columns, "_row.*", "_column.*")
 
 
 def lines_of(words: Column, tolerance: float = LINE_TOLERANCE) -> Column:

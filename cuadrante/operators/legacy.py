@@ -78,12 +78,19 @@ def assign_time(blocks: DataFrame, rows: DataFrame, id_col: str = "block_id") ->
 
 
 def parse_subject(c: Column) -> Column:
-    """struct(code, name, subgroup, room) by the first pattern that fits with a name that isn't blank; else null."""
+    """struct(code, name, subgroup, room, original_text) by the first pattern that fits with a name that isn't blank;
+    else null."""
     t = clean(c)
     none = F.lit(None).cast("string")
     tries = []
     for pattern, groups in CASCADE:
         code, name, subgroup, room = (none if g is None else F.regexp_extract(t, pattern, g) for g in groups)
         fits = t.rlike(pattern) & (clean(name) != "")
-        tries.append(F.when(fits, F.struct(code.alias("code"), F.upper(clean(name)).alias("name"), subgroup.alias("subgroup"), clean(room).alias("room"))))
+        tries.append(F.when(fits, F.struct(code.alias("code"), F.upper(clean(name)).alias("name"), subgroup.alias("subgroup"), clean(room).alias("room"), t.alias("original_text"))))
     return F.coalesce(*tries)
+
+
+def summary(files: DataFrame, records: DataFrame) -> DataFrame:
+    """One row: processed files, with records or without, and records."""
+    count = lambda df, pdfs, rows: df.agg((F.count(F.lit(1)) * pdfs).alias("total_pdfs"), (F.count(F.lit(1)) * rows).alias("total_records"))
+    return count(files, 1, 0).unionByName(count(records, 0, 1)).agg(F.sum("total_pdfs").alias("total_pdfs"), F.sum("total_records").alias("total_records"))

@@ -92,14 +92,18 @@ def fields(match: Column) -> list[Column]:
 
 def subjects(cells: DataFrame, text_col: str = "cell_text") -> DataFrame:
     """A row per subject of each cell: the columns of ``cells``, notes, pos, name, subgroup, room, raw_text. The first
-    format with a match counts. A cell in no format gives one row without a name, so that what is known of it isn't
-    lost."""
+    format with a match counts. A cell in no format gives one row without a name and without notes, so that what is
+    known of it isn't lost."""
     base = cells.withColumn("_plain", T.without_time_ranges(F.col(text_col)))
     base = base.withColumn("notes", redirect_notes(F.col("_plain"))).withColumn("_t", without_redirects(F.col("_plain")))
     t, none = F.col("_t"), F.lit(None).cast("string")
-    found = F.when(t.rlike(STANDARD), standard(t)).when(t.rlike(ROOM_FIRST), room_first(t)).when(t.rlike(GROUP_FIRST), group_first(t)).when(t.rlike(SIMPLE), simple(t))
+    form = F.when(t.rlike(STANDARD), 0).when(t.rlike(ROOM_FIRST), 1).when(t.rlike(GROUP_FIRST), 2).when(t.rlike(SIMPLE), 3)
+    base = base.withColumn("_form", form)
+    known, f = F.col("_form").isNotNull(), F.col("_form")
+    found = F.when(f == 0, standard(t)).when(f == 1, room_first(t)).when(f == 2, group_first(t)).when(f == 3, simple(t))
     found = F.coalesce(found, F.array(F.array(none, none, none, F.col(text_col))))
-    rows = base.select(*cells.columns, "notes", F.posexplode(found).alias("pos", "_match"))
+    notes = F.when(known, F.col("notes")).otherwise(F.array().cast("array<string>"))
+    rows = base.select(*cells.columns, notes.alias("notes"), F.posexplode(found).alias("pos", "_match"))
     return rows.select(*cells.columns, "notes", "pos", *fields(F.col("_match")))
 
 

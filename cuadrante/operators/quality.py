@@ -25,8 +25,9 @@ TIME_LIKE = r"\d{1,2}[:.]\d{2}"
 KNOWN_ROOM = r"^[A-Z]{1,4}\d{1,3}[A-Z]?(?:[/-][A-Z]{1,4}\d{1,3}[A-Z]?)*$"
 
 
-def name_issue(name: Column) -> Column:
-    t = T.comparable(name)
+def name_issue(name: Column, folded: Column | None = None) -> Column:
+    """``folded``: the comparable name, where it is at hand."""
+    t = T.comparable(name) if folded is None else folded
     return (
         F.when(T.blank(name), "missing_subject")
         .when((F.length(t) < 3) | ~t.rlike("[A-Z]{3,}") | t.rlike(JUNK_NAME), "invalid_subject_name")
@@ -34,8 +35,8 @@ def name_issue(name: Column) -> Column:
     )
 
 
-def room_issue(room: Column) -> Column:
-    t = T.comparable(room)
+def room_issue(room: Column, folded: Column | None = None) -> Column:
+    t = T.comparable(room) if folded is None else folded
     return (
         F.when(T.blank(F.trim(room)), "missing_classroom")
         .when(t.isin(*NO_ROOM) | t.rlike(PENDING_ROOM), "suspicious_classroom")
@@ -44,10 +45,10 @@ def room_issue(room: Column) -> Column:
     )
 
 
-def kept_room(room: Column) -> Column:
-    """The room, if it is one."""
-    issue = room_issue(room)
-    return F.when(issue.isNull() | (issue == "unknown_classroom"), F.trim(room))
+def kept_room(room: Column, issues: Column | None = None) -> Column:
+    """The room, if it is one; ``issues``: all of the record, where they are at hand."""
+    bad = room_issue(room).isin("missing_classroom", "suspicious_classroom", "invalid_classroom") if issues is None else F.arrays_overlap(issues, F.array(*[F.lit(x) for x in ("missing_classroom", "suspicious_classroom", "invalid_classroom")]))
+    return F.when(~F.coalesce(bad, F.lit(False)), F.trim(room))
 
 
 def year_issue(year: Column) -> Column:
@@ -69,10 +70,10 @@ def valid_times(start: Column, end: Column) -> Column:
     return F.coalesce(T.minutes(end) > T.minutes(start), F.lit(False))
 
 
-def issues(day: Column, start: Column, end: Column, name: Column, room: Column, year: Column, degree: Column, group: Column, subgroup: Column) -> Column:
+def issues(day: Column, start: Column, end: Column, name: Column, room: Column, year: Column, degree: Column, group: Column, subgroup: Column, name_folded: Column | None = None, room_folded: Column | None = None) -> Column:
     """All issues in the rules' order."""
     rules = [
-        F.when(~valid_day(day), "invalid_day"), F.when(~valid_times(start, end), "invalid_time"), name_issue(name), room_issue(room),
+        F.when(~valid_day(day), "invalid_day"), F.when(~valid_times(start, end), "invalid_time"), name_issue(name, name_folded), room_issue(room, room_folded),
         year_issue(year), F.when(T.blank(degree), "missing_degree"), subgroup_issue(group, subgroup),
     ]
     return F.array_compact(F.array(*rules))
@@ -89,8 +90,10 @@ def is_accepted(found: Column, score: Column) -> Column:
 
 
 def validate(records: DataFrame) -> DataFrame:
-    """Normalised records with ``issues``, ``confidence``, ``accepted``; a room that is none is taken out."""
+    """Normalised records with ``issues``, ``confidence``, ``accepted``; a room that is none is taken out. What several
+    rules look at is computed once, in a projection below theirs."""
     c = F.col
-    found = issues(c("day"), c("start_time"), c("end_time"), c("name"), c("classroom"), c("academic_year"), c("degree_name"), c("grp"), c("subgroup"))
-    out = records.withColumn("issues", found).withColumn("confidence", confidence(c("issues")))
-    return out.withColumn("accepted", is_accepted(c("issues"), c("confidence"))).withColumn("classroom", kept_room(c("classroom")))
+    folded = records.withColumns({"_name": T.comparable(c("name")), "_room": T.comparable(c("classroom"))})
+    found = issues(c("day"), c("start_time"), c("end_time"), c("name"), c("classroom"), c("academic_year"), c("degree_name"), c("grp"), c("subgroup"), c("_name"), c("_room"))
+    out = folded.withColumn("issues", found).withColumn("confidence", confidence(c("issues")))
+    return out.withColumn("accepted", is_accepted(c("issues"), c("confidence"))).withColumn("classroom", kept_room(c("classroom"), c("issues"))).drop("_name", "_room")

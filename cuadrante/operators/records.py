@@ -24,21 +24,27 @@ def build(cells: DataFrame) -> DataFrame:
     return quality.validate(normalize(cells))
 
 
-def page_stats(cells: DataFrame, records: DataFrame) -> DataFrame:
-    """Cells, accepted, rejected and accepted with warnings of each page; pages without records have zeros."""
-    pages = cells.groupBy("file", "page").agg(F.count(F.lit(1)).alias("cells_detected"))
+def page_stats(records: DataFrame) -> DataFrame:
+    """Cells, accepted, rejected and accepted with warnings of each page. Every cell has a record at ``pos`` 0, so one
+    aggregation counts cells, too."""
     a = F.col("accepted")
-    counts = records.groupBy("file", "page").agg(F.count_if(a).alias("accepted"), F.count_if(~a).alias("rejected"), F.count_if(a & (F.size("issues") > 0)).alias("warnings"))
-    return pages.join(counts, ["file", "page"], "left").na.fill(0, ["accepted", "rejected", "warnings"])
+    return records.groupBy("file", "page").agg(
+        F.count_if(F.col("pos") == 0).alias("cells_detected"), F.count_if(a).alias("accepted"), F.count_if(~a).alias("rejected"), F.count_if(a & (F.size("issues") > 0)).alias("warnings")
+    )
 
 
 def file_stats(stats: DataFrame) -> DataFrame:
     return stats.groupBy("file").agg(F.count(F.lit(1)).alias("pages"), F.sum("accepted").alias("records"), F.sum("rejected").alias("rejected"), F.sum("warnings").alias("warnings"))
 
 
-def global_stats(stats: DataFrame, failed: int = 0) -> DataFrame:
-    return stats.agg(
-        (F.count(F.lit(1)) + failed).alias("pdfs_found"), F.count(F.lit(1)).alias("pdfs_processed"), F.lit(failed).cast("long").alias("pdfs_failed"),
+def global_stats(stats: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """One row over ``stats`` (a row a file) and ``failed`` (file, error), files that gave no records."""
+    done = stats.select(F.lit(1).alias("ok"), "records", "rejected", "warnings")
+    if failed is not None:
+        zero = F.lit(0).cast("long")
+        done = done.unionByName(failed.select(F.lit(0).alias("ok"), zero.alias("records"), zero.alias("rejected"), zero.alias("warnings")))
+    return done.agg(
+        F.count(F.lit(1)).alias("pdfs_found"), F.count_if(F.col("ok") == 1).alias("pdfs_processed"), F.count_if(F.col("ok") == 0).alias("pdfs_failed"),
         F.coalesce(F.sum("records"), F.lit(0)).alias("accepted_records"), F.coalesce(F.sum("rejected"), F.lit(0)).alias("rejected_records"), F.coalesce(F.sum("warnings"), F.lit(0)).alias("records_with_warnings"),
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -16,18 +16,47 @@ NO_DEGREE, NO_YEAR, NO_SEMESTER, NO_GROUP = "Sin titulación", "Sin curso", "Sin
 STATUSES = ("VALID", "WARNING", "INVALID")
 
 
+def editable(table: DataFrame) -> Column:
+    """The fields that can be edited, as one struct in the documents' shape."""
+    known = {f.lower() for f in table.columns}
+    field = lambda c, kind="string": F.col(c) if c in known else F.lit(None).cast(kind)
+    return F.struct(
+        F.struct(field("degree_code").alias("code"), field("degree_name").alias("name")).alias("degree"),
+        field("academic_year").alias("academic_year"), field("semester", "int").cast("int").alias("semester"), field("year", "int").cast("int").alias("year"), field("grp").alias("group"), field("day").alias("day"),
+        field("start_time").alias("start_time"), field("end_time").alias("end_time"),
+        F.struct(field("subject_code").alias("code"), field("name").alias("name")).alias("subject"),
+        field("subgroup").alias("subgroup"), field("classroom").alias("classroom"), F.coalesce(field("notes", "array<string>"), F.array().cast("array<string>")).alias("notes"),
+    )
+
+
+#: Where each of FIELDS stands in that struct.
+PLACES = {"degree_code": "degree.code", "degree_name": "degree.name", "grp": "group", "subject_code": "subject.code", "name": "subject.name"}
+
+
 def items(records: DataFrame) -> DataFrame:
-    """One item per record; accepted ones come first (``item_ord``), each in the records' order (ord, pos)."""
+    """One item per record; accepted ones come first (``item_ord``), each in the records' order (ord, pos). The fields
+    as extracted stay in ``original``. ``reason`` of a rejected record, where given, goes before its issues."""
     origin = F.when(F.col("accepted"), "accepted").otherwise("rejected")
     seq = F.row_number().over(Window.partitionBy("origin", "file", "page").orderBy("ord", "pos"))
     out = records.withColumn("origin", origin).withColumn("seq", seq)
     status = F.when(~F.col("accepted"), "INVALID").when(F.size("issues") > 0, "WARNING").otherwise("VALID")
-    return out.withColumns({
+    given = F.col("reason") if "reason" in records.columns else F.lit(None).cast("array<string>")
+    out = out.withColumns({
         "id": T.item_id(F.col("origin"), F.col("file"), F.col("page"), F.col("seq")),
         "status": status, "original_status": status, "reviewed": F.lit(False), "manually_modified": F.lit(False),
         "subject_code": F.lit(None).cast("string"),
+        "original_reason": F.when(F.size(F.coalesce(given, F.array())) > 0, given).otherwise(F.col("issues")),
         "item_ord": F.struct((~F.col("accepted")).cast("int").alias("origin"), F.col("ord").alias("ord"), F.col("pos").alias("pos")),
     })
+    return out.withColumn("original", editable(out))
+
+
+def documents(table: DataFrame) -> DataFrame:
+    """Items in the shape of the review document."""
+    return table.select(
+        "id", "origin", "status", "original_status", "reviewed", "manually_modified", F.col("issues").alias("original_issues"), "original_reason", "confidence",
+        editable(table).alias("current"), "original", F.struct("file", "page", "raw_text").alias("source"),
+    )
 
 
 def degree_key():
@@ -84,16 +113,13 @@ def find(table: DataFrame, item: str) -> DataFrame:
 
 
 def facets(table: DataFrame) -> DataFrame:
-    """(facet, value): distinct values of each facet that aren't missing."""
-    one = lambda name, c, ok: table.where(ok).select(F.lit(name).alias("facet"), c.cast("string").alias("value"))
-    parts = [one(n, F.col(c), F.col(c).isNotNull()) for n, c in (("years", "year"), ("semesters", "semester"))]
-    parts += [one(n, F.col(c), ~T.blank(F.col(c))) for n, c in (("groups", "grp"), ("days", "day"), ("pdfs", "file"))]
-    parts.append(table.select(F.lit("issues").alias("facet"), F.explode("issues").alias("value")))
-    parts.append(table.sparkSession.createDataFrame([("statuses", s) for s in STATUSES], "facet string, value string"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+    """(facet, value), sorted: distinct values of each facet that aren't missing. One pass: every item gives its values,
+    and the distinct ones are found before anything moves."""
+    value = lambda name, c: F.struct(F.lit(name).alias("facet"), F.when(~T.blank(c.cast("string")), c.cast("string")).alias("value"))
+    own = F.array(*[value(n, F.col(c)) for n, c in (("years", "year"), ("semesters", "semester"), ("groups", "grp"), ("days", "day"), ("pdfs", "file"))])
+    found = F.concat(own, F.transform("issues", lambda x: value("issues", x)))
+    out = table.select(F.explode(found).alias("x")).select("x.*").where("value is not null").distinct()
+    return out.unionByName(table.sparkSession.createDataFrame([("statuses", s) for s in STATUSES], out.schema)).orderBy("facet", F.col("value").try_cast("int"), "value")
 
 
 def degree_facet(table: DataFrame) -> DataFrame:
@@ -119,13 +145,24 @@ def tree(table: DataFrame) -> DataFrame:
     return counts.withColumn("level", level).where("level is not null").select("degree", "year", "semester", "grp", "level", "n", F.when(F.col("level") == 1, F.col("degree_code")).alias("degree_code"))
 
 
-def summary(table: DataFrame) -> DataFrame:
-    """Counts by original status, and of reviewed items."""
-    s = F.col("original_status")
-    return table.agg(
-        F.count_if(s != "INVALID").alias("accepted_records"), F.count_if(s == "INVALID").alias("rejected_records"), F.count_if(s == "WARNING").alias("records_with_warnings"),
-        F.count(F.lit(1)).alias("total_records"), F.count_if("reviewed").alias("reviewed_records"),
-    )
+SUMMARY = ("pdfs_found", "pdfs_processed", "pdfs_failed", "accepted_records", "records_with_warnings", "rejected_records")
+
+
+def summary(table: DataFrame, statistics: DataFrame, failed: DataFrame | None = None, processed_at: Column | None = None) -> DataFrame:
+    """One row: what the extraction counted (``statistics``, one row of records.global_stats), the failed files (file,
+    error), and how many items are reviewed by now."""
+    spark = table.sparkSession
+    at = F.lit(None).cast("string") if processed_at is None else processed_at
+    bad = spark.createDataFrame([], "file string, error string") if failed is None else failed
+    parts = [
+        statistics.select(*SUMMARY, at.alias("processed_at"), F.lit(None).cast("long").alias("reviewed_records"), F.array().cast("array<struct<file:string,error:string>>").alias("failed_files")),
+        table.agg(F.count_if("reviewed").alias("reviewed_records")),
+        bad.agg(F.array_sort(F.collect_list(F.struct("file", "error"))).alias("failed_files")),
+    ]
+    every = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+    count = {c: F.coalesce(F.max(c), F.lit(0)).alias(c) for c in SUMMARY}
+    total = F.coalesce(F.max("accepted_records"), F.lit(0)) + F.coalesce(F.max("rejected_records"), F.lit(0))
+    return every.agg(F.max("processed_at").alias("processed_at"), *count.values(), total.alias("total_records"), F.max("reviewed_records").alias("reviewed_records"), F.flatten(F.collect_list("failed_files")).alias("failed_files"))
 
 
 def replay(table: DataFrame, log: DataFrame) -> DataFrame:
@@ -133,7 +170,8 @@ def replay(table: DataFrame, log: DataFrame) -> DataFrame:
 
     Edits replace all fields and mark a difference from the original; a status replaces the status; a restore takes
     both back. All mark the item as reviewed. Only the last edit and the last status after the last restore count, so
-    one aggregation of the log and one join do; ids that are in no item are ignored."""
+    one aggregation of the log and one join do; ids that are in no item are ignored. The table may be one that was
+    edited and stored before: originals stand in ``original``."""
     known = [f for f in FIELDS if f in table.columns and f in log.columns]
     is_kind = lambda k: F.col("kind") == k
     last = log.groupBy("id").agg(
@@ -144,11 +182,12 @@ def replay(table: DataFrame, log: DataFrame) -> DataFrame:
     )
     out = table.join(last, "id", "left")
     after = lambda c: F.col(f"{c}.at").isNotNull() & (F.col(f"{c}.at") > F.coalesce("r", F.lit(-1)))
-    edited, marked = after("e"), after("s")
-    original = F.struct(*known)
-    current = F.when(edited, F.struct(*[F.col(f"e.{f}").alias(f) for f in known])).otherwise(original)
-    out = out.withColumn("_now", current).withColumn("manually_modified", F.when(edited, ~F.col("_now").eqNullSafe(original)).otherwise(F.col("manually_modified") & F.col("r").isNull()))
-    out = out.withColumn("status", F.when(marked, F.col("s.new_status")).when(F.col("r").isNotNull(), F.col("original_status")).otherwise(F.col("status")))
+    edited, marked, restored = after("e"), after("s"), F.col("r").isNotNull()
+    as_of = lambda get: F.struct(*[get(f).alias(f) for f in known])
+    original = as_of(lambda f: F.col(f"original.{PLACES.get(f, f)}"))
+    out = out.withColumn("_now", F.when(edited, as_of(lambda f: F.col(f"e.{f}"))).when(restored, original).otherwise(as_of(F.col)))
+    out = out.withColumn("manually_modified", F.when(edited, ~F.col("_now").eqNullSafe(original)).otherwise(F.col("manually_modified") & ~restored))
+    out = out.withColumn("status", F.when(marked, F.col("s.new_status")).when(restored, F.col("original_status")).otherwise(F.col("status")))
     out = out.withColumn("reviewed", F.col("reviewed") | (F.coalesce("events", F.lit(0)) > 0))
     return out.withColumns({f: F.col(f"_now.{f}") for f in known}).drop("_now", "r", "e", "s", "events")
 
@@ -160,3 +199,8 @@ def union_origin(accepted: DataFrame, rejected: DataFrame) -> DataFrame:
 
 def without(table: DataFrame, selected: DataFrame, key: str = "id") -> DataFrame:
     return table.join(selected.select(key).distinct(), key, "left_anti")
+
+
+def without_repeats(chosen: DataFrame, selected: DataFrame, key: str = "id") -> DataFrame:
+    """The chosen rows that aren't selected yet, each once."""
+    return without(chosen.dropDuplicates([key]), selected, key)

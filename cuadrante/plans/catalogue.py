@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import intervals, layout, legacy, parsing, quality, records, review
+from ..operators import crawl, intervals, layout, legacy, parsing, quality, records, review
+from ..sources.shared import settle, spread
 from . import sql as S
 from .sched import cells, sched
 
@@ -28,15 +29,23 @@ def query(name: str, oracle: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def built(spark, sf_dir):
     return records.build(cells(spark, sf_dir))
 
 
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
 def item_table(spark, sf_dir):
-    return review.items(built(spark, sf_dir))
+    """The review's items, built once an application and stored, as a review has them: its queries read columns of
+    Parquet and push their filters down."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _STORED:
+        _STORED[key] = settle(review.items(built(spark, sf_dir)))
+    return _STORED[key]
 
 
 def scalar(name: str, source: str, key: str, column: str, spark_fn, sql_fn):
@@ -61,11 +70,15 @@ scalar("classroom_norm", "sched", "ord", "room_raw", T.classroom, S.room)
 scalar("subject_norm", "sched", "ord", "cell_text", T.subject, S.subject)
 scalar("subject_name_clean", "sched", "ord", "cell_text", parsing.subject_name, S.subject_name)
 scalar("time_minutes", "sched", "ord", "end_time", T.minutes, S.minutes)
-scalar("next_hour", "sched", "ord", "start_time", T.next_hour, lambda x: f"lpad(CAST(CAST(split_part({x}, ':', 1) AS INT) + 1 AS VARCHAR), 2, '0') || ':00'")
 scalar("html_escape", "documents", "doc_id", "text", T.escape_html, lambda x: f"replace(replace(replace(coalesce({x}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')")
 scalar("time_ranges_removed", "sched", "ord", "cell_text", T.without_time_ranges, lambda x: S.clean(rf"regexp_replace(coalesce({x}, ''), '\b\d{{1,2}}:\d{{2}}\s*/\s*\d{{1,2}}:\d{{2}}\b', ' ', 'g')"))
 
 
+@query("next_hour", "SELECT event_id, printf('%02d:%02d', extract('hour' FROM ts) + 1, extract('minute' FROM ts)) AS value FROM events")
+def next_hour(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", T.next_hour(F.concat_ws(":", F.hour("ts").cast("string"), F.minute("ts").cast("string"))).alias("value"))
+
+
 @query("notes_lines", r"SELECT doc_id, count(*) AS n, min(line) AS first_line FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM documents) WHERE line <> '' GROUP BY doc_id")
 def notes_lines(spark, sf_dir):
     lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.notes_of(F.col("text"))).alias("line"))
@@ -91,31 +104,45 @@ def parse_cascade(spark, sf_dir):
     return records.normalize(cells(spark, sf_dir)).select("ord", "pos", "file", "page", "academic_year", "day", "start_time", "end_time", "name", "subgroup", "classroom", "raw_text")
 
 
-HEADER_SQL = "concat('GRADO EN ', degree_name, ' (G', CAST(page AS VARCHAR(10)), '81) CUATRIMESTRE ', CAST(semester AS VARCHAR(10)), 'º Curso ', CAST(year AS VARCHAR(10)), 'º Curso ', academic_year_raw, ' GRUPO ', grp)"
 CATALOG_CASE = lambda i: "CASE " + " ".join(f"WHEN contains({S.comparable('path')}, '{c[0]}') THEN '{c[i]}'" for c in sorted(parsing.CATALOG, key=lambda c: -len(c[0]))) + " END"
 
 
-@query("metadata_extract", rf"""WITH sched AS ({S.SCHED_SQL}), pages_text AS (SELECT ord, {S.clean(HEADER_SQL)} AS t FROM sched WHERE degree_name IS NOT NULL AND academic_year_raw IS NOT NULL)
-SELECT ord, nullif(upper(trim(regexp_extract(t, '(?i)GRADO EN (.*?)\s*\((G\d+)\)', 1))), '') AS degree_name, upper(regexp_extract(t, '(?i)GRADO EN (.*?)\s*\((G\d+)\)', 2)) AS degree_code, 'document' AS degree_source,
- {S.year(r"regexp_extract(t, '(?i)Curso\s+(\d{4}/\d{2,4})', 1)")} AS academic_year, CAST(replace(regexp_extract(t, '(?i)CUATRIMESTRE\s+(\d+º).*?Curso\s+(\d+º)', 1), 'º', '') AS INT) AS semester,
- CAST(replace(regexp_extract(t, '(?i)CUATRIMESTRE\s+(\d+º).*?Curso\s+(\d+º)', 2), 'º', '') AS INT) AS year, {S.group(r"regexp_extract(t, '(?i)GRUPO\s+([0-9]+º?\s*[A-Z])', 1)")} AS grp FROM pages_text""")
-def metadata_extract(spark, sf_dir):
-    rows = sched(spark, sf_dir).where("degree_name is not null and academic_year_raw is not null")
-    m = parsing.metadata(F.expr(HEADER_SQL), F.col("file"))
-    return rows.select("ord", m.alias("m")).select("ord", "m.*")
-
-
 # The header of every row: a missing part is left out, so pages without a degree take it from the file name or stay without.
 PARTIAL_HEADER = "concat_ws(' ', 'GRADO EN ' || degree_name || ' (G' || page || '81)', 'CUATRIMESTRE ' || semester || 'º', 'Curso ' || year || 'º', 'Curso ' || academic_year_raw, 'GRUPO ' || grp)"
+_DEGREE, _TERM = r"(?i)GRADO EN (.*?)\s*\((G\d+)\)", r"(?i)CUATRIMESTRE\s+(\d+º).*?Curso\s+(\d+º)"
+_NUMBER = lambda i: f"TRY_CAST(nullif(replace(regexp_extract(t, '{_TERM}', {i}), 'º', ''), '') AS INT)"
+METADATA_SQL = lambda path: rf"""WITH sched AS ({S.SCHED_SQL}), headers AS (SELECT ord, {S.clean(PARTIAL_HEADER)} AS t, {path} AS path FROM sched),
+found AS (SELECT *, nullif(upper(trim(regexp_extract(t, '{_DEGREE}', 1))), '') AS title, {CATALOG_CASE(2)} AS guess, {CATALOG_CASE(1)} AS guess_code FROM headers)
+SELECT ord, coalesce(title, guess) AS degree_name, CASE WHEN title IS NOT NULL THEN upper(regexp_extract(t, '{_DEGREE}', 2)) ELSE guess_code END AS degree_code,
+ CASE WHEN title IS NOT NULL THEN 'document' WHEN guess IS NOT NULL THEN 'filename' END AS degree_source, {S.year(r"regexp_extract(t, '(?i)Curso\s+(\d{4}/\d{2,4})', 1)")} AS academic_year,
+ {_NUMBER(1)} AS semester, {_NUMBER(2)} AS year, {S.group(r"regexp_extract(t, '(?i)GRUPO\s+([0-9]+º?\s*[A-Z])', 1)")} AS grp FROM found"""
+
+
+@query("metadata_extract", METADATA_SQL("file"))
+def metadata_extract(spark, sf_dir):
+    return sched(spark, sf_dir).select("ord", parsing.metadata(F.expr(PARTIAL_HEADER), F.col("file")).alias("m")).select("ord", "m.*")
 
 
-@query("metadata_all_pages")
+@query("metadata_all_pages", METADATA_SQL("CASE WHEN ord % 2 = 0 THEN concat('GII_', file) ELSE file END"))
 def metadata_all_pages(spark, sf_dir):
-    """Every row of the timetable; every other file is named after a degree. Tests hold it against a loop."""
+    """Every row of the timetable; every other file is named after a degree."""
     named = F.when(F.col("ord") % 2 == 0, F.concat(F.lit("GII_"), "file")).otherwise(F.col("file"))
     return sched(spark, sf_dir).select("ord", parsing.metadata(F.expr(PARTIAL_HEADER), named).alias("m")).select("ord", "m.*")
 
 
+_ARROW = r"(?i)\d+[A-Z](?:\d+)?\s*(?:→|->)\s*\d+[A-Z](?:\d+)?\s*\([A-Z0-9]{1,10}\)"
+_NOTED = "concat(cell_text, CASE ord % 3 WHEN 0 THEN '' WHEN 1 THEN ' 2A →  2B (GII)' ELSE ' 1a1->3C (XX) 4D→4E1(Z9)' END)"
+
+
+@query("redirect_notes", rf"""WITH sched AS ({S.SCHED_SQL}), noted AS (SELECT ord, {S.clean(rf"regexp_replace({_NOTED}, '\b\d{{1,2}}:\d{{2}}\s*/\s*\d{{1,2}}:\d{{2}}\b', ' ', 'g')")} AS t0 FROM sched),
+plain AS (SELECT ord, regexp_extract_all(t0, '{_ARROW}') AS notes, {S.clean(f"regexp_replace(t0, '{_ARROW}', ' ', 'g')")} AS t FROM noted)
+SELECT ord, CASE WHEN {S._FORM} = 4 THEN '' ELSE array_to_string(list_transform(notes, lambda x: {S.clean('x')}), '|') END AS notes FROM plain""")
+def redirect_notes(spark, sf_dir):
+    """Notes of cells, of which some are in no format and so have none."""
+    found = parsing.subjects(cells(spark, sf_dir).withColumn("cell_text", F.expr(_NOTED)))
+    return found.where("pos = 0").select("ord", F.array_join("notes", "|").alias("notes"))
+
+
 @query("degree_from_filename", f"SELECT path, {CATALOG_CASE(2)} AS name, {CATALOG_CASE(1)} AS code FROM (SELECT concat('x/', ['gieai','GISI','Giec','gii','GIT','mu'][1 + CAST(p_partkey % 6 AS INT)], '_', CAST(p_partkey AS VARCHAR), '.pdf') AS path FROM part)")
 def degree_from_filename(spark, sf_dir):
     names = F.array(*[F.lit(x) for x in ("gieai", "GISI", "Giec", "gii", "GIT", "mu")])
@@ -155,8 +182,12 @@ def day_valid(spark, sf_dir):
 
 
 def pages_stats(spark, sf_dir):
-    base = cells(spark, sf_dir)
-    return records.page_stats(base, records.build(base))
+    return records.page_stats(item_table(spark, sf_dir))
+
+
+def failures(spark, sf_dir):
+    """Files that gave no records: one for each region."""
+    return table(spark, sf_dir, "region").select(F.concat(F.lit("bad_"), F.lower("r_name"), F.lit(".pdf")).alias("file"), F.lit("no text").alias("error"))
 
 
 PAGE_STATS = f"""{S.RECORDS}, page_stats AS (SELECT c.file, c.page, c.cells_detected, coalesce(r.accepted, 0) AS accepted, coalesce(r.rejected, 0) AS rejected, coalesce(r.warnings, 0) AS warnings
@@ -165,7 +196,8 @@ file_stats AS (SELECT file, count(*) AS pages, CAST(sum(accepted) AS BIGINT) AS
 
 query("page_stats", f"WITH {PAGE_STATS} SELECT * FROM page_stats")(pages_stats)
 query("file_stats", f"WITH {PAGE_STATS} SELECT * FROM file_stats")(lambda s, d: records.file_stats(pages_stats(s, d)))
-query("global_stats", f"WITH {PAGE_STATS} SELECT count(*) AS pdfs_found, count(*) AS pdfs_processed, CAST(0 AS BIGINT) AS pdfs_failed, CAST(sum(records) AS BIGINT) AS accepted_records, CAST(sum(rejected) AS BIGINT) AS rejected_records, CAST(sum(warnings) AS BIGINT) AS records_with_warnings FROM file_stats")(lambda s, d: records.global_stats(records.file_stats(pages_stats(s, d))))
+_GLOBAL = "(SELECT count(*) FROM file_stats) + (SELECT count(*) FROM region) AS pdfs_found, (SELECT count(*) FROM file_stats) AS pdfs_processed, (SELECT count(*) FROM region) AS pdfs_failed, (SELECT CAST(sum(records) AS BIGINT) FROM file_stats) AS accepted_records, (SELECT CAST(sum(rejected) AS BIGINT) FROM file_stats) AS rejected_records, (SELECT CAST(sum(warnings) AS BIGINT) FROM file_stats) AS records_with_warnings"
+query("global_stats", f"WITH {PAGE_STATS} SELECT {_GLOBAL}")(lambda s, d: records.global_stats(records.file_stats(pages_stats(s, d)), failures(s, d)))
 
 
 @query("progress", f"WITH {PAGE_STATS} SELECT file, CASE WHEN records + rejected = 0 THEN 0 ELSE CAST(floor(records / (records + rejected) * 100) AS INT) END AS percent FROM file_stats")
@@ -202,23 +234,48 @@ query("point_lookup", f"WITH {S.ITEMS} SELECT {_SHOWN} FROM items WHERE id = 'a'
 query("facets", f"""WITH {S.ITEMS} SELECT DISTINCT facet, value FROM (SELECT 'years' AS facet, CAST(year AS VARCHAR) AS value FROM items WHERE year IS NOT NULL UNION ALL SELECT 'semesters', CAST(semester AS VARCHAR) FROM items WHERE semester IS NOT NULL
  UNION ALL SELECT 'groups', grp FROM items WHERE grp <> '' UNION ALL SELECT 'days', day FROM items WHERE day <> '' UNION ALL SELECT 'pdfs', file FROM items WHERE file <> '' UNION ALL SELECT 'statuses', unnest(['VALID', 'WARNING', 'INVALID'])
  UNION ALL SELECT 'issues', issue FROM (SELECT unnest([i1, i2, i3, i4, i5, i6, i7]) AS issue FROM items) WHERE issue IS NOT NULL)""")(lambda s, d: review.facets(item_table(s, d)))
-query("degree_facet", f"WITH {S.ITEMS} SELECT degree_name AS code, degree_name AS label FROM items WHERE coalesce(degree_name, '') <> '' GROUP BY degree_name")(lambda s, d: review.degree_facet(item_table(s, d)).select("code", "label"))
-_TREE = "coalesce(nullif(degree_name, ''), 'Sin titulación') AS degree, coalesce(CAST(year AS VARCHAR), 'Sin curso') AS y, coalesce(CAST(semester AS VARCHAR), 'Sin cuatrimestre') AS s, coalesce(nullif(grp, ''), 'Sin grupo') AS g"
-query("tree_counts", f"""WITH {S.ITEMS}, t AS (SELECT {_TREE} FROM items)
-SELECT degree, CAST(NULL AS VARCHAR) AS year, CAST(NULL AS VARCHAR) AS semester, CAST(NULL AS VARCHAR) AS grp, 1 AS level, count(*) AS n FROM t GROUP BY degree
-UNION ALL SELECT degree, y, NULL, NULL, 2, count(*) FROM t GROUP BY degree, y UNION ALL SELECT degree, y, s, NULL, 3, count(*) FROM t GROUP BY degree, y, s UNION ALL SELECT degree, y, s, g, 4, count(*) FROM t GROUP BY degree, y, s, g""")(lambda s, d: review.tree(item_table(s, d)).drop("degree_code"))
-query("summary", f"WITH {S.ITEMS} SELECT count(*) FILTER (WHERE accepted) AS accepted_records, count(*) FILTER (WHERE NOT accepted) AS rejected_records, count(*) FILTER (WHERE status = 'WARNING') AS records_with_warnings, count(*) AS total_records, CAST(0 AS BIGINT) AS reviewed_records FROM items")(lambda s, d: review.summary(item_table(s, d)))
+def coded(spark, sf_dir):
+    """Items of which some have a degree code, one that differently named degrees share."""
+    code = F.when(F.col("ord") % 3 == 0, F.concat(F.lit("G"), F.length("degree_name").cast("string"))).when(F.col("ord") % 3 == 1, "")
+    return item_table(spark, sf_dir).withColumn("degree_code", code)
+
+
+_CODED = f"{S.ITEMS}, coded AS (SELECT * REPLACE (CASE ord % 3 WHEN 0 THEN 'G' || CAST(length(degree_name) AS VARCHAR) WHEN 1 THEN '' END AS degree_code) FROM items)"
+query("degree_facet", f"""WITH {_CODED}, keyed AS (SELECT coalesce(nullif(degree_code, ''), nullif(degree_name, '')) AS code, coalesce(nullif(degree_name, ''), degree_code) AS label, item_ord FROM coded)
+SELECT code, last(label ORDER BY item_ord) AS label FROM keyed WHERE code IS NOT NULL GROUP BY code""")(lambda s, d: review.degree_facet(coded(s, d)).select("code", "label"))
+_TREE = "coalesce(nullif(degree_name, ''), 'Sin titulación') AS degree, coalesce(CAST(year AS VARCHAR), 'Sin curso') AS y, coalesce(CAST(semester AS VARCHAR), 'Sin cuatrimestre') AS s, coalesce(nullif(grp, ''), 'Sin grupo') AS g, degree_code, item_ord"
+query("tree_counts", f"""WITH {_CODED}, t AS (SELECT {_TREE} FROM coded)
+SELECT degree, CAST(NULL AS VARCHAR) AS year, CAST(NULL AS VARCHAR) AS semester, CAST(NULL AS VARCHAR) AS grp, 1 AS level, count(*) AS n, first(degree_code ORDER BY item_ord) AS degree_code FROM t GROUP BY degree
+UNION ALL SELECT degree, y, NULL, NULL, 2, count(*), NULL FROM t GROUP BY degree, y UNION ALL SELECT degree, y, s, NULL, 3, count(*), NULL FROM t GROUP BY degree, y, s UNION ALL SELECT degree, y, s, g, 4, count(*), NULL FROM t GROUP BY degree, y, s, g""")(lambda s, d: review.tree(coded(s, d)))
+
+
+@query("summary", f"""WITH {PAGE_STATS}, counts AS (SELECT {_GLOBAL}) SELECT '2026-01-02 03:04:05' AS processed_at, pdfs_found, pdfs_processed, pdfs_failed, accepted_records, records_with_warnings, rejected_records, accepted_records + rejected_records AS total_records,
+ (SELECT count(*) FROM records WHERE ord % 5 = 0) AS reviewed_records, (SELECT string_agg('bad_' || lower(r_name) || '.pdf: no text', '|' ORDER BY lower(r_name)) FROM region) AS failed_files FROM counts""")
+def summary(spark, sf_dir):
+    reviewed = item_table(spark, sf_dir).withColumn("reviewed", F.col("ord") % 5 == 0)
+    counted = records.global_stats(records.file_stats(pages_stats(spark, sf_dir)), failures(spark, sf_dir))
+    out = review.summary(reviewed, counted, failures(spark, sf_dir), T.stamp(F.lit("2026-01-02 03:04:05").cast("timestamp")))
+    return out.withColumn("failed_files", F.array_join(F.transform("failed_files", lambda x: F.concat(x["file"], F.lit(": "), x["error"])), "|"))
+
+
+@query("item_documents", f"""WITH {S.ITEMS} SELECT id, origin, status, CASE WHEN degree_name IS NULL THEN '' ELSE degree_name END || '/' || coalesce(grp, '') || '/' || coalesce(name, '') || '/' || coalesce(classroom, '') AS original, false AS changed, issues AS original_reason, confidence, file, page, raw_text FROM items""")
+def item_documents(spark, sf_dir):
+    d = review.documents(item_table(spark, sf_dir))
+    o = F.col("original")
+    text = F.concat_ws("/", *[F.coalesce(x, F.lit("")) for x in (o["degree"]["name"], o["group"], o["subject"]["name"], o["classroom"])])
+    return d.select("id", "origin", "status", text.alias("original"), (~F.col("current").eqNullSafe(o)).alias("changed"), F.array_join("original_reason", ",").alias("original_reason"), "confidence", "source.file", "source.page", "source.raw_text")
 
 
 def edit_log(items: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     """A log made from the items: those with an ord divisible by 3 are edited (a room), by 5 get a status, by 15 are
-    restored in between."""
+    restored in between. Each item gives its own events, in one pass."""
     plain = ("degree_code", "degree_name", "academic_year", "semester", "year", "grp", "day", "start_time", "end_time", "name", "subgroup")
-    event = lambda k, seq, by, room, status: items.where((F.col("ord") % by == 0) & F.lit(k in kinds)).select("id", F.lit(seq).alias("seq"), F.lit(k).alias("kind"), *plain, room.alias("classroom"), F.lit(status).alias("new_status"))
+    text = lambda x: F.lit(x).cast("string")
+    event = lambda k, seq, by, room, status: F.when(F.col("ord") % by == 0, F.struct(F.lit(seq).alias("seq"), F.lit(k).alias("kind"), room.alias("classroom"), text(status).alias("new_status")))
     own = F.col("classroom")
-    return (
-        event("edit", 1, 3, F.lit("EDIT1"), None).unionByName(event("status", 2, 5, own, "VALID")).unionByName(event("restore", 3, 15, own, None)).unionByName(event("edit", 4, 30, F.lit("EDIT2"), None)).unionByName(event("status", 5, 45, own, "INVALID"))
-    )
+    events = [event("edit", 1, 3, F.lit("EDIT1"), None), event("status", 2, 5, own, "VALID"), event("restore", 3, 15, own, None), event("edit", 4, 30, F.lit("EDIT2"), None), event("status", 5, 45, own, "INVALID")]
+    log = items.select("id", *plain, F.explode(F.filter(F.array_compact(F.array(*events)), lambda x: x["kind"].isin(*kinds))).alias("x"))
+    return log.select("id", *plain, "x.*")
 
 
 def replayed(kinds):
@@ -308,15 +365,50 @@ def word_cell_join(spark, sf_dir):
     return found.groupBy("file", "row_idx", "day_idx").agg(F.count(F.lit(1)).alias("n"), F.min("text").alias("low"))
 
 
-@query("line_rebuild")
+@query("line_rebuild", f"""WITH RECURSIVE w AS (SELECT *, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM ({WORD_SQL}) WHERE trim(text) <> '' AND NOT regexp_matches(text, '^\\d{{1,2}}:\\d{{2}}')), b AS ({BOUNDS_SQL}), c AS (SELECT CAST(i AS INT) AS day_idx, i * 200.0 AS cx0, i * 200.0 + 200 AS cx1 FROM range(5) t(i)),
+placed AS (SELECT w.file, CAST(b.row_idx AS INT) AS row_idx, c.day_idx, cy, x0, ord, text, row_number() OVER (PARTITION BY w.file, b.row_idx, c.day_idx ORDER BY cy, x0, ord) AS i FROM w JOIN b ON w.file = b.file AND cy BETWEEN cy0 AND cy1 JOIN c ON cx BETWEEN cx0 AND cx1),
+fold AS (SELECT file, row_idx, day_idx, i, x0, ord, text, 1 AS n, cy AS s, 1 AS line FROM placed WHERE i = 1
+ UNION ALL SELECT p.file, p.row_idx, p.day_idx, p.i, p.x0, p.ord, p.text, CASE WHEN abs(p.cy - f.s / f.n) <= 4 THEN f.n + 1 ELSE 1 END, CASE WHEN abs(p.cy - f.s / f.n) <= 4 THEN f.s + p.cy ELSE p.cy END, CASE WHEN abs(p.cy - f.s / f.n) <= 4 THEN f.line ELSE f.line + 1 END
+ FROM fold f JOIN placed p ON p.file = f.file AND p.row_idx = f.row_idx AND p.day_idx = f.day_idx AND p.i = f.i + 1)
+SELECT file, row_idx, day_idx, string_agg(text, ' ' ORDER BY line, x0, ord) AS cell_text FROM fold GROUP BY file, row_idx, day_idx""")
 def line_rebuild(spark, sf_dir):
-    """Folds in order; tests hold it against a loop."""
     rows, cols = grid(spark, sf_dir)
     found = layout.cell_words(layout.prepared_words(page_words(spark, sf_dir)), rows, cols)
     one = F.struct("cy", "x0", F.col("ord").cast("long").alias("ord"), "text")
     return found.groupBy("file", "row_idx", "day_idx").agg(layout.lines_of(F.collect_list(one)).alias("cell_text"))
 
 
+# Twenty cells a page, four rows of five days, as words and blocks with their places; every word stands in its column.
+PLACED = """SELECT ord, concat('P', cast(cast(floor(ord / 20) AS bigint) AS varchar(20)), '.pdf') AS file, 1 AS page, cast(ord % 20 AS int) AS place, cell_text FROM ({sched}) t"""
+PLACED_SQL = f"""SELECT ord, file, page, CAST(NULL AS VARCHAR) AS degree_name, CAST(NULL AS VARCHAR) AS academic_year_raw, CAST(NULL AS INT) AS semester, CAST(NULL AS INT) AS year, CAST(NULL AS VARCHAR) AS grp,
+ ['LUNES', 'MARTES', 'MIERCOLES', 'JUEVES', 'VIERNES'][1 + place % 5] AS day, CAST(9 + place // 5 AS VARCHAR) || ':00' AS start_time, CAST(9 + place // 5 AS VARCHAR) || ':55' AS end_time, cell_text FROM ({PLACED.format(sched=S.SCHED_SQL)})"""
+
+
+def page_geometry(spark, sf_dir):
+    """(words, blocks, pages) of the timetable's cells: headers above, time ranges at the left, words in their cells."""
+    placed = sched(spark, sf_dir).selectExpr("ord", "concat('P', cast(floor(ord / 20) as bigint), '.pdf') as file", "1 as page", "cast(ord % 20 as int) as place", "cell_text")
+    pages = placed.select("file", "page").distinct().withColumn("width", F.lit(1000.0)).withColumn("height", F.lit(500.0))
+    body = placed.select("file", "page", "place", F.posexplode(F.split("cell_text", " ")).alias("i", "text"))
+    x, y = F.col("place") % 5 * 180 + 110 + F.col("i") * 4, F.floor(F.col("place") / 5) * 100 + 100
+    body = body.select("file", "page", (F.col("place") * 100 + F.col("i") + 5).alias("ord"), "text", x.cast("double").alias("x0"), (y - 3).cast("double").alias("y0"), (x + 4).cast("double").alias("x1"), (y + 3).cast("double").alias("y1"))
+    head = pages.select("file", "page", F.posexplode(F.array(*[F.lit(d) for d in ("Lunes", "MARTES", "Miércoles", "JUEVES", "Viernes")])).alias("ord", "text"))
+    head = head.select("file", "page", "ord", "text", (F.col("ord") * 180 + 150).cast("double").alias("x0"), F.lit(2.0).alias("y0"), (F.col("ord") * 180 + 210).cast("double").alias("x1"), F.lit(8.0).alias("y1"))
+    times = pages.select("file", "page", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("ord"))
+    at = F.col("ord") * 100 + 100
+    blocks = times.select("file", "page", "ord", F.format_string("%d:00 / %d:55", F.col("ord") + 9, F.col("ord") + 9).alias("text"), F.lit(5.0).alias("x0"), (at - 10).cast("double").alias("y0"), F.lit(60.0).alias("x1"), (at + 10).cast("double").alias("y1"))
+    return body.unionByName(head), blocks, pages
+
+
+@query("pages_to_records", f"""WITH {S.RECORDS.replace(S.SCHED_SQL, PLACED_SQL)} SELECT file, page, day, start_time, end_time, pos, name, subgroup, classroom, raw_text, issues, confidence, accepted FROM records""")
+def pages_to_records(spark, sf_dir):
+    """Words and blocks to validated records: columns, rows, cells, text, subjects, rules."""
+    words, blocks, pages = page_geometry(spark, sf_dir)
+    cells_of = layout.build_cells(words, blocks, pages).withColumn("ord", (F.col("row_idx") * 5 + F.col("day_idx")).cast("long"))
+    none = {c: F.lit(None).cast(k) for c, k in (("degree_code", "string"), ("degree_name", "string"), ("academic_year_raw", "string"), ("semester", "int"), ("year", "int"), ("grp", "string"))}
+    found = records.build(cells_of.withColumns(none))
+    return found.select("file", "page", "day", "start_time", "end_time", "pos", "name", "subgroup", "classroom", "raw_text", F.array_join("issues", ",").alias("issues"), "confidence", "accepted")
+
+
 ROWS_SQL = "SELECT DISTINCT concat('U', CAST(user_id AS VARCHAR)) AS file, 1 AS page, CAST(extract('minute' FROM ts) * 10 AS DOUBLE) AS y FROM events"
 
 
@@ -333,9 +425,14 @@ def row_bounds(spark, sf_dir):
     return layout.row_bounds(rows, pages).select("file", F.col("row_idx").cast("int").alias("row_idx"), "y", "y0", "y1")
 
 
-@query("dedup_rows", f"""WITH RECURSIVE r AS ({ROWS_SQL}), k AS (SELECT file, min(y) AS y FROM r GROUP BY file UNION ALL SELECT n.file, n.y FROM (SELECT k.file, (SELECT min(r.y) FROM r WHERE r.file = k.file AND r.y - k.y >= 25) AS y FROM k) n WHERE n.y IS NOT NULL) SELECT file, y FROM k""")
+NEAR_SQL = "SELECT DISTINCT concat('U', CAST(user_id AS VARCHAR)) AS file, 1 AS page, CAST(extract('minute' FROM ts) * 3 AS DOUBLE) AS y, printf('%02d:00', extract('hour' FROM ts) % 3 + 9) AS start_time FROM events"
+
+
+@query("dedup_rows", f"""WITH RECURSIVE r AS ({NEAR_SQL}), k AS (SELECT file, start_time, min(y) AS y FROM r GROUP BY file, start_time UNION ALL SELECT n.file, n.start_time, n.y FROM (SELECT k.file, k.start_time, (SELECT min(r.y) FROM r WHERE r.file = k.file AND r.start_time = k.start_time AND r.y - k.y >= 8) AS y FROM k) n WHERE n.y IS NOT NULL) SELECT file, start_time, y FROM k""")
 def dedup_rows(spark, sf_dir):
-    return layout.drop_near_rows(time_table(spark, sf_dir), 25.0).select("file", "y")
+    e = table(spark, sf_dir, "events")
+    rows = e.select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("file"), F.lit(1).alias("page"), (F.minute("ts") * 3).cast("double").alias("y"), F.format_string("%02d:00", F.hour("ts") % 3 + 9).alias("start_time")).distinct()
+    return layout.drop_near_rows(rows.selectExpr("*", "cast(0 as bigint) as ord", "0 as k", "'12:00' as end_time")).select("file", "start_time", "y")
 
 
 DAYS_SQL = "SELECT concat('U', CAST(user_id AS VARCHAR)) AS file, CAST(event_id % 5 AS INT) AS day_idx, arg_min(CAST(event_id % 997 AS DOUBLE), event_id) AS cx FROM events GROUP BY user_id, event_id % 5"
@@ -377,9 +474,14 @@ query("dedup_links", f"{LINKS_SQL} SELECT DISTINCT link FROM l")(lambda s, d: li
 query("url_normalise", f"SELECT page_id, {NORM('url')} AS link FROM pages")(lambda s, d: table(s, d, "pages").select("page_id", U.normalize(F.col("url")).alias("link")))
 
 
-@query("url_classify", r"SELECT page_id, lower(regexp_extract(url, '(?i)^https?://([^/?#]*)', 1)) <> 'blog.tionsh.example.com' OR regexp_matches(url, '(?i)\.(jpg|jpeg|png|gif|svg|css|js|ico|mp4|mp3|zip|rar|doc|docx|xls|xlsx|pptx)$') AS skipped, ends_with(lower(regexp_extract(url, '(?i)^https?://[^/?#]*([^?#]*)', 1)), '.pdf') AS pdf FROM pages")
+_ENDINGS = ("", ".jpg", ".JPEG", ".png", ".gif", ".svg", ".webp", ".css", ".js", ".zip", ".rar", ".7z", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".ico", ".mp4", ".mp3", ".pdf", ".PDF?x=1", "?f=.webp")
+_ENDED = "url || ['" + "', '".join(_ENDINGS) + f"'][1 + page_id % {len(_ENDINGS)}]"
+
+
+@query("url_classify", rf"SELECT page_id, lower(regexp_extract(u, '(?i)^https?://([^/?#]*)', 1)) <> 'blog.tionsh.example.com' OR regexp_matches(u, '(?i)\.(jpg|jpeg|png|gif|svg|webp|css|js|zip|rar|7z|doc|docx|xls|xlsx|ppt|pptx)$') AS skipped, ends_with(lower(regexp_extract(u, '(?i)^https?://[^/?#]*([^?#]*)', 1)), '.pdf') AS pdf FROM (SELECT page_id, {_ENDED} AS u FROM pages)")
 def url_classify(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", U.is_skipped(F.col("url"), F.lit("blog.tionsh.example.com")).alias("skipped"), U.is_pdf(F.col("url")).alias("pdf"))
+    ended = F.concat("url", F.get(F.array(*[F.lit(x) for x in _ENDINGS]), (F.col("page_id") % len(_ENDINGS)).cast("int")))
+    return table(spark, sf_dir, "pages").select("page_id", U.is_skipped(ended, F.lit("blog.tionsh.example.com")).alias("skipped"), U.is_pdf(ended).alias("pdf"))
 
 
 @query("crawl_frontier", f"{LINKS_SQL} SELECT link, count(DISTINCT page_id) AS pages FROM l WHERE NOT ends_with(lower(regexp_extract(link, '^[^?#]*')), '.pdf') GROUP BY link")
@@ -387,15 +489,25 @@ def crawl_frontier(spark, sf_dir):
     return links(spark, sf_dir).where(~U.is_pdf(F.col("link"))).groupBy("link").agg(F.count_distinct("page_id").alias("pages"))
 
 
-@query("safe_filename", r"SELECT page_id, CASE WHEN ends_with(lower(n), '.pdf') THEN n ELSE n || '.pdf' END AS name FROM (SELECT page_id, regexp_replace(CASE WHEN b <> '' THEN b ELSE regexp_replace(regexp_replace(h || p, '[^a-zA-Z0-9._\-]', '_', 'g'), '^_+|_+$', '', 'g') || '.pdf' END, '[^\p{L}\p{N}_.\-]', '_', 'g') AS n FROM (SELECT page_id, lower(regexp_extract(url, '(?i)^https?://([^/?#]*)', 1)) AS h, regexp_extract(url, '(?i)^https?://[^/?#]*([^?#]*)', 1) AS p, regexp_extract(regexp_extract(url, '(?i)^https?://[^/?#]*([^?#]*)', 1), '([^/]*)$', 1) AS b FROM pages))")
+_NAMED = "url || CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN '/b.html' WHEN 2 THEN '/a+b%20c%C3%A9.PDF' ELSE '/x/100%.pdf' END"
+
+
+@query("safe_filename", rf"""SELECT page_id, CASE WHEN ends_with(lower(n), '.pdf') THEN n ELSE n || '.pdf' END AS name FROM (SELECT page_id, regexp_replace(CASE WHEN ends_with(lower(b), '.pdf') THEN replace(replace(b, '%20', ' '), '%C3%A9', 'é') ELSE regexp_replace(regexp_replace(h || p, '[^a-zA-Z0-9._\-]', '_', 'g'), '^_+|_+$', '', 'g') || '.pdf' END, '[^\p{{L}}\p{{N}}_.\-]', '_', 'g') AS n
+ FROM (SELECT page_id, regexp_extract(u, '(?i)^https?://([^/?#]*)', 1) AS h, regexp_extract(u, '(?i)^https?://[^/?#]*([^?#]*)', 1) AS p, regexp_extract(regexp_extract(u, '(?i)^https?://[^/?#]*([^?#]*)', 1), '([^/]*)$', 1) AS b FROM (SELECT page_id, {_NAMED} AS u FROM pages)))""")
 def safe_filename(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", U.safe_filename(F.col("url")).alias("name"))
+    return table(spark, sf_dir, "pages").select("page_id", U.safe_filename(F.expr(_NAMED)).alias("name"))
+
 
+# Names of three families; some end in what another row's name would be given.
+_FILE = "concat('f', cast(page_id % 3 AS varchar(10)), CASE page_id % 7 WHEN 1 THEN '_1' WHEN 2 THEN '_2' WHEN 3 THEN '_1_1' ELSE '' END, '.pdf')"
 
-@query("unique_filename", "SELECT page_id, CASE WHEN n = 0 THEN m || '.pdf' ELSE m || '_' || CAST(n AS VARCHAR) || '.pdf' END AS name FROM (SELECT page_id, m, row_number() OVER (PARTITION BY m ORDER BY page_id) - 1 AS n FROM (SELECT page_id, 'f' || CAST(page_id % 9 AS VARCHAR) AS m FROM pages))")
+
+@query("unique_filename", f"""WITH RECURSIVE n AS (SELECT page_id, page_id % 3 AS fam, {_FILE} AS m, row_number() OVER (PARTITION BY page_id % 3 ORDER BY page_id) AS i FROM pages),
+r AS (SELECT fam, 1 AS i, page_id, m AS name, [m] AS taken FROM n WHERE i = 1
+ UNION ALL SELECT fam, i, page_id, pick, list_append(taken, pick) FROM (SELECT n.fam, n.i, n.page_id, r.taken, list_filter([n.m] || list_transform(range(1, n.i + 1), lambda k: left(n.m, length(n.m) - 4) || '_' || CAST(k AS VARCHAR) || '.pdf'), lambda x: NOT list_contains(r.taken, x))[1] AS pick FROM r JOIN n ON n.fam = r.fam AND n.i = r.i + 1))
+SELECT page_id, name FROM r""")
 def unique_filename(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("f"), (F.col("page_id") % 9).cast("string"), F.lit(".pdf")).alias("name"))
-    return U.unique_filenames(rows, "name", "page_id")
+    return U.unique_filenames(table(spark, sf_dir, "pages").select("page_id", F.expr(_FILE).alias("name")), "name", "page_id")
 
 
 @query("union_origin", f"WITH {S.RECORDS} SELECT ord, pos, CASE WHEN accepted THEN 'accepted' ELSE 'rejected' END AS origin FROM records")
@@ -410,11 +522,48 @@ def remove_selected(spark, sf_dir):
     return review.without(items, items.where("ord % 4 = 0")).select("id")
 
 
-@query("legacy_subject")
+_OLD = "trim(regexp_replace(replace(coalesce(cell_text, ''), chr(160), ' '), '\\s+', ' ', 'g'))"
+_OLD_FORMS = (
+    (r"^(\d{6})[- ]+(.+?)\s*-\s*([A-Z0-9º]+)\*?\s*\(([^)]+)\)", (1, 2, 3, 4)), (r"^(.+?)\s*-\s*([A-Z0-9º]+)\*?\s*\(([^)]+)\)", (0, 1, 2, 3)),
+    (r"^(\d{6})[- ]+(.+?)\s*\(([^)]+)\)", (1, 2, 0, 3)), (r"^(.+?)\s*\(([^)]+)\)", (0, 1, 0, 2)),
+)
+_OLD_PICK = lambda k, wrap: "CASE form " + " ".join(f"WHEN {i} THEN {wrap.format(f"regexp_extract(t, '{p}', {g[k]})") if g[k] else 'NULL'}" for i, (p, g) in enumerate(_OLD_FORMS)) + " END"
+_OLD_FORM = "CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') AND trim(regexp_extract(t, '{p}', {g[1]})) <> '' THEN {i}" for i, (p, g) in enumerate(_OLD_FORMS)) + " END"
+
+
+@query("legacy_subject", f"""WITH sched AS ({S.SCHED_SQL}), cut AS (SELECT ord, {_OLD} AS t FROM sched), formed AS (SELECT *, {_OLD_FORM} AS form FROM cut)
+SELECT ord, {_OLD_PICK(0, '{}')} AS code, {_OLD_PICK(1, 'upper(trim({}))')} AS name, {_OLD_PICK(2, '{}')} AS subgroup, {_OLD_PICK(3, 'trim({})')} AS room, CASE WHEN form IS NOT NULL THEN t END AS original_text FROM formed""")
 def legacy_subject(spark, sf_dir):
     return sched(spark, sf_dir).select("ord", legacy.parse_subject(F.col("cell_text")).alias("s")).select("ord", "s.*")
 
 
+@query("legacy_summary", f"WITH sched AS ({S.SCHED_SQL}) SELECT count(DISTINCT file) AS total_pdfs, count(*) AS total_records FROM sched")
+def legacy_summary(spark, sf_dir):
+    rows = sched(spark, sf_dir)
+    return legacy.summary(rows.select("file").distinct(), rows)
+
+
+@query("crawl_found", f"{LINKS_SQL} SELECT DISTINCT link AS url, 0 AS on_depth FROM l JOIN pages USING (page_id) WHERE {NORM('url')} = (SELECT {NORM('url')} FROM pages ORDER BY page_id LIMIT 1) AND ends_with(lower(regexp_extract(link, '^[^?#]*')), '.pdf') AND lower(regexp_extract(link, '^https?://([^/?#]*)', 1)) = (SELECT lower(regexp_extract(url, '(?i)^https?://([^/?#]*)', 1)) FROM pages ORDER BY page_id LIMIT 1)")
+def crawl_found(spark, sf_dir):
+    """PDFs of the first page, as the crawl has it."""
+    pages = table(spark, sf_dir, "pages")
+    return crawl.crawl(pages, pages.orderBy("page_id").first()["url"])[1]
+
+
+@query("crawl_visited", rf"""{LINKS_SQL}, home AS (SELECT {NORM('url')} AS u, lower(regexp_extract(url, '(?i)^https?://([^/?#]*)', 1)) AS host, page_id FROM pages ORDER BY page_id LIMIT 1)
+SELECT u AS url, 0 AS depth FROM home UNION ALL SELECT link, 1 FROM (SELECT DISTINCT link FROM l JOIN home USING (page_id) WHERE regexp_extract(link, '^https?://([^/?#]*)', 1) = host AND link <> u AND NOT regexp_matches(link, '(?i)\.(jpg|jpeg|png|gif|svg|webp|css|js|zip|rar|7z|doc|docx|xls|xlsx|ppt|pptx)$') ORDER BY link LIMIT 4)""")
+def crawl_visited(spark, sf_dir):
+    """Five pages at most, one level deep."""
+    pages = table(spark, sf_dir, "pages")
+    return crawl.crawl(pages, pages.orderBy("page_id").first()["url"], max_depth=1, max_pages=5, follow=True)[0]
+
+
+@query("start_problems", "SELECT page_id, CASE page_id % 3 WHEN 1 THEN 'empty' WHEN 2 THEN 'scheme' ELSE CASE WHEN starts_with(url, 'http://') OR starts_with(url, 'https://') THEN NULL ELSE 'scheme' END END AS problem FROM pages")
+def start_problems(spark, sf_dir):
+    given = F.when(F.col("page_id") % 3 == 1, F.lit("  ")).when(F.col("page_id") % 3 == 2, F.concat(F.lit("ftp:"), "url")).otherwise(F.concat(F.lit(" "), "url"))
+    return table(spark, sf_dir, "pages").select("page_id", crawl.start_problem(given).alias("problem"))
+
+
 @query("legacy_noise", f"WITH sched AS ({S.SCHED_SQL}) SELECT ord, upper(cell_text) LIKE '%AULAS%' OR upper(cell_text) LIKE '%CUATRIMESTRE%' OR upper(cell_text) LIKE '%LABORATORIOS%' OR upper(cell_text) LIKE '%CURSO 2025%' OR upper(cell_text) LIKE '%CADA ALUMNO%' OR upper(cell_text) LIKE '%APROBADO EN%' AS noise, upper(day) IN ('LUNES','MARTES','MIÉRCOLES','JUEVES','VIERNES') AS day_noise FROM sched")
 def legacy_noise(spark, sf_dir):
     return sched(spark, sf_dir).select("ord", legacy.is_noise(F.col("cell_text")).alias("noise"), legacy.is_noise(F.col("day")).alias("day_noise"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import spread
+
 SCHED = """
 SELECT ord, file, page, degree_name, academic_year_raw, semester, year, grp, day, start_time, end_time, sub_raw, room_raw,
   CASE fmt WHEN 0 THEN concat(name, ' - ', sub_raw, ' (', room_raw, ')')
@@ -38,7 +40,7 @@ FROM (
 
 def sched(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spark.sql(SCHED, orders=read("orders"), customer=read("customer"))
+    return spark.sql(SCHED, orders=spread(read("orders")), customer=read("customer"))
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,28 +53,72 @@ def _fs(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
 
-def replace_table(table: DataFrame, path: str, backup: str | None = None, form: str = "parquet") -> None:
-    """Write beside the table, then put it in the table's place by renaming; what was there is kept as ``backup`` or
-    goes. Readers see the old table or the new one, never a half-written one."""
-    spark = table.sparkSession
-    staged, old = f"{path}.staged", backup or f"{path}.old"
-    table.write.mode("overwrite").format(form).save(staged)
+class Conflict(RuntimeError):
+    """Another writer was first."""
+
+
+def create_text(spark: SparkSession, path: str, text: str) -> None:
+    """A new file; Conflict if there is one already, so of two writers one gets through."""
     fs, Path = _fs(spark, path)
-    if fs.exists(Path(path)):
-        if not backup:
-            fs.delete(Path(old), True)
-        if not fs.rename(Path(path), Path(old)):
-            raise OSError(f"can't move {path} to {old}")
-    if not fs.rename(Path(staged), Path(path)):
-        raise OSError(f"can't move {staged} to {path}")
-    if not backup:
-        fs.delete(Path(old), True)
-
-
-def read_table(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame | None:
-    """None if there is no such table."""
+    try:
+        out = fs.create(Path(path), False)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in str(e.java_exception.getClass().getName()) or fs.exists(Path(path)):
+            raise Conflict(path) from None
+        raise
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The finished versions of a table, in order."""
     fs, Path = _fs(spark, path)
-    return spark.read.format(form).load(path) if fs.exists(Path(path)) else None
+    if not fs.exists(Path(path)):
+        return []
+    names = [x.getPath().getName() for x in fs.listStatus(Path(path))]
+    return sorted(int(n[1:-5]) for n in names if re.fullmatch(r"v\d{10}\.done", n))
+
+
+def replace_table(table: DataFrame, path: str, keep: int = 1, form: str = "parquet") -> int:
+    """Write a new version of the table at ``path`` and return its number.
+
+    A version's files are complete before the mark that makes it the current one is created, and marks are never
+    overwritten: readers see the old version or the new one, a second writer of the same version gets Conflict, and the
+    ``keep`` versions before stay as backups."""
+    spark = table.sparkSession
+    done = versions(spark, path)
+    new = (done[-1] if done else 0) + 1
+    folder = f"{path}/v{new:010d}-{uuid.uuid4().hex}"
+    table.write.format(form).save(folder)
+    create_text(spark, f"{path}/v{new:010d}.done", folder.rpartition("/")[2])
+    fs, Path = _fs(spark, path)
+    for old in done[: len(done) - keep]:
+        fs.delete(Path(_folder(spark, path, old)), True)
+        fs.delete(Path(f"{path}/v{old:010d}.done"), False)
+    return new
+
+
+def _folder(spark: SparkSession, path: str, version: int) -> str:
+    return f"{path}/" + spark.read.text(f"{path}/v{version:010d}.done").first()[0]
+
+
+def read_table(spark: SparkSession, path: str, form: str = "parquet", version: int | None = None) -> DataFrame | None:
+    """The current version, or the one asked for; None if there is no such table."""
+    done = versions(spark, path)
+    if not done or version is not None and version not in done:
+        return None
+    return spark.read.format(form).load(_folder(spark, path, done[-1] if version is None else version))
+
+
+def write_result(path: str, records: DataFrame, statistics: DataFrame, files: DataFrame, failed: DataFrame, processed_at: str) -> None:
+    """The result of a run as a folder of JSON tables: statistics (one row, with version and time), files, records,
+    rejected_records and failed_files. One document would have to pass one task as a whole."""
+    head = statistics.select(F.lit("2.0").alias("schema_version"), F.lit(processed_at).alias("processed_at"), F.struct("*").alias("statistics"))
+    parts = {"statistics": head, "files": files.orderBy("file"), "records": records.where("accepted"), "rejected_records": records.where("not accepted"), "failed_files": failed.orderBy("file")}
+    for name, part in parts.items():
+        part.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/{name}")
 
 
 def first_message(spark: SparkSession, demo: DataFrame) -> DataFrame:

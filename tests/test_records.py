@@ -58,11 +58,11 @@ def parse(spark, *texts):
 def test_parse(spark):
     found = parse(
         spark, "Seguridad En Sistemas Distribuidos - 4A1 (SA1)", "PROGRAMACIÓN - 1A → 1A(GII) (NA7)", "GD. 202012-SISTEMAS ELÉCTRICOS DE POTENCIA (EA6)", "- 2A (*) 2A2 (*)",
-        "Computación Ubicua (E.F.) - 3A", "3A1 (EL5) Sistemas Operativos", "sin formato", "Uno - 1A (NA1) Dos - 1B (NA2)", None,
+        "Computación Ubicua (E.F.) - 3A", "3A1 (EL5) Sistemas Operativos", "sin formato", "Uno - 1A (NA1) Dos - 1B (NA2)", None, "sin formato 1A -> 1B (GII)",
     )
     assert found == [
         (0, "Seguridad En Sistemas Distribuidos", "4A1", "SA1", []), (1, "PROGRAMACIÓN", None, "NA7", ["1A → 1A(GII)"]), (2, "SISTEMAS ELÉCTRICOS DE POTENCIA", None, "EA6", []), (3, "2A (*) 2A2", None, "*", []),
-        (4, "Computación Ubicua", "3A", "E.F.", []), (5, "Sistemas Operativos", "3A1", "EL5", []), (6, None, None, None, []), (7, "Uno", "1A", "NA1", []), (7, "Dos", "1B", "NA2", []), (8, None, None, None, []),
+        (4, "Computación Ubicua", "3A", "E.F.", []), (5, "Sistemas Operativos", "3A1", "EL5", []), (6, None, None, None, []), (7, "Uno", "1A", "NA1", []), (7, "Dos", "1B", "NA2", []), (8, None, None, None, []), (9, None, None, None, []),
     ]
 
 
@@ -87,7 +87,7 @@ def test_metadata(spark):
 
 
 def test_legacy(spark):
-    assert tuple(value(spark, legacy.parse_subject, "202012 - Redes - 1A1* (NA7)")) == ("202012", "REDES", "1A1", "NA7")
-    assert tuple(value(spark, legacy.parse_subject, "Redes (NA7)")) == (None, "REDES", None, "NA7")
+    assert tuple(value(spark, legacy.parse_subject, "202012 - Redes - 1A1* (NA7)")) == ("202012", "REDES", "1A1", "NA7", "202012 - Redes - 1A1* (NA7)")
+    assert tuple(value(spark, legacy.parse_subject, "Redes (NA7)")) == (None, "REDES", None, "NA7", "Redes (NA7)")
     assert value(spark, legacy.parse_subject, "nada") is None
     assert [value(spark, legacy.is_noise, x) for x in ("Aulas libres", "martes", "9:00 / 9:55", "Redes")] == [True, True, True, False]

@@ -7,7 +7,6 @@ import pytest
 import __spark_entry__ as entry
 from cuadrante.functions import urls as U
 from cuadrante.operators import review
-from cuadrante.sources import io
 from pyspark.sql import functions as F
 
 COLUMNS = "ord long, pos int, accepted boolean, file string, page int, degree_code string, degree_name string, academic_year string, semester int, year int, grp string, day string, start_time string, end_time string, name string, subgroup string, classroom string, raw_text string, issues array<string>"
@@ -65,19 +64,11 @@ def test_urls(spark):
     html = "<a href='/r'>a</a><a class=\"k\" href=\"s.pdf\">b</a><a href=\"#t\">c</a><a href='../u'>d</a><a href='//b.com/v'>e</a><A HREF='?w=1'>f</A><a href=''>g</a><a href='javascript:x'>h</a>"
     pages = spark.createDataFrame([(1, "https://a.com/x/y/z", html)], "page_id long, url string, html string")
     assert sorted(r["link"] for r in U.extract_links(pages).collect()) == ["https://a.com/r", "https://a.com/x/u", "https://a.com/x/y/s.pdf", "https://a.com/x/y/z", "https://a.com/x/y/z?w=1", "https://b.com/v"]
-    names = [("https://a.com/b%20c+d.pdf?x", "b_c_d.pdf"), ("https://a.com/", "a.com.pdf"), ("https://a.com/q/File", "File.pdf")]
+    names = [("https://a.com/b%20c+d.pdf?x", "b_c_d.pdf"), ("https://a.com/", "a.com.pdf"), ("https://a.com/q/File", "a.com_q_File.pdf")]
     row = spark.range(1).select(*[U.safe_filename(F.lit(u)).alias(f"c{i}") for i, (u, _) in enumerate(names)]).first()
     assert list(row) == [n[1] for n in names]
 
 
-def test_tables(spark, items, tmp_path):
-    path = f"file://{tmp_path}/review"
-    assert io.read_table(spark, path) is None
-    io.replace_table(items.select("id", "ord"), path)
-    io.replace_table(items.select("id", "ord").where("ord > 2"), path, backup=f"{path}.bak")
-    assert io.read_table(spark, path).count() == 3 and io.read_table(spark, f"{path}.bak").count() == 5
-
-
 def test_entry(spark):
     names = entry.queries()
     assert len(names) > 60 and set(entry.oracle_sql()) <= set(names)
