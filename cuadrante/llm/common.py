@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import scratch, settle, spread  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -43,29 +42,6 @@ def utf8(text: Column) -> Column:
     return F.encode(F.coalesce(text, F.lit("")), "UTF-8")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh path below the folder that all executors share.
-
-    The cluster names that folder in spark.checkpoint.dir. Where it is unset, a local folder is taken if everything
-    runs in one process, as in tests; on a cluster that is an error, as executors don't see each other's disks.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        master = spark.conf.get("spark.master", "")
-        if not re.match(r"local(\[|$)", master):
-            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
-        root = "file://" + tempfile.mkdtemp(prefix="cuadrante-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/cuadrante-{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors, computes once."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def parts(docs: DataFrame, text_col: str, part_bytes: int) -> int:
     """How many partitions to deal texts over: what the session has set, or more where a part would hold over
     ``part_bytes`` of text."""
@@ -83,10 +59,11 @@ def free_name(df: DataFrame, stem: str) -> str:
 
 
 def slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
-    """A batch in slices of about ``size`` bytes of a text column, one row at least."""
+    """A batch in parts of about ``size`` bytes of a text column, one row at least. Parts are copies: some of Arrow's
+    string functions read a slice's neighbours."""
     upto = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).cumsum()
     first = 0
     while first < batch.num_rows:
         last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + size, side="right")))
-        yield batch.slice(first, last - first)
+        yield batch.take(pa.array(np.arange(first, last)))
         first = last

@@ -233,7 +233,7 @@ def grid_pairs(classes: DataFrame) -> DataFrame:
     return same.unionByName(near.select("a", "b", "na", "nb"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = similar.SHINGLE, small: int = similar.SMALL) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = similar.SHINGLE) -> DataFrame:
     """The rows of ``docs`` that stay: one of each component of texts whose sets of shingles are similar.
 
     Of each component the row with the smallest id stays, null ids last, then the smallest hash of the text; of repeated
@@ -242,10 +242,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = settle(profiles(docs, id_col, text_col, shingle, similar.hot_shingles(docs, text_col, shingle)))
     classes = settle(rows.groupBy("key").agg(F.min("text_key").alias("text_key"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("first").alias("first")))
     source = similar.Texts(docs, text_col, shingle, classes.select("key", "text_key"))
-    pairs, large = similar.meet_at_first(classes, small)
-    links = settle(similar.verified(settle(grid_pairs(classes.select("key", "n", "fp")).unionByName(similar.likely(similar.stars(large)))), source))
-    known = settle(components(links))
-    rest = similar.between(similar.likely(pairs.unionByName(similar.apart(large, known))), known)
+    members = similar.meet_at_first(classes)
+    links = settle(similar.verified(settle(grid_pairs(classes.select("key", "n", "fp")).unionByName(similar.likely(similar.stars(members)))), source))
+    rest = similar.likely(similar.apart(members, settle(components(links))))
     more = settle(similar.verified(settle(rest), source))
     roots = components(links.unionByName(more))
     # One row of each component: its id, the hash of its text, and how many rows are equal to it.

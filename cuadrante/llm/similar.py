@@ -5,9 +5,9 @@ order the shingles are given. Here that order is: cold shingles by hash, then ho
 Hot are the HOT_ROWS commonest of those found HOT times or more in one of SAMPLE documents; which ones are taken
 changes the cost, never the result. Sets that meet at a shingle are candidates:
 
-* a shingle of at most SMALL sets gives all its pairs;
-* a shingle of more sets first links each to the smallest of them (``stars``); pairs that no link has connected by then
-  are given one by one (``apart``), so a large group of near copies doesn't emit all its pairs.
+* first each set is paired with the smallest set of each of its shingles (``stars``), so a group of near copies costs one
+  pair a member and shingle, not one for every two;
+* what is still apart when those are verified is paired one by one (``apart``).
 
 A pair that shares c of its first shingles shares at most c plus the rest of the longer one, which removes most pairs;
 the others are verified on their whole sets. So every pair that is similar ends up connected, and by no other.
@@ -34,7 +34,6 @@ from .common import BROADCAST_ROWS, settle, slices
 SHINGLE = 5
 #: Similarity as a fraction: 4 of 5.
 PART, WHOLE = 4, 5
-SMALL = 64
 SAMPLE = 16
 HOT = 20
 HOT_ROWS = 100_000
@@ -143,79 +142,55 @@ def _runs(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.append(starts[1:], len(cell))
 
 
-PAIRS = "cell bigint, a bigint, b bigint, na bigint, nb bigint"
-
-
-def _pairs(cell, a, b, na, nb) -> pa.RecordBatch:
-    cell = pa.nulls(len(a), pa.int64()) if cell is None else pa.array(cell, pa.int64())
-    b, nb = (pa.nulls(len(a), pa.int64()) if x is None else pa.array(x, pa.int64()) for x in (b, nb))
-    return pa.record_batch([cell, pa.array(a, pa.int64()), b, pa.array(na, pa.int64()), nb], names=["cell", "a", "b", "na", "nb"])
-
-
 def _could(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Sizes of which the smaller could be held whole by the larger at this similarity."""
     return enough(np.minimum(na, nb), na + nb)
 
 
-def _meet(small: int):
-    """Rows (h, key, n) sorted by h -> all pairs of cells of up to ``small`` sets; the rows of larger cells."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell, key, n in _whole_cells(batches):
-            starts, ends = _runs(cell)
-            sizes = ends - starts
-            for k in np.unique(sizes[(sizes > 1) & (sizes <= small)]):
-                i, j = np.triu_indices(k, 1)
-                every = starts[sizes == k]
-                step = max(1, 200_000 // len(i))
-                for s in range(0, len(every), step):
-                    at = every[s : s + step, None]
-                    x, y = (at + i).ravel(), (at + j).ravel()
-                    x, y = np.where(key[x] < key[y], x, y), np.where(key[x] < key[y], y, x)
-                    ok = _could(n[x], n[y])
-                    yield _pairs(None, key[x[ok]], key[y[ok]], n[x[ok]], n[y[ok]])
-            for s, e in zip(starts[sizes > small], ends[sizes > small]):
-                yield _pairs(cell[s:e], key[s:e], None, n[s:e], None)
-
-    return run
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (h, key, n) sorted by h -> (cell, key, n, a, na): the sets of cells of two or more, with the smallest."""
+    for cell, key, n in _whole_cells(batches):
+        starts, ends = _runs(cell)
+        sizes = ends - starts
+        low = np.minimum.reduceat(key, starts)
+        many = np.repeat(sizes > 1, sizes)
+        at_low = np.flatnonzero(key == np.repeat(low, sizes))
+        low_n = n[at_low[np.searchsorted(at_low, starts)]]
+        cols = (cell, key, n, np.repeat(low, sizes), np.repeat(low_n, sizes))
+        yield pa.record_batch([pa.array(c[many], pa.int64()) for c in cols], names=["cell", "key", "n", "a", "na"])
 
 
 def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (cell, key, n, root) sorted by cell -> the pairs of each cell with different roots."""
     for cell, key, n, root in _whole_cells(batches):
-        for s, e in zip(*_runs(cell)):
+        starts, ends = _runs(cell)
+        mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+        for s, e in zip(starts[mixed].tolist(), ends[mixed].tolist()):
             k, m, r = key[s:e], n[s:e], root[s:e]
-            if (r == r[0]).all():
-                continue
             step = max(1, 1_000_000 // len(k))
             for i in range(0, len(k), step):
                 x, y = np.nonzero((k[i : i + step, None] < k[None]) & (r[i : i + step, None] != r[None]) & _could(m[i : i + step, None], m[None]))
                 if len(x):
-                    yield _pairs(None, k[x + i], k[y], m[x + i], m[y])
+                    yield pa.record_batch([pa.array(c, pa.int64()) for c in (k[x + i], k[y], m[x + i], m[y])], names=["a", "b", "na", "nb"])
 
 
-def meet_at_first(classes: DataFrame, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
-    """(pairs: a, b, na, nb, one row for each first shingle that two sets share), (large: cell, key, n, the sets of
-    shingles with more than ``small`` of them)."""
+def meet_at_first(classes: DataFrame) -> DataFrame:
+    """(cell, key, n, a, na): the sets that share a first shingle, the cell, with the smallest set of the cell."""
     placed = classes.select(F.explode("first").alias("h"), "key", "n")
     n = max(12, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    met = settle(placed.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_meet(small), PAIRS))
-    return met.where("cell is null").drop("cell"), met.where("cell is not null").select("cell", F.col("a").alias("key"), F.col("na").alias("n"))
+    return settle(placed.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_meet, "cell bigint, key bigint, n bigint, a bigint, na bigint"))
 
 
-def stars(large: DataFrame) -> DataFrame:
-    """Of each large cell the pairs with its smallest set."""
-    middle = large.groupBy("cell").agg(F.min(F.struct("key", "n")).alias("m"))
-    return large.join(middle, "cell").where("key <> m.key").select(F.col("m.key").alias("a"), F.col("key").alias("b"), F.col("m.n").alias("na"), F.col("n").alias("nb"))
+def stars(members: DataFrame) -> DataFrame:
+    """(a, b, na, nb): of each cell the pairs with its smallest set."""
+    return members.where("key <> a").select("a", F.col("key").alias("b"), "na", F.col("n").alias("nb"))
 
 
-def apart(large: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs of large cells that ``roots`` (node, root) doesn't connect."""
-    at = large.join(roots, large["key"] == roots["node"], "left").select("cell", "key", "n", F.coalesce("root", "key").alias("root"))
-    # A cell whose sets are all connected has no such pairs, and is not dealt out.
-    open_cells = at.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell")
-    n = max(12, int(large.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return at.join(open_cells, "cell").repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(_apart, PAIRS).drop("cell")
+def apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b, na, nb): the pairs of each cell that ``roots`` (node, root) doesn't connect."""
+    at = members.join(roots, members["key"] == roots["node"], "left").select("cell", "key", "n", F.coalesce("root", "key").alias("root"))
+    n = max(12, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return at.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(_apart, "a bigint, b bigint, na bigint, nb bigint")
 
 
 def likely(pairs: DataFrame) -> DataFrame:
@@ -226,12 +201,6 @@ def likely(pairs: DataFrame) -> DataFrame:
     return n.where(enough(most, F.col("na") + F.col("nb"))).drop("c")
 
 
-def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs that ``roots`` doesn't connect."""
-    both = pairs.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
-    return both.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b", "na", "nb")
-
-
 # --- verification ---------------------------------------------------------------------------------------------------
 
 

@@ -54,13 +54,13 @@ def edited_copies():
     return [*((i, t) for i, t in enumerate(docs)), (None, docs[3]), (None, "only null " * 9), (None, "only null " * 9), (5, docs[5]), (5, docs[5])]
 
 
-@pytest.mark.parametrize("small,hot", [(64, 20), (2, 2), (1, 10**9)])
-def test_near_copies(spark, small, hot, monkeypatch):
+@pytest.mark.parametrize("hot", [20, 2, 10**9])
+def test_near_copies(spark, hot, monkeypatch):
     monkeypatch.setattr(similar, "HOT", hot)
     monkeypatch.setattr(similar, "SAMPLE", 2)
     rows = edited_copies()
     docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, key int").repartition(5)
-    got = simhash.one_of_each(docs, small=small)
+    got = simhash.one_of_each(docs)
     assert got.columns == docs.columns
     assert sorted((r["doc_id"] for r in got.collect()), key=lambda d: (d is None, d)) == brute_kept(rows)
     assert simhash.one_of_each(docs.limit(0)).count() == 0
@@ -90,3 +90,18 @@ def test_shingle_hashes_are_of_words():
     assert counts.tolist() == [2, 2, 1, 0, 0, 0, 6, 1]
     each = np.split(hashes, np.cumsum(counts)[:-1])
     assert (each[0] == each[1]).all() and each[0][0] == each[7][0] and each[6][0] == each[6][5] and len({int(h) for h in hashes}) == 2 + 1 + 5
+
+
+def test_parts_of_a_batch_keep_their_texts():
+    import pyarrow as pa
+
+    from cuadrante.llm.common import slices
+
+    texts = [None if i % 7 == 0 else "é" * (i % 11) + " x" * i + "ñ" for i in range(200)]
+    for kind in (pa.string(), pa.large_string()):
+        batch = pa.record_batch([pa.array(range(200)), pa.array(texts, kind)], names=["i", "t"])
+        parts = list(slices(batch, 1, 300))
+        assert len(parts) > 20 and [t for p in parts for t in p.column(1).to_pylist()] == texts and [i for p in parts for i in p.column(0).to_pylist()] == list(range(200))
+        whole = similar.shingled(batch.column(1), 5)
+        each = [similar.shingled(p.column(1), 5) for p in parts]
+        assert [h for e in each for h in e[0].tolist()] == whole[0].tolist() and [c for e in each for c in e[1].tolist()] == whole[1].tolist()
