@@ -4,32 +4,39 @@ The token shares of the sources are raised to an exponent and normalised. The ex
 time, until the mix meets a target entropy or until no source is repeated more often than a limit. A source's weight
 times the token budget is its quota: whole passes over the source, and a last pass that stops in one block.
 
-Blocks are cut by a hash of doc_id, about BLOCK_TOKENS each, so that no task ever orders a whole source: a source needs
-only the number of its last, partly used block and the hash in that block up to which documents are taken. These few
-numbers a source decide for every document by itself how often it is emitted.
+Blocks are cut by a hash of doc_id and text, about BLOCK_TOKENS each, so that no task ever orders a whole source: a
+source needs only the number of its last, partly used block and the hash in that block up to which documents are taken.
+These few numbers a source decide for every document by itself how often it is emitted. The running sums over blocks go
+by groups of GROUP blocks first. ``order`` is the hash by which a block's documents are permuted: sorted by it they
+stand in their places; later passes permute anew by ``pass_order``.
+
+Tokens are counted in pieces of words and characters (``sharding.token_estimate``), not by a vocabulary.
 
 Defined cases: a null source is a source of its own; a null or empty text has no tokens and counts as one; repeated
-rows are treated alike; an empty table gives an empty result. Working columns get names that the table doesn't have.
+rows are treated alike; an empty table gives an empty result. A target that no exponent meets is an error. Working columns get names that the table doesn't have.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, free_name, settle
 from .sharding import token_estimate
 
 BLOCK_TOKENS = 1_000_000
-WAYS, ROUNDS = 32, 5
+GROUP = 4_096
+WAYS, ROUNDS = 32, 6
+MAX_EXPONENT = 32.0
 MAX_EPOCHS = 2.0
 
 
 def find_exponent(sources: DataFrame, target_entropy: float | None = None, max_epochs: float | None = None) -> float:
-    """The exponent in [0, 1] for ``sources`` (share): the smallest whose entropy is at most the target, or with which
-    no source is passed over more than ``max_epochs`` times at a budget of one pass over everything. Both measures fall
-    as the exponent grows; each round keeps one of WAYS sub-intervals."""
-    low, high = 0.0, 1.0
+    """The exponent for ``sources`` (share): the smallest whose entropy is at most the target, up to MAX_EXPONENT, or,
+    up to 1, with which no source is passed over more than ``max_epochs`` times at a budget of one pass over everything.
+    Both measures fall as the exponent grows; each round keeps one of WAYS sub-intervals. ValueError if none is enough."""
+    low, high = 0.0, 1.0 if target_entropy is None else MAX_EXPONENT
+    met = False
     for _ in range(ROUNDS):
         step = (high - low) / WAYS
         grid = F.explode(F.array(*[F.lit(low + step * i) for i in range(WAYS + 1)]))
@@ -40,9 +47,15 @@ def find_exponent(sources: DataFrame, target_entropy: float | None = None, max_e
             (F.max(F.pow(F.col("share"), F.col("a") - 1)) / z).alias("epochs"),
         ).orderBy("a").collect()
         good = [i for i, x in enumerate(by) if (x["entropy"] <= target_entropy + 1e-12 if target_entropy is not None else x["epochs"] <= max_epochs + 1e-12)]
+        if not by:
+            return 1.0
+        if not good and not met:
+            what = f"an entropy of {target_entropy}" if target_entropy is not None else f"{max_epochs} passes"
+            raise ValueError(f"no exponent up to {high:g} gives {what} or less")
+        met = True
         first = good[0] if good else WAYS
         if first == 0:
-            return by[0]["a"] if by else 1.0
+            return by[0]["a"]
         low, high = low + step * (first - 1), low + step * first
     return high
 
@@ -53,9 +66,10 @@ def plan_mix(docs: DataFrame, budget_tokens: float | None = None, target_entropy
     spark = docs.sparkSession
     n = {k: free_name(docs, k) for k in ("n_tokens", "weight", "epochs", "block", "order", "copies", "key")}
     tokens = F.greatest(token_estimate(F.col(text_col)), F.lit(1).cast("long"))
-    order = F.xxhash64(F.col(id_col), F.lit(seed))
+    order = F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed))
+    place = F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed + 1))
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
-    slim = settle(docs.select(key.alias("key"), tokens.alias("tokens"), order.alias("order"), F.xxhash64(F.col(id_col), F.lit(seed + 1)).alias("h")))
+    slim = settle(docs.select(key.alias("key"), tokens.alias("tokens"), order.alias("order"), place.alias("h")))
     sizes = settle(slim.groupBy("key").agg(F.sum("tokens").alias("size")).where("size > 0"))
     count, total = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     if not count:
@@ -76,22 +90,36 @@ def plan_mix(docs: DataFrame, budget_tokens: float | None = None, target_entropy
     placed = slim.join(side.select("key", "blocks", "rest"), "key").withColumn("block", F.pmod("h", "blocks").cast("int"))
     # The last block of each source: where the running sum of block sizes passes what is left of the quota.
     per_block = placed.groupBy("key", "block", "rest").agg(F.sum("tokens").alias("n"))
-    upto = Window.partitionBy("key").orderBy("block")
-    last = per_block.withColumn("upto", F.sum("n").over(upto)).where("upto > rest").groupBy("key").agg(F.min_by(F.struct("block", (F.col("rest") - F.col("upto") + F.col("n")).alias("room")), "block").alias("x")).select("key", F.col("x.block").alias("last"), F.col("x.room").alias("room"))
-    last = settle(last)
-    in_last = placed.join(F.broadcast(last) if few else last, "key").where("block = last")
-    taken = Window.partitionBy("key").orderBy("order").rangeBetween(Window.unboundedPreceding, 0)
+
+    def where_it_ends(rows: DataFrame, at: str) -> DataFrame:
+        """(key, last, room): of each key the first row, by ``at``, at which the running sum of n passes ``rest``, and
+        what is left of ``rest`` there."""
+        summed = rows.withColumn("upto", F.sum("n").over(Window.partitionBy("key").orderBy(at))).where("upto > rest")
+        found = summed.groupBy("key").agg(F.min_by(F.struct(at, (F.col("rest") - F.col("upto") + F.col("n")).alias("room")), at).alias("x"))
+        return found.select("key", F.col(f"x.{at}").alias("last"), F.col("x.room").alias("room"))
+
+    per_block = settle(per_block.withColumn("group", F.floor(F.col("block") / GROUP)))
+    in_group = where_it_ends(per_block.groupBy("key", "group", "rest").agg(F.sum("n").alias("n")), "group")
+    within = per_block.drop("rest").join(in_group, "key").where("`group` = last").select("key", "block", "n", F.col("room").alias("rest"))
+    last = settle(where_it_ends(within, "block"))
+    in_last = placed.join(F.broadcast(last) if few else last, "key").where("block = last").groupBy("key", "order", "room").agg(F.sum("tokens").alias("tokens"))
+    taken = Window.partitionBy("key").orderBy("order")
     cuts = in_last.withColumn("sum", F.sum("tokens").over(taken)).where("sum <= room").groupBy("key").agg(F.max("order").alias("cut"))
     rule = settle(quotas.join(last, "key", "left").join(cuts, "key", "left").select(F.col("key").alias(n["key"]), F.col("weight").alias(n["weight"]), (F.col("quota") / F.col("size")).alias(n["epochs"]), "blocks", "passes", "last", "cut"))
     rule = rule.select(n["key"], n["weight"], n["epochs"], F.struct("blocks", "passes", "last", "cut").alias(n["copies"]))
     out = docs.withColumns({n["key"]: key, n["n_tokens"]: tokens, n["order"]: order}).join(F.broadcast(rule) if few else rule, n["key"])
     r = F.col(n["copies"])
-    block = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed + 1)), r["blocks"]).cast("int")
+    block = F.pmod(place, r["blocks"]).cast("int")
     in_pass = F.coalesce((block < r["last"]) | ((block == r["last"]) & (F.col(n["order"]) <= r["cut"])), F.lit(False))
     out = out.withColumn(n["block"], block).withColumn(n["copies"], (r["passes"] + in_pass.cast("int")).cast("int"))
     return out.drop(n["key"]), n
 
 
+def pass_order(order: Column, number: int) -> Column:
+    """The order of a block's documents in a later pass; pass 0 has ``order`` itself."""
+    return order if number == 0 else F.xxhash64(order, F.lit(number))
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus with the columns of ``docs``: each document as often as its copies."""
     planned, n = plan_mix(docs, **options)

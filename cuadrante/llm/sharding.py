@@ -6,8 +6,8 @@ Groups that hold more than 1/GRAIN of a shard in some dimension are items of the
 that the driver packs has a fixed bound, whatever the number of documents. Items go, largest first, to the shard where
 the dot product of their vector with the residual capacity is highest among the shards that they still fit in.
 
-A group larger than a whole shard can't stay together under equal sizes; it is split by a hash of doc_id into pieces
-of at most half a shard. Places in a shard come from counts of (shard, chunk) and a row number within the chunk, so no task
+A group larger than a whole shard can't stay together under equal sizes; it is split by the rows' numbers into pieces
+of about half a shard, so that equal rows spread, too. Places in a shard come from counts of (shard, chunk) and a row number within the chunk, so no task
 numbers a whole shard.
 
 Law: ``bytes`` - the shards' sizes are near equal. Defined cases: a null text has 0 bytes and belongs with the empty
@@ -23,13 +23,15 @@ from pyspark.sql import functions as F
 from .common import settle, utf8
 
 GRAIN = 400
+SINGLE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}"
+PIECES = rf"[\p{{L}}\p{{M}}&&[^{SINGLE}]]+|\p{{N}}+|[^\s\p{{N}}]"
 SLOT_CHUNKS = 256
 
 
 def token_estimate(text: Column) -> Column:
-    """Pieces between spaces and line feeds; a cheap stand-in for tokens that grows with them."""
-    t = F.coalesce(text, F.lit(""))
-    return (F.length(t) - F.length(F.replace(F.replace(t, F.lit(" "), F.lit("")), F.lit("\n"), F.lit(""))) + F.least(F.length(t), F.lit(1))).cast("long")
+    """Word and character pieces, a stand-in for tokens: runs of letters, runs of digits, every other character that
+    isn't white space, and every letter of scripts that are written without spaces."""
+    return F.coalesce(F.regexp_count(text, F.lit(PIECES)), F.lit(0)).cast("long")
 
 
 def pack(vectors: np.ndarray, n_shards: int) -> np.ndarray:
@@ -60,6 +62,7 @@ def shard(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col:
             F.crc32(data).alias("crc"),
             token_estimate(F.col(text_col)).alias("tokens"),
             F.substring(F.unhex(F.sha2(data, 256)), 1, 16).alias("text_key"),
+            F.xxhash64(F.monotonically_increasing_id()).alias("tie"),  # stored, so it stays what it is
         )
     )
     sums = [F.sum("size").cast("double").alias("b"), F.sum("tokens").cast("double").alias("t"), F.count(F.lit(1)).cast("double").alias("r")]
@@ -72,17 +75,17 @@ def shard(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col:
     named = base.join(F.broadcast(heavy), "text_key", "left").withColumn(
         "item",
         F.when(F.col("pieces").isNull(), F.pmod(F.xxhash64("text_key"), F.lit(grain * n_shards)).cast("string")).otherwise(
-            F.concat_ws("-", F.hex("text_key"), F.pmod(F.xxhash64("id", "text_key"), F.col("pieces")).cast("string"))
+            F.concat_ws("-", F.hex("text_key"), F.pmod("tie", F.col("pieces")).cast("string"))
         ),
     )
     items = sorted(map(tuple, named.groupBy("item").agg(*sums).collect()))
     placed = pack(np.array([[x[1] / share["b"], x[2] / share["t"], x[3] / share["r"]] for x in items]).reshape(-1, 3), n_shards)
     where = spark.createDataFrame([(x[0], int(s)) for x, s in zip(items, placed)], "item string, shard int")
-    laid = named.join(F.broadcast(where), "item").withColumn("chunk", F.pmod(F.xxhash64("id", "crc"), F.lit(slot_chunks)).cast("int"))
+    laid = named.join(F.broadcast(where), "item").withColumn("chunk", F.pmod("tie", F.lit(slot_chunks)).cast("int"))
     counts = laid.groupBy("shard", "chunk").agg(F.count(F.lit(1)).alias("n"))  # at most n_shards * slot_chunks rows
     before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("shard", "chunk").orderBy("id", "crc"))
+    place = F.row_number().over(Window.partitionBy("shard", "chunk").orderBy("id", "crc", "tie"))
     return laid.withColumn("place", place).join(F.broadcast(offsets), ["shard", "chunk"]).select(
         F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("place") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
