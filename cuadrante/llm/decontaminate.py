@@ -5,7 +5,8 @@ its shingles of SHINGLE words. As a window must lie in a document as a whole, on
 of the benchmark's, so each window is looked up by it alone. A document's shingles are filtered, inside the row, by the
 set of these rarest shingles; only places that pass leave the row, each with the words around it. After an equi-join
 on the shingle's hash, the length and positional bounds drop windows that would begin before the document or end after
-it, and the words themselves are compared: a hash collision never counts.
+it, and the words themselves are compared: a collision of the hash never counts. Equal items are one class, named by
+128 bits of a SHA-256 of its words; rows of one document are told apart by 64 bits of their texts.
 
 The set of rarest shingles is put into the plan, and the window table is broadcast, only if counts show that both are
 small; beyond that, every shingle leaves its row and the join shuffles on the hash.
@@ -38,7 +39,7 @@ def _hash(words: Column, start, width: int) -> Column:
 def window_table(items: DataFrame, id_col: str, text_col: str, window: int, shingle: int) -> tuple[DataFrame, DataFrame]:
     """(classes: class_id, ids), (windows: h, width, offset, length, body, class_id). A class is a set of equal items."""
     classes = settle(
-        items.select(F.col(id_col).cast("string").alias("id"), bench_words(F.col(text_col)).alias("w")).where(F.size("w") > 0).groupBy("w").agg(F.array_sort(F.collect_set("id")).alias("ids")).select(F.xxhash64("w").alias("class_id"), "w", "ids")
+        items.select(F.col(id_col).cast("string").alias("id"), bench_words(F.col(text_col)).alias("w")).where(F.size("w") > 0).groupBy("w").agg(F.array_sort(F.collect_set("id")).alias("ids")).select(F.substring(F.sha2(F.array_join("w", " ").cast("binary"), 256), 1, 32).alias("class_id"), "w", "ids")
     )
     cut = classes.select(
         "class_id", "w", F.least(F.size("w"), F.lit(window)).alias("length"), F.least(F.size("w"), F.lit(shingle)).alias("width")
@@ -60,6 +61,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     tokens = windows.select("h").distinct()
     few = windows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     known = [r[0] for r in tokens.collect()] if few else None  # at most BROADCAST_ROWS
+    ids = classes.agg(F.sum(F.size("ids"))).first()[0] or 0
+    few_ids = ids <= BROADCAST_ROWS  # the arrays of ids may be long though windows are few
     reach = window - 1
 
     def place(a: Column, p: Column, h: Column) -> Column:
@@ -101,7 +104,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     )
     by_doc = by_doc.select("id", "key", "n_words", "copies", run["n"].alias("n_hit"), "classes")
     named = by_doc.where(F.size("classes") > 0).withColumn("class_id", F.explode("classes"))
-    named = named.join(F.broadcast(classes) if few else classes, "class_id").groupBy("id", "key", "n_words", "copies", "n_hit").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
+    named = named.join(F.broadcast(classes) if few_ids else classes, "class_id").groupBy("id", "key", "n_words", "copies", "n_hit").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
     clean = by_doc.where(F.size("classes") == 0).drop("classes").withColumn("ids", F.array().cast("array<string>"))
     every = named.unionByName(clean).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return every.select(

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, let, words
+from .common import let, words
 
 #: Phrases of boilerplate lines.
 BOILERPLATE = ("licensed under", "all rights reserved", "spdx-license", "copyright (c)", "cookie policy", "accept cookies", "privacy policy", "terms of service", "terms of use", "sign in", "click here")
@@ -123,9 +123,10 @@ def clean(docs: DataFrame, text_col: str = "text", max_lost: float = MAX_LOST) -
     """The kept documents with the columns of ``docs``; the failed lines are gone from their text.
 
     The verdict passes through a generator: a plain filter would be pushed below the projections, and every figure of
-    the verdict would be computed once more for it.
+    the verdict would be computed once more for it. The row stays in one struct meanwhile, so its columns may have any
+    names.
     """
-    passed = free_name(docs, "passed")
-    judged = judge(docs, text_col, max_lost)
-    kept = judged.select(*[c for c in docs.columns if c != text_col], F.explode_outer(F.when(F.col("kept"), F.array(F.col("clean_text")))).alias(passed))
-    return kept.where(F.col(passed).isNotNull()).select(*[F.col(passed).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    row, text = "__row", "__text"
+    judged = judge(docs.select(F.struct("*").alias(row), F.col(text_col).alias(text)), text, max_lost)
+    kept = judged.select(row, F.explode_outer(F.when(F.col("kept"), F.array(F.col("clean_text")))).alias(text)).where(F.col(text).isNotNull())
+    return kept.select(*[F.col(text).alias(c) if c == text_col else F.col(row)[c].alias(c) for c in docs.columns])

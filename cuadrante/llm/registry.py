@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, mixing, quality_rules, sharding, simhash, suffix_dedup, token_counts, token_files, toxicity, url_filters
+from .common import spread
 
 URL_RULES = (
     ("com", "/en/", "block"),
@@ -16,7 +17,7 @@ URL_RULES = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

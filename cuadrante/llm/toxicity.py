@@ -13,8 +13,10 @@ start from the grammar's own values and are fitted on the pattern counts of the
 MAX_TRAIN_ROWS labelled rows, chosen by a hash of the id; scores never use id, language, source or label.
 
 Defined cases: null and empty texts have no clause and get the score of a text without patterns; repeated rows get
-equal scores; labels of unknown documents and null labels are ignored, contradictory ones count as toxic; without any
-labelled row the grammar's own weights are used.
+equal scores; labels of unknown documents and null labels are ignored, contradictory ones, also of equal texts, count as
+toxic; without any labelled row the grammar's own weights are used; an empty table gives an empty result. Long texts are
+read as a whole, clause by clause; other columns are not read. At most MAX_TERMS words and MAX_STEMS stems are learned,
+those of the most toxic texts first.
 """
 
 from __future__ import annotations
@@ -194,7 +196,7 @@ class Model:
 
 def learn_terms(train: DataFrame) -> tuple[list[str], list[str]]:
     """Words and stems of ``train`` (text, toxic) that mark toxic texts; at most MAX_TERMS and MAX_STEMS."""
-    texts = settle(train.select(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0)).alias("w"), "toxic", F.xxhash64("text").alias("key")).dropDuplicates(["key"]))
+    texts = settle(train.select(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0)).alias("w"), "toxic", F.xxhash64("text").alias("key")).groupBy("key").agg(F.any_value("w").alias("w"), F.max("toxic").alias("toxic")))
     hot = F.col("toxic") == 1
     forms = texts.select("key", "toxic", F.explode("w").alias("word"))
     begins = forms.withColumn("stem", F.explode(F.transform(F.filter(F.array(*[F.lit(n) for n in STEM_LETTERS]), lambda n: n <= F.length("word")), lambda n: F.substring(F.col("word"), F.lit(1), n))))
@@ -215,7 +217,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A model from labelled rows whose crc32 of the id isn't 2 modulo 4."""
     chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where(F.col("toxic").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
     chosen = chosen.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(max_rows)
-    train = settle(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("text", "toxic"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    # Of equal texts one is learned from, toxic if any of them is; repeated ids can't bring in more than max_rows texts.
+    texts = rows.groupBy(F.xxhash64("text").alias("key")).agg(F.max("toxic").alias("toxic"), F.any_value("text").alias("text"))
+    train = settle(texts.orderBy("key").limit(max_rows).select("text", "toxic"))
     terms, stems = learn_terms(train)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +229,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             rows = [g.patterns(t).tolist() for t in b.column(0).to_pylist()]
             yield pa.record_batch([pa.array(rows, pa.list_(pa.int32())), b.column(1)], names=["counts", "toxic"])
 
-    rows = train.mapInArrow(count, "counts array<int>, toxic int").limit(max_rows).collect()
+    rows = train.mapInArrow(count, "counts array<int>, toxic int").collect()  # at most max_rows
     counts = np.array([r[0] for r in rows], dtype=float).reshape(-1, len(PATTERNS) + 1)
     return Model(terms, stems, fit(counts, np.array([float(r[1] == 1) for r in rows])).tolist())
 
