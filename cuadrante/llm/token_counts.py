@@ -7,7 +7,9 @@ text from there, and stops as soon as it stands on an old boundary behind the ed
 re-read pre-tokens are encoded, and only the sums above their leaves are renewed.
 
 Defined cases: a null text is empty and has no tokens; edits outside a text are clipped to it; repeated rows are counted
-one by one; very long pre-tokens are encoded whole.
+one by one; very long pre-tokens are encoded whole; an empty table gives an empty result; other columns are not read.
+Trees can be kept as a table (``build_trees``) and edited later (``apply_edits``): a later edit encodes no more than an
+edit at once.
 """
 
 from __future__ import annotations
@@ -157,6 +159,69 @@ class CountTree:
             self._build()
 
 
+TREES = "n_tokens bigint, lens array<int>, counts array<int>"
+
+
+def _stored(tree: CountTree) -> tuple[int, list[int], list[int]]:
+    """What a tree is made of: pre-tokens' lengths and token counts in order."""
+    return tree.n_tokens, [n for lens, _ in tree.leaves for n in lens], [c for _, counts in tree.leaves for c in counts]
+
+
+def _revived(text: str, lens: list[int], counts: list[int], counter: Counter) -> CountTree:
+    """A tree from what was stored of it; nothing is encoded."""
+    tree = CountTree.__new__(CountTree)
+    tree.text, tree.counter, tree.reencoded = text, counter, 0
+    tree.leaves = [(lens[i : i + LEAF], counts[i : i + LEAF]) for i in range(0, len(lens), LEAF)]
+    tree._build()
+    return tree
+
+
+def build_trees(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, n_tokens, lens, counts): the leaves of each document's tree, to be kept as a table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _counter(path, pattern)
+        for batch in batches:
+            rows = [_stored(CountTree(x.as_py() or "", counter)) for x in batch.column(1)]
+            yield _tree_batch(batch.column(0), batch.column(1), rows)
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, text string, {TREES}")
+    return out.withColumnRenamed("id", id_col).withColumnRenamed("text", text_col)
+
+
+def _tree_batch(ids: pa.Array, texts: pa.Array, rows: list[tuple], *more: pa.Array) -> pa.RecordBatch:
+    own = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.list_(pa.int32()))]
+    return pa.record_batch([ids, texts, *own, *more], names=["id", "text", "n_tokens", "lens", "counts", *["n_reencoded"][: len(more)]])
+
+
+def apply_edits(trees: DataFrame, edits: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Trees after ``edits`` (id, seq, start, end, new), with n_reencoded, the pre-tokens that had to be encoded.
+
+    Edits of a document apply in the order of seq, each in the places of the text as the ones before it left it. A
+    document without edits stays as it is; edits of unknown documents are ignored; a null ``new`` deletes; of documents
+    with one id all are edited."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _counter(path, pattern)
+        for batch in batches:
+            rows, texts, encoded = [], [], []
+            for text, lens, counts, own in zip(*[batch.column(i).to_pylist() for i in range(1, 5)]):
+                tree = _revived(text or "", lens, counts, counter)
+                for e in own or ():
+                    tree.edit(e["start"], e["end"], e["new"] or "")
+                rows.append(_stored(tree))
+                texts.append(tree.text if own else text)
+                encoded.append(tree.reencoded)
+            yield _tree_batch(batch.column(0), pa.array(texts, pa.string()), rows, pa.array(encoded, pa.int64()))
+
+    kind = trees.schema[id_col].dataType.simpleString()
+    by_doc = edits.groupBy(F.col(id_col).alias("id")).agg(F.array_sort(F.collect_list(F.struct("seq", "start", "end", "new"))).alias("edits"))
+    both = trees.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), "lens", "counts").join(by_doc, "id", "left").select("id", "text", "lens", "counts", "edits")
+    out = both.mapInArrow(run, f"id {kind}, text string, {TREES}, n_reencoded bigint")
+    return out.withColumnRenamed("id", id_col).withColumnRenamed("text", text_col)
+
+
 def standard_edits(text: str) -> list[tuple[int, int, str]]:
     """Three edits that depend on the text's length only: an insertion, a deletion and a replacement."""
     n = len(text)
@@ -166,13 +231,17 @@ def standard_edits(text: str) -> list[tuple[int, int, str]]:
 _COUNTERS: dict[tuple[str, str], Counter] = {}
 
 
+def _counter(path: str, pattern: str) -> Counter:
+    return _COUNTERS.get((path, pattern)) or _COUNTERS.setdefault((path, pattern), Counter(path, pattern))
+
+
 def count_tokens(docs: DataFrame, path: str, pattern: str, edits=standard_edits, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_tokens, n_pretokens, and after the edits n_edited_tokens, n_edited_chars and
     n_reencoded, the pre-tokens that the edits made necessary to encode. ``edits``: text -> (start, end, new) in order,
     each in the places of the text as the ones before it left it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _COUNTERS.get((path, pattern)) or _COUNTERS.setdefault((path, pattern), Counter(path, pattern))
+        counter = _counter(path, pattern)
         for batch in batches:
             rows = []
             for value in batch.column(1):
