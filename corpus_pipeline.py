@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuadrante.llm import decontaminate, mixing, quality_rules, sharding, simhash
-from cuadrante.llm.common import settle
+from cuadrante.llm.common import BROADCAST_ROWS, free_name, settle
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the others lose the lines that failed, and n_chars follows."""
-    kept = quality_rules.clean(docs)
+    kept = quality_rules.clean(docs)  # columns keep their names, whatever these are
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else kept
 
 
@@ -27,8 +27,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark window go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    hit = decontaminate.decontaminate(docs.select("doc_id", "text"), items).where("contaminated").select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("text") == F.col("hit_key")), "left_anti")
+    found = decontaminate.decontaminate(docs.select("doc_id", "text"), items).where("contaminated")
+    doc, key = free_name(docs, "doc"), free_name(docs, "key")
+    hit = settle(found.select(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).distinct())
+    few = hit.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(hit) if few else hit, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(key)), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
