@@ -66,7 +66,7 @@ def fold(c: Column, of: Column | None = None) -> Column:
     the kind of text is then told from ``c``. ASCII alone has no accents; letters that fold to several take a way of
     their own."""
     t = F.coalesce(c, F.lit("")) if of is None else of
-    several = F.create_map(*[F.lit(x) for pair in SEVERAL.items() for x in pair])
+    several = F.str_to_map(F.lit("\x02".join(f"{c}\x01{base}" for c, base in SEVERAL.items())), F.lit("\x02"), F.lit("\x01"))  # one literal
     letter = lambda x: F.when(x.between(*HANGUL), _jamo(x)).otherwise(F.coalesce(F.try_element_at(several, x), x))
     spread = F.array_join(F.transform(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)), letter), "")
     plain = lambda x: F.regexp_replace(F.translate(x, ACCENTED, PLAIN), r"\p{Mn}", "")

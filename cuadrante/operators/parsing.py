@@ -49,9 +49,24 @@ def without_redirects(t: Column) -> Column:
     return F.when(t.rlike(REDIRECT), T.clean(F.regexp_replace(t, REDIRECT, " "))).otherwise(t)
 
 
+# Marks around a match and between its groups, while a text is taken apart; texts that have them take the longer way.
+EDGE, GAP = "\x02", "\x01"
+
+
+def _marked(t: Column, pattern: str) -> Column:
+    """The text with its matches between EDGEs, each as three groups and the whole with GAPs: one pass over the text."""
+    return F.regexp_replace(t, pattern, f"{EDGE}$1{GAP}$2{GAP}$3{GAP}$0{EDGE}")
+
+
+def _unmarked(marked: Column, name: int, subgroup: int, room: int) -> Column:
+    parts = F.transform(F.filter(F.split(marked, EDGE), lambda x, i: i % 2 == 1), lambda x: F.split(x, GAP))
+    return F.transform(parts, lambda p: F.array(p[name - 1], p[subgroup - 1], p[room - 1], p[3]))
+
+
 def _all(t: Column, pattern: str, name: int, subgroup: int, room: int) -> Column:
     parts = F.arrays_zip(*[F.regexp_extract_all(t, F.lit(pattern), F.lit(i)).alias(f"p{i}") for i in range(4)])
-    return F.transform(parts, lambda p: F.array(p[f"p{name}"], p[f"p{subgroup}"], p[f"p{room}"], p["p0"]))
+    longer = F.transform(parts, lambda p: F.array(p[f"p{name}"], p[f"p{subgroup}"], p[f"p{room}"], p["p0"]))
+    return F.when(F.contains(t, F.lit(EDGE)) | F.contains(t, F.lit(GAP)), longer).otherwise(_unmarked(_marked(t, pattern), name, subgroup, room))
 
 
 def _one(t: Column, pattern: str, *groups: int | None) -> Column:
@@ -97,10 +112,13 @@ def subjects(cells: DataFrame, text_col: str = "cell_text") -> DataFrame:
     base = cells.withColumn("_plain", T.without_time_ranges(F.col(text_col)))
     base = base.withColumn("notes", redirect_notes(F.col("_plain"))).withColumn("_t", without_redirects(F.col("_plain")))
     t, none = F.col("_t"), F.lit(None).cast("string")
-    form = F.when(t.rlike(STANDARD), 0).when(t.rlike(ROOM_FIRST), 1).when(t.rlike(GROUP_FIRST), 2).when(t.rlike(SIMPLE), 3)
+    # Both repeated formats need a room and a hyphen; the second needs the hyphen behind the room.
+    room, hyphen = F.contains(t, F.lit("(")), F.contains(t, F.lit("-"))
+    base = base.withColumn("_found", F.when(room & hyphen, standard(t)).otherwise(_nothing()))
+    form = F.when(F.size("_found") > 0, 0).when(room & hyphen & t.rlike(r"\)\s*-") & t.rlike(ROOM_FIRST), 1).when(room & t.rlike(GROUP_FIRST), 2).when(room & t.rlike(SIMPLE), 3)
     base = base.withColumn("_form", form)
     known, f = F.col("_form").isNotNull(), F.col("_form")
-    found = F.when(f == 0, standard(t)).when(f == 1, room_first(t)).when(f == 2, group_first(t)).when(f == 3, simple(t))
+    found = F.when(f == 0, F.col("_found")).when(f == 1, room_first(t)).when(f == 2, group_first(t)).when(f == 3, simple(t))
     found = F.coalesce(found, F.array(F.array(none, none, none, F.col(text_col))))
     notes = F.when(known, F.col("notes")).otherwise(F.array().cast("array<string>"))
     rows = base.select(*cells.columns, notes.alias("notes"), F.posexplode(found).alias("pos", "_match"))

@@ -91,3 +91,12 @@ def test_legacy(spark):
     assert tuple(value(spark, legacy.parse_subject, "Redes (NA7)")) == (None, "REDES", None, "NA7", "Redes (NA7)")
     assert value(spark, legacy.parse_subject, "nada") is None
     assert [value(spark, legacy.is_noise, x) for x in ("Aulas libres", "martes", "9:00 / 9:55", "Redes")] == [True, True, True, False]
+
+
+def test_cells_with_the_marks_of_taking_apart(spark):
+    plain = ["Uno - 1A (NA1) Dos - 1B* (NA2)", "Uno (NA1) - 1A y Dos (NA2)- 1B", "x - y", "Uno - 1A (NA1", "(NA1) - 1A", "Uno-1A(NA1)Dos-1b(NA2)"]
+    odd = [t.replace("Uno", "U\x01no").replace("x", "x\x02") for t in plain]
+    undo = lambda x: x and x.replace("\x01", "").replace("\x02", "")
+    got = parse(spark, *plain)
+    assert [(o, undo(n), *rest) for o, n, *rest in parse(spark, *odd)] == [tuple(r) for r in got]
+    assert [r[1:4] for r in got if r[0] == 1] == [("Uno", "1A", "NA1"), ("y Dos", "1B", "NA2")]
