@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import crawl, intervals, layout, legacy, parsing, quality, records, review
+from ..operators import crawl, intervals, layout, legacy, parsing, quality, records, review, timetable
 from ..sources.shared import settle, spread
 from . import sql as S
 from .sched import cells, sched
@@ -200,6 +200,11 @@ _GLOBAL = "(SELECT count(*) FROM file_stats) + (SELECT count(*) FROM region) AS
 query("global_stats", f"WITH {PAGE_STATS} SELECT {_GLOBAL}")(lambda s, d: records.global_stats(records.file_stats(pages_stats(s, d)), failures(s, d)))
 
 
+@query("log_lines", f"WITH {PAGE_STATS} SELECT file, true AS ok, 'OK → ' || file || ' (' || CAST(records AS VARCHAR) || ' registros, ' || CAST(rejected AS VARCHAR) || ' rechazados)' AS line FROM file_stats UNION ALL SELECT 'bad_' || lower(r_name) || '.pdf', false, 'Error en bad_' || lower(r_name) || '.pdf: no text' FROM region")
+def log_lines(spark, sf_dir):
+    return records.log_lines(records.file_stats(pages_stats(spark, sf_dir)), failures(spark, sf_dir))
+
+
 @query("progress", f"WITH {PAGE_STATS} SELECT file, CASE WHEN records + rejected = 0 THEN 0 ELSE CAST(floor(records / (records + rejected) * 100) AS INT) END AS percent FROM file_stats")
 def progress(spark, sf_dir):
     f = records.file_stats(pages_stats(spark, sf_dir))
@@ -327,11 +332,11 @@ def nearest_row(spark, sf_dir):
     return intervals.nearest(blocks, rows, ["page"], "cy", "y", "row_idx", "block_id").select("block_id", "nearest")
 
 
-@query("subject_pick", "SELECT s_suppkey, s_name, n_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey WHERE contains(lower(strip_accents(concat_ws(' ', CAST(s_suppkey AS VARCHAR), s_name, n_name))), '1')")
+@query("subject_pick", "SELECT CAST(s_suppkey AS INT) AS id, s_name AS name, n_name AS degree_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey WHERE contains(lower(strip_accents(concat_ws(' ', CAST(s_suppkey AS VARCHAR), s_name, 'Grupo ' || CAST(s_suppkey % 3 AS VARCHAR), CAST(s_nationkey AS VARCHAR), n_name))), '1 grupo')")
 def subject_pick(spark, sf_dir):
-    both = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
-    text = T.searchable(F.concat_ws(" ", F.col("s_suppkey").cast("string"), "s_name", "n_name"))
-    return both.where(F.contains(text, T.searchable(F.lit(" 1 ")))).select("s_suppkey", "s_name", "n_name")
+    subjects = table(spark, sf_dir, "supplier").selectExpr("cast(s_suppkey as int) as id", "cast(s_nationkey as string) as degree_id", "s_name as name", "concat('Grupo ', s_suppkey % 3) as grp")
+    degrees = table(spark, sf_dir, "nation").selectExpr("cast(n_nationkey as string) as id", "n_name as name")
+    return timetable.pick(subjects, degrees, search=" 1 GRUPO ").select("id", "name", "degree_name")
 
 
 @query("colour_index", "SELECT user_id, CAST((dense_rank() OVER (ORDER BY first) - 1) % 8 AS INT) AS colour FROM (SELECT user_id, min(event_id) AS first FROM events GROUP BY user_id)")

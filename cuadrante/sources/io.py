@@ -22,6 +22,45 @@ def file_bytes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
+def decode_pages(files: DataFrame, decode) -> DataFrame:
+    """The pages of ``files`` (path, content): file, page, width, height, text, words, blocks, error.
+
+    ``decode`` is the user's: the bytes of a file -> its pages as dicts of width, height, text, words and blocks, the
+    last two as lists of (text, x0, y0, x1, y1). A file that it fails on gives one row with the error and no page, and
+    the others go on."""
+
+    def boxes(found):
+        return [{"ord": i, "text": t, "x0": float(x0), "y0": float(y0), "x1": float(x1), "y1": float(y1)} for i, (t, x0, y0, x1, y1) in enumerate(found)]
+
+    def run(batches):
+        import pandas as pd
+
+        columns = ["file", "page", "width", "height", "text", "words", "blocks", "error"]
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                name = path.rpartition("/")[2]
+                try:
+                    rows = [(name, n, float(p["width"]), float(p["height"]), p["text"], boxes(p["words"]), boxes(p["blocks"]), None) for n, p in enumerate(decode(bytes(content)), 1)]
+                except Exception as e:  # noqa: BLE001  whatever a decoder raises is the file's fault
+                    rows = [(name, None, None, None, None, None, None, str(e) or type(e).__name__)]
+                frame = pd.DataFrame(rows, columns=columns)
+                yield frame.astype({"page": "Int32"})
+
+    return files.select("path", "content").mapInPandas(run, schemas.DECODED)
+
+
+def geometry(decoded: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(words, blocks, pages, failed files) of decoded pages, as the layout takes them."""
+    good = decoded.where("error is null")
+    boxes = lambda c: good.select("file", "page", F.explode(c).alias("x")).select("file", "page", "x.*")
+    return boxes("words"), boxes("blocks"), good.select("file", "page", "width", "height", "text"), decoded.where("error is not null").select("file", "error")
+
+
+def tables(spark: SparkSession, degrees: list, subjects: list, sessions: list) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tables of a timetable from rows."""
+    return spark.createDataFrame(degrees, schemas.DEGREES), spark.createDataFrame(subjects, schemas.SUBJECTS), spark.createDataFrame(sessions, schemas.SESSIONS)
+
+
 def read_result(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.RESULT).option("multiLine", True).json(path)
 

@@ -14,3 +14,8 @@ WORDS = "file string, page int, ord int, text string, x0 double, y0 double, x1 d
 PAGES = "file string, page int, width double, height double, text string"
 LEGACY_RECORD = "struct<source:struct<archivo:string,pagina:int>,academic_context:struct<titulacion:string,codigo_titulacion:string,curso_academico:string,cuatrimestre:string,curso:string,grupo:string>,schedule:struct<dia:string,hora_inicio:string,hora_fin:string>,subject:struct<codigo_asignatura:string,nombre:string,subgrupo:string,aula:string,texto_original:string>>"
 LEGACY = f"schema_version string, processed_at string, input_file struct<path:string,name:string,total_pages:int>, standard_schedule array<{LEGACY_RECORD}>"
+DEGREES = "id string, name string"
+SUBJECTS = "id int, degree_id string, name string, grp string"
+SESSIONS = "subject_id int, day string, start_time string, end_time string, classroom string"
+_BOX = "struct<ord:int,text:string,x0:double,y0:double,x1:double,y1:double>"
+DECODED = f"file string, page int, width double, height double, text string, words array<{_BOX}>, blocks array<{_BOX}>, error string"

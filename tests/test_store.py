@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from cuadrante.operators import crawl, intervals, legacy, records, review
+from cuadrante.operators import crawl, intervals, layout, legacy, records, review, timetable
 from cuadrante.functions import urls as U
 from cuadrante.plans import catalogue
 from cuadrante.review_store import KEYS, NotFound, Review, ReviewError, checked
@@ -203,3 +203,31 @@ def test_spread(spark):
 def test_repeated_choice(spark):
     chosen, taken = spark.createDataFrame([("a",), ("a",), ("b",)], "id string"), spark.createDataFrame([("b",)], "id string")
     assert [r["id"] for r in review.without_repeats(chosen, taken).collect()] == ["a"]
+
+
+def test_files_to_cells(spark, tmp_path):
+    """JSON stands in for a PDF library."""
+    days = ["LUNES", "MARTES", "MIÉRCOLES", "JUEVES", "VIERNES"]
+    words = [[d, 100 + 100 * i, 0, 140 + 100 * i, 8] for i, d in enumerate(days)] + [["Redes", 110, 48, 120, 52], ["(NA7)", 121, 48, 130, 52]]
+    page = {"width": 700, "height": 200, "text": "GRADO EN X (G1)", "words": words, "blocks": [["9:00 / 9:55", 0, 40, 20, 60]]}
+    (tmp_path / "a.pdf").write_text(json.dumps([page, {**page, "words": []}]))
+    (tmp_path / "b.PDF").write_bytes(b"%PDF broken")
+    files = io.find_pdfs(spark, str(tmp_path)).select("path")
+    contents = spark.read.format("binaryFile").load(str(tmp_path)).join(files, "path")
+    w, b, pages, failed = io.geometry(io.decode_pages(contents, lambda c: json.loads(c)).cache())
+    assert pages.count() == 2 and [r["file"] for r in failed.collect()] == ["b.PDF"] and failed.first()["error"]
+    assert [(r["file"], r["page"], r["day"], r["start_time"], r["cell_text"]) for r in layout.build_cells(w, b, pages).collect()] == [("a.pdf", 1, "LUNES", "09:00", "Redes (NA7)")]
+
+
+def test_timetable(spark):
+    degrees, subjects, sessions = io.tables(
+        spark, [("D1", "Grado en Informática"), ("D2", "Otro")],
+        [(1, "D1", "Programación", "Grupo A"), (2, "D1", "Redes", "Grupo B"), (3, "D2", "Física", None), (4, "D9", "Suelta", "Grupo A")],
+        [(1, "Lunes", "10:00", "12:00", "L1"), (1, "Lunes", "11:00", "12:30", "L1"), (2, "Lunes", "11:00", "13:00", "L2"), (3, "Lunes", "12:00", "14:00", None), (3, "Martes", "x", "9:00", "L3"), (4, "Lunes", "10:30", "11:00", "L4")],
+    )
+    ids = lambda df: sorted(r["id"] for r in df.collect())
+    assert ids(timetable.pick(subjects, degrees)) == [1, 2, 3, 4] and ids(timetable.pick(subjects, degrees, "D1", " informatica ")) == [1, 2]
+    assert ids(timetable.pick(subjects, degrees, search="PROGRAMACION")) == [1] and ids(timetable.pick(subjects, degrees, search="grupo a d9")) == [4]
+    chosen = subjects.where("id < 4")
+    got = sorted((r["subject_id_a"], r["start_time_a"], r["subject_id_b"], r["start_time_b"]) for r in timetable.conflicts(chosen, sessions).collect())
+    assert got == [(1, "10:00", 2, "11:00"), (1, "11:00", 2, "11:00"), (1, "11:00", 3, "12:00"), (2, "11:00", 3, "12:00")]
