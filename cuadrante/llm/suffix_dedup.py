@@ -6,13 +6,18 @@ on whole texts, in four steps:
 1. Candidates. Each SPAN-byte string has an anchor: the GRAM-byte substring of the smallest hash. Equal strings have
    equal anchors, so a string can only be repeated if its anchor occurs in two different texts. Anchors go, packed, to
    partitions by their hash; back come the anchors that are repeated.
-2. Shards. Consecutive strings with the same repeated anchor are one segment; segments go to partitions by the
-   anchor's hash, so equal strings meet. A partition is cut into shards by documents, of at most SHARD_BYTES.
+2. Shards. Consecutive strings with the same repeated anchor are one segment; segments go to parts by the anchor's
+   hash, so equal strings meet. There are several parts to a partition, by the size of the text; a part is cut into
+   shards by documents, of at most SHARD_BYTES.
 3. Suffix arrays. In each shard the suffixes are ordered by Larsson-Sadakane refinement (groups of equal 8, 16, 32 and
    SPAN-byte prefixes, only unsorted groups are sorted again), common prefixes come from Kasai's recurrence, run in
    lockstep lanes, and shards are merged by binary search of one shard's strings in another's suffix array.
 4. Bytes. Each document gets its repeated intervals back and is hashed without them.
 
+A passage that very many documents share would bring all its segments to one part. Strings of an anchor with over HOT
+occurrences therefore take another way, that Spark splits: the smallest id of each string, named by 128 bits of hashes,
+is found by an aggregation with partial sums, and joined back.
+
 Exact copies of a text with a smaller id go as a whole and take no part in steps 2 and 3.
 
 Defined cases: null is an empty text; texts under SPAN bytes lose nothing; rows with equal doc_ids don't remove each
@@ -23,30 +28,34 @@ not read.
 from __future__ import annotations
 
 import hashlib
-import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, utf8
+from .common import parts, settle, utf8
 
 SPAN, GRAM = 50, 24
-SHARD_BYTES = 3_000_000
+SHARD_BYTES = 2_000_000
 BLOCK_BYTES = 2_000_000
+STEP = 8_000_000  # a longer text is cut, so that a place in a block fits 24 bits
+UNIT_BYTES = 8_000_000  # of text for each part that anchors are dealt to; a task takes its parts one after another
 FLUSH_BYTES = 20_000_000
 LAST = 2**63 - 1
-BASE, MIX = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93
+BASE, MIX, OTHER = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F
+#: An anchor with more occurrences is hot: its strings are counted one by one, by hash, and meet in no part.
+HOT = 50_000
 
 
 # --- anchors -------------------------------------------------------------------------------------------------------
 
 
-def gram_hashes(data: np.ndarray, width: int) -> np.ndarray:
+def gram_hashes(data: np.ndarray, width: int, of: int = BASE) -> np.ndarray:
     """A polynomial hash of the ``width`` bytes from each place; built from hashes of powers of two."""
-    base = lambda n: np.uint64(pow(BASE, n, 1 << 64))
+    base = lambda n: np.uint64(pow(of, n, 1 << 64))
     power, size = data.astype(np.uint64) + np.uint64(1), 1
     out, done = None, 0
     while True:
@@ -91,7 +100,7 @@ def blocks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of texts of about BLOCK_BYTES; a longer text is a range of its own."""
     first, size = 0, 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > BLOCK_BYTES:
+        if i > first and size + len(t) > BLOCK_BYTES:
             yield first, i
             first, size = i, 0
         size += len(t)
@@ -104,7 +113,7 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     blocks, so that a place always fits its 24 bits; a run that a cut divides becomes two with the same anchor."""
     parts = []
     for a, b in blocks(texts):
-        step = 8_000_000
+        step = STEP
         if b == a + 1 and len(texts[a]) > 2 * step:
             for at in range(0, len(texts[a]), step):
                 piece = np.frombuffer(texts[a], np.uint8)[at : at + step + SPAN - 1]
@@ -150,15 +159,14 @@ def anchors(n_parts: int):
             doc, _, _, h = segments(texts)
             part = part_of(h, n_parts)
             order = np.argsort(part, kind="stable")
-            bounds = np.searchsorted(part[order], np.arange(n_parts + 1))
+            begin = _groups(part[order])
+            names = part[order[begin]]
             ids, keys = np.array(ids, np.int64), np.array(keys, np.int64)
-            names, blobs = [], []
-            for p in range(n_parts):
-                mine = order[bounds[p] : bounds[p + 1]]
-                if len(mine):
-                    d, counts = np.unique(doc[mine], return_counts=True)
-                    blobs.append(b"".join([np.array([len(d), len(mine)], np.int64).tobytes(), ids[d].tobytes(), keys[d].tobytes(), counts.astype(np.int32).tobytes(), (h[mine] >> np.uint64(32)).astype(np.uint32).tobytes()]))
-                    names.append(p)
+            blobs = []
+            for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(order)]):
+                mine = order[a:b]
+                d, counts = np.unique(doc[mine], return_counts=True)
+                blobs.append(b"".join([np.array([len(d), len(mine)], np.int64).tobytes(), ids[d].tobytes(), keys[d].tobytes(), counts.astype(np.int32).tobytes(), (h[mine] >> np.uint64(32)).astype(np.uint32).tobytes()]))
             yield pa.record_batch([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "data"])
 
     return run
@@ -186,105 +194,146 @@ def _cut(data: bytes, *kinds_and_sizes) -> list[np.ndarray]:
     return out
 
 
-def to_buckets(ids: np.ndarray, keys: np.ndarray, values: list[bytes], n: int) -> pa.RecordBatch:
-    """Values of documents, packed by a hash of the document: (part, data)."""
+def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places of runs of ``counts`` items from ``starts``, one after another."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+
+
+def _groups(a: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    if not len(a):
+        return np.zeros(0, np.int64)
+    differ = np.zeros(len(a) - 1, bool)
+    for x in (a, *more):
+        differ |= x[1:] != x[:-1]
+    return np.flatnonzero(np.concatenate([[True], differ]))
+
+
+def to_buckets(ids: np.ndarray, keys: np.ndarray, counts: np.ndarray, flat: np.ndarray, n: int) -> pa.RecordBatch:
+    """Numbers of documents (``counts`` of ``flat`` each), packed by a hash of the document: (part, data)."""
     bucket = part_of((ids ^ keys).view(np.uint64) * np.uint64(MIX) >> np.uint64(32), n)
     order = np.argsort(bucket, kind="stable")
-    bounds = np.searchsorted(bucket[order], np.arange(n + 1))
-    names, blobs = [], []
-    for b in range(n):
-        mine = order[bounds[b] : bounds[b + 1]]
-        if len(mine):
-            own = [values[i] for i in mine.tolist()]
-            text = b"".join(own)
-            blobs.append(b"".join([np.array([len(mine), len(text)], np.int64).tobytes(), ids[mine].tobytes(), keys[mine].tobytes(), np.array([len(x) for x in own], np.int64).tobytes(), text]))
-            names.append(b)
-    return pa.record_batch([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "data"])
-
-
-def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(part, data) -> (id, key, data): one row per document, its values one after another."""
-    for _, blobs in by_part(batches):
-        cols: list[list[np.ndarray]] = [[] for _ in range(3)]
-        values: list[bytes] = []
-        for b in blobs:
-            n, m = np.frombuffer(b, np.int64, 2)
-            for to, x in zip(cols, _cut(b[16:], (np.int64, n), (np.int64, n), (np.int64, n))):
-                to.append(x)
-            at = np.cumsum(cols[2][-1]) + 16 + 24 * n
-            values += [b[e - l : e] for e, l in zip(at.tolist(), cols[2][-1].tolist())]
-        ids, keys, _ = map(np.concatenate, cols)
-        order = np.lexsort((keys, ids))
-        i, k = ids[order], keys[order]
-        new = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (k[1:] != k[:-1])]))
-        places = order.tolist()
-        joined = [b"".join([values[x] for x in places[a:b]]) for a, b in zip(new.tolist(), [*new[1:].tolist(), len(places)])]
-        yield pa.record_batch([pa.array(i[new]), pa.array(k[new]), pa.array(joined, pa.binary())], names=["id", "key", "data"])
+    flat = flat[ragged((np.cumsum(counts) - counts)[order], counts[order])]
+    ids, keys, counts, bucket = ids[order], keys[order], counts[order], bucket[order]
+    begin = _groups(bucket)
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    blobs = []
+    for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(bucket)]):
+        own = flat[ends[a] : ends[b]]
+        blobs.append(b"".join([np.array([b - a, len(own)], np.int64).tobytes(), ids[a:b].tobytes(), keys[a:b].tobytes(), counts[a:b].astype(np.int32).tobytes(), own.tobytes()]))
+    return pa.record_batch([pa.array(bucket[begin], pa.int32()), pa.array(blobs, pa.binary())], names=["part", "data"])
 
 
-def mark_repeated(n_parts: int):
-    """(part, data) -> (part, data): which of a document's anchors in a part occur in two texts, packed for
-    _by_document as part, size and bits."""
+def by_document(kind: type, n_parts: int):
+    """(part, data) -> (id, key, data, hot): one row per document, its numbers of ``kind`` one after another; ``hot``: of
+    parts from ``n_parts`` on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, blobs in by_part(batches):
-            yield to_buckets(*_repeated(part, blobs), n_parts)
+            cols: list[list[np.ndarray]] = [[] for _ in range(4)]
+            for b in blobs:
+                n, m = np.frombuffer(b, np.int64, 2)
+                for to, x in zip(cols, _cut(b[16:], (np.int64, n), (np.int64, n), (np.int32, n), (kind, m))):
+                    to.append(x)
+            ids, keys, counts, flat = map(np.concatenate, cols)
+            counts = counts.astype(np.int64)
+            order = np.lexsort((keys, ids))
+            flat = flat[ragged((np.cumsum(counts) - counts)[order], counts[order])]
+            i, k = ids[order], keys[order]
+            new = _groups(i, k)
+            ends = np.concatenate([[0], np.cumsum(np.add.reduceat(counts[order], new))]) * flat.itemsize
+            data = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat)])
+            yield pa.record_batch([pa.array(i[new]), pa.array(k[new]), data, pa.array(np.full(len(new), part >= n_parts))], names=["id", "key", "data", "hot"])
 
     return run
 
 
-def _repeated(part: int, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+def mark_repeated(n_parts: int):
+    """(part, data) -> (part, data): the upper halves of the hashes of each document's anchors that occur in two texts,
+    packed for ``by_document``. A half that two anchors of a document share makes one candidate more, never one less.
+    Hot anchors go to parts from ``n_parts`` on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, blobs in by_part(batches):
+            usual, hot = _repeated(blobs)
+            yield to_buckets(*usual, n_parts)
+            if len(hot[0]):
+                packed = to_buckets(*hot, n_parts)
+                yield pa.record_batch([pc.add(packed.column(0), pa.scalar(n_parts, pa.int32())), packed.column(1)], names=["part", "data"])
+
+    return run
+
+
+def _repeated(blobs: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, keys, counts, halves) of repeated anchors, then of hot ones."""
     ids, keys, counts, hashes = [], [], [], []
     for b in blobs:
         n, m = np.frombuffer(b, np.int64, 2)
         for to, x in zip((ids, keys, counts, hashes), _cut(b[16:], (np.int64, n), (np.int64, n), (np.int32, n), (np.uint32, m))):
             to.append(x)
     ids, keys, counts, hashes = map(np.concatenate, (ids, keys, counts, hashes))
-    text = np.repeat(keys, counts)
+    doc = np.repeat(np.arange(len(counts)), counts)
     order = np.argsort(hashes, kind="stable")
-    h, t = hashes[order], text[order]
-    starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    sizes = np.diff(np.append(starts, len(h)))
+    h, t = hashes[order], keys[doc[order]]
+    starts = _groups(h)
     many = np.minimum.reduceat(t, starts) != np.maximum.reduceat(t, starts)
-    flag = np.zeros(len(h), bool)
-    flag[order] = np.repeat(many, sizes)
-    ends = np.cumsum(counts)
-    some = np.flatnonzero(np.add.reduceat(flag.astype(np.int64), ends - counts))
-    masks = [np.packbits(flag[a:b]).tobytes() for a, b in zip((ends - counts)[some].tolist(), ends[some].tolist())]
-    return ids[some], keys[some], [struct.pack("<ii", part, len(m)) + m for m in masks]
+    sizes = np.diff(np.append(starts, len(h)))
+    out = []
+    for which in (many & (sizes <= HOT), many & (sizes > HOT)):
+        flag = np.zeros(len(h), bool)
+        flag[order] = np.repeat(which, sizes)
+        found = np.bincount(doc[flag], minlength=len(counts))
+        some = found > 0
+        out.append((ids[some], keys[some], found[some], hashes[flag]))
+    return out
+
+
+def _named(doc: np.ndarray, h: np.ndarray, marks: list[bytes]) -> np.ndarray:
+    """Which segments have an anchor that the marks of their document name."""
+    named = np.repeat(np.arange(len(marks)), [len(m) // 4 for m in marks]).astype(np.uint64) << np.uint64(32) | np.frombuffer(b"".join(marks), np.uint32)
+    return np.flatnonzero(np.isin(doc.astype(np.uint64) << np.uint64(32) | h >> np.uint64(32), named))
+
+
+def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, key, data, marks) -> (a, b, id, key, place): the strings of hot anchors by two hashes."""
+    for ids, keys, texts, marks in _row_groups(batches, 4):
+        doc, first, last, h = segments(texts)
+        mine = _named(doc, h, marks)
+        d, f, e = doc[mine], first[mine], last[mine] + SPAN
+        data = np.frombuffer(b"".join([texts[i][u:v] for i, u, v in zip(d.tolist(), f.tolist(), e.tolist())]), np.uint8)
+        n = e - f - SPAN + 1  # strings of each segment
+        at = ragged(np.cumsum(e - f) - (e - f), n)
+        place = ragged(f, n)
+        own = np.repeat(d, n)
+        ids, keys = np.array(ids, np.int64), np.array(keys, np.int64)
+        a, b = ((gram_hashes(data, SPAN, base)[at] if len(at) else np.zeros(0, np.uint64)).view(np.int64) for base in (BASE, OTHER))
+        for i in range(0, len(at), 100_000):
+            part = slice(i, i + 100_000)
+            yield pa.record_batch([pa.array(x[part]) for x in (a, b, ids[own], keys[own], place)], names=["a", "b", "id", "key", "place"])
 
 
 def cut_segments(n_parts: int):
-    """(id, key, data, masks) -> (part, data): the packed segments of repeated anchors."""
+    """(id, key, data, marks) -> (part, data): the packed segments of repeated anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, keys, texts, masks in _row_groups(batches, 4):
+        for ids, keys, texts, marks in _row_groups(batches, 4):
             doc, first, last, h = segments(texts)
-            part = part_of(h, n_parts)
-            order = np.lexsort((part, doc))
-            starts = np.flatnonzero(np.concatenate([[True], np.diff(doc[order] * n_parts + part[order]) != 0])) if len(order) else np.zeros(0, np.int64)
-            where = {(int(doc[order[s]]), int(part[order[s]])): (s, e) for s, e in zip(starts, np.append(starts[1:], len(order)))}
-            chosen = []
-            for i, own in enumerate(masks):
-                at = 0
-                while at < len(own):
-                    p, size = struct.unpack_from("<ii", own, at)
-                    s, e = where[i, p]
-                    chosen.append(order[s:e][np.unpackbits(np.frombuffer(own, np.uint8, size, at + 8), count=e - s).astype(bool)])
-                    at += 8 + size
-            mine = np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
-            mine = mine[np.lexsort((first[mine], doc[mine], part[mine]))]
-            bounds = np.searchsorted(part[mine], np.arange(n_parts + 1))
+            mine = _named(doc, h, marks)
+            part = part_of(h[mine], n_parts)
+            order = np.lexsort((first[mine], doc[mine], part))
+            mine, part = mine[order], part[order]
+            begin = _groups(part)
             ids, keys = np.array(ids, np.int64), np.array(keys, np.int64)
-            names, blobs = [], []
-            for p in range(n_parts):
-                x = mine[bounds[p] : bounds[p + 1]]
-                if len(x):
-                    d, f, e = doc[x], first[x], last[x] + SPAN
-                    text = b"".join([texts[i][a:b] for i, a, b in zip(d.tolist(), f.tolist(), e.tolist())])
-                    names.append(p)
-                    blobs.append(b"".join([np.array([len(x), len(text)], np.int64).tobytes(), ids[d].tobytes(), keys[d].tobytes(), f.astype(np.int64).tobytes(), (e - f).astype(np.int64).tobytes(), text]))
-            yield pa.record_batch([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "data"])
+            blobs = []
+            for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(mine)]):
+                x = mine[a:b]
+                d, f, e = doc[x], first[x], last[x] + SPAN
+                contents: dict[bytes, int] = {}  # equal segments of these texts are sent once
+                which = [contents.setdefault(texts[i][u:v], len(contents)) for i, u, v in zip(d.tolist(), f.tolist(), e.tolist())]
+                text = b"".join(contents)
+                sizes = np.array([len(x), len(contents), len(text)], np.int64)
+                blobs.append(b"".join([sizes.tobytes(), ids[d].tobytes(), keys[d].tobytes(), f.astype(np.int64).tobytes(), np.array(which, np.int32).tobytes(), np.array([len(c) for c in contents], np.int32).tobytes(), text]))
+            yield pa.record_batch([pa.array(part[begin], pa.int32()), pa.array(blobs, pa.binary())], names=["part", "data"])
 
     return run
 
@@ -444,14 +493,16 @@ def distinct(text: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np
     return first, inverse.reshape(-1)
 
 
-def repeated_places(ids: np.ndarray, firsts: np.ndarray, lens: np.ndarray, text: np.ndarray, shard_bytes: int = SHARD_BYTES) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, place in its document) of every string that also starts in a document with a smaller id."""
-    starts = np.cumsum(lens) - lens
-    rep, kind = distinct(text, starts, lens)
+def repeated_places(ids: np.ndarray, firsts: np.ndarray, which: np.ndarray, sizes: np.ndarray, text: np.ndarray, shard_bytes: int = SHARD_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, place in its document) of every string that also starts in a document with a smaller id. ``which``: the
+    content of each segment; contents of ``sizes`` bytes lie one after another in ``text``."""
+    starts = np.cumsum(sizes) - sizes
+    rep, same = distinct(text, starts, sizes)
+    kind, lens = same[which], sizes[which]
     order = np.argsort(kind, kind="stable")
     begin = np.searchsorted(kind[order], np.arange(len(rep)))
     low = np.minimum.reduceat(ids[order], begin)
-    rep_lens = lens[rep]
+    rep_lens = sizes[rep]
     # Shards by documents: contents in the order of their smallest id.
     by_doc = np.argsort(low, kind="stable")
     shard_of = np.empty(len(rep), np.int64)
@@ -491,7 +542,7 @@ def merge(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def find_intervals(n_parts: int):
-    """(part, data) -> (part, data): documents' repeated intervals in a part, packed for _by_document as pairs."""
+    """(part, data) -> (part, data): documents' repeated intervals in a part, packed for ``by_document``, two numbers a run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, blobs in by_part(batches):
@@ -500,35 +551,46 @@ def find_intervals(n_parts: int):
     return run
 
 
-def _intervals(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    cols: list[list[np.ndarray]] = [[] for _ in range(5)]
-    for b in blobs:
-        n, m = np.frombuffer(b, np.int64, 2)
-        for to, x in zip(cols, _cut(b[16:], (np.int64, n), (np.int64, n), (np.int64, n), (np.int64, n), (np.uint8, m))):
+def _intervals(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    cols: list[list[np.ndarray]] = [[] for _ in range(6)]
+    before = 0
+    while blobs:  # each is let go once it is read
+        b = blobs.pop(0)
+        n, k, m = np.frombuffer(b, np.int64, 3)
+        for to, x in zip(cols, _cut(b[24:], (np.int64, n), (np.int64, n), (np.int64, n), (np.int32, n), (np.int32, k), (np.uint8, m))):
             to.append(x)
-    ids, keys, firsts, lens, text = map(np.concatenate, cols)
-    seg, place = repeated_places(ids, firsts, lens, text)
+        cols[3][-1] = cols[3][-1] + np.int64(before)
+        before += k
+    ids, keys, firsts, which, sizes, text = map(np.concatenate, cols)
+    seg, place = repeated_places(ids, firsts, which, sizes.astype(np.int64), text)
     order = np.lexsort((place, keys[seg], ids[seg]))
-    seg, place = seg[order], place[order]
-    i, k = ids[seg], keys[seg]
-    new = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (k[1:] != k[:-1])])) if len(seg) else np.zeros(0, np.int64)
-    spans = [np.column_stack(merge(place[a:b], place[a:b] + SPAN)).tobytes() for a, b in zip(new.tolist(), [*new[1:].tolist(), len(seg)])] if len(seg) else []
-    return i[new], k[new], spans
+    i, k, place = ids[seg[order]], keys[seg[order]], place[order]
+    # Maximal runs of a document: a place goes on with a run if its string begins where the one before ends, or sooner.
+    apart = np.ones(len(place), bool)
+    apart[1:] = (place[1:] > place[:-1] + SPAN) | (i[1:] != i[:-1]) | (k[1:] != k[:-1])
+    begin = np.flatnonzero(apart)
+    runs = np.column_stack([place[begin], place[np.append(begin[1:], len(place))[: len(begin)] - 1] + SPAN]).astype(np.int64)
+    i, k = i[begin], k[begin]
+    new = _groups(i, k)
+    return i[new], k[new], 2 * np.diff(np.append(new, len(i))), runs.reshape(-1)
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, key, data, copy, spans) -> the result's rows."""
+    """(id, key, data, copy, spans, places) -> the result's rows."""
     for batch in batches:
         rows = []
-        for i, data, copy, spans in zip(batch.column(0), batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+        for i, data, copy, spans, places in zip(batch.column(0), batch.column(2), *[batch.column(c).to_pylist() for c in (3, 4, 5)]):
             text, name = data.as_py(), i.as_py()
             if copy and len(text) >= SPAN:
-                s, e = np.array([0]), np.array([len(text)])
+                kept, n = b"", 1
+            elif spans or places:
+                more = np.array(places or [], np.int64)
+                pairs = np.concatenate([np.frombuffer(spans or b"", np.int64).reshape(-1, 2), np.column_stack([more, more + SPAN])])
+                s, e = (x.tolist() for x in merge(pairs[:, 0], pairs[:, 1]))
+                kept, n = b"".join([text[a:b] for a, b in zip([0, *e], [*s, len(text)])]), len(s)
             else:
-                pairs = np.frombuffer(spans or b"", np.int64).reshape(-1, 2)
-                s, e = merge(pairs[:, 0], pairs[:, 1])
-            kept = b"".join([text[a:b] for a, b in zip([0, *e.tolist()], [*s.tolist(), len(text)])])
-            rows.append((None if name == LAST else name, len(text), len(text) - len(kept), len(s), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
+                kept, n = text, 0
+            rows.append((None if name == LAST else name, len(text), len(text) - len(kept), n, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         yield pa.record_batch([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
@@ -538,6 +600,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     character of several bytes, kept_text has a replacement mark; the hash is of the bytes)."""
     spark = docs.sparkSession
     n = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    units = parts(docs, text_col, UNIT_BYTES)
     data = utf8(F.col(text_col))
     sha = F.sha2(data, 256)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(F.substring(sha, 1, 32), F.substring(sha, 33, 32)).alias("key"), data.alias("data"))
@@ -552,12 +615,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(n, "part").sortWithinPartitions("part")
 
-    blob, row = "part int, data binary", "id bigint, key bigint, data binary"
-    marks = dealt(rows.mapInArrow(anchors(n), blob)).mapInArrow(mark_repeated(n), blob)
-    masks = settle(dealt(marks).mapInArrow(_by_document, row)).withColumnRenamed("data", "masks").join(copies, ["id", "key"], "left_anti")
-    cut = rows.join(masks, ["id", "key"]).select("id", "key", "data", "masks").mapInArrow(cut_segments(n), blob)
-    spans = dealt(cut).mapInArrow(find_intervals(n), blob)
-    by_doc = settle(dealt(spans).mapInArrow(_by_document, row)).withColumnRenamed("data", "spans")
-    last = rows.join(by_doc, ["id", "key"], "left").join(copies, ["id", "key"], "left").select("id", "key", "data", F.coalesce("copy", F.lit(False)).alias("copy"), "spans")
+    blob, row = "part int, data binary", "id bigint, key bigint, data binary, hot boolean"
+    marks = dealt(rows.mapInArrow(anchors(units), blob)).mapInArrow(mark_repeated(units), blob)
+    masks = settle(dealt(marks).mapInArrow(by_document(np.uint32, units), row)).withColumnRenamed("data", "masks").join(copies, ["id", "key"], "left_anti")
+    named = lambda hot: rows.join(masks.where(hot), ["id", "key"]).select("id", "key", "data", "masks")
+    spans = dealt(named("not hot").mapInArrow(cut_segments(units), blob)).mapInArrow(find_intervals(units), blob)
+    by_doc = dealt(spans).mapInArrow(by_document(np.int64, units), row).select("id", "key", F.col("data").alias("spans"))
+    if not masks.where("hot").isEmpty():
+        found = settle(named("hot").mapInArrow(strings, "a bigint, b bigint, id bigint, key bigint, place bigint"))
+        low = found.groupBy("a", "b").agg(F.min("id").alias("low"))
+        hits = found.join(low, ["a", "b"]).where("id > low").groupBy("id", "key").agg(F.collect_set("place").alias("places"))
+        by_doc = by_doc.join(hits, ["id", "key"], "full")
+    else:
+        by_doc = by_doc.withColumn("places", F.lit(None).cast("array<bigint>"))
+    by_doc = settle(by_doc)
+    last = rows.join(by_doc, ["id", "key"], "left").join(copies, ["id", "key"], "left").select("id", "key", "data", F.coalesce("copy", F.lit(False)).alias("copy"), "spans", "places")
     out = last.mapInArrow(_finish, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string")
     return out.withColumnRenamed("id", id_col)

@@ -107,8 +107,8 @@ def test_many_small_shards():
     parts = [(rng.randrange(30), rng.choice(pool)[rng.randrange(6) :]) for _ in range(120)]
     ids, lens = np.array([p[0] for p in parts]), np.array([len(p[1]) for p in parts])
     text, zero = np.frombuffer(b"".join(p[1] for p in parts), np.uint8), np.zeros(len(parts), np.int64)
-    one = suffix_dedup.repeated_places(ids, zero, lens, text)
-    many = suffix_dedup.repeated_places(ids, zero, lens, text, shard_bytes=130)
+    one = suffix_dedup.repeated_places(ids, zero, np.arange(len(parts)), lens, text)
+    many = suffix_dedup.repeated_places(ids, zero, np.arange(len(parts)), lens, text, shard_bytes=130)
     assert len(one[0]) and set(zip(*map(np.ndarray.tolist, one))) == set(zip(*map(np.ndarray.tolist, many)))
 
 
