@@ -23,15 +23,18 @@ from pyspark.sql import functions as F
 from .common import settle, utf8
 
 GRAIN = 400
-SINGLE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}"
-PIECES = rf"[\p{{L}}\p{{M}}&&[^{SINGLE}]]+|\p{{N}}+|[^\s\p{{N}}]"
+#: A piece, with the white space before it: a run of letters of scripts that put spaces between words, a run of digits,
+#: or any other single character. Ranges instead of properties, as every character of every text is looked up.
+LETTERS = r"A-Za-z\u00aa\u00b5\u00ba\u00c0-\u0dff\u0e80-\u1fff\u2c00-\u2dff\ua640-\ud7ff"
+PIECE = rf"\s*+(?:[{LETTERS}]++|[0-9]++|\S)"
 SLOT_CHUNKS = 256
 
 
 def token_estimate(text: Column) -> Column:
     """Word and character pieces, a stand-in for tokens: runs of letters, runs of digits, every other character that
     isn't white space, and every letter of scripts that are written without spaces."""
-    return F.coalesce(F.regexp_count(text, F.lit(PIECES)), F.lit(0)).cast("long")
+    marks = F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), PIECE, "x"), " \t\n\x0b\f\r", "")
+    return F.length(marks).cast("long")
 
 
 def pack(vectors: np.ndarray, n_shards: int) -> np.ndarray:

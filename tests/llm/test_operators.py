@@ -343,3 +343,10 @@ def test_stages_keep_columns_of_any_name(spark, tmp_path):
     assert set(clean) == set(near) - {18} and set(mixed) <= set(clean)
     last = pipeline.STAGES[-1][1](spark, now, str(tmp_path))
     assert last.count() == sum(mixed.values())
+
+
+def test_pieces(spark):
+    texts = [None, "", " \n", "ab cd", " don't  stop! ", "x1y22 é日本語z ไท", "a\tb\nc ", "한국 말 Ωß", "3.14—ok", "😀 b"]
+    want = [0, 0, 0, 2, 5, 11, 3, 3, 5, 2]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(sharding.token_estimate(F.col("t")).alias("n")).collect()
+    assert [r["n"] for r in got] == want
