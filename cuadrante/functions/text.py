@@ -7,7 +7,10 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPACE = r"(?U)[\s\x1c-\x1f]+"
+#: White space but for the plain space, as ranges: every character of every text is looked up.
+ODD_SPACE = r"\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Runs of white space that aren't one plain space already.
+SPACE = rf" [ {ODD_SPACE}]+|[{ODD_SPACE}][ {ODD_SPACE}]*"
 
 
 # The Hangul block is laid out by rule: 19 leading consonants, 21 vowels and 27 trailing consonants or none.

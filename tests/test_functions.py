@@ -99,3 +99,11 @@ def test_links(spark):
     texts = ["&amp;lt; &copy;&#38;#38; &#1114112; &#xD800; &; & &#0;", "&eacute;&Eacute;x", "no", "&#x1F600;!"]
     want = [unescape("&amp;lt; &copy;&#38;#38; ") + "&#1114112; &#xD800; &; & &#0;", unescape(texts[1]), "no", unescape(texts[3])]
     assert one_by_one(spark, texts, U.unescape) == want
+
+
+def test_clean_like_the_standard(spark):
+    rng = random.Random(3)
+    spaces = [chr(c) for c in range(0x10000) if chr(c).isspace()] + [" "] * 6 + ["–", "—", "a", "bc", "é", "\x01", "​"]
+    values = ["".join(rng.choice(spaces) for _ in range(rng.randint(0, 14))) for _ in range(600)] + [None]
+    want = [re.sub(r"\s+", " ", (v or "").replace("\xa0", " ").replace("–", "-").replace("—", "-")).strip() for v in values]
+    assert one_by_one(spark, values, T.clean) == want
