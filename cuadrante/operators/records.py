@@ -59,8 +59,12 @@ def progress_percent(done, total):
     return F.when(total == 0, F.lit(0)).otherwise(F.floor(done / total * 100)).cast("int")
 
 
+# The words of the log lines.
+DONE, FAILED = ("OK → ", " (", " registros, ", " rechazados)"), ("Error en ", ": ")
+
+
 def log_lines(stats: DataFrame, failed: DataFrame) -> DataFrame:
     """(file, ok, line): what a run says of each file."""
-    good = F.concat(F.lit("OK → "), "file", F.lit(" ("), F.col("records").cast("string"), F.lit(" registros, "), F.col("rejected").cast("string"), F.lit(" rechazados)"))
-    bad = F.concat(F.lit("Error en "), "file", F.lit(": "), F.coalesce("error", F.lit("")))
+    good = F.concat(F.lit(DONE[0]), "file", F.lit(DONE[1]), F.col("records").cast("string"), F.lit(DONE[2]), F.col("rejected").cast("string"), F.lit(DONE[3]))
+    bad = F.concat(F.lit(FAILED[0]), "file", F.lit(FAILED[1]), F.coalesce("error", F.lit("")))
     return stats.select("file", F.lit(True).alias("ok"), good.alias("line")).unionByName(failed.select("file", F.lit(False).alias("ok"), bad.alias("line")))
