@@ -253,6 +253,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     row, many = free_name(docs, "row"), free_name(docs, "copies")
     row_key = lambda i, t: F.xxhash64(F.coalesce(F.concat(F.lit("="), i.cast("string")), F.lit("null")), t)
     keep = settle(named.select(row_key(F.col("m.id"), F.col("m.text_key")).alias(row), F.col("m.copies").alias(many)))
-    stay = docs.withColumn(row, row_key(F.col(id_col), F.xxhash64(text_col))).join(keep, row)
+    stay = docs.withColumn(row, row_key(F.col(id_col), F.xxhash64(text_col))).join(keep.hint("merge"), row)  # the same plan at every size
     once = stay.where(F.col(many) == 1).unionByName(stay.where(F.col(many) > 1).dropDuplicates([row]))
     return once.select(*docs.columns)
