@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuadrante.llm import decontaminate, mixing, quality_rules, sharding, simhash
-from cuadrante.llm.common import BROADCAST_ROWS, free_name, settle
+from cuadrante.llm.common import free_name, settle
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +29,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     found = decontaminate.decontaminate(docs.select("doc_id", "text"), items).where("contaminated")
     doc, key = free_name(docs, "doc"), free_name(docs, "key")
-    hit = settle(found.select(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).distinct())
-    few = hit.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(hit) if few else hit, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(key)), "left_anti")
+    hit = found.select(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).distinct()
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(key)), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
