@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality_rules, sharding, simhash, suffix_dedup, token_counts, token_files, toxicity, url_filters
+from . import decontaminate, mixing, periodic, quality_rules, sharding, simhash, suffix_dedup, token_counts, token_files, toxicity, url_filters
 from .common import spread
 
 URL_RULES = (
@@ -71,6 +71,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 24)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic.digests(periodic.find_runs(docs.withColumn("text", periodic.planted(docs["doc_id"], docs["text"])), digest=True))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mixing": op2_mixing,
@@ -82,6 +87,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 ORACLES = {
