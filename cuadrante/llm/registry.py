@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, periodic, quality_rules, sharding, simhash, suffix_dedup, token_counts, token_files, toxicity, url_filters
+from . import decontaminate, mixing, periodic, phrases, quality_rules, sharding, simhash, suffix_dedup, token_counts, token_files, toxicity, url_filters
 from .common import spread
 
 URL_RULES = (
@@ -76,6 +76,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.find_runs(docs.withColumn("text", periodic.planted(docs["doc_id"], docs["text"])), digest=True))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mixing": op2_mixing,
@@ -88,6 +92,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_phrases": op13_phrases,
 }
 
 ORACLES = {
@@ -123,4 +128,19 @@ covered AS (SELECT doc_id, count(DISTINCT s + k) AS n_hit FROM (SELECT doc_id, s
 found AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, id FROM hits) GROUP BY doc_id)
 SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)""",
+    "op13_phrases": r"""
+WITH pieces AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+grams AS (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, range(1, 5) t(k))),
+counts AS (SELECT lang, k, phrase, count(*) AS n FROM grams GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM counts WHERE k = 1 GROUP BY lang),
+frequent AS (SELECT * FROM counts WHERE n >= 30),
+candidates AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM frequent WHERE k > 1),
+cuts AS (SELECT c.lang, c.phrase, c.a, cut, x.n AS l, y.n AS r, CAST(2000000 AS HUGEINT) * c.a // (x.n + y.n) AS score FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates) c
+  JOIN frequent x ON x.lang = c.lang AND x.phrase = array_to_string(list_slice(c.w, 1, cut), ' ') JOIN frequent y ON y.lang = c.lang AND y.phrase = array_to_string(list_slice(c.w, cut + 1, c.k), ' ')),
+weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+held AS (SELECT lang, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase, max(a) AS longer FROM (SELECT lang, w, a, m, unnest(range(1, k - m + 2)) AS i FROM candidates, range(2, 4) t(m) WHERE m < k) GROUP BY ALL),
+free AS (SELECT w.* FROM weakest w LEFT JOIN held h ON h.lang = w.lang AND h.phrase = w.phrase WHERE h.longer IS NULL OR 100 * h.longer < 80 * w.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM free)
+SELECT ranked.lang, rank, phrase, a, l, r, totals.n AS n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals ON totals.lang = ranked.lang WHERE rank <= 2000""",
 }
