@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, periodic, phrases, quality_rules, sharding, simhash, suffix_dedup, token_counts, token_files, toxicity, url_filters
+from . import decontaminate, mixing, periodic, phrases, quality_model, quality_rules, sharding, simhash, suffix_dedup, token_counts, token_files, toxicity, url_filters
 from .common import spread
 
 URL_RULES = (
@@ -76,6 +76,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.find_runs(docs.withColumn("text", periodic.planted(docs["doc_id"], docs["text"])), digest=True))
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_model.score(docs, quality_model.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -92,6 +97,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_quality_classifier": op12_quality_classifier,
     "op13_phrases": op13_phrases,
 }
 
