@@ -39,8 +39,8 @@ LONGEST = 4
 MIN_COUNT = 30
 TOP = 2_000
 #: One in SAMPLE documents proposes; what it has PROPOSED times or more is proposed.
-SAMPLE, PROPOSED = 8, 2
-SLICE_BYTES = 8_000_000
+SAMPLE, PROPOSED = 8, 3
+SLICE_BYTES = 3_000_000
 LEAST_BITS, MAX_BITS = 16, 27  # as powers of two; the tables of bits are 8 KB to 16 MB
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -86,8 +86,24 @@ def symbols(batch: pa.RecordBatch) -> Symbols:
     keys, numbers = np.unique(of_lang[at] * len(word.dictionary) + codes[at], return_inverse=True)
     name[at] = numbers
     l, w = keys // max(1, len(word.dictionary)), keys % max(1, len(word.dictionary))
-    hashed = [pd.util.hash_array(np.asarray(d.to_pylist(), object), categorize=False) if len(d) else np.zeros(0, np.uint64) for d in (lang.dictionary, word.dictionary)]
-    return Symbols(name, lang.dictionary.take(pa.array(l)), word.dictionary.take(pa.array(w)), hashed[0][l] * BASE + hashed[1][w])
+    return Symbols(name, lang.dictionary.take(pa.array(l)), word.dictionary.take(pa.array(w)), _hashed(lang.dictionary)[l] * BASE + _hashed(word.dictionary)[w])
+
+
+def _hashed(texts: pa.Array) -> np.ndarray:
+    return pd.util.hash_array(np.asarray(texts.to_pylist(), object), categorize=False) if len(texts) else np.zeros(0, np.uint64)
+
+
+def phrase_hashes(lang: pa.Array, phrase: pa.Array) -> np.ndarray:
+    """The hashes that ``_levels`` gives phrases, made from their texts."""
+    split = pc.split_pattern(phrase, " ")
+    words, langs = split.flatten().dictionary_encode(), lang.dictionary_encode()
+    first, n = split.offsets.to_numpy()[:-1], np.diff(split.offsets.to_numpy())
+    each = np.repeat(_hashed(langs.dictionary)[langs.indices.to_numpy(zero_copy_only=False)], n) * BASE + _hashed(words.dictionary)[words.indices.to_numpy(zero_copy_only=False)]
+    h = each[first]
+    for k in range(1, int(n.max(initial=0))):
+        longer = np.flatnonzero(n > k)
+        h[longer] = h[longer] * BASE + each[first[longer] + k]
+    return h
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -141,14 +157,14 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count(shared):
-    """Batches (lang, text) -> (lang, k, phrase, h, n): phrases counted for the first time. The first pass also gives
-    the words, and for k = 0 the number of words of each language."""
+    """Batches (lang, text) -> (lang, phrase, n): phrases counted for the first time. The first pass also gives the
+    words, and for the empty phrase the number of words of each language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = shared.value
         for batch in _pieces(batches):
             s = symbols(batch)
-            for words, h, n, known in _levels(s, tables, LONGEST):
+            for words, _, n, known in _levels(s, tables, LONGEST):
                 k = words.shape[1]
                 if k == 1 and len(tables) > 1:
                     continue
@@ -156,12 +172,11 @@ def _count(shared):
                 columns = [s.words.take(pa.array(words[new, i])) for i in range(k)]
                 phrase = pc.binary_join_element_wise(*columns, pa.scalar(" ", pa.large_string())).cast(pa.string())
                 lang = s.langs.take(pa.array(words[new, 0]))
-                yield pa.record_batch([lang, pa.array(np.full(len(new), k), pa.int32()), phrase, pa.array(h[new].view(np.int64)), pa.array(n[new], pa.int64())], names=["lang", "k", "phrase", "h", "n"])
+                yield pa.record_batch([lang, phrase, pa.array(n[new], pa.int64())], names=["lang", "phrase", "n"])
                 if k == 1:
                     every = pa.table([lang, pa.array(n, pa.int64())], names=["lang", "n"]).group_by("lang").aggregate([("n", "sum")])
                     for b in every.select(["lang", "n_sum"]).combine_chunks().to_batches():
-                        m = b.num_rows
-                        yield pa.record_batch([b.column(0), pa.array([0] * m, pa.int32()), pa.array([""] * m), pa.array([0] * m, pa.int64()), b.column(1)], names=["lang", "k", "phrase", "h", "n"])
+                        yield pa.record_batch([b.column(0), pa.array([""] * b.num_rows, pa.string()), b.column(1)], names=["lang", "phrase", "n"])
 
     return run
 
@@ -182,15 +197,18 @@ def bits_of(hashes: DataFrame) -> Bits:
     return Bits(power, table)
 
 
-def _outside(frequent: DataFrame, last: Bits) -> bool:
-    """Whether a frequent phrase that could begin or end another one isn't in the table."""
-    shared = frequent.sparkSession.sparkContext.broadcast(last)
+def _hashes_of(frequent: DataFrame, outside: Bits | None = None) -> DataFrame:
+    """(h): the hashes of phrases that could begin or end another one; with ``outside`` those that aren't in it."""
+    shared = frequent.sparkSession.sparkContext.broadcast(outside)
 
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(~shared.value.has(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
+            h = phrase_hashes(b.column(0), b.column(1))
+            if shared.value is not None:
+                h = h[~shared.value.has(h)]
+            yield pa.record_batch([pa.array(h.view(np.int64))], names=["h"])
 
-    return bool(frequent.where(F.col("k") < LONGEST).select("h").mapInArrow(test, "h bigint").head(1))
+    return frequent.where(F.col("k") < LONGEST).select("lang", "phrase").mapInArrow(run, "h bigint")
 
 
 def frequent_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: int = MIN_COUNT, sample: int = SAMPLE) -> DataFrame:
@@ -201,15 +219,17 @@ def frequent_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     some = rows.where(F.pmod("row", F.lit(sample)) == 0).select("lang", "text").mapInArrow(_propose, "h bigint, n bigint")
     tables = [bits_of(some.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= PROPOSED))]
     counted = None
+    k = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ", -1)))
     while True:
         shared = spark.sparkContext.broadcast(tables)
-        seen = rows.select("lang", "text").mapInArrow(_count(shared), "lang string, k int, phrase string, h bigint, n bigint")
-        new = settle(seen.groupBy("lang", "k", "phrase").agg(F.any_value("h").alias("h"), F.sum("n").alias("n")).where((F.col("k") == 0) | (F.col("n") >= least)))
+        seen = rows.select("lang", "text").mapInArrow(_count(shared), "lang string, phrase string, n bigint")
+        new = seen.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where((F.col("phrase") == "") | (F.col("n") >= least))
+        new = settle(new.select("lang", k.alias("k"), "phrase", "n"))
         counted = counted.unionByName(new) if counted is not None else new
         frequent = counted.where("k > 0")
-        if not _outside(frequent, tables[-1]):
-            return counted.drop("h")
-        tables.append(bits_of(frequent.where(F.col("k") < LONGEST)))
+        if not _hashes_of(frequent, tables[-1]).head(1):
+            return counted
+        tables.append(bits_of(_hashes_of(frequent)))
 
 
 def _part(words: str, start, size):
