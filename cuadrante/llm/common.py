@@ -49,6 +49,11 @@ def parts(docs: DataFrame, text_col: str, part_bytes: int) -> int:
     return max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
 
 
+def plain(name: str) -> str:
+    """A column's name in quotes, so that dots and quotes in it are no more than that."""
+    return f"`{name.replace('`', '``')}`"
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't have, for working columns beside unknown ones."""
     taken = {c.lower() for c in df.columns}

@@ -13,7 +13,8 @@ small; beyond that, every shingle leaves its row and the join shuffles on the ha
 
 Words are runs of ``[0-9a-z]`` and non-ASCII characters after lower-casing A-Z. Defined cases: null or empty texts have
 no words and no hits; items without words have no windows; equal items all count; repeated document rows come back as
-often as they came in; an empty benchmark leaves every document clean. Other columns are not read.
+often as they came in; an empty benchmark leaves every document clean, an empty table gives an empty result. A text is
+read whole in its row, whatever its length. Other columns are not read.
 """
 
 from __future__ import annotations

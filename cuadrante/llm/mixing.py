@@ -13,7 +13,8 @@ stand in their places; later passes permute anew by ``pass_order``.
 Tokens are counted in pieces of words and characters (``sharding.token_estimate``), not by a vocabulary.
 
 Defined cases: a null source is a source of its own; a null or empty text has no tokens and counts as one; repeated
-rows are treated alike; an empty table gives an empty result. A target that no exponent meets is an error. Working columns get names that the table doesn't have.
+rows are treated alike; an empty table gives an empty result. A target that no exponent meets is an error; a budget of
+0 emits nothing. Texts are counted whole, whatever their length. Working columns get names that the table doesn't have.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, free_name, settle
+from .common import BROADCAST_ROWS, free_name, plain, settle
 from .sharding import token_estimate
 
 BLOCK_TOKENS = 1_000_000
@@ -34,7 +35,10 @@ MAX_EPOCHS = 2.0
 def find_exponent(sources: DataFrame, target_entropy: float | None = None, max_epochs: float | None = None) -> float:
     """The exponent for ``sources`` (share): the smallest whose entropy is at most the target, up to MAX_EXPONENT, or,
     up to 1, with which no source is passed over more than ``max_epochs`` times at a budget of one pass over everything.
-    Both measures fall as the exponent grows; each round keeps one of WAYS sub-intervals. ValueError if none is enough."""
+    Both measures fall as the exponent grows; each round keeps one of WAYS sub-intervals. ValueError if none is enough.
+    Without a target and a limit the exponent is 1: sources as they are."""
+    if target_entropy is None and max_epochs is None:
+        return 1.0
     low, high = 0.0, 1.0 if target_entropy is None else MAX_EXPONENT
     met = False
     for _ in range(ROUNDS):
@@ -77,7 +81,7 @@ def plan_mix(docs: DataFrame, budget_tokens: float | None = None, target_entropy
     shares = sizes.withColumn("share", F.col("size") / F.lit(float(total)))
     exponent = find_exponent(shares, target_entropy, max_epochs)
     z = shares.agg(F.sum(F.pow("share", F.lit(exponent)))).first()[0]
-    budget = float(budget_tokens or total)
+    budget = float(total if budget_tokens is None else budget_tokens)
     quotas = shares.select(
         "key", "size",
         (F.pow("share", F.lit(exponent)) / z).alias("weight"),
@@ -123,4 +127,4 @@ def pass_order(order: Column, number: int) -> Column:
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus with the columns of ``docs``: each document as often as its copies."""
     planned, n = plan_mix(docs, **options)
-    return planned.where(F.col(n["copies"]) > 0).withColumn(n["block"], F.explode(F.sequence(F.lit(1), F.col(n["copies"])))).select(*[planned[c] for c in docs.columns])
+    return planned.where(F.col(n["copies"]) > 0).withColumn(n["block"], F.explode(F.sequence(F.lit(1), F.col(n["copies"])))).select(*map(plain, docs.columns))

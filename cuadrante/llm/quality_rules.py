@@ -15,7 +15,8 @@ A document is rejected by the base rule (fewer than 50 words, or over half of it
 if the failed lines hold more than ``max_lost`` of its words.
 
 Defined cases: a null or empty text has no words and is rejected by the base rule; its clean text is "". Repeated rows
-are judged one by one. Other columns pass through; columns of the same names as the results are replaced.
+are judged one by one; an empty table gives an empty result. A text is judged whole in its row, whatever its length.
+Other columns pass through; columns of the same names as the results are replaced.
 """
 
 from __future__ import annotations

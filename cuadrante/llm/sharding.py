@@ -11,7 +11,8 @@ of about half a shard, so that equal rows spread, too. Places in a shard come fr
 numbers a whole shard.
 
 Law: ``bytes`` - the shards' sizes are near equal. Defined cases: a null text has 0 bytes and belongs with the empty
-texts; repeated rows get a place each; an empty table gives an empty result.
+texts; repeated rows get a place each; an empty table gives an empty result. Texts are measured whole, whatever their
+length; a text larger than a shard's share fills one of its own. Other columns are not read.
 """
 
 from __future__ import annotations

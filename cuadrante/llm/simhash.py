@@ -19,7 +19,8 @@ texts differ without comparing a fixed share of all pairs.
 
 Defined cases: texts with one or two words have the whole sequence as their one shingle; null, empty and blank texts
 have fingerprint zero and are linked like any other. Repeated rows get equal results. A null doc_id takes part, but is
-not the name of a component unless no other id is there. An empty table gives an empty result.
+not the name of a component unless no other id is there. An empty table gives an empty result. Texts are read whole,
+whatever their length; other columns aren't read, or in ``one_of_each`` pass through under any name.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import similar
-from .common import free_name, let, lower_az, settle, slices, words
+from .common import free_name, let, lower_az, plain, settle, slices, words
 from .links import components
 
 SHINGLE = 3
@@ -209,19 +210,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def profiles(docs: DataFrame, id_col: str, text_col: str, shingle: int, hot: list[int]) -> DataFrame:
-    """(id, text_key, key, n, fp, first) of every row: key is a hash of the set of shingles, n its size, fp the
-    fingerprint of the shingles, first those that ``similar`` compares first."""
+def profiles(docs: DataFrame, id_col: str, text_col: str, shingle: int, hot: np.ndarray) -> DataFrame:
+    """(id, text_key, key, n, fp, first, sign) of every row: key is a hash of the set of shingles, n its size, fp the
+    fingerprint of the shingles, first those that ``similar`` compares first, sign their signature."""
     order = similar.Order(hot)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in slices(b, 2, similar.SLICE_BYTES)):
             hashes, counts = similar.shingled(batch.column(2), shingle)
-            keys, sizes, first = order.cut(hashes, counts)
-            yield pa.record_batch([batch.column(0), batch.column(1), keys, sizes, pa.array(majority(hashes, counts).view(np.int64)), first], names=["id", "text_key", "key", "n", "fp", "first"])
+            keys, sizes, first, sign = order.cut(hashes, counts)
+            yield pa.record_batch([batch.column(0), batch.column(1), keys, sizes, pa.array(majority(hashes, counts).view(np.int64)), first, sign], names=["id", "text_key", "key", "n", "fp", "first", "sign"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(cut, f"id {docs.schema[id_col].dataType.simpleString()}, text_key bigint, key bigint, n bigint, fp bigint, first array<bigint>")
+    return rows.mapInArrow(cut, f"id {docs.schema[id_col].dataType.simpleString()}, text_key bigint, key bigint, n bigint, fp bigint, first array<bigint>, sign binary")
 
 
 def grid_pairs(classes: DataFrame) -> DataFrame:
@@ -239,12 +240,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of each component the row with the smallest id stays, null ids last, then the smallest hash of the text; of repeated
     rows one does. The grid's pairs and those of ``similar.stars`` are verified first; what they connect is not looked
     at again, and of the remaining candidates all are verified, so the components are those of all similar pairs."""
-    rows = settle(profiles(docs, id_col, text_col, shingle, similar.hot_shingles(docs, text_col, shingle)))
-    classes = settle(rows.groupBy("key").agg(F.min("text_key").alias("text_key"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("first").alias("first")))
+    hot = similar.hot_shingles(docs, text_col, shingle)
+    rows = settle(profiles(docs, id_col, text_col, shingle, hot.column("h").to_numpy()))
+    classes = settle(rows.groupBy("key").agg(F.min("text_key").alias("text_key"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("first").alias("first"), F.any_value("sign").alias("sign")))
     source = similar.Texts(docs, text_col, shingle, classes.select("key", "text_key"))
-    members = similar.meet_at_first(classes)
+    members = similar.meet_at_first(classes, hot)
     links = settle(similar.verified(settle(grid_pairs(classes.select("key", "n", "fp")).unionByName(similar.likely(similar.stars(members)))), source))
-    rest = similar.likely(similar.apart(members, settle(components(links))))
+    rest = similar.apart(members, settle(components(links)), classes.select("key", "sign"))
     more = settle(similar.verified(settle(rest), source))
     roots = components(links.unionByName(more))
     # One row of each component: its id, the hash of its text, and how many rows are equal to it.
@@ -255,4 +257,4 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keep = settle(named.select(row_key(F.col("m.id"), F.col("m.text_key")).alias(row), F.col("m.copies").alias(many)))
     stay = docs.withColumn(row, row_key(F.col(id_col), F.xxhash64(text_col))).join(keep.hint("merge"), row)  # the same plan at every size
     once = stay.where(F.col(many) == 1).unionByName(stay.where(F.col(many) > 1).dropDuplicates([row]))
-    return once.select(*docs.columns)
+    return once.select(*map(plain, docs.columns))

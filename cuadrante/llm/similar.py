@@ -3,14 +3,19 @@
 A set of n shingles and one that it is similar to share a shingle among the first n - ceil(4n/5) + 1 of each, whatever
 order the shingles are given. Here that order is: cold shingles by hash, then hot ones from the rarest to the commonest.
 Hot are the HOT_ROWS commonest of those found HOT times or more in one of SAMPLE documents; which ones are taken
-changes the cost, never the result. Sets that meet at a shingle are candidates:
+changes the cost, never the result. Sets that meet at a shingle, a cell, are candidates:
 
-* first each set is paired with the smallest set of each of its shingles (``stars``), so a group of near copies costs one
+* first each set is paired with the smallest set of each of its cells (``stars``), so a group of near copies costs one
   pair a member and shingle, not one for every two;
-* what is still apart when those are verified is paired one by one (``apart``).
+* what is still apart when those are verified is compared within the cells (``apart``). At the first shingle that two
+  sets share, no more can be shared than stands from there on in either, and that must be enough for both sizes; and no
+  more than the first shingles that both have, counted from above by their bits, and the rest of the longer set. Only
+  pairs that both bounds leave are given out; so a boilerplate that isn't enough by itself gives none.
 
-A pair that shares c of its first shingles shares at most c plus the rest of the longer one, which removes most pairs;
-the others are verified on their whole sets. So every pair that is similar ends up connected, and by no other.
+Stars read a cell row by row. Cells of hot shingles are dealt over several tasks, each with a star of its own; cells that
+are compared are cut into squares of at most BLOCK rows a side, and the largest group that is connected already isn't
+compared with itself. Pairs are verified on their whole sets. So every pair that is similar ends up connected, and by
+no other.
 
 Defined cases: texts of fewer words than a shingle has have the whole sequence as their one shingle; null, empty and
 blank texts have none and are copies of each other. Only distinct sets take part.
@@ -35,8 +40,11 @@ SHINGLE = 5
 #: Similarity as a fraction: 4 of 5.
 PART, WHOLE = 4, 5
 SAMPLE = 16
-HOT = 20
-HOT_ROWS = 100_000
+HOT = 5
+HOT_ROWS = 1_000_000
+SALT_ROWS = 5_000  # a hot shingle's documents for each star
+BLOCK = 4_000
+SIGN = 512  # bits of a signature
 SLICE_BYTES = 8_000_000  # of text, taken at once
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -75,8 +83,8 @@ def shingled(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 class Order:
     """The order of shingles: by hash, the hot ones (given from the rarest to the commonest) last."""
 
-    def __init__(self, hot: list[int]):
-        self.ranked = np.array(hot, np.int64).view(np.uint64)
+    def __init__(self, hot: np.ndarray):
+        self.ranked = np.asarray(hot, np.int64).view(np.uint64)
         self.by_hash = np.argsort(self.ranked)
         self.known = self.ranked[self.by_hash]
 
@@ -89,8 +97,8 @@ class Order:
                 u = np.concatenate([u[~hot], self.ranked[np.sort(self.by_hash[at[hot]])]])
         return u[: prefix_size(len(u))] if len(u) else u
 
-    def cut(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
-        """(hash of each text's set, its size, its first shingles)."""
+    def cut(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array, pa.Array]:
+        """(hash of each text's set, its size, its first shingles, their signature)."""
         keys, sizes, first = [], [], []
         ends = np.cumsum(counts)
         for a, b in zip((ends - counts).tolist(), ends.tolist()):
@@ -98,12 +106,22 @@ class Order:
             keys.append(int.from_bytes(hashlib.blake2b(u.tobytes(), digest_size=8).digest(), "little", signed=True))
             sizes.append(len(u))
             first.append(self.first(u))
-        flat = np.concatenate([np.zeros(0, np.uint64), *first]).view(np.int64)
-        return pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first)]), pa.int32()), pa.array(flat))
+        flat, n = np.concatenate([np.zeros(0, np.uint64), *first]), np.array([len(u) for u in first], np.int64)
+        sign = [x.tobytes() for x in signatures(flat, n)]
+        return pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(flat.view(np.int64))), pa.array(sign, pa.binary())
 
 
-def hot_shingles(docs: DataFrame, text_col: str, width: int = SHINGLE) -> list[int]:
-    """The commonest shingles of a sample, the rarest first; at most HOT_ROWS are collected."""
+def signatures(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For consecutive runs of ``counts`` shingles a row of SIGN bits, a bit for each shingle."""
+    at = (shingles * MIX) >> np.uint64(64 - (SIGN - 1).bit_length())
+    sign = np.zeros((len(counts), SIGN // 64), np.uint64)
+    np.bitwise_or.at(sign, (np.repeat(np.arange(len(counts)), counts), (at >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (at & np.uint64(63)))
+    return sign
+
+
+def hot_shingles(docs: DataFrame, text_col: str, width: int = SHINGLE) -> pa.Table:
+    """(h, n): the commonest shingles of a sample and how many of its documents have them, the rarest first; at most
+    HOT_ROWS are collected."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in slices(b, 0, SLICE_BYTES)):
@@ -113,72 +131,73 @@ def hot_shingles(docs: DataFrame, text_col: str, width: int = SHINGLE) -> list[i
             yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["h", "n"])
 
     some = docs.where(F.pmod(F.xxhash64(text_col), F.lit(SAMPLE)) == 0).select(text_col).mapInArrow(count, "h bigint, n bigint")
-    found = some.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT).orderBy(F.desc("n"), "h").limit(HOT_ROWS).collect()
-    return [r["h"] for r in reversed(found)]
+    found = some.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT).orderBy(F.desc("n"), "h").limit(HOT_ROWS).toArrow()
+    return found.take(pa.array(np.arange(len(found))[::-1].copy()))
 
 
 # --- pairs ----------------------------------------------------------------------------------------------------------
 
 
-def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Batches sorted by the first column -> columns that hold each value's rows together; one value waits at most."""
+def _whole_cells(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """Batches sorted by their first ``keys`` columns -> columns that hold the rows of equal keys together; the rows of
+    one key wait at most."""
     held: list[list[np.ndarray]] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-        if held[0][0][0] == held[-1][0][-1]:
+        if all(held[0][k][0] == held[-1][k][-1] for k in range(keys)):
             continue
         cols = [np.concatenate(c) for c in zip(*held)]
-        cut = int(np.flatnonzero(cols[0] != cols[0][-1])[-1]) + 1
+        cut = int(np.flatnonzero(np.any([c != c[-1] for c in cols[:keys]], axis=0))[-1]) + 1
         yield [c[:cut] for c in cols]
         held = [[c[cut:] for c in cols]]
     if held:
         yield [np.concatenate(c) for c in zip(*held)]
 
 
-def _runs(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-    return starts, np.append(starts[1:], len(cell))
-
-
-def _could(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Sizes of which the smaller could be held whole by the larger at this similarity."""
-    return enough(np.minimum(na, nb), na + nb)
+def _runs(*cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin and end."""
+    starts = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cell], axis=0)]))
+    return starts, np.append(starts[1:], len(cell[0]))
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, key, n) sorted by h -> (cell, key, n, a, na): the sets of cells of two or more, with the smallest."""
-    for cell, key, n in _whole_cells(batches):
-        starts, ends = _runs(cell)
-        sizes = ends - starts
-        low = np.minimum.reduceat(key, starts)
-        many = np.repeat(sizes > 1, sizes)
-        at_low = np.flatnonzero(key == np.repeat(low, sizes))
-        low_n = n[at_low[np.searchsorted(at_low, starts)]]
-        cols = (cell, key, n, np.repeat(low, sizes), np.repeat(low_n, sizes))
-        yield pa.record_batch([pa.array(c[many], pa.int64()) for c in cols], names=["cell", "key", "n", "a", "na"])
+    """Rows (h, salt, salts, pos, key, n) sorted by h, salt, key -> (cell, pos, key, n, a, na): the sets of cells of two
+    or more, with the smallest, which comes first. One row waits, as it may be alone in its cell."""
+    held, goes_on, head = None, False, (0, 0)
 
+    def rows(cols: list[np.ndarray], a: np.ndarray, na: np.ndarray, keep: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c[keep], pa.int64()) for c in (cols[0], cols[3], cols[4], cols[5], a, na)], names=["cell", "pos", "key", "n", "a", "na"])
 
-def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cell, key, n, root) sorted by cell -> the pairs of each cell with different roots."""
-    for cell, key, n, root in _whole_cells(batches):
-        starts, ends = _runs(cell)
-        mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
-        for s, e in zip(starts[mixed].tolist(), ends[mixed].tolist()):
-            k, m, r = key[s:e], n[s:e], root[s:e]
-            step = max(1, 1_000_000 // len(k))
-            for i in range(0, len(k), step):
-                x, y = np.nonzero((k[i : i + step, None] < k[None]) & (r[i : i + step, None] != r[None]) & _could(m[i : i + step, None], m[None]))
-                if len(x):
-                    yield pa.record_batch([pa.array(c, pa.int64()) for c in (k[x + i], k[y], m[x + i], m[y])], names=["a", "b", "na", "nb"])
-
-
-def meet_at_first(classes: DataFrame) -> DataFrame:
-    """(cell, key, n, a, na): the sets that share a first shingle, the cell, with the smallest set of the cell."""
-    placed = classes.select(F.explode("first").alias("h"), "key", "n")
-    n = max(12, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return settle(placed.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_meet, "cell bigint, key bigint, n bigint, a bigint, na bigint"))
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+        if held is not None:
+            cols = [np.concatenate(c) for c in zip(held, cols)]
+        new = np.concatenate([[not goes_on], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])])
+        at = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
+        a, na = (np.where(at < 0, was, c[at]) for was, c in zip(head, (cols[4], cols[5])))
+        keep = ~new | np.append(~new[1:], False) | (cols[2] > 1)
+        keep[-1] = False
+        yield rows(cols, a, na, keep)
+        held, goes_on, head = [c[-1:] for c in cols], not new[-1], (a[-1], na[-1])
+    if held is not None and (goes_on or held[2][0] > 1):
+        yield rows(held, np.array(head[:1]), np.array(head[1:]), np.array([True]))
+
+
+def meet_at_first(classes: DataFrame, hot: pa.Table) -> DataFrame:
+    """(cell, pos, key, n, a, na): the sets that share a first shingle, the cell, with its place among their first ones
+    and with the smallest set of the cell, or of the cell's part if the shingle is hot."""
+    spark = classes.sparkSession
+    placed = classes.select(F.posexplode("first").alias("pos", "h"), "key", "n")
+    salts = -(-hot.column("n").to_numpy() * SAMPLE // SALT_ROWS)
+    many = [(int(h), int(k)) for h, k in zip(hot.column("h").to_numpy()[salts > 1], salts[salts > 1])]  # of HOT_ROWS at most
+    placed = placed.join(F.broadcast(spark.createDataFrame(many, "h bigint, salts bigint")), "h", "left") if many else placed.withColumn("salts", F.lit(None).cast("long"))
+    placed = placed.select("h", F.pmod(F.xxhash64("key"), F.coalesce("salts", F.lit(1))).alias("salt"), F.coalesce("salts", F.lit(1)).alias("salts"), "pos", "key", "n")
+    n = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return settle(placed.repartition(n, "h", "salt").sortWithinPartitions("h", "salt", "key").mapInArrow(_meet, "cell bigint, pos bigint, key bigint, n bigint, a bigint, na bigint"))
 
 
 def stars(members: DataFrame) -> DataFrame:
@@ -186,11 +205,55 @@ def stars(members: DataFrame) -> DataFrame:
     return members.where("key <> a").select("a", F.col("key").alias("b"), "na", F.col("n").alias("nb"))
 
 
-def apart(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b, na, nb): the pairs of each cell that ``roots`` (node, root) doesn't connect."""
-    at = members.join(roots, members["key"] == roots["node"], "left").select("cell", "key", "n", F.coalesce("root", "key").alias("root"))
+def _rest(n):
+    """How many of ``n`` shingles aren't among the first."""
+    return (PART * n + WHOLE - 1) // WHOLE - 1
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, across, down, side, key, pos, n, root, minor, sign) sorted by the first three -> (a, b): of each
+    square the pairs of a row of side 0, all of which are minor, and one of side 1 that may be similar."""
+    for cols in _whole_cells(batches, 3):
+        for s, e in zip(*_runs(*cols[:3])):
+            side, key, pos, n, root, minor = (c[s:e] for c in cols[3:9])
+            sign = np.frombuffer(b"".join(cols[9][s:e]), np.uint64).reshape(e - s, -1)
+            slack = prefix_size(n) - np.bitwise_count(sign).sum(axis=1, dtype=np.int64)
+            left = n - pos
+            x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            step = max(1, 1_000_000 // max(1, len(y)))
+            for i in range(0, len(x), step):
+                u = x[i : i + step, None]
+                could = (root[u] != root[y]) & ((minor[y] == 0) | (key[u] < key[y])) & enough(np.minimum(left[u], left[y]), n[u] + n[y])
+                p, q = np.nonzero(could)
+                p, q = x[p + i], y[q]
+                both = np.zeros(len(p), np.int64)
+                for w in range(sign.shape[1]):
+                    both += np.bitwise_count(sign[p, w] & sign[q, w])
+                most = np.minimum(both + np.minimum(slack[p], slack[q]) + np.maximum(_rest(n[p]), _rest(n[q])), np.minimum(n[p], n[q]))
+                ok = enough(most, n[p] + n[q])
+                if ok.any():
+                    yield pa.record_batch([pa.array(f(key[p[ok]], key[q[ok]])) for f in (np.minimum, np.maximum)], names=["a", "b"])
+
+
+def apart(members: DataFrame, roots: DataFrame, signs: DataFrame) -> DataFrame:
+    """(a, b): pairs that ``roots`` (node, root) doesn't connect and that may be similar. ``signs`` (key, sign)."""
+    at = members.join(roots, members["key"] == roots["node"], "left").select("cell", "key", "pos", "n", F.coalesce("root", "key").alias("root"))
+    # The smaller set of a pair has, at the first shared shingle, at least 8 of 9 of its shingles left.
+    small = WHOLE * (F.col("n") - F.col("pos")) + PART * (F.col("n") - F.col("pos")) >= 2 * PART * F.col("n")
+    each = at.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("rows"), F.count_if(small).alias("small"))
+    mixed = each.groupBy("cell").agg(F.max(F.struct("rows", "root")).alias("major"), F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("roots"), F.sum("small").alias("small")).where("roots > 1 and small > 0")
+    squares = lambda n: F.ceil(n / BLOCK).cast("long")
+    sides = mixed.select("cell", F.col("major.root").alias("major"), squares(F.col("rows") - F.col("major.rows")).alias("n_across"), squares(F.col("rows")).alias("n_down"))
+    rows = at.join(sides, "cell").join(signs, "key").withColumn("minor", F.col("root") != F.col("major"))
+    own = lambda n: F.pmod(F.xxhash64("key"), F.col(n))
+    part = lambda side, across, down: F.struct(F.lit(side).alias("side"), across.alias("across"), down.alias("down"))
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    base = F.when(F.col("minor"), F.transform(every("n_down"), lambda d: part(0, own("n_across"), d))).otherwise(F.array().cast("array<struct<side:int,across:bigint,down:bigint>>"))
+    dealt = rows.withColumn("t", F.explode(F.concat(base, F.transform(every("n_across"), lambda a: part(1, a, own("n_down"))))))
     n = max(12, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return at.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(_apart, "a bigint, b bigint, na bigint, nb bigint")
+    dealt = dealt.select("cell", "t.across", "t.down", F.col("t.side").cast("long").alias("side"), "key", "pos", "n", "root", F.col("minor").cast("long").alias("minor"), "sign")
+    by = ["cell", "across", "down"]
+    return dealt.repartition(n, *by).sortWithinPartitions(*by).mapInArrow(_apart, "a bigint, b bigint").distinct()
 
 
 def likely(pairs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ length the longer host does, then block over allow.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and fits no rule. A rule with an empty
 host never fits. Repeated rows come back as often as they came in. Other columns of the table are not read. An empty
-table gives an empty result.
+table gives an empty result. Of a long url only prefixes of lengths that rules have are hashed.
 """
 
 from __future__ import annotations

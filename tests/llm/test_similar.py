@@ -105,3 +105,55 @@ def test_parts_of_a_batch_keep_their_texts():
         whole = similar.shingled(batch.column(1), 5)
         each = [similar.shingled(p.column(1), 5) for p in parts]
         assert [h for e in each for h in e[0].tolist()] == whole[0].tolist() and [c for e in each for c in e[1].tolist()] == whole[1].tolist()
+
+
+def test_a_boilerplate_gives_no_pairs(spark):
+    """Documents with 85 of 100 shingles in common, which isn't enough: no pair of them is given out, and none goes."""
+    shared = " ".join(f"s{i}" for i in range(89))
+    rows = [(i, shared + " " + " ".join(f"u{i}x{k}" for k in range(15))) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    hot = similar.hot_shingles(docs, "text")
+    profiled = simhash.profiles(docs, "doc_id", "text", 5, hot.column("h").to_numpy())
+    members = similar.meet_at_first(profiled, hot)
+    none = spark.createDataFrame([], "node long, root long")
+    assert members.count() >= 3000 and similar.apart(members, none, profiled.select("key", "sign")).count() <= 10 * 3000
+    assert simhash.one_of_each(docs).count() == 3000
+
+
+def test_paragraphs_from_a_pool(spark):
+    """Three of a pool of paragraphs each: many common shingles, few similar texts."""
+    rng = random.Random(2)
+    pool = [" ".join(f"p{k}w{i}" for i in range(40)) for k in range(12)]
+    rows = [(i, " ".join(rng.sample(pool, 3)) + (f" tail{i}" if i % 2 else "")) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect()) == brute_kept(rows)
+
+
+def test_hot_cells_are_dealt_out(spark, monkeypatch):
+    """A group of near copies whose cells are cut into parts with a star each, and into squares."""
+    monkeypatch.setattr(similar, "SALT_ROWS", 20)
+    monkeypatch.setattr(similar, "BLOCK", 16)
+    monkeypatch.setattr(similar, "SAMPLE", 2)
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(300):
+        copy = base[:]
+        copy[rng.randrange(60)] = f"other{i}"
+        rows.append((i, " ".join(copy if i % 3 else copy[:30] + [f"z{i}_{k}" for k in range(30)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    hot = similar.hot_shingles(docs, "text")
+    assert (-(-hot.column("n").to_numpy() * 2 // 20)).max() > 3
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect()) == brute_kept(rows)
+
+
+def test_any_column_names_pass_the_stages(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    text = "\n".join(f"This is line number {i}, which has quite a few words and ends well." for i in range(12))
+    rows = [(i, text.replace("line", f"w{i}"), "en", "s", 1, "x", 2) for i in range(4)] + [(9, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, `q``r.s` int")
+    for _, stage in pipeline.STAGES[:-1]:
+        for table in (docs, docs.limit(0)):
+            out = stage(spark, table, "/root/testdata/sf0.001")
+            assert out.columns == docs.columns and out.count() <= table.count()
+    assert pipeline.STAGES[-1][1](spark, docs, "").count() == 5 and pipeline.STAGES[-1][1](spark, docs.limit(0), "").count() == 0
