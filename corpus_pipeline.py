@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
 ``run`` writes each stage's rows to the shared folder and reads them back for the next.
+
+Defined cases: null, empty and blank texts are rejected by the quality rules, as too short. Of repeated rows and equal
+texts one stays after near-duplicates, of a tie the smallest doc_id, null ids last. A null source is a source of its
+own, a null lang or n_chars passes through. Very long texts are read whole. An empty table, or one of which nothing
+stays, gives an empty result. Other columns pass through up to the last stage, which reads doc_id and text only; they
+may have any names that differ from those of documents in more than case, dots and quotes included. Without an n_chars
+column none is made.
 """
 
 from __future__ import annotations
@@ -10,13 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuadrante.llm import decontaminate, mixing, quality_rules, sharding, simhash
-from cuadrante.llm.common import free_name, settle
+from cuadrante.llm.common import free_name, plain, settle
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the others lose the lines that failed, and n_chars follows."""
     kept = quality_rules.clean(docs)  # columns keep their names, whatever these are
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else kept
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*map(plain, docs.columns)) if "n_chars" in docs.columns else kept
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
