@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: White space but for the plain space, as ranges: every character of every text is looked up.
 ODD_SPACE = r"\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: What a browser trims: no control characters but these, and the byte order mark.
+BROWSER_SPACE = r"\t-\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: Runs of white space that aren't one plain space already.
 SPACE = rf" [ {ODD_SPACE}]+|[{ODD_SPACE}][ {ODD_SPACE}]*"
 
@@ -51,6 +53,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def strip(c: Column, space: str = " " + ODD_SPACE) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(c, rf"\A[{space}]+|[{space}]+\z", "")
+
+
 def clean(c: Column) -> Column:
     """Never null: odd spaces and dashes made plain, runs of space made one, ends trimmed."""
     return F.trim(F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), " –—", " --"), SPACE, " "))
@@ -81,8 +88,8 @@ def comparable(c: Column) -> Column:
 
 
 def searchable(c: Column) -> Column:
-    """Of the subject picker: lower case without accents, trimmed."""
-    return F.trim(fold(c, F.lower(F.coalesce(c, F.lit("")))))
+    """Of the subject picker: lower case without accents, trimmed as a browser does."""
+    return strip(fold(c, F.lower(F.coalesce(c, F.lit("")))), BROWSER_SPACE)
 
 
 def hour(c: Column) -> Column:
@@ -143,8 +150,8 @@ def stamp(moment: Column) -> Column:
 
 
 def notes_of(c: Column) -> Column:
-    """Non-empty trimmed lines of a text."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    """Non-empty lines of a text, trimmed as a browser does."""
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), lambda x: strip(x, BROWSER_SPACE)), lambda x: x != "")
 
 
 def escape_html(c: Column) -> Column:

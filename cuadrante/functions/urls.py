@@ -7,19 +7,27 @@ from html.entities import name2codepoint
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import free_column
+from .text import free_column, strip
 
 #: Endings of links that are never followed.
 SKIPPED = ("jpg", "jpeg", "png", "gif", "svg", "webp", "css", "js", "zip", "rar", "7z", "doc", "docx", "xls", "xlsx", "ppt", "pptx")
 SPLIT = r"^(?i)(https?)://([^/?#]*)([^?#]*)(\?[^#]*)?"
 
 
+def written(url: Column) -> Column:
+    """A url as it is meant: without white space and control characters before it, white space after it, and tabs and
+    line breaks inside."""
+    return F.regexp_replace(strip(url), r"\A[\x00-\x20]+|[\t\r\n]", "")
+
+
 def normalize(url: Column) -> Column:
-    """Without fragment, scheme and host in lower case, at least "/" as path; null if it isn't http or https."""
-    t = F.trim(url)
+    """Without fragment, scheme and host in lower case, at least "/" as path, no mark of an empty query or of empty
+    parameters; null if it isn't http or https."""
+    t = written(url)
     part = lambda i: F.regexp_extract(t, SPLIT, i)
-    path = F.when(part(3) == "", "/").otherwise(part(3))
-    return F.when(t.rlike(SPLIT), F.concat(F.lower(part(1)), F.lit("://"), F.lower(part(2)), path, part(4)))
+    path = F.when(part(3) == "", "/").otherwise(F.regexp_replace(part(3), r"(/[^/;]*);\z", "$1"))
+    query = F.when(part(4) == "?", "").otherwise(part(4))
+    return F.when(t.rlike(SPLIT), F.concat(F.lower(part(1)), F.lit("://"), F.lower(part(2)), path, query))
 
 
 def host(url: Column) -> Column:
@@ -27,7 +35,8 @@ def host(url: Column) -> Column:
 
 
 def path(url: Column) -> Column:
-    return F.regexp_extract(url, SPLIT, 3)
+    """Without the parameters of its last part, which follow a semicolon."""
+    return F.regexp_replace(F.regexp_extract(url, SPLIT, 3), r";[^/]*\z", "")
 
 
 def is_pdf(url: Column) -> Column:
@@ -66,7 +75,7 @@ def resolve(base: Column, href: Column) -> Column:
     return (
         F.when(href.rlike(r"^(?i)[a-z][a-z0-9+.\-]*:"), href)
         .when(F.startswith(href, F.lit("//")), F.concat(scheme, F.lit(":"), href))
-        .when(F.startswith(href, F.lit("#")), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), href))
+        .when(F.startswith(href, F.lit("#")) | href.isin("", "?") | F.startswith(href, F.lit("?#")), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), F.regexp_replace(href, r"\A\?", "")))
         .when(F.startswith(href, F.lit("?")), F.concat(own, href))
         .otherwise(joined)
     )
@@ -107,8 +116,8 @@ def hrefs(html: Column) -> Column:
 
 def extract_links(pages: DataFrame) -> DataFrame:
     """(page_id, link): the distinct absolute links of each page of (page_id, url, html)."""
-    raw = pages.select("page_id", "url", F.explode(hrefs(F.col("html"))).alias("href")).withColumn("href", F.trim("href")).where("href <> ''")
-    return raw.select("page_id", normalize(resolve(F.col("url"), F.col("href"))).alias("link")).where("link is not null").distinct()
+    raw = pages.select("page_id", "url", F.explode(hrefs(F.col("html"))).alias("href")).withColumn("href", strip(F.col("href"))).where("href <> ''")
+    return raw.select("page_id", normalize(resolve(written(F.col("url")), written(F.col("href")))).alias("link")).where("link is not null").distinct()
 
 
 def content_kind(content_type: Column) -> Column:

@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..functions.text import strip
 
 MAX_DEPTH, MAX_PAGES = 2, 50
 
 
 def start_problem(url: Column) -> Column:
     """What is wrong with a start url: "empty" or "scheme"; null if nothing is."""
-    t = F.trim(F.coalesce(url, F.lit("")))
+    t = strip(F.coalesce(url, F.lit("")))
     return F.when(t == "", "empty").when(~(F.startswith(t, F.lit("http://")) | F.startswith(t, F.lit("https://"))), "scheme")
 
 

@@ -113,13 +113,20 @@ def find(table: DataFrame, item: str) -> DataFrame:
 
 
 def facets(table: DataFrame) -> DataFrame:
-    """(facet, value), sorted: distinct values of each facet that aren't missing. One pass: every item gives its values,
-    and the distinct ones are found before anything moves."""
+    """(facet, value), sorted: distinct values of each facet that aren't missing, years and semesters as numbers, all
+    others as text, statuses in their own order. One pass: every item gives its values, and the distinct ones are found
+    before anything moves."""
     value = lambda name, c: F.struct(F.lit(name).alias("facet"), F.when(~T.blank(c.cast("string")), c.cast("string")).alias("value"))
     own = F.array(*[value(n, F.col(c)) for n, c in (("years", "year"), ("semesters", "semester"), ("groups", "grp"), ("days", "day"), ("pdfs", "file"))])
     found = F.concat(own, F.transform("issues", lambda x: value("issues", x)))
     out = table.select(F.explode(found).alias("x")).select("x.*").where("value is not null").distinct()
-    return out.unionByName(table.sparkSession.createDataFrame([("statuses", s) for s in STATUSES], out.schema)).orderBy("facet", F.col("value").try_cast("int"), "value")
+    return out.unionByName(table.sparkSession.createDataFrame([("statuses", s) for s in STATUSES], out.schema)).orderBy(*facet_order())
+
+
+def facet_order() -> list[Column]:
+    number = F.when(F.col("facet").isin("years", "semesters"), F.col("value").try_cast("int"))
+    place = F.when(F.col("facet") == "statuses", F.array_position(F.array(*map(F.lit, STATUSES)), F.col("value")))
+    return [F.col("facet"), number, place, F.col("value")]
 
 
 def degree_facet(table: DataFrame) -> DataFrame:
@@ -132,7 +139,8 @@ def degree_facet(table: DataFrame) -> DataFrame:
 
 def tree(table: DataFrame) -> DataFrame:
     """(degree, year, semester, grp, level, n, degree_code): counts of all prefixes of the four levels; labels stand for
-    what is missing, and degree_code is that of the degree's first item."""
+    what is missing, and degree_code is that of the degree's first item. In order: a node before its children, and those
+    of a node by their labels as text."""
     rows = table.select(
         F.coalesce(T.null_if_blank(F.col("degree_name")), F.lit(NO_DEGREE)).alias("degree"),
         F.coalesce(F.col("year").cast("string"), F.lit(NO_YEAR)).alias("year"),
@@ -142,7 +150,8 @@ def tree(table: DataFrame) -> DataFrame:
     )
     counts = rows.rollup("degree", "year", "semester", "grp").agg(F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n"), F.min_by("degree_code", "item_ord").alias("degree_code"))
     level = F.when(F.col("g") == 7, 1).when(F.col("g") == 3, 2).when(F.col("g") == 1, 3).when(F.col("g") == 0, 4)
-    return counts.withColumn("level", level).where("level is not null").select("degree", "year", "semester", "grp", "level", "n", F.when(F.col("level") == 1, F.col("degree_code")).alias("degree_code"))
+    by_label = [F.col("degree"), *[F.col(c).asc_nulls_first() for c in ("year", "semester", "grp")]]
+    return counts.withColumn("level", level).where("level is not null").orderBy(*by_label).select("degree", "year", "semester", "grp", "level", "n", F.when(F.col("level") == 1, F.col("degree_code")).alias("degree_code"))
 
 
 SUMMARY = ("pdfs_found", "pdfs_processed", "pdfs_failed", "accepted_records", "records_with_warnings", "rejected_records")

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import crawl, intervals, layout, legacy, parsing, quality, records, review, timetable
-from ..sources.shared import settle, spread
+from ..sources import io
+from ..sources.shared import scratch, spread
 from . import sql as S
 from .sched import cells, sched
 
@@ -36,16 +37,34 @@ def built(spark, sf_dir):
     return records.build(cells(spark, sf_dir))
 
 
-_STORED: dict[tuple[str, str], DataFrame] = {}
+_STORED: dict[tuple, tuple[str, DataFrame]] = {}
 
 
-def item_table(spark, sf_dir):
-    """The review's items, built once an application and stored, as a review has them: its queries read columns of
-    Parquet and push their filters down."""
-    key = spark.sparkContext.applicationId, sf_dir
+def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[str], DataFrame]) -> DataFrame:
+    """What ``make`` writes to a path and returns: made once an application and input; again if the input's files have
+    changed or what was written is gone."""
+    fs, Path = io._fs(spark, sf_dir)
+    state = tuple(sorted((x.getPath().getName(), x.getLen(), x.getModificationTime()) for x in fs.listStatus(Path(sf_dir))))
+    key = spark.sparkContext.applicationId, sf_dir, name, state
+    if key in _STORED:
+        fs, Path = io._fs(spark, _STORED[key][0])
+        if not fs.exists(Path(_STORED[key][0])):
+            del _STORED[key]
     if key not in _STORED:
-        _STORED[key] = settle(review.items(built(spark, sf_dir)))
-    return _STORED[key]
+        path = scratch(spark)
+        _STORED[key] = path, make(path)
+    return _STORED[key][1]
+
+
+def item_table(spark, sf_dir):
+    """The review's items as a review has them: its queries read columns of Parquet and push their filters down."""
+
+    def make(path: str) -> DataFrame:
+        items = review.items(built(spark, sf_dir))
+        items.write.parquet(path)
+        return spark.read.schema(items.schema).parquet(path)
+
+    return stored(spark, sf_dir, "items", make)
 
 
 def scalar(name: str, source: str, key: str, column: str, spark_fn, sql_fn):
@@ -54,7 +73,7 @@ def scalar(name: str, source: str, key: str, column: str, spark_fn, sql_fn):
 
     def run(spark, sf_dir):
         rows = sched(spark, sf_dir) if source == "sched" else table(spark, sf_dir, source)
-        return rows.select(key, spark_fn(F.col(column)).alias("value"))
+        return rows.select(key, spark_fn(F.expr(column)).alias("value"))
 
     query(name, f"{head}SELECT {key}, {sql_fn(column)} AS value FROM {source}")(run)
 
@@ -62,7 +81,9 @@ def scalar(name: str, source: str, key: str, column: str, spark_fn, sql_fn):
 scalar("text_clean", "documents", "doc_id", "text", T.clean, S.clean)
 scalar("text_fold", "documents", "doc_id", "text", T.fold, S.fold)
 scalar("comparison_text", "documents", "doc_id", "text", T.comparable, S.comparable)
-scalar("search_text", "documents", "doc_id", "text", T.searchable, lambda x: f"trim(strip_accents(lower(coalesce({x}, ''))), ' ')")
+_BROWSER = r"\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+_TRIM = lambda x: rf"regexp_replace({x}, '\A[{_BROWSER}]+|[{_BROWSER}]+\z', '', 'g')"
+scalar("search_text", "documents", "doc_id", "chr(9) || chr(13) || text || chr(160) || chr(10)", T.searchable, lambda x: _TRIM(f"strip_accents(lower(coalesce({x}, '')))"))
 scalar("hour_norm", "sched", "ord", "start_time", T.hour, S.hour)
 scalar("year_norm", "sched", "ord", "academic_year_raw", T.academic_year, S.year)
 scalar("group_norm", "sched", "ord", "grp", T.group, S.group)
@@ -79,9 +100,13 @@ def next_hour(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", T.next_hour(F.concat_ws(":", F.hour("ts").cast("string"), F.minute("ts").cast("string"))).alias("value"))
 
 
-@query("notes_lines", r"SELECT doc_id, count(*) AS n, min(line) AS first_line FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM documents) WHERE line <> '' GROUP BY doc_id")
+_NOTES = "replace(text, chr(10), chr(9) || chr(13) || chr(10) || chr(13) || chr(10) || chr(9))"
+
+
+@query("notes_lines", f"SELECT doc_id, count(*) AS n, min(line) AS first_line FROM (SELECT doc_id, {_TRIM('line')} AS line FROM (SELECT doc_id, unnest(string_split({_NOTES}, chr(10))) AS line FROM documents)) WHERE line <> '' GROUP BY doc_id")
 def notes_lines(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.notes_of(F.col("text"))).alias("line"))
+    """Lines that end in carriage returns, with empty lines between them, and begin with tabs."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.notes_of(F.expr(_NOTES))).alias("line"))
     return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("first_line"))
 
 
@@ -236,9 +261,17 @@ _ORDER = "coalesce(degree_name, ''), coalesce(year, 99), coalesce(semester, 99),
 query("review_page", f"WITH {S.ITEMS} SELECT {_SHOWN} FROM items WHERE day = 'JUEVES' ORDER BY {_ORDER} LIMIT 50 OFFSET 100")(lambda s, d: review.page(review.apply_filters(item_table(s, d), {"day": "JUEVES"}), 3, 50).select(*SHOWN))
 query("review_page_clamped", f"WITH {S.ITEMS} SELECT {_SHOWN} FROM items ORDER BY {_ORDER} LIMIT 200")(lambda s, d: review.page(item_table(s, d), 0, 500).select(*SHOWN))
 query("point_lookup", f"WITH {S.ITEMS} SELECT {_SHOWN} FROM items WHERE id = 'a' || left(sha1('accepted|F3.pdf|1|1'), 20) LIMIT 1")(lambda s, d: review.find(item_table(s, d), "a" + __import__("hashlib").sha1(b"accepted|F3.pdf|1|1").hexdigest()[:20]).select(*SHOWN))
-query("facets", f"""WITH {S.ITEMS} SELECT DISTINCT facet, value FROM (SELECT 'years' AS facet, CAST(year AS VARCHAR) AS value FROM items WHERE year IS NOT NULL UNION ALL SELECT 'semesters', CAST(semester AS VARCHAR) FROM items WHERE semester IS NOT NULL
+_FACETS = f"""{S.ITEMS}, facets AS (SELECT DISTINCT facet, value FROM (SELECT 'years' AS facet, CAST(year AS VARCHAR) AS value FROM items WHERE year IS NOT NULL UNION ALL SELECT 'semesters', CAST(semester AS VARCHAR) FROM items WHERE semester IS NOT NULL
  UNION ALL SELECT 'groups', grp FROM items WHERE grp <> '' UNION ALL SELECT 'days', day FROM items WHERE day <> '' UNION ALL SELECT 'pdfs', file FROM items WHERE file <> '' UNION ALL SELECT 'statuses', unnest(['VALID', 'WARNING', 'INVALID'])
- UNION ALL SELECT 'issues', issue FROM (SELECT unnest([i1, i2, i3, i4, i5, i6, i7]) AS issue FROM items) WHERE issue IS NOT NULL)""")(lambda s, d: review.facets(item_table(s, d)))
+ UNION ALL SELECT 'issues', issue FROM (SELECT unnest([i1, i2, i3, i4, i5, i6, i7]) AS issue FROM items) WHERE issue IS NOT NULL))"""
+
+
+@query("facets", f"""WITH {_FACETS} SELECT facet, value, row_number() OVER (ORDER BY facet, CASE WHEN facet IN ('years', 'semesters') THEN CAST(value AS INT) WHEN value = 'VALID' THEN 1 WHEN value = 'WARNING' THEN 2 WHEN value = 'INVALID' THEN 3 END, value) AS place FROM facets""")
+def facets(spark, sf_dir):
+    """With their places: the values are as many as a form shows."""
+    return review.facets(item_table(spark, sf_dir)).withColumn("place", F.row_number().over(Window.orderBy(*review.facet_order())).cast("long"))
+
+
 def coded(spark, sf_dir):
     """Items of which some have a degree code, one that differently named degrees share."""
     code = F.when(F.col("ord") % 3 == 0, F.concat(F.lit("G"), F.length("degree_name").cast("string"))).when(F.col("ord") % 3 == 1, "")
@@ -476,7 +509,10 @@ def links(spark, sf_dir):
 
 query("links_extract", f"{LINKS_SQL} SELECT page_id, link FROM l")(links)
 query("dedup_links", f"{LINKS_SQL} SELECT DISTINCT link FROM l")(lambda s, d: links(s, d).select("link").distinct())
-query("url_normalise", f"SELECT page_id, {NORM('url')} AS link FROM pages")(lambda s, d: table(s, d, "pages").select("page_id", U.normalize(F.col("url")).alias("link")))
+# Urls with what pages and people put around and into them.
+_WRITTEN = "CASE page_id % 8 WHEN 0 THEN url WHEN 1 THEN url || '?' WHEN 2 THEN url || '?#part' WHEN 3 THEN chr(9) || url || chr(13) || chr(10) WHEN 4 THEN chr(160) || replace(url, '/', chr(10) || '/') || chr(9) WHEN 5 THEN upper(url) || '#x' WHEN 6 THEN url || ';' ELSE 'mailto:' || url END"
+query("url_normalise", rf"""SELECT page_id, {NORM('u')} AS link FROM (SELECT page_id, CASE WHEN regexp_matches(w, '^[^?#]*[?](#.*)?$') THEN regexp_extract(w, '^[^?]*') WHEN regexp_matches(w, '^[^?#;]*//[^?#;]*/[^/?#;]*;$') THEN left(w, length(w) - 1) ELSE w END AS u
+ FROM (SELECT page_id, translate({_WRITTEN}, chr(9) || chr(10) || chr(13) || chr(160), '') AS w FROM pages))""")(lambda s, d: table(s, d, "pages").select("page_id", U.normalize(F.expr(_WRITTEN)).alias("link")))
 
 
 _ENDINGS = ("", ".jpg", ".JPEG", ".png", ".gif", ".svg", ".webp", ".css", ".js", ".zip", ".rar", ".7z", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".ico", ".mp4", ".mp3", ".pdf", ".PDF?x=1", "?f=.webp")
@@ -548,10 +584,13 @@ def legacy_summary(spark, sf_dir):
     return legacy.summary(rows.select("file").distinct(), rows)
 
 
-@query("crawl_found", f"{LINKS_SQL} SELECT DISTINCT link AS url, 0 AS on_depth FROM l JOIN pages USING (page_id) WHERE {NORM('url')} = (SELECT {NORM('url')} FROM pages ORDER BY page_id LIMIT 1) AND ends_with(lower(regexp_extract(link, '^[^?#]*')), '.pdf') AND lower(regexp_extract(link, '^https?://([^/?#]*)', 1)) = (SELECT lower(regexp_extract(url, '(?i)^https?://([^/?#]*)', 1)) FROM pages ORDER BY page_id LIMIT 1)")
+_PDFS = "html || '<a href=\"/f/' || cast(page_id % 3 as varchar(9)) || '.pdf\">f</a><A HREF=''/g.PDF?v=1''>g</A>'"
+
+
+@query("crawl_found", f"{LINKS_SQL.replace('FROM pages', f'FROM (SELECT page_id, url, {_PDFS} AS html FROM pages)')} SELECT DISTINCT link AS url, 0 AS on_depth FROM l JOIN pages USING (page_id) WHERE {NORM('url')} = (SELECT {NORM('url')} FROM pages ORDER BY page_id LIMIT 1) AND ends_with(lower(regexp_extract(link, '^[^?#]*')), '.pdf') AND lower(regexp_extract(link, '^https?://([^/?#]*)', 1)) = (SELECT lower(regexp_extract(url, '(?i)^https?://([^/?#]*)', 1)) FROM pages ORDER BY page_id LIMIT 1)")
 def crawl_found(spark, sf_dir):
-    """PDFs of the first page, as the crawl has it."""
-    pages = table(spark, sf_dir, "pages")
+    """PDFs of the first page, as the crawl has it; every page links to two."""
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.expr(_PDFS))
     return crawl.crawl(pages, pages.orderBy("page_id").first()["url"])[1]
 
 
@@ -565,7 +604,7 @@ def crawl_visited(spark, sf_dir):
 
 @query("start_problems", "SELECT page_id, CASE page_id % 3 WHEN 1 THEN 'empty' WHEN 2 THEN 'scheme' ELSE CASE WHEN starts_with(url, 'http://') OR starts_with(url, 'https://') THEN NULL ELSE 'scheme' END END AS problem FROM pages")
 def start_problems(spark, sf_dir):
-    given = F.when(F.col("page_id") % 3 == 1, F.lit("  ")).when(F.col("page_id") % 3 == 2, F.concat(F.lit("ftp:"), "url")).otherwise(F.concat(F.lit(" "), "url"))
+    given = F.when(F.col("page_id") % 3 == 1, F.lit(" \t\r\n\u3000")).when(F.col("page_id") % 3 == 2, F.concat(F.lit("ftp:"), "url")).otherwise(F.concat(F.lit("\n\t "), "url"))
     return table(spark, sf_dir, "pages").select("page_id", crawl.start_problem(given).alias("problem"))
 
 

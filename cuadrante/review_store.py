@@ -1,13 +1,17 @@
 """The review as a user sees it: a stored item table, its queries, and edits by one or several writers.
 
 Items are a versioned table; edits are events in a log of small files beside it, one for each edit, numbered without
-gaps. A writer creates the file of the next number, which fails if another one was first, so no edit is lost and none
-overwrites another. Reading replays the log over the items; ``compact`` stores the outcome as a new version.
+gaps. A writer creates the file of the next number, which fails if another one was first, so none overwrites another.
+Reading replays the log over the items; ``compact`` stores the outcome as a new version. It closes the log first, by an
+event that takes the next number: every edit with a smaller number is in the new version, and a writer that comes after
+it gets Conflict, until the new version is there. So an edit that was acknowledged is never lost. If ``compact`` is cut
+off, the log stays closed and reading goes on; calling it again ends the work.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,7 +80,10 @@ class Review:
         return f"{self.folder}/items"
 
     def refresh(self, records: DataFrame) -> int:
-        """New items from an extraction; the version before stays as a backup, and its edits with it."""
+        """New items from an extraction; the version before stays as a backup, and its edits with it. Its log is closed
+        first, so no edit is acknowledged that the new items haven't seen."""
+        if io.versions(self.spark, self._items()):
+            self._close(self._version())
         return io.replace_table(review.items(records), self._items())
 
     def ensure(self, records: DataFrame) -> int:
@@ -96,11 +103,27 @@ class Review:
     def _events(self, version: int) -> int:
         fs, Path = io._fs(self.spark, self.folder)
         path = Path(self._log_folder(version))
-        return len(fs.listStatus(path)) if fs.exists(path) else 0
+        return sum(bool(re.fullmatch(r"\d{10}\.json", x.getPath().getName())) for x in fs.listStatus(path)) if fs.exists(path) else 0
+
+    def _event(self, version: int, number: int) -> str:
+        return f"{self._log_folder(version)}/{number:010d}.json"
+
+    def _closed(self, version: int, known: int) -> bool:
+        return known > 0 and json.loads(io.read_text(self.spark, self._event(version, known)))["kind"] == "close"
+
+    def _close(self, version: int) -> None:
+        """Give the log its last event; edits that come in meanwhile go before it."""
+        while not self._closed(version, known := self._events(version)):
+            try:
+                io.create_text(self.spark, self._event(version, known + 1), json.dumps({"seq": known + 1, "version": version, "kind": "close"}))
+            except io.Conflict:
+                continue
 
     def items(self) -> DataFrame:
         """All items as they are now."""
-        version = self._version()
+        return self._replayed(self._version())
+
+    def _replayed(self, version: int) -> DataFrame:
         table = io.read_table(self.spark, self._items(), version=version)
         if not self._events(version):
             return table
@@ -130,10 +153,12 @@ class Review:
         known = self._events(version)
         if expected is not None and expected != known:
             raise io.Conflict(f"{known} edits by now, {expected} expected")
+        if self._closed(version, known):
+            raise io.Conflict("the items are being stored anew")
         if not review.find(io.read_table(self.spark, self._items(), version=version), item).count():
             raise NotFound(item)
         line = json.dumps({"seq": known + 1, "version": version, "id": item, **event}, ensure_ascii=False)
-        io.create_text(self.spark, f"{self._log_folder(version)}/{known + 1:010d}.json", line)
+        io.create_text(self.spark, self._event(version, known + 1), line)
         return known + 1
 
     def edit(self, item: str, payload: Mapping, expected: int | None = None) -> int:
@@ -151,4 +176,6 @@ class Review:
 
     def compact(self) -> int:
         """Store the items as they are as a new version, whose log is empty."""
-        return io.replace_table(self.items(), self._items())
+        version = self._version()
+        self._close(version)
+        return io.replace_table(self._replayed(version), self._items())

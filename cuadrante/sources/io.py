@@ -96,19 +96,49 @@ class Conflict(RuntimeError):
     """Another writer was first."""
 
 
+#: Stores whose renaming isn't one step that fails if the name is taken.
+NO_RENAME = ("s3", "s3a", "s3n", "gs", "oss", "cosn", "wasb", "wasbs")
+
+
 def create_text(spark: SparkSession, path: str, text: str) -> None:
-    """A new file; Conflict if there is one already, so of two writers one gets through."""
+    """A new file; Conflict if there is one already, so of two writers one gets through.
+
+    The text is written aside and then takes its name in one step that fails if the name is taken, so a reader sees
+    the whole text or no file. Object stores have no such step; they are refused."""
     fs, Path = _fs(spark, path)
+    if fs.getScheme() in NO_RENAME:
+        raise ValueError(f"{fs.getScheme()} can't create a file without overwriting one")
+    folder, _, name = path.rpartition("/")
+    aside = Path(f"{folder}/_{name}-{uuid.uuid4().hex}")
+    out = fs.create(aside, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    jvm = spark.sparkContext._jvm
     try:
-        out = fs.create(Path(path), False)
+        if fs.getScheme() == "file":  # its renaming overwrites; a link doesn't
+            at = lambda p: jvm.java.nio.file.Paths.get(fs.makeQualified(p).toUri().getPath(), spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0))
+            jvm.java.nio.file.Files.createLink(at(Path(path)), at(aside))
+        else:
+            no = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(aside, Path(path), no)
     except Py4JJavaError as e:
-        if "FileAlreadyExists" in str(e.java_exception.getClass().getName()) or fs.exists(Path(path)):
+        if "FileAlreadyExists" in str(e.java_exception.getClass().getName()):
             raise Conflict(path) from None
         raise
+    finally:
+        fs.delete(aside, False)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """The text of a small file."""
+    fs, Path = _fs(spark, path)
+    given = fs.open(Path(path))
     try:
-        out.write(bytearray(text.encode()))
+        return bytes(given.readAllBytes()).decode()
     finally:
-        out.close()
+        given.close()
 
 
 def versions(spark: SparkSession, path: str) -> list[int]:
@@ -140,7 +170,7 @@ def replace_table(table: DataFrame, path: str, keep: int = 1, form: str = "parqu
 
 
 def _folder(spark: SparkSession, path: str, version: int) -> str:
-    return f"{path}/" + spark.read.text(f"{path}/v{version:010d}.done").first()[0]
+    return f"{path}/" + read_text(spark, f"{path}/v{version:010d}.done")
 
 
 def read_table(spark: SparkSession, path: str, form: str = "parquet", version: int | None = None) -> DataFrame | None:
