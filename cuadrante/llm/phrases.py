@@ -40,7 +40,8 @@ MIN_COUNT = 30
 TOP = 2_000
 #: One in SAMPLE documents proposes; what it has PROPOSED times or more is proposed.
 SAMPLE, PROPOSED = 8, 3
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 2_000_000
+ROWS = 100_000  # of a batch that is given out
 LEAST_BITS, MAX_BITS = 16, 27  # as powers of two; the tables of bits are 8 KB to 16 MB
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -169,12 +170,12 @@ def _count(shared):
                 if k == 1 and len(tables) > 1:
                     continue
                 new = np.flatnonzero(~known)
-                columns = [s.words.take(pa.array(words[new, i])) for i in range(k)]
-                phrase = pc.binary_join_element_wise(*columns, pa.scalar(" ", pa.large_string())).cast(pa.string())
-                lang = s.langs.take(pa.array(words[new, 0]))
-                yield pa.record_batch([lang, phrase, pa.array(n[new], pa.int64())], names=["lang", "phrase", "n"])
+                for part in np.split(new, range(ROWS, len(new), ROWS)):
+                    columns = [s.words.take(pa.array(words[part, i])) for i in range(k)]
+                    phrase = pc.binary_join_element_wise(*columns, pa.scalar(" ", pa.large_string())).cast(pa.string())
+                    yield pa.record_batch([s.langs.take(pa.array(words[part, 0])), phrase, pa.array(n[part], pa.int64())], names=["lang", "phrase", "n"])
                 if k == 1:
-                    every = pa.table([lang, pa.array(n, pa.int64())], names=["lang", "n"]).group_by("lang").aggregate([("n", "sum")])
+                    every = pa.table([s.langs, pa.array(n, pa.int64())], names=["lang", "n"]).group_by("lang").aggregate([("n", "sum")])
                     for b in every.select(["lang", "n_sum"]).combine_chunks().to_batches():
                         yield pa.record_batch([b.column(0), pa.array([""] * b.num_rows, pa.string()), b.column(1)], names=["lang", "phrase", "n"])
 

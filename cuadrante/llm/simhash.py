@@ -242,8 +242,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     at again, and of the remaining candidates all are verified, so the components are those of all similar pairs."""
     hot = similar.hot_shingles(docs, text_col, shingle)
     rows = settle(profiles(docs, id_col, text_col, shingle, hot.column("h").to_numpy()))
-    classes = settle(rows.groupBy("key").agg(F.min("text_key").alias("text_key"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("first").alias("first"), F.any_value("sign").alias("sign")))
-    source = similar.Texts(docs, text_col, shingle, classes.select("key", "text_key"))
+    classes = settle(rows.groupBy("key").agg(F.min(F.struct("text_key", "id")).alias("m"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("first").alias("first"), F.any_value("sign").alias("sign")))
+    source = similar.Texts(docs, id_col, text_col, shingle, classes.select("key", "m.text_key", "m.id"))
     members = similar.meet_at_first(classes, hot)
     links = settle(similar.verified(settle(grid_pairs(classes.select("key", "n", "fp")).unionByName(similar.likely(similar.stars(members)))), source))
     rest = similar.apart(members, settle(components(links)), classes.select("key", "sign"))

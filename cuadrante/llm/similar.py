@@ -45,7 +45,7 @@ HOT_ROWS = 1_000_000
 SALT_ROWS = 5_000  # a hot shingle's documents for each star
 BLOCK = 4_000
 SIGN = 512  # bits of a signature
-SLICE_BYTES = 8_000_000  # of text, taken at once
+SLICE_BYTES = 3_000_000  # of text, taken at once
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -237,7 +237,7 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def apart(members: DataFrame, roots: DataFrame, signs: DataFrame) -> DataFrame:
     """(a, b): pairs that ``roots`` (node, root) doesn't connect and that may be similar. ``signs`` (key, sign)."""
-    at = members.join(roots, members["key"] == roots["node"], "left").select("cell", "key", "pos", "n", F.coalesce("root", "key").alias("root"))
+    at = settle(members.join(roots, members["key"] == roots["node"], "left").select("cell", "key", "pos", "n", F.coalesce("root", "key").alias("root")))
     # The smaller set of a pair has, at the first shared shingle, at least 8 of 9 of its shingles left.
     small = WHOLE * (F.col("n") - F.col("pos")) + PART * (F.col("n") - F.col("pos")) >= 2 * PART * F.col("n")
     each = at.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("rows"), F.count_if(small).alias("small"))
@@ -269,9 +269,10 @@ def likely(pairs: DataFrame) -> DataFrame:
 
 @dataclass
 class Texts:
-    """Where sets come from: ``keys`` (key, text_key) has one text of each."""
+    """Where sets come from: ``keys`` (key, text_key, id) has one row of each."""
 
     docs: DataFrame
+    id_col: str
     text_col: str
     width: int
     keys: DataFrame
@@ -288,10 +289,11 @@ class Texts:
                 flat = np.concatenate([np.zeros(0, np.int64), *each])
                 yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, each)]), pa.int32()), pa.array(flat))], names=["key", "s"])
 
-        wanted = settle(named.distinct().join(self.keys, "key").select("key", "text_key"))
-        few = wanted.limit(10 * BROADCAST_ROWS + 1).count() <= 10 * BROADCAST_ROWS  # two numbers a row
-        rows = self.docs.select(F.xxhash64(self.text_col).alias("text_key"), F.col(self.text_col).alias("text"))
-        found = rows.join(F.broadcast(wanted) if few else wanted, "text_key")
+        wanted = settle(named.distinct().join(self.keys, "key").select("key", "text_key", F.col("id").alias("wanted_id")))
+        few = wanted.limit(10 * BROADCAST_ROWS + 1).count() <= 10 * BROADCAST_ROWS  # three short values a row
+        rows = self.docs.select(F.xxhash64(self.text_col).alias("text_key"), F.col(self.id_col).alias("id"), F.col(self.text_col).alias("text"))
+        # Of a group of copies the one row is taken; only rows that are repeated as a whole come more than once.
+        found = rows.join(F.broadcast(wanted) if few else wanted, (rows["text_key"] == wanted["text_key"]) & rows["id"].eqNullSafe(wanted["wanted_id"]))
         return found.select("key", "text").mapInArrow(make, "key bigint, s array<bigint>").dropDuplicates(["key"])
 
 
