@@ -211,18 +211,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def profiles(docs: DataFrame, id_col: str, text_col: str, shingle: int, hot: np.ndarray) -> DataFrame:
-    """(id, text_key, key, n, fp, first, sign) of every row: key is a hash of the set of shingles, n its size, fp the
-    fingerprint of the shingles, first those that ``similar`` compares first, sign their signature."""
+    """(id, text_key, key, n, fp, first, sign, bits) of every row: key is a hash of the set of shingles, n its size, fp the
+    fingerprint of the shingles, first those that ``similar`` compares first, sign their signature, bits the whole set's."""
     order = similar.Order(hot)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in slices(b, 2, similar.SLICE_BYTES)):
             hashes, counts = similar.shingled(batch.column(2), shingle)
-            keys, sizes, first, sign = order.cut(hashes, counts)
-            yield pa.record_batch([batch.column(0), batch.column(1), keys, sizes, pa.array(majority(hashes, counts).view(np.int64)), first, sign], names=["id", "text_key", "key", "n", "fp", "first", "sign"])
+            keys, sizes, first, sign, bits = order.cut(hashes, counts)
+            yield pa.record_batch([batch.column(0), batch.column(1), keys, sizes, pa.array(majority(hashes, counts).view(np.int64)), first, sign, bits], names=["id", "text_key", "key", "n", "fp", "first", "sign", "bits"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(cut, f"id {docs.schema[id_col].dataType.simpleString()}, text_key bigint, key bigint, n bigint, fp bigint, first array<bigint>, sign binary")
+    return rows.mapInArrow(cut, f"id {docs.schema[id_col].dataType.simpleString()}, text_key bigint, key bigint, n bigint, fp bigint, first array<bigint>, sign binary, bits binary")
 
 
 def grid_pairs(classes: DataFrame) -> DataFrame:
@@ -242,12 +242,14 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     at again, and of the remaining candidates all are verified, so the components are those of all similar pairs."""
     hot = similar.hot_shingles(docs, text_col, shingle)
     rows = settle(profiles(docs, id_col, text_col, shingle, hot.column("h").to_numpy()))
-    classes = settle(rows.groupBy("key").agg(F.min(F.struct("text_key", "id")).alias("m"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("first").alias("first"), F.any_value("sign").alias("sign")))
+    classes = settle(rows.groupBy("key").agg(F.min(F.struct("text_key", "id")).alias("m"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("first").alias("first"), F.any_value("sign").alias("sign"), F.any_value("bits").alias("bits")))
+    bits = classes.select("key", "n", "bits")
     source = similar.Texts(docs, id_col, text_col, shingle, classes.select("key", "m.text_key", "m.id"))
     members = similar.meet_at_first(classes, hot)
-    links = settle(similar.verified(settle(grid_pairs(classes.select("key", "n", "fp")).unionByName(similar.likely(similar.stars(members)))), source))
+    first = grid_pairs(classes.select("key", "n", "fp")).unionByName(similar.likely(similar.stars(members)))
+    links = settle(similar.verified(settle(similar.possible(first, bits)), source))
     rest = similar.apart(members, settle(components(links)), classes.select("key", "sign"))
-    more = settle(similar.verified(settle(rest), source))
+    more = settle(similar.verified(settle(similar.possible(rest, bits)), source))
     roots = components(links.unionByName(more))
     # One row of each component: its id, the hash of its text, and how many rows are equal to it.
     same = settle(rows.groupBy("id", "text_key").agg(F.any_value("key").alias("key"), F.count(F.lit(1)).alias("copies")))

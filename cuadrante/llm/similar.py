@@ -12,6 +12,9 @@ changes the cost, never the result. Sets that meet at a shingle, a cell, are can
   more than the first shingles that both have, counted from above by their bits, and the rest of the longer set. Only
   pairs that both bounds leave are given out; so a boilerplate that isn't enough by itself gives none.
 
+Candidates are compared by the bits of their whole sets first, an eighth of the bytes or less, which give an upper bound
+of what they share.
+
 Stars read a cell row by row. Cells of hot shingles are dealt over several tasks, each with a star of its own; cells that
 are compared are cut into squares of at most BLOCK rows a side, and the largest group that is connected already isn't
 compared with itself. Pairs are verified on their whole sets. So every pair that is similar ends up connected, and by
@@ -45,6 +48,7 @@ HOT_ROWS = 1_000_000
 SALT_ROWS = 5_000  # a hot shingle's documents for each star
 BLOCK = 4_000
 SIGN = 512  # bits of a signature
+PER_SHINGLE = 4  # bits of a whole set for each shingle, at least
 SLICE_BYTES = 3_000_000  # of text, taken at once
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -97,18 +101,19 @@ class Order:
                 u = np.concatenate([u[~hot], self.ranked[np.sort(self.by_hash[at[hot]])]])
         return u[: prefix_size(len(u))] if len(u) else u
 
-    def cut(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array, pa.Array]:
-        """(hash of each text's set, its size, its first shingles, their signature)."""
-        keys, sizes, first = [], [], []
+    def cut(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[pa.Array, ...]:
+        """(hash of each text's set, its size, its first shingles, their signature, the bits of the whole set)."""
+        keys, sizes, first, bits = [], [], [], []
         ends = np.cumsum(counts)
         for a, b in zip((ends - counts).tolist(), ends.tolist()):
             u = np.unique(hashes[a:b])
             keys.append(int.from_bytes(hashlib.blake2b(u.tobytes(), digest_size=8).digest(), "little", signed=True))
             sizes.append(len(u))
             first.append(self.first(u))
+            bits.append(bits_of(u).tobytes())
         flat, n = np.concatenate([np.zeros(0, np.uint64), *first]), np.array([len(u) for u in first], np.int64)
         sign = [x.tobytes() for x in signatures(flat, n)]
-        return pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(flat.view(np.int64))), pa.array(sign, pa.binary())
+        return pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(flat.view(np.int64))), pa.array(sign, pa.binary()), pa.array(bits, pa.binary())
 
 
 def signatures(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -119,6 +124,28 @@ def signatures(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return sign
 
 
+def bits_of(u: np.ndarray) -> np.ndarray:
+    """A set as a table of bits, four or more for each shingle; tables of other sizes are folded to meet."""
+    size = max(64, 1 << (PER_SHINGLE * max(1, len(u)) - 1).bit_length())
+    at = ((u * BASE) >> np.uint64(20)) & np.uint64(size - 1)
+    table = np.zeros(size // 64, np.uint64)
+    np.bitwise_or.at(table, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return table
+
+
+def _folded(x: np.ndarray, size: int) -> np.ndarray:
+    return x if len(x) == size else np.bitwise_or.reduce(x.reshape(-1, size), axis=0)
+
+
+def shared_at_most(x: bytes, y: bytes, nx: int, ny: int) -> int:
+    """How many shingles two sets of these sizes can share, by their bits: each shared one has its bit in both, and no
+    more of them fall together than shingles of either set do."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    a, b = _folded(a, min(len(a), len(b))), _folded(b, min(len(a), len(b)))
+    ones = lambda t: int(np.bitwise_count(t).sum(dtype=np.int64))
+    return min(nx, ny, ones(a & b) + min(nx - ones(a), ny - ones(b)))
+
+
 def hot_shingles(docs: DataFrame, text_col: str, width: int = SHINGLE) -> pa.Table:
     """(h, n): the commonest shingles of a sample and how many of its documents have them, the rarest first; at most
     HOT_ROWS are collected."""
@@ -297,6 +324,20 @@ class Texts:
         return found.select("key", "text").mapInArrow(make, "key bigint, s array<bigint>").dropDuplicates(["key"])
 
 
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (a, b, na, nb, xa, xb) -> (a, b) of the pairs that their bits leave."""
+    for batch in batches:
+        na, nb, xa, xb = (batch.column(k).to_pylist() for k in range(2, 6))
+        ok = [bool(enough(shared_at_most(x, y, n, m), n + m)) for x, y, n, m in zip(xa, xb, na, nb)]
+        yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+
+def possible(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """(a, b): the pairs that may be similar by the bits of their whole sets. ``bits`` (key, n, bits)."""
+    both = pairs.select("a", "b").join(bits.toDF("a", "na", "xa"), "a").join(bits.toDF("b", "nb", "xb"), "b")
+    return both.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_possible, "a bigint, b bigint")
+
+
 def verified(pairs: DataFrame, texts: Texts) -> DataFrame:
     """(a, b): the pairs whose whole sets are similar."""
     sets = settle(texts.sets(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key")))))

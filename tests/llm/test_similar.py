@@ -157,3 +157,16 @@ def test_any_column_names_pass_the_stages(spark):
             out = stage(spark, table, "/root/testdata/sf0.001")
             assert out.columns == docs.columns and out.count() <= table.count()
     assert pipeline.STAGES[-1][1](spark, docs, "").count() == 5 and pipeline.STAGES[-1][1](spark, docs.limit(0), "").count() == 0
+
+
+def test_bits_bound_what_sets_share():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n, m = rng.integers(0, 400, 2)
+        pool = rng.integers(0, 2**63, 800).astype(np.uint64)
+        a, b = np.unique(rng.choice(pool, n)), np.unique(rng.choice(pool, m))
+        shared = len(np.intersect1d(a, b))
+        got = similar.shared_at_most(similar.bits_of(a).tobytes(), similar.bits_of(b).tobytes(), len(a), len(b))
+        assert shared <= got <= min(len(a), len(b)) and (got < shared + 120 or min(len(a), len(b)) == got)
