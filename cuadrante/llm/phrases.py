@@ -40,9 +40,10 @@ MIN_COUNT = 30
 TOP = 2_000
 #: One in SAMPLE documents proposes; what it has PROPOSED times or more is proposed.
 SAMPLE, PROPOSED = 8, 3
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 ROWS = 100_000  # of a batch that is given out
 LEAST_BITS, MAX_BITS = 16, 27  # as powers of two; the tables of bits are 8 KB to 16 MB
+PER_PHRASE = 16  # bits of a table for each phrase, at least
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -178,14 +179,16 @@ def _count(shared):
                     every = pa.table([s.langs, pa.array(n, pa.int64())], names=["lang", "n"]).group_by("lang").aggregate([("n", "sum")])
                     for b in every.select(["lang", "n_sum"]).combine_chunks().to_batches():
                         yield pa.record_batch([b.column(0), pa.array([""] * b.num_rows, pa.string()), b.column(1)], names=["lang", "phrase", "n"])
+            pa.default_memory_pool().release_unused()  # two workers share an executor's memory with the JVM
 
     return run
 
 
 def bits_of(hashes: DataFrame) -> Bits:
-    """A table for the column ``h``: 32 bits a row, MAX_BITS at most. Its rows are collected, one for 64 bits."""
+    """A table for the column ``h``: PER_PHRASE bits a row or more, MAX_BITS at most. Its rows are collected, one for 64
+    bits."""
     hashes = settle(hashes.select("h"))
-    power = min(MAX_BITS, max(LEAST_BITS, int(32 * hashes.count()).bit_length()))
+    power = min(MAX_BITS, max(LEAST_BITS, int(PER_PHRASE * hashes.count()).bit_length()))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -227,6 +230,7 @@ def frequent_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         new = seen.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where((F.col("phrase") == "") | (F.col("n") >= least))
         new = settle(new.select("lang", k.alias("k"), "phrase", "n"))
         counted = counted.unionByName(new) if counted is not None else new
+        shared.destroy()
         frequent = counted.where("k > 0")
         if not _hashes_of(frequent, tables[-1]).head(1):
             return counted
