@@ -87,8 +87,12 @@ def apply_filters(table: DataFrame, filters: Mapping[str, object]) -> DataFrame:
 
 def matches(query: str):
     """Substring of the joined text fields, in any case, accents counting."""
-    text = F.concat_ws(" ", "name", "subject_code", "classroom", "grp", "subgroup", "raw_text", "file", "degree_name", "degree_code")
-    return F.contains(F.lower(text), F.lit(query.strip().lower()))
+    return F.contains(searched_text(), F.lit(query.strip().lower()))
+
+
+def searched_text() -> Column:
+    """What a search looks at."""
+    return F.lower(F.concat_ws(" ", "name", "subject_code", "classroom", "grp", "subgroup", "raw_text", "file", "degree_name", "degree_code"))
 
 
 def order():
@@ -137,17 +141,21 @@ def degree_facet(table: DataFrame) -> DataFrame:
     return rows.groupBy("code").agg(F.max_by("label", "item_ord").alias("label"), F.min("item_ord").alias("first")).orderBy("label", "first")
 
 
+def labels() -> dict[str, Column]:
+    """An item's labels on the four levels of the tree."""
+    return {
+        "degree": F.coalesce(T.null_if_blank(F.col("degree_name")), F.lit(NO_DEGREE)),
+        "year": F.coalesce(F.col("year").cast("string"), F.lit(NO_YEAR)),
+        "semester": F.coalesce(F.col("semester").cast("string"), F.lit(NO_SEMESTER)),
+        "grp": F.coalesce(T.null_if_blank(F.col("grp")), F.lit(NO_GROUP)),
+    }
+
+
 def tree(table: DataFrame) -> DataFrame:
     """(degree, year, semester, grp, level, n, degree_code): counts of all prefixes of the four levels; labels stand for
     what is missing, and degree_code is that of the degree's first item. In order: a node before its children, and those
     of a node by their labels as text."""
-    rows = table.select(
-        F.coalesce(T.null_if_blank(F.col("degree_name")), F.lit(NO_DEGREE)).alias("degree"),
-        F.coalesce(F.col("year").cast("string"), F.lit(NO_YEAR)).alias("year"),
-        F.coalesce(F.col("semester").cast("string"), F.lit(NO_SEMESTER)).alias("semester"),
-        F.coalesce(T.null_if_blank(F.col("grp")), F.lit(NO_GROUP)).alias("grp"),
-        "degree_code", "item_ord",
-    )
+    rows = table.select(*[label.alias(c) for c, label in labels().items()], "degree_code", "item_ord")
     counts = rows.rollup("degree", "year", "semester", "grp").agg(F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n"), F.min_by("degree_code", "item_ord").alias("degree_code"))
     level = F.when(F.col("g") == 7, 1).when(F.col("g") == 3, 2).when(F.col("g") == 1, 3).when(F.col("g") == 0, 4)
     by_label = [F.col("degree"), *[F.col(c).asc_nulls_first() for c in ("year", "semester", "grp")]]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import crawl, intervals, layout, legacy, parsing, quality, records, review, timetable
+from ..review_index import Index
 from ..sources import io
 from ..sources.shared import scratch, spread
 from . import sql as S
@@ -37,10 +38,10 @@ def built(spark, sf_dir):
     return records.build(cells(spark, sf_dir))
 
 
-_STORED: dict[tuple, tuple[str, DataFrame]] = {}
+_STORED: dict[tuple, tuple[str, object]] = {}
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[str], DataFrame]) -> DataFrame:
+def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[str], object]):
     """What ``make`` writes to a path and returns: made once an application and input; again if the input's files have
     changed or what was written is gone."""
     fs, Path = io._fs(spark, sf_dir)
@@ -261,6 +262,18 @@ _ORDER = "coalesce(degree_name, ''), coalesce(year, 99), coalesce(semester, 99),
 query("review_page", f"WITH {S.ITEMS} SELECT {_SHOWN} FROM items WHERE day = 'JUEVES' ORDER BY {_ORDER} LIMIT 50 OFFSET 100")(lambda s, d: review.page(review.apply_filters(item_table(s, d), {"day": "JUEVES"}), 3, 50).select(*SHOWN))
 query("review_page_clamped", f"WITH {S.ITEMS} SELECT {_SHOWN} FROM items ORDER BY {_ORDER} LIMIT 200")(lambda s, d: review.page(item_table(s, d), 0, 500).select(*SHOWN))
 query("point_lookup", f"WITH {S.ITEMS} SELECT {_SHOWN} FROM items WHERE id = 'a' || left(sha1('accepted|F3.pdf|1|1'), 20) LIMIT 1")(lambda s, d: review.find(item_table(s, d), "a" + __import__("hashlib").sha1(b"accepted|F3.pdf|1|1").hexdigest()[:20]).select(*SHOWN))
+def item_index(spark, sf_dir):
+    """The items laid out for pages, lookups and searches."""
+    return stored(spark, sf_dir, "index", lambda path: Index.build(item_table(spark, sf_dir), path, chunk=4_096))
+
+
+query("search_indexed", ORACLES["review_search"])(lambda s, d: item_index(s, d).search(" Programación ").select(*SHOWN))
+query("search_indexed_across", ORACLES["review_search_across"])(lambda s, d: item_index(s, d).search("na7 2a").select(*SHOWN))
+query("lookup_bucketed", ORACLES["point_lookup"])(lambda s, d: item_index(s, d).find("a" + __import__("hashlib").sha1(b"accepted|F3.pdf|1|1").hexdigest()[:20]).select(*SHOWN))
+query("page_by_rank", f"WITH {S.ITEMS} SELECT {_SHOWN} FROM items ORDER BY {_ORDER} LIMIT 50 OFFSET 5000")(lambda s, d: item_index(s, d).page(101, 50).select(*SHOWN))
+query("page_by_rank_filtered", ORACLES["review_page"])(lambda s, d: item_index(s, d).page(3, 50, {"day": "JUEVES"}).select(*SHOWN))
+
+
 _FACETS = f"""{S.ITEMS}, facets AS (SELECT DISTINCT facet, value FROM (SELECT 'years' AS facet, CAST(year AS VARCHAR) AS value FROM items WHERE year IS NOT NULL UNION ALL SELECT 'semesters', CAST(semester AS VARCHAR) FROM items WHERE semester IS NOT NULL
  UNION ALL SELECT 'groups', grp FROM items WHERE grp <> '' UNION ALL SELECT 'days', day FROM items WHERE day <> '' UNION ALL SELECT 'pdfs', file FROM items WHERE file <> '' UNION ALL SELECT 'statuses', unnest(['VALID', 'WARNING', 'INVALID'])
  UNION ALL SELECT 'issues', issue FROM (SELECT unnest([i1, i2, i3, i4, i5, i6, i7]) AS issue FROM items) WHERE issue IS NOT NULL))"""

@@ -17,7 +17,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import review
+from .operators import live, review
+from .review_index import Index
 from .sources import io
 
 
@@ -56,17 +57,18 @@ def checked(payload: object) -> dict:
 
 
 class Selection:
-    """Items that filters have chosen; sorted and paged on demand."""
+    """Items that filters have chosen; sorted and paged on demand. ``paged`` gives a page where an index can."""
 
-    def __init__(self, table: DataFrame):
-        self.table = table
+    def __init__(self, table: DataFrame, paged=None):
+        self.table, self.paged = table, paged
 
     def sort(self) -> DataFrame:
         return self.table.orderBy(*review.order())
 
     def page(self, number: int = 1, size: int = 50) -> dict:
         """The items of a page, and the numbers around it."""
-        return {"items": review.documents(review.page(self.table, number, size)), **review.page_info(self.table.count(), number, size)}
+        rows = self.paged(number, size) if self.paged else review.page(self.table, number, size)
+        return {"items": review.documents(rows), **review.page_info(self.table.count(), number, size)}
 
     def tree(self) -> DataFrame:
         return review.tree(self.table)
@@ -129,11 +131,55 @@ class Review:
             return table
         return review.replay(table, self.spark.read.schema(LOG).json(self._log_folder(version)))
 
+    def index(self, **options) -> Index:
+        """Lay the current version out for pages, lookups, searches and counts. Edits that come later are looked up in
+        the log, by id; ``compact`` and another ``index`` take them in."""
+        version = self._version()
+        return Index.at(self.spark, self._index(version)) or Index.build(io.read_table(self.spark, self._items(), version=version), self._index(version), **options)
+
+    def _index(self, version: int) -> str:
+        return f"{self.folder}/index/v{version:010d}"
+
+    def _log(self, version: int) -> DataFrame | None:
+        return self.spark.read.schema(LOG).json(self._log_folder(version)) if self._events(version) else None
+
+    def _edited(self, index: Index, log: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The items that the log names, as they were and as they are."""
+        before = index.with_ids(log)
+        return before, review.replay(before, log)
+
     def records(self, **filters) -> Selection:
-        return Selection(review.apply_filters(self.items(), filters))
+        version = self._version()
+        index, log = Index.at(self.spark, self._index(version)), self._log(version)
+        if index is None or (log is not None and not filters.get("search")):
+            return Selection(review.apply_filters(self.items(), filters))
+        if log is None:
+            return Selection(index.filtered(filters).drop("number", "chunk"), lambda number, size: index.page(number, size, filters))
+        # Edited items are searched as they are now, all others by the index.
+        _, after = self._edited(index, log)
+        others = index.search(str(filters["search"])).join(log.select("id").where("id is not null").distinct(), "id", "left_anti")
+        return Selection(review.apply_filters(others.unionByName(after.select(others.columns)), filters))
 
     def facets(self) -> DataFrame:
-        return review.facets(self.items())
+        known = self._counts()
+        return review.facets(self.items()) if known is None else live.facets(known)
+
+    def tree(self) -> DataFrame:
+        """The count tree of all items."""
+        known, version = self._counts(), self._version()
+        if known is None:
+            return review.tree(self.items())
+        index, log = Index.at(self.spark, self._index(version)), self._log(version)
+        codes = index.codes() if log is None else live.changed_codes(index.codes(), self.items(), *self._edited(index, log))
+        return live.tree(known, codes)
+
+    def _counts(self) -> DataFrame | None:
+        """The counts as they are now, if there is an index: those of the version and what the edited items change."""
+        version = self._version()
+        index, log = Index.at(self.spark, self._index(version)), self._log(version)
+        if index is None or log is None:
+            return index and index.counts()
+        return live.changed(index.counts(), *self._edited(index, log))
 
     def degrees(self) -> DataFrame:
         return review.degree_facet(self.items())
@@ -143,11 +189,18 @@ class Review:
 
     def find(self, item: str):
         """The item's row; NotFound if there is none."""
-        row = review.documents(review.find(self.items(), item)).first()
+        version = self._version()
+        found, log = self._row(version, item), self._log(version)
+        row = review.documents(found if log is None else review.replay(found, log.where(F.col("id") == item))).first()
         if row is None:
             raise NotFound(item)
         return row
 
+    def _row(self, version: int, item: str) -> DataFrame:
+        """The item's stored row, by the index if there is one."""
+        index = Index.at(self.spark, self._index(version))
+        return index.find(item) if index else review.find(io.read_table(self.spark, self._items(), version=version), item)
+
     def _add(self, item: str, expected: int | None, **event) -> int:
         version = self._version()
         known = self._events(version)
@@ -155,7 +208,7 @@ class Review:
             raise io.Conflict(f"{known} edits by now, {expected} expected")
         if self._closed(version, known):
             raise io.Conflict("the items are being stored anew")
-        if not review.find(io.read_table(self.spark, self._items(), version=version), item).count():
+        if not self._row(version, item).count():
             raise NotFound(item)
         line = json.dumps({"seq": known + 1, "version": version, "id": item, **event}, ensure_ascii=False)
         io.create_text(self.spark, self._event(version, known + 1), line)
