@@ -69,8 +69,12 @@ def result_records(result: DataFrame) -> DataFrame:
     """Accepted and rejected records of result documents, flat, with their place as ``pos``."""
     good = result.select(F.posexplode("records").alias("pos", "r")).select("pos", F.lit(True).alias("accepted"), F.lit(None).cast("array<string>").alias("reason"), "r.*")
     bad = result.select(F.posexplode("rejected_records").alias("pos", "x")).select("pos", F.lit(False).alias("accepted"), F.col("x.reason").alias("reason"), "x.record.*")
+    return flat_records(good.unionByName(bad))
+
+
+def flat_records(nested: DataFrame) -> DataFrame:
     c = F.col
-    return good.unionByName(bad).select(
+    return nested.select(
         F.lit(0).cast("long").alias("ord"), "pos", "accepted", "reason", c("source.file").alias("file"), c("source.page").alias("page"), c("source.raw_text").alias("raw_text"),
         c("degree.code").alias("degree_code"), c("degree.name").alias("degree_name"), "academic_year", "semester", "year", c("group").alias("grp"), "day", "start_time", "end_time",
         c("subject.name").alias("name"), "subgroup", "classroom", "notes", c("extraction.confidence").alias("confidence"), F.coalesce(c("extraction.issues"), F.array().cast("array<string>")).alias("issues"),
@@ -131,6 +135,15 @@ def create_text(spark: SparkSession, path: str, text: str) -> None:
         fs.delete(aside, False)
 
 
+def put_in_place(spark: SparkSession, aside: str, path: str) -> None:
+    """Give a finished file its name, in place of the one that has it, in one step."""
+    fs, Path = _fs(spark, path)
+    jvm = spark.sparkContext._jvm
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(Path(aside), Path(path), how)
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     """The text of a small file."""
     fs, Path = _fs(spark, path)
