@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import crawl, intervals, layout, legacy, parsing, quality, records, review, timetable
+from ..operators import crawl, intervals, layout, legacy, live, parsing, quality, records, review, timetable
 from ..review_index import Index
-from ..sources import io
+from ..sources import document, io
 from ..sources.shared import scratch, spread
 from . import sql as S
 from .sched import cells, sched
@@ -285,6 +285,29 @@ def facets(spark, sf_dir):
     return review.facets(item_table(spark, sf_dir)).withColumn("place", F.row_number().over(Window.orderBy(*review.facet_order())).cast("long"))
 
 
+_MOVED = {"grp": "CASE WHEN ord % 7 = 0 THEN 'ZZ' ELSE grp END", "day": "CASE WHEN ord % 7 = 0 THEN 'DOMINGO' ELSE day END", "degree_name": "CASE WHEN ord % 7 = 0 THEN nullif(degree_name, 'BUILDING') ELSE degree_name END", "degree_code": "CASE WHEN ord % 7 = 0 THEN 'Z' || cast(ord % 5 as varchar(9)) ELSE degree_code END"}
+_MOVE = ", ".join(f"{e} AS {c}" for c, e in _MOVED.items())
+
+
+def moved(spark, sf_dir):
+    """(counts, codes, items as they were, as they are): of the items with a code, each seventh gets another group, day
+    and code, and some lose their degree."""
+    items = coded(spark, sf_dir)
+    before = items.where("ord % 7 = 0")
+    return live.counts(items), live.codes(items), before, before.withColumns({c: F.expr(e) for c, e in _MOVED.items()})
+
+
+def facets_live(spark, sf_dir):
+    known, _, before, after = moved(spark, sf_dir)
+    return live.facets(live.changed(known, before, after))
+
+
+def tree_live(spark, sf_dir):
+    known, codes, before, after = moved(spark, sf_dir)
+    now = coded(spark, sf_dir).withColumns({c: F.expr(e) for c, e in _MOVED.items()})
+    return live.tree(live.changed(known, before, after), live.changed_codes(codes, now, before, after))
+
+
 def coded(spark, sf_dir):
     """Items of which some have a degree code, one that differently named degrees share."""
     code = F.when(F.col("ord") % 3 == 0, F.concat(F.lit("G"), F.length("degree_name").cast("string"))).when(F.col("ord") % 3 == 1, "")
@@ -300,6 +323,24 @@ SELECT degree, CAST(NULL AS VARCHAR) AS year, CAST(NULL AS VARCHAR) AS semester,
 UNION ALL SELECT degree, y, NULL, NULL, 2, count(*), NULL FROM t GROUP BY degree, y UNION ALL SELECT degree, y, s, NULL, 3, count(*), NULL FROM t GROUP BY degree, y, s UNION ALL SELECT degree, y, s, g, 4, count(*), NULL FROM t GROUP BY degree, y, s, g""")(lambda s, d: review.tree(coded(s, d)))
 
 
+_MOVED_ITEMS = f"{_CODED}, moved AS (SELECT * REPLACE ({_MOVE}) FROM coded)"
+query("facets_live", f"WITH {_MOVED_ITEMS}, {_FACETS[len(S.ITEMS) + 2:].replace('FROM items', 'FROM moved')} SELECT facet, value FROM facets")(facets_live)
+query("tree_live", ORACLES["tree_counts"].replace(f"WITH {_CODED}, t AS", f"WITH {_MOVED_ITEMS}, t AS").replace("FROM coded)", "FROM moved)", 2).replace(f"SELECT * REPLACE ({_MOVE}) FROM moved)", f"SELECT * REPLACE ({_MOVE}) FROM coded)"))(tree_live)
+
+
+@query("document_round_trip", f"WITH {S.RECORDS} SELECT file, page, name, classroom, raw_text, confidence, accepted FROM records")
+def document_round_trip(spark, sf_dir):
+    """All records written as one document, and read back by many tasks."""
+
+    def make(path: str) -> DataFrame:
+        rows = item_table(spark, sf_dir)
+        files = records.file_stats(pages_stats(spark, sf_dir))
+        document.write_document(f"{path}/result.json", rows, records.global_stats(files, failures(spark, sf_dir)), files, failures(spark, sf_dir), "2026-01-02 03:04:05")
+        return document.read_records(spark, f"{path}/result.json")
+
+    return stored(spark, sf_dir, "document", make).select("file", "page", "name", "classroom", "raw_text", "confidence", "accepted")
+
+
 @query("summary", f"""WITH {PAGE_STATS}, counts AS (SELECT {_GLOBAL}) SELECT '2026-01-02 03:04:05' AS processed_at, pdfs_found, pdfs_processed, pdfs_failed, accepted_records, records_with_warnings, rejected_records, accepted_records + rejected_records AS total_records,
  (SELECT count(*) FROM records WHERE ord % 5 = 0) AS reviewed_records, (SELECT string_agg('bad_' || lower(r_name) || '.pdf: no text', '|' ORDER BY lower(r_name)) FROM region) AS failed_files FROM counts""")
 def summary(spark, sf_dir):
