@@ -15,6 +15,9 @@ changes the cost, never the result. Sets that meet at a shingle, a cell, are can
 Candidates are compared by the bits of their whole sets first, an eighth of the bytes or less, which give an upper bound
 of what they share.
 
+Of these, one pair for every two roots is verified first; most groups are whole then, and the pairs within them need not
+be looked at.
+
 Stars read a cell row by row. Cells of hot shingles are dealt over several tasks, each with a star of its own; cells that
 are compared are cut into squares of at most BLOCK rows a side, and the largest group that is connected already isn't
 compared with itself. Pairs are verified on their whole sets. So every pair that is similar ends up connected, and by
@@ -238,8 +241,9 @@ def _rest(n):
 
 
 def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cell, across, down, side, key, pos, n, root, minor, sign) sorted by the first three -> (a, b): of each
-    square the pairs of a row of side 0, all of which are minor, and one of side 1 that may be similar."""
+    """Rows (cell, across, down, side, key, pos, n, root, minor, sign) sorted by the first three -> (a, b, ra, rb) with
+    their roots: of each square the pairs of a row of side 0, all of which are minor, and one of side 1 that may be
+    similar."""
     for cols in _whole_cells(batches, 3):
         for s, e in zip(*_runs(*cols[:3])):
             side, key, pos, n, root, minor = (c[s:e] for c in cols[3:9])
@@ -259,11 +263,14 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 most = np.minimum(both + np.minimum(slack[p], slack[q]) + np.maximum(_rest(n[p]), _rest(n[q])), np.minimum(n[p], n[q]))
                 ok = enough(most, n[p] + n[q])
                 if ok.any():
-                    yield pa.record_batch([pa.array(f(key[p[ok]], key[q[ok]])) for f in (np.minimum, np.maximum)], names=["a", "b"])
+                    p, q = p[ok], q[ok]
+                    p, q = np.where(key[p] < key[q], p, q), np.where(key[p] < key[q], q, p)
+                    yield pa.record_batch([pa.array(x) for x in (key[p], key[q], root[p], root[q])], names=["a", "b", "ra", "rb"])
 
 
 def apart(members: DataFrame, roots: DataFrame, signs: DataFrame) -> DataFrame:
-    """(a, b): pairs that ``roots`` (node, root) doesn't connect and that may be similar. ``signs`` (key, sign)."""
+    """(a, b, ra, rb): pairs that ``roots`` (node, root) doesn't connect and that may be similar, with their roots.
+    ``signs`` (key, sign)."""
     at = settle(members.join(roots, members["key"] == roots["node"], "left").select("cell", "key", "pos", "n", F.coalesce("root", "key").alias("root")))
     # The smaller set of a pair has, at the first shared shingle, at least 8 of 9 of its shingles left.
     small = WHOLE * (F.col("n") - F.col("pos")) + PART * (F.col("n") - F.col("pos")) >= 2 * PART * F.col("n")
@@ -280,7 +287,19 @@ def apart(members: DataFrame, roots: DataFrame, signs: DataFrame) -> DataFrame:
     n = max(12, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = dealt.select("cell", "t.across", "t.down", F.col("t.side").cast("long").alias("side"), "key", "pos", "n", "root", F.col("minor").cast("long").alias("minor"), "sign")
     by = ["cell", "across", "down"]
-    return dealt.repartition(n, *by).sortWithinPartitions(*by).mapInArrow(_apart, "a bigint, b bigint").distinct()
+    return dealt.repartition(n, *by).sortWithinPartitions(*by).mapInArrow(_apart, "a bigint, b bigint, ra bigint, rb bigint").distinct()
+
+
+def one_a_root(found: DataFrame) -> DataFrame:
+    """(a, b): of the pairs between the same two roots the smallest."""
+    return found.groupBy("ra", "rb").agg(F.min(F.struct("a", "b")).alias("m")).select("m.a", "m.b")
+
+
+def still_apart(found: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): the pairs whose roots aren't connected by ``roots`` (node, root) now."""
+    between = found.select("ra", "rb").distinct().join(roots.toDF("ra", "now_a"), "ra", "left").join(roots.toDF("rb", "now_b"), "rb", "left")
+    open_ = between.where(F.coalesce("now_a", "ra") != F.coalesce("now_b", "rb")).select("ra", "rb")
+    return found.join(open_, ["ra", "rb"], "left_semi").select("a", "b")
 
 
 def likely(pairs: DataFrame) -> DataFrame:
