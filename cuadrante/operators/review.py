@@ -182,21 +182,33 @@ def summary(table: DataFrame, statistics: DataFrame, failed: DataFrame | None =
     return every.agg(F.max("processed_at").alias("processed_at"), *count.values(), total.alias("total_records"), F.max("reviewed_records").alias("reviewed_records"), F.flatten(F.collect_list("failed_files")).alias("failed_files"))
 
 
-def replay(table: DataFrame, log: DataFrame) -> DataFrame:
-    """``table`` after an edit log (id, seq, kind, and for ``edit`` the FIELDS, for ``status`` new_status).
-
-    Edits replace all fields and mark a difference from the original; a status replaces the status; a restore takes
-    both back. All mark the item as reviewed. Only the last edit and the last status after the last restore count, so
-    one aggregation of the log and one join do; ids that are in no item are ignored. The table may be one that was
-    edited and stored before: originals stand in ``original``."""
-    known = [f for f in FIELDS if f in table.columns and f in log.columns]
+def fold(log: DataFrame) -> DataFrame:
+    """One row per id of an edit log (id, seq, kind, and for ``edit`` the FIELDS, for ``status`` new_status): the number
+    r of the last restore, the last edit e, the last status s, and how many events counted. Only maxima by number, so
+    events may come in any order, late or twice. Works on a stream, whose state is then one such row per id."""
+    known = [f for f in FIELDS if f in log.columns]
     is_kind = lambda k: F.col("kind") == k
-    last = log.groupBy("id").agg(
+    return log.where("id is not null").groupBy("id").agg(
         F.max(F.when(is_kind("restore"), F.col("seq"))).alias("r"),
         F.max_by(F.struct(F.col("seq").alias("at"), *known), F.when(is_kind("edit"), F.col("seq"))).alias("e"),
         F.max_by(F.struct(F.col("seq").alias("at"), "new_status"), F.when(is_kind("status") & F.col("new_status").isin(*STATUSES), F.col("seq"))).alias("s"),
         F.count_if(is_kind("edit") | is_kind("restore") | F.col("new_status").isin(*STATUSES)).alias("events"),
     )
+
+
+def replay(table: DataFrame, log: DataFrame) -> DataFrame:
+    """``table`` after an edit log, see ``fold`` and ``apply``."""
+    return apply(table, fold(log))
+
+
+def apply(table: DataFrame, last: DataFrame) -> DataFrame:
+    """``table`` after what ``fold`` made of an edit log.
+
+    Edits replace all fields and mark a difference from the original; a status replaces the status; a restore takes
+    both back. All mark the item as reviewed. Only the last edit and the last status after the last restore count, so
+    one join does; ids that are in no item are ignored. The table may be one that was edited and stored before:
+    originals stand in ``original``."""
+    known = [f for f in FIELDS if f in table.columns and f in last.schema["e"].dataType.fieldNames()]
     out = table.join(last, "id", "left")
     after = lambda c: F.col(f"{c}.at").isNotNull() & (F.col(f"{c}.at") > F.coalesce("r", F.lit(-1)))
     edited, marked, restored = after("e"), after("s"), F.col("r").isNotNull()

@@ -13,6 +13,7 @@ from ..operators import crawl, intervals, layout, legacy, live, parsing, quality
 from ..review_index import Index
 from ..sources import document, io
 from ..sources.shared import scratch, spread
+from ..streaming import edits
 from . import sql as S
 from .sched import cells, sched
 
@@ -380,8 +381,20 @@ def replayed(kinds):
 
 query("edit_replay", f"""WITH {S.ITEMS} SELECT id, CASE WHEN ord % 30 = 0 THEN 'EDIT2' WHEN ord % 3 = 0 THEN 'EDIT1' ELSE classroom END AS classroom, status, ord % 3 = 0 AS reviewed, ord % 3 = 0 AS manually_modified FROM items""")(replayed(("edit",)))
 query("status_edit", f"WITH {S.ITEMS} SELECT id, classroom, CASE WHEN ord % 45 = 0 THEN 'INVALID' WHEN ord % 5 = 0 THEN 'VALID' ELSE status END AS status, ord % 5 = 0 AS reviewed, false AS manually_modified FROM items")(replayed(("status",)))
-query("restore_replay", f"""WITH {S.ITEMS} SELECT id, CASE WHEN ord % 30 = 0 THEN 'EDIT2' WHEN ord % 15 = 0 THEN classroom WHEN ord % 3 = 0 THEN 'EDIT1' ELSE classroom END AS classroom,
- CASE WHEN ord % 45 = 0 THEN 'INVALID' WHEN ord % 15 = 0 THEN status WHEN ord % 5 = 0 THEN 'VALID' ELSE status END AS status, ord % 3 = 0 OR ord % 5 = 0 AS reviewed, ord % 30 = 0 OR (ord % 3 = 0 AND ord % 15 <> 0) AS manually_modified FROM items""")(replayed(("edit", "status", "restore")))
+RESTORED_SQL = f"""WITH {S.ITEMS} SELECT id, CASE WHEN ord % 30 = 0 THEN 'EDIT2' WHEN ord % 15 = 0 THEN classroom WHEN ord % 3 = 0 THEN 'EDIT1' ELSE classroom END AS classroom,
+ CASE WHEN ord % 45 = 0 THEN 'INVALID' WHEN ord % 15 = 0 THEN status WHEN ord % 5 = 0 THEN 'VALID' ELSE status END AS status, ord % 3 = 0 OR ord % 5 = 0 AS reviewed, ord % 30 = 0 OR (ord % 3 = 0 AND ord % 15 <> 0) AS manually_modified FROM items"""
+query("restore_replay", RESTORED_SQL)(replayed(("edit", "status", "restore")))
+
+
+@query("edits_stream", RESTORED_SQL)
+def edits_stream(spark, sf_dir):
+    """The same log as files that a stream folds, in several batches and in no order."""
+    items = item_table(spark, sf_dir)
+    log, folder = edit_log(items, ("edit", "status", "restore")), scratch(spark)
+    log.withColumn("_to", F.xxhash64("id", "seq")).repartition(16, "_to").drop("_to").write.json(f"{folder}/log")
+    done = edits.start_folding(edits.stream_log(spark, f"{folder}/log", log._jdf.schema().toDDL(), 4), f"{folder}/states", f"{folder}/checkpoint")
+    done.awaitTermination()
+    return edits.edited(items, f"{folder}/states").select("id", "classroom", "status", "reviewed", "manually_modified")
 
 MEETINGS_SQL = "SELECT event_id, user_id, CAST(ts AS DATE) AS day, CAST(extract('hour' FROM ts) * 60 + extract('minute' FROM ts) AS INT) AS s, CAST(extract('hour' FROM ts) * 60 + extract('minute' FROM ts) + 30 + CAST(floor(value) AS INT) % 90 AS INT) AS e FROM events"
 _PAIR = f"WITH m AS ({MEETINGS_SQL}), pairs AS (SELECT a.event_id AS event_id_a, b.event_id AS event_id_b, a.user_id, a.day, a.s AS s_a, a.e AS e_a, b.s AS s_b, b.e AS e_b FROM m a JOIN m b ON a.user_id = b.user_id AND a.day = b.day AND a.event_id < b.event_id AND a.s < b.e AND b.s < a.e)"
@@ -656,6 +669,25 @@ def crawl_visited(spark, sf_dir):
     return crawl.crawl(pages, pages.orderBy("page_id").first()["url"], max_depth=1, max_pages=5, follow=True)[0]
 
 
+# Pages of seven hosts, which link to each other as a tree besides their own links.
+_NODE = "cast(floor(page_id / 7) AS bigint)"
+_TREE = "html || '<a href=\"/n/' || cast(2 * NODE + 1 AS varchar(20)) || '\">l</a><a href=\"/n/' || cast(2 * NODE + 2 AS varchar(20)) || '\">r</a>'".replace("NODE", _NODE)
+_TREE_URL = f"'http://h' || cast(page_id % 7 AS varchar(9)) || '.example/n/' || cast({_NODE} AS varchar(20))"
+_TREE_SQL = LINKS_SQL.replace("FROM pages", f"FROM (SELECT page_id, {_TREE_URL} AS url, {_TREE} AS html FROM pages)").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("crawl_levels", rf"""{_TREE_SQL}, p AS (SELECT page_id, {_TREE_URL} AS url FROM pages), e AS (SELECT DISTINCT p.url AS page, link FROM l JOIN p USING (page_id)
+  WHERE regexp_extract(link, '^https?://([^/?#]*)', 1) = regexp_extract(p.url, '^https?://([^/?#]*)', 1) AND NOT regexp_matches(link, '(?i)\.(jpg|jpeg|png|gif|svg|webp|css|js|zip|rar|7z|doc|docx|xls|xlsx|ppt|pptx|pdf)$')),
+v AS (SELECT DISTINCT url, 0 AS depth FROM p WHERE ends_with(url, '/n/0') UNION SELECT link, depth + 1 FROM v JOIN e ON e.page = v.url WHERE depth < 6),
+f AS (SELECT url, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host, min(depth) AS depth FROM v GROUP BY url),
+t AS (SELECT *, row_number() OVER (PARTITION BY host, depth ORDER BY url) AS turn FROM f)
+SELECT url, depth FROM (SELECT url, depth, row_number() OVER (ORDER BY depth, turn, url) AS place FROM t) WHERE place <= 700""")
+def crawl_levels(spark, sf_dir):
+    """Six levels deep from a start on each host, 700 pages in all; hosts take turns on the last level."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.expr(_TREE_URL).alias("url"), F.expr(_TREE).alias("html"))
+    return crawl.crawl_table(pages, pages.where(F.endswith("url", F.lit("/n/0"))).select("url"), max_depth=6, max_pages=700)[0]
+
+
 @query("start_problems", "SELECT page_id, CASE page_id % 3 WHEN 1 THEN 'empty' WHEN 2 THEN 'scheme' ELSE CASE WHEN starts_with(url, 'http://') OR starts_with(url, 'https://') THEN NULL ELSE 'scheme' END END AS problem FROM pages")
 def start_problems(spark, sf_dir):
     given = F.when(F.col("page_id") % 3 == 1, F.lit(" \t\r\n\u3000")).when(F.col("page_id") % 3 == 2, F.concat(F.lit("ftp:"), "url")).otherwise(F.concat(F.lit("\n\t "), "url"))

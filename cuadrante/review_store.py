@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .operators import live, review
 from .review_index import Index
 from .sources import io
+from .streaming import edits
 
 
 class ReviewError(ValueError):
@@ -143,6 +144,12 @@ class Review:
     def _log(self, version: int) -> DataFrame | None:
         return self.spark.read.schema(LOG).json(self._log_folder(version)) if self._events(version) else None
 
+    def follow(self, path: str, checkpoint: str, on_batch=None):
+        """A stream that folds the current version's log into ``path`` as edits come (see ``streaming.edits``); its
+        states give the items as they are without reading the log again. A version has its own log, so its own path."""
+        log = edits.stream_log(self.spark, self._log_folder(self._version()), LOG)
+        return edits.start_folding(log, path, checkpoint, on_batch)
+
     def _edited(self, index: Index, log: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The items that the log names, as they were and as they are."""
         before = index.with_ids(log)
