@@ -7,6 +7,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .markup import link_targets
 from .text import free_column, strip
 
 #: Endings of links that are never followed.
@@ -101,17 +102,10 @@ def unescape(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("&")), F.array_join(pieces, "")).otherwise(c)
 
 
-HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>"
-VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
-LINK = rf"""(?is)<a(?:[\s/]+(?!href[\s=])[^\s=>/]+(?:\s*=\s*{VALUE})?)*+[\s/]+href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-
-
 def hrefs(html: Column) -> Column:
-    """The targets of all links, quoted either way or not at all, with character references resolved; what stands in
-    comments, scripts and styles is none."""
-    shown = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, "")
-    kinds = [F.regexp_extract_all(shown, F.lit(LINK), F.lit(i)) for i in (1, 2, 3)]
-    return F.transform(F.arrays_zip(*[k.alias(f"k{i}") for i, k in enumerate(kinds)]), lambda x: unescape(F.concat(x["k0"], x["k1"], x["k2"])))
+    """The targets of all links with their character references resolved; what stands in comments, scripts, styles and
+    other attributes is none."""
+    return F.transform(link_targets(html), unescape)
 
 
 def extract_links(pages: DataFrame) -> DataFrame:

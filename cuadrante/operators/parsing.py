@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .matching import longest_contained
 
 # The formats that cells are written in.
 GROUP = r"\d+[A-Z](?:\d+)?"
@@ -134,6 +135,16 @@ def degree_from_filename(path: Column) -> Column:
     return out
 
 
+def degrees_from_filenames(files: DataFrame, path: str, catalog: DataFrame) -> DataFrame:
+    """``files`` with name and code of ``degree_from_filename`` by a catalog of any size: rank, key, code, name, with
+    keys folded as file names are, and one row a key. Keys that no name contains give nulls."""
+    folded, key = T.free_column(files, "folded"), T.free_column(files, "key")
+    named = files.withColumn(folded, T.comparable(F.regexp_extract(F.col(f"`{path}`"), r"([^/]*)$", 1)))
+    found = longest_contained(named, folded, catalog.select("key", "rank"), key).drop(folded)
+    titles = catalog.select(F.col("key").alias(key), "name", "code")
+    return found.join(titles, key, "left").drop(key)
+
+
 def metadata(text: Column, path: Column) -> Column:
     """Degree, academic year, term, year and group of a page; the degree falls back to the file name."""
     t = T.clean(text)

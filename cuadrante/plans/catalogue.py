@@ -177,6 +177,22 @@ def degree_from_filename(spark, sf_dir):
     return paths.select("path", parsing.degree_from_filename(F.col("path")).alias("d")).select("path", "d.name", "d.code")
 
 
+# A catalog of the known degrees and one more for every supplier; what ties in length goes by rank.
+_KEYS = f"SELECT * FROM (VALUES {', '.join(f"({i}, '{key}', '{code}', '{name}')" for i, (key, code, name) in enumerate(parsing.CATALOG))}) AS c(rank, key, code, name) UNION ALL SELECT CAST(10 + s_suppkey AS INT), 'S' || CAST(s_suppkey AS VARCHAR), 'N' || CAST(s_suppkey AS VARCHAR), s_name FROM supplier"
+
+
+@query("degrees_contained", f"""WITH k AS ({_KEYS}), p AS (SELECT concat('x/', ['gieai','GISI','Giec','gii','GIT','mu'][1 + CAST(p_partkey % 6 AS INT)], '_s', CAST(p_partkey AS VARCHAR), '.pdf') AS path FROM part)
+SELECT path, name, code FROM (SELECT path, name, code, row_number() OVER (PARTITION BY path ORDER BY length(key) DESC NULLS LAST, rank) AS n FROM p LEFT JOIN k ON contains(upper(substr(path, 3)), key)) WHERE n = 1""")
+def degrees_contained(spark, sf_dir):
+    """Degrees of file names by a catalog that is a table."""
+    stems = F.array(*[F.lit(x) for x in ("gieai", "GISI", "Giec", "gii", "GIT", "mu")])
+    files = table(spark, sf_dir, "part").select(F.concat(F.lit("x/"), F.get(stems, (F.col("p_partkey") % 6).cast("int")), F.lit("_s"), F.col("p_partkey").cast("string"), F.lit(".pdf")).alias("path"))
+    known = spark.createDataFrame([(i, *x) for i, x in enumerate(parsing.CATALOG)], "rank int, key string, code string, name string")
+    number = F.col("s_suppkey").cast("string")
+    more = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 10).cast("int").alias("rank"), F.concat(F.lit("S"), number).alias("key"), F.concat(F.lit("N"), number).alias("code"), F.col("s_name").alias("name"))
+    return parsing.degrees_from_filenames(files, "path", known.unionByName(more))
+
+
 @query("issue_flags", f"WITH {S.RECORDS} SELECT ord, pos, issues, confidence, accepted, classroom FROM records")
 def issue_flags(spark, sf_dir):
     return built(spark, sf_dir).select("ord", "pos", F.array_join("issues", ",").alias("issues"), "confidence", "accepted", "classroom")
@@ -576,6 +592,11 @@ def links(spark, sf_dir):
 
 query("links_extract", f"{LINKS_SQL} SELECT page_id, link FROM l")(links)
 query("dedup_links", f"{LINKS_SQL} SELECT DISTINCT link FROM l")(lambda s, d: links(s, d).select("link").distinct())
+# Pages with markup in front and behind that hides links, doubles an attribute or is cut off.
+_BROKEN = """CASE page_id % 6 WHEN 0 THEN '<textarea><a href="/no"></textarea>' || html WHEN 1 THEN '<p title="<a href=/no>">' || html WHEN 2 THEN html || '<a href="/no' WHEN 3 THEN '<a href="/one" href="/two">' || html WHEN 4 THEN '<!-- <a href=/no> --!>' || html ELSE '<script>var x = "<a href=/no>"</script >' || html END"""
+query("links_markup", f"""{LINKS_SQL} SELECT page_id, link FROM l UNION SELECT page_id, {NORM("regexp_extract(url, '(?i)^https?://[^/?#]*') || '/two'")} FROM pages WHERE page_id % 6 = 3 AND url IS NOT NULL AND html IS NOT NULL""")(
+    lambda s, d: U.extract_links(table(s, d, "pages").withColumn("html", F.expr(_BROKEN)))
+)
 # Urls with what pages and people put around and into them.
 _WRITTEN = "CASE page_id % 8 WHEN 0 THEN url WHEN 1 THEN url || '?' WHEN 2 THEN url || '?#part' WHEN 3 THEN chr(9) || url || chr(13) || chr(10) WHEN 4 THEN chr(160) || replace(url, '/', chr(10) || '/') || chr(9) WHEN 5 THEN upper(url) || '#x' WHEN 6 THEN url || ';' ELSE 'mailto:' || url END"
 query("url_normalise", rf"""SELECT page_id, {NORM('u')} AS link FROM (SELECT page_id, CASE WHEN regexp_matches(w, '^[^?#]*[?](#.*)?$') THEN regexp_extract(w, '^[^?]*') WHEN regexp_matches(w, '^[^?#;]*//[^?#;]*/[^/?#;]*;$') THEN left(w, length(w) - 1) ELSE w END AS u
