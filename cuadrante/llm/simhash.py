@@ -248,10 +248,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = similar.meet_at_first(classes, hot)
     first = grid_pairs(classes.select("key", "n", "fp")).unionByName(similar.likely(similar.stars(members)))
     links = settle(similar.verified(settle(similar.possible(first, bits)), source))
-    found = settle(similar.apart(members, settle(components(links)), classes.select("key", "sign")))
-    links = links.unionByName(settle(similar.verified(settle(similar.possible(similar.one_a_root(found), bits)), source)))
-    rest = similar.still_apart(found, settle(components(links)))
-    more = settle(similar.verified(settle(similar.possible(rest, bits)), source))
+    found = settle(similar.apart(members, settle(components(links)), classes.select("key", "sign"), bits.drop("n")))
+    links = links.unionByName(settle(similar.verified(settle(similar.one_a_root(found)), source)))
+    rest = settle(similar.still_apart(found, settle(components(links))))
+    more = settle(similar.verified(rest, source))
     roots = components(links.unionByName(more))
     # One row of each component: its id, the hash of its text, and how many rows are equal to it.
     same = settle(rows.groupBy("id", "text_key").agg(F.any_value("key").alias("key"), F.count(F.lit(1)).alias("copies")))

@@ -13,7 +13,8 @@ changes the cost, never the result. Sets that meet at a shingle, a cell, are can
   pairs that both bounds leave are given out; so a boilerplate that isn't enough by itself gives none.
 
 Candidates are compared by the bits of their whole sets first, an eighth of the bytes or less, which give an upper bound
-of what they share.
+of what they share. Within cells that is done where the rows of a cell are: no row is made for a pair that this bound
+excludes; in a large group of sets that are alike, but not enough, such pairs grow with its square.
 
 Of these, one pair for every two roots is verified first; most groups are whole then, and the pairs within them need not
 be looked at.
@@ -240,54 +241,124 @@ def _rest(n):
     return (PART * n + WHOLE - 1) // WHOLE - 1
 
 
-def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cell, across, down, side, key, pos, n, root, minor, sign) sorted by the first three -> (a, b, ra, rb) with
-    their roots: of each square the pairs of a row of side 0, all of which are minor, and one of side 1 that may be
-    similar."""
+def _squares(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]]]:
+    """Rows (cell, across, down, side, key, pos, n, root, minor, ...) sorted by the first three -> of each square its
+    columns and the pairs of a row of side 0, all of which are minor, and one of side 1 that are apart and that sizes and
+    places allow. A row of side 2 is on both sides."""
+
+    def pairs(side, key, pos, n, root, minor) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        left = n - pos
+        x, y = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        step = max(1, 1_000_000 // max(1, len(y)))
+        for i in range(0, len(x), step):
+            u = x[i : i + step, None]
+            could = (root[u] != root[y]) & ((minor[y] == 0) | (key[u] < key[y])) & enough(np.minimum(left[u], left[y]), n[u] + n[y])
+            p, q = np.nonzero(could)
+            yield x[p + i], y[q]
+
     for cols in _whole_cells(batches, 3):
         for s, e in zip(*_runs(*cols[:3])):
-            side, key, pos, n, root, minor = (c[s:e] for c in cols[3:9])
-            sign = np.frombuffer(b"".join(cols[9][s:e]), np.uint64).reshape(e - s, -1)
-            slack = prefix_size(n) - np.bitwise_count(sign).sum(axis=1, dtype=np.int64)
-            left = n - pos
-            x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            step = max(1, 1_000_000 // max(1, len(y)))
-            for i in range(0, len(x), step):
-                u = x[i : i + step, None]
-                could = (root[u] != root[y]) & ((minor[y] == 0) | (key[u] < key[y])) & enough(np.minimum(left[u], left[y]), n[u] + n[y])
-                p, q = np.nonzero(could)
-                p, q = x[p + i], y[q]
-                both = np.zeros(len(p), np.int64)
-                for w in range(sign.shape[1]):
-                    both += np.bitwise_count(sign[p, w] & sign[q, w])
-                most = np.minimum(both + np.minimum(slack[p], slack[q]) + np.maximum(_rest(n[p]), _rest(n[q])), np.minimum(n[p], n[q]))
-                ok = enough(most, n[p] + n[q])
-                if ok.any():
-                    p, q = p[ok], q[ok]
-                    p, q = np.where(key[p] < key[q], p, q), np.where(key[p] < key[q], q, p)
-                    yield pa.record_batch([pa.array(x) for x in (key[p], key[q], root[p], root[q])], names=["a", "b", "ra", "rb"])
-
-
-def apart(members: DataFrame, roots: DataFrame, signs: DataFrame) -> DataFrame:
-    """(a, b, ra, rb): pairs that ``roots`` (node, root) doesn't connect and that may be similar, with their roots.
-    ``signs`` (key, sign)."""
-    at = settle(members.join(roots, members["key"] == roots["node"], "left").select("cell", "key", "pos", "n", F.coalesce("root", "key").alias("root")))
+            square = [c[s:e] for c in cols]
+            yield square, pairs(*square[3:9])
+
+
+def _signed(square: list[np.ndarray], pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs that may be similar by the signatures of their first shingles."""
+    n = square[6]
+    sign = np.frombuffer(b"".join(square[9]), np.uint64).reshape(len(n), -1)
+    slack = prefix_size(n) - np.bitwise_count(sign).sum(axis=1, dtype=np.int64)
+    for p, q in pairs:
+        both = np.zeros(len(p), np.int64)
+        for w in range(sign.shape[1]):
+            both += np.bitwise_count(sign[p, w] & sign[q, w])
+        most = np.minimum(both + np.minimum(slack[p], slack[q]) + np.maximum(_rest(n[p]), _rest(n[q])), np.minimum(n[p], n[q]))
+        ok = enough(most, n[p] + n[q])
+        yield p[ok], q[ok]
+
+
+def _whole(square: list[np.ndarray], pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs that may be similar by the bits of their whole sets, as ``shared_at_most`` has them, many at once."""
+    n, bits = square[6], [np.frombuffer(x, np.uint64) for x in square[10]]
+    widths = np.array([len(x) for x in bits])
+    made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def folded(width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The tables of at least this width, a row a word, and the places of their sets."""
+        if width not in made:
+            rows = np.flatnonzero(widths >= width)
+            made[width] = np.ascontiguousarray(np.stack([_folded(bits[r], width) for r in rows]).T), rows
+        return made[width]
+
+    for p, q in pairs:
+        ok, each = np.zeros(len(p), bool), np.minimum(widths[p], widths[q])
+        for width in np.unique(each).tolist():
+            table, rows = folded(width)
+            mine = np.flatnonzero(each == width)
+            x, y = p[mine], q[mine]
+            a, b = np.searchsorted(rows, x), np.searchsorted(rows, y)
+            both = np.zeros(len(mine), np.int64)
+            for word in table:
+                both += np.bitwise_count(word[a] & word[b])
+            slack = n[rows] - np.bitwise_count(table).sum(axis=0, dtype=np.int64)
+            ok[mine] = enough(np.minimum(both + np.minimum(slack[a], slack[b]), np.minimum(n[x], n[y])), n[x] + n[y])
+        yield p[ok], q[ok]
+
+
+def _touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Squares with signatures -> (cell, key, pos, n, root): the sets of each that are in a pair that may be similar."""
+    for square, pairs in _squares(batches):
+        found = np.zeros(len(square[0]), bool)
+        for p, q in _signed(square, pairs):
+            found[p] = found[q] = True
+        if found.any():
+            yield pa.record_batch([pa.array(square[k][found]) for k in (0, 4, 5, 6, 7)], names=["cell", "key", "pos", "n", "root"])
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Squares with signatures, or these and the bits of whole sets -> (a, b, ra, rb): the pairs that may be similar by
+    them, with their roots."""
+    for square, pairs in _squares(batches):
+        key, root, pairs = square[4], square[7], _signed(square, pairs)
+        for p, q in _whole(square, pairs) if len(square) > 10 else pairs:
+            if len(p):
+                p, q = np.where(key[p] < key[q], p, q), np.where(key[p] < key[q], q, p)
+                yield pa.record_batch([pa.array(x) for x in (key[p], key[q], root[p], root[q])], names=["a", "b", "ra", "rb"])
+
+
+def _dealt(at: DataFrame, tables: DataFrame) -> DataFrame:
+    """(cell, across, down, side, key, pos, n, root, minor, ...): the rows (cell, key, pos, n, root) of cells with two
+    roots or more, dealt to squares, with the other columns of ``tables`` (key, ...)."""
     # The smaller set of a pair has, at the first shared shingle, at least 8 of 9 of its shingles left.
     small = WHOLE * (F.col("n") - F.col("pos")) + PART * (F.col("n") - F.col("pos")) >= 2 * PART * F.col("n")
     each = at.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("rows"), F.count_if(small).alias("small"))
     mixed = each.groupBy("cell").agg(F.max(F.struct("rows", "root")).alias("major"), F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("roots"), F.sum("small").alias("small")).where("roots > 1 and small > 0")
     squares = lambda n: F.ceil(n / BLOCK).cast("long")
     sides = mixed.select("cell", F.col("major.root").alias("major"), squares(F.col("rows") - F.col("major.rows")).alias("n_across"), squares(F.col("rows")).alias("n_down"))
-    rows = at.join(sides, "cell").join(signs, "key").withColumn("minor", F.col("root") != F.col("major"))
+    rows = at.join(sides, "cell").join(tables, "key").withColumn("minor", F.col("root") != F.col("major"))
     own = lambda n: F.pmod(F.xxhash64("key"), F.col(n))
-    part = lambda side, across, down: F.struct(F.lit(side).alias("side"), across.alias("across"), down.alias("down"))
+    part = lambda side, across, down: F.struct(side.alias("side"), across.alias("across"), down.alias("down"))
     every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    base = F.when(F.col("minor"), F.transform(every("n_down"), lambda d: part(0, own("n_across"), d))).otherwise(F.array().cast("array<struct<side:int,across:bigint,down:bigint>>"))
-    dealt = rows.withColumn("t", F.explode(F.concat(base, F.transform(every("n_across"), lambda a: part(1, a, own("n_down"))))))
-    n = max(12, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = dealt.select("cell", "t.across", "t.down", F.col("t.side").cast("long").alias("side"), "key", "pos", "n", "root", F.col("minor").cast("long").alias("minor"), "sign")
+    base = F.when(F.col("minor"), F.transform(F.filter(every("n_down"), lambda d: d != own("n_down")), lambda d: part(F.lit(0), own("n_across"), d))).otherwise(F.array().cast("array<struct<side:int,across:bigint,down:bigint>>"))
+    both = lambda a: F.when(F.col("minor") & (a == own("n_across")), 2).otherwise(1)
+    dealt = rows.withColumn("t", F.explode(F.concat(base, F.transform(every("n_across"), lambda a: part(both(a), a, own("n_down"))))))
+    n = max(12, int(at.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = dealt.select("cell", "t.across", "t.down", F.col("t.side").cast("long").alias("side"), "key", "pos", "n", "root", F.col("minor").cast("long").alias("minor"), *tables.drop("key").columns)
     by = ["cell", "across", "down"]
-    return dealt.repartition(n, *by).sortWithinPartitions(*by).mapInArrow(_apart, "a bigint, b bigint, ra bigint, rb bigint").distinct()
+    return dealt.repartition(n, *by).sortWithinPartitions(*by)
+
+
+def apart(members: DataFrame, roots: DataFrame, signs: DataFrame, bits: DataFrame | None = None) -> DataFrame:
+    """(a, b, ra, rb): pairs that ``roots`` (node, root) doesn't connect and that may be similar, with their roots.
+    ``signs`` (key, sign).
+
+    With ``bits`` (key, bits) the signatures first tell which sets of a cell are in such a pair, a row a set; these are
+    dealt to squares once more, and given out are the pairs that the bits of the whole sets leave, too. So what is written
+    grows with the sets and with the pairs that are nearly similar, not with all that a cell has."""
+    at = settle(members.join(roots, members["key"] == roots["node"], "left").select("cell", "key", "pos", "n", F.coalesce("root", "key").alias("root")))
+    if bits is not None:
+        at = settle(_dealt(at, signs).mapInArrow(_touched, "cell bigint, key bigint, pos bigint, n bigint, root bigint").distinct())
+        signs = signs.join(bits, "key")
+    return _dealt(at, signs).mapInArrow(_apart, "a bigint, b bigint, ra bigint, rb bigint").distinct()
 
 
 def one_a_root(found: DataFrame) -> DataFrame:

@@ -120,6 +120,37 @@ def test_a_boilerplate_gives_no_pairs(spark):
     assert simhash.one_of_each(docs).count() == 3000
 
 
+def test_a_group_that_is_not_alike_enough_makes_few_rows(spark, monkeypatch):
+    """Every two documents have 823 of 1,000 shingles in common, at random places: 0.70. Signatures of first shingles
+    can't tell; the bits of the whole sets must, before a row is made for a pair."""
+    monkeypatch.setattr(similar, "HOT", 10**9)
+    shared = " ".join(f"s{i}" for i in range(827))
+    rows = [(i, shared + " " + " ".join(f"u{i}x{k}" for k in range(177))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    made = []
+    monkeypatch.setattr(similar, "one_a_root", lambda found, f=similar.one_a_root: made.append(found.count()) or f(found))
+    assert simhash.one_of_each(docs).count() == 120 and made[0] <= 120
+
+
+@pytest.mark.parametrize("block", [4000, 7])
+def test_pairs_by_bits_are_those_of_one_pair_at_a_time(spark, block, monkeypatch):
+    """Sets of several sizes in common cells, in one square and in many."""
+    monkeypatch.setattr(similar, "BLOCK", block)
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(150)]
+    rows = [(i, " ".join(w if rng.random() > 0.03 else f"x{i}y{k}" for k, w in enumerate(base[: rng.randint(110, 150)]))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    hot = similar.hot_shingles(docs, "text")
+    sets = simhash.profiles(docs, "doc_id", "text", 5, hot.column("h").to_numpy()).cache()
+    members = similar.meet_at_first(sets, hot)
+    none = spark.createDataFrame([], "node long, root long")
+    signs, n, bits = sets.select("key", "sign"), {r["key"]: r["n"] for r in sets.collect()}, {r["key"]: bytes(r["bits"]) for r in sets.collect()}
+    wide = {(r["a"], r["b"]) for r in similar.apart(members, none, signs).collect()}
+    left = {(a, b) for a, b in wide if similar.enough(similar.shared_at_most(bits[a], bits[b], n[a], n[b]), n[a] + n[b])}
+    got = {(r["a"], r["b"]) for r in similar.apart(members, none, signs, sets.select("key", "bits")).collect()}
+    assert got == left and 0 < len(left) < len(wide)
+
+
 def test_paragraphs_from_a_pool(spark):
     """Three of a pool of paragraphs each: many common shingles, few similar texts."""
     rng = random.Random(2)
