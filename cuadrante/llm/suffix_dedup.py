@@ -16,7 +16,8 @@ on whole texts, in four steps:
 
 A passage that very many documents share would bring all its segments to one part. Strings of an anchor with over HOT
 occurrences therefore take another way, that Spark splits: the smallest id of each string, named by 128 bits of hashes,
-is found by an aggregation with partial sums, and joined back.
+is found by an aggregation with partial sums, and joined back. They come from the same pass over the texts as segments,
+and go along with these, packed, to parts of their own.
 
 Exact copies of a text with a smaller id go as a whole and take no part in steps 2 and 3.
 
@@ -294,36 +295,36 @@ def _named(doc: np.ndarray, h: np.ndarray, marks: list[bytes]) -> np.ndarray:
     return np.flatnonzero(np.isin(doc.astype(np.uint64) << np.uint64(32) | h >> np.uint64(32), named))
 
 
-def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, key, data, marks) -> (a, b, id, key, place): the strings of hot anchors by two hashes."""
-    for ids, keys, texts, marks in _row_groups(batches, 4):
-        doc, first, last, h = segments(texts)
-        mine = _named(doc, h, marks)
-        d, f, e = doc[mine], first[mine], last[mine] + SPAN
-        data = np.frombuffer(b"".join([texts[i][u:v] for i, u, v in zip(d.tolist(), f.tolist(), e.tolist())]), np.uint8)
-        n = e - f - SPAN + 1  # strings of each segment
-        at = ragged(np.cumsum(e - f) - (e - f), n)
-        place = ragged(f, n)
-        own = np.repeat(d, n)
-        ids, keys = np.array(ids, np.int64), np.array(keys, np.int64)
-        a, b = ((gram_hashes(data, SPAN, base)[at] if len(at) else np.zeros(0, np.uint64)).view(np.int64) for base in (BASE, OTHER))
-        for i in range(0, len(at), 100_000):
-            part = slice(i, i + 100_000)
-            yield pa.record_batch([pa.array(x[part]) for x in (a, b, ids[own], keys[own], place)], names=["a", "b", "id", "key", "place"])
+def strings(ids: np.ndarray, keys: np.ndarray, texts: list[bytes], d: np.ndarray, f: np.ndarray, e: np.ndarray, n_parts: int) -> Iterator[pa.RecordBatch]:
+    """(part, data): the strings of segments (document, first, end) of hot anchors, packed: two hashes, id, key and place
+    of each. Any part from ``n_parts`` on will do, as they don't meet there."""
+    data = np.frombuffer(b"".join([texts[i][u:v] for i, u, v in zip(d.tolist(), f.tolist(), e.tolist())]), np.uint8)
+    n = e - f - SPAN + 1  # strings of each segment
+    at = ragged(np.cumsum(e - f) - (e - f), n)
+    own = np.repeat(d, n)
+    a, b = (gram_hashes(data, SPAN, base)[at].view(np.int64) for base in (BASE, OTHER))
+    rows = np.stack([a, b, ids[own], keys[own], ragged(f, n)])
+    for i in range(0, len(at), 20_000):
+        part = n_parts + int(part_of(a[i : i + 1].view(np.uint64), n_parts)[0])
+        yield pa.record_batch([pa.array([part], pa.int32()), pa.array([rows[:, i : i + 20_000].tobytes()], pa.binary())], names=["part", "data"])
 
 
 def cut_segments(n_parts: int):
-    """(id, key, data, marks) -> (part, data): the packed segments of repeated anchors."""
+    """(id, key, data, marks, hot) -> (part, data): the packed segments of repeated anchors, and the strings of hot ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, keys, texts, marks in _row_groups(batches, 4):
+        for ids, keys, texts, marks, hot in _row_groups(batches, 5):
             doc, first, last, h = segments(texts)
             mine = _named(doc, h, marks)
+            ids, keys, hot = np.array(ids, np.int64), np.array(keys, np.int64), np.array(hot, bool)[doc[mine]]
+            if hot.any():
+                x = mine[hot]
+                yield from strings(ids, keys, texts, doc[x], first[x], last[x] + SPAN, n_parts)
+                mine = mine[~hot]
             part = part_of(h[mine], n_parts)
             order = np.lexsort((first[mine], doc[mine], part))
             mine, part = mine[order], part[order]
             begin = _groups(part)
-            ids, keys = np.array(ids, np.int64), np.array(keys, np.int64)
             blobs = []
             for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(mine)]):
                 x = mine[a:b]
@@ -542,11 +543,18 @@ def merge(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def find_intervals(n_parts: int):
-    """(part, data) -> (part, data): documents' repeated intervals in a part, packed for ``by_document``, two numbers a run."""
+    """(part, data) -> (part, data, and nulls): documents' repeated intervals in a part, packed for ``by_document``, two
+    numbers a run; of parts from ``n_parts`` on the strings as rows (nulls, a, b, id, key, place)."""
+    names = ["part", "data", "a", "b", "id", "key", "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, blobs in by_part(batches):
-            yield to_buckets(*_intervals(blobs), n_parts)
+        for part, blobs in by_part(batches):
+            for x in blobs if part >= n_parts else ():
+                rows = np.frombuffer(x, np.int64).reshape(5, -1)
+                yield pa.record_batch([pa.nulls(rows.shape[1], pa.int32()), pa.nulls(rows.shape[1], pa.binary()), *map(pa.array, rows)], names=names)
+            if part < n_parts:
+                found = to_buckets(*_intervals(blobs), n_parts)
+                yield pa.record_batch([*found.columns, *[pa.nulls(found.num_rows, pa.int64())] * 5], names=names)
 
     return run
 
@@ -618,11 +626,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blob, row = "part int, data binary", "id bigint, key bigint, data binary, hot boolean"
     marks = dealt(rows.mapInArrow(anchors(units), blob)).mapInArrow(mark_repeated(units), blob)
     masks = settle(dealt(marks).mapInArrow(by_document(np.uint32, units), row)).withColumnRenamed("data", "masks").join(copies, ["id", "key"], "left_anti")
-    named = lambda hot: rows.join(masks.where(hot), ["id", "key"]).select("id", "key", "data", "masks")
-    spans = dealt(named("not hot").mapInArrow(cut_segments(units), blob)).mapInArrow(find_intervals(units), blob)
-    by_doc = dealt(spans).mapInArrow(by_document(np.int64, units), row).select("id", "key", F.col("data").alias("spans"))
+    named = rows.join(masks, ["id", "key"]).select("id", "key", "data", "masks", "hot")  # texts are moved once for both ways
+    spans = settle(dealt(named.mapInArrow(cut_segments(units), blob)).mapInArrow(find_intervals(units), f"{blob}, a bigint, b bigint, id bigint, key bigint, place bigint"))
+    by_doc = dealt(spans.where("part is not null").select("part", "data")).mapInArrow(by_document(np.int64, units), row).select("id", "key", F.col("data").alias("spans"))
     if not masks.where("hot").isEmpty():
-        found = settle(named("hot").mapInArrow(strings, "a bigint, b bigint, id bigint, key bigint, place bigint"))
+        found = spans.where("part is null").select("a", "b", "id", "key", "place")
         low = found.groupBy("a", "b").agg(F.min("id").alias("low"))
         hits = found.join(low, ["a", "b"]).where("id > low").groupBy("id", "key").agg(F.collect_set("place").alias("places"))
         by_doc = by_doc.join(hits, ["id", "key"], "full")

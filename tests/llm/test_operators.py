@@ -45,6 +45,23 @@ def test_a_passage_in_half_of_all_documents(spark, hot, monkeypatch):
     assert rows_of(suffix_dedup.remove_repeats(table).drop("kept_text")) == brute_repeats(rows)
 
 
+def test_hot_anchors_move_no_texts_again(spark, monkeypatch):
+    """What is hot makes no further join with the texts: plans read them as often with hot anchors as without."""
+    rng = random.Random(8)
+    passage = " ".join(f"word{i}" for i in range(40))
+    rows = [(i, passage + " " + str(rng.random()) * 3) for i in range(200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    read, settle, mark = {}, suffix_dedup.settle, suffix_dedup.mark_repeated
+    for hot in (50_000, 100):
+        plans = []
+        monkeypatch.setattr(suffix_dedup, "settle", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or settle(df))
+        monkeypatch.setattr(suffix_dedup, "mark_repeated", lambda n, hot=hot: _with_hot(mark(n), hot))
+        out = suffix_dedup.remove_repeats(table)
+        assert rows_of(out.drop("kept_text")) == brute_repeats(rows)
+        read[hot] = sum(p.count(" AS data#") for p in plans)
+    assert read[50_000] == read[100] > 0
+
+
 def test_long_texts_are_cut(spark, monkeypatch):
     """An empty text right before one that is cut, and strings that lie across cuts."""
     monkeypatch.setattr(suffix_dedup, "STEP", 700)
