@@ -2,11 +2,12 @@
 
 A sample of the documents proposes phrases. A full pass counts, exactly and over all documents, every phrase whose
 beginning and end (the phrase without its last and without its first word) are proposed: the proposed ones and their
-negative border. All words are counted. If a phrase of the border turns out frequent, longer phrases may have been left
-out; then all frequent phrases found so far are proposed, and a further pass counts what no pass has counted yet. When
-no frequent phrase lies outside what was proposed, all frequent phrases are counted: beginning and end of a frequent
-phrase are frequent, so by induction over the length they are proposed, and it was counted. That takes four passes at
-most, whatever the sample holds; a better sample takes fewer.
+negative border. All words are counted. When no frequent phrase lies outside what was proposed, all frequent phrases are
+counted: beginning and end of a frequent phrase are frequent, so by induction over the length they are proposed, and it
+was counted. If a phrase of the border turns out frequent, longer phrases may have been left out; then a second pass
+counts what the first one has not, if it may be frequent: if beginning and end were counted and are frequent, or were
+not counted and may be frequent themselves, by the same rule. Beginning and end of a frequent phrase always are, by
+induction, so two passes are enough, whatever the sample holds; a worse sample leaves more to the second.
 
 What is proposed is handed to the tasks as one table of bits of a fixed greatest size (MAX_BITS), filled by 64-bit
 hashes. A bit set by another phrase makes a pass count more than it must, never less, so counts don't depend on hashes;
@@ -126,26 +127,29 @@ class Bits:
 
 
 def _levels(s: Symbols, tables: list[Bits] | None, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For phrases of 1, 2, ... words: (numbers of their words, hashes, counts, which are counted by an earlier table).
+    """For phrases of 1, 2, ... words: (numbers of their words, hashes, counts, which are counted by the first table).
 
-    With ``tables``, longer phrases are those whose beginning and end are in the last table; without, all are."""
+    Without ``tables`` these are all phrases, with one those whose beginning and end are in it. The second of two has the
+    frequent phrases that are counted by the first: beginning and end are in it, or aren't counted yet."""
     name, width = s.name, 1
     found = np.arange(len(s.hashes))[:, None]
     h, n = s.hashes, np.bincount(name[name >= 0], minlength=len(s.hashes))
-    known = np.ones((max(0, len(tables or ()) - 1), len(h)), bool)  # by earlier table: beginning and end are in it
+    again = len(tables or ()) > 1
+    known = np.full(len(h), again)
     while True:
-        yield found, h, n, known.any(axis=0) if len(known) else np.zeros(len(h), bool)
+        yield found, h, n, known
         if width == longest or not len(h):
             return
         if tables:
-            name = np.where((name >= 0) & tables[-1].has(h)[name], name, -1)
-            known = np.stack([k & t.has(h) for k, t in zip(known, tables)]) if len(known) else known
+            on = tables[-1].has(h) | ~known if again else tables[0].has(h)
+            name = np.where((name >= 0) & on[name], name, -1)
+            known = known & tables[0].has(h) if again else known
         at = np.flatnonzero((name[:-1] >= 0) & (name[1:] >= 0))
         keys, numbers, n = np.unique(name[at] * len(h) + name[at + 1], return_inverse=True, return_counts=True)
         first, last = keys // len(h), keys % len(h)
         name = np.full(len(name), -1, np.int64)
         name[at] = numbers
-        known = known[:, first] & known[:, last]
+        known = known[first] & known[last]
         found = np.column_stack([found[first], found[last][:, -1]])
         h = h[first] * BASE + s.hashes[found[:, -1]]
         width += 1
@@ -222,19 +226,22 @@ def frequent_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("row"))
     some = rows.where(F.pmod("row", F.lit(sample)) == 0).select("lang", "text").mapInArrow(_propose, "h bigint, n bigint")
     tables = [bits_of(some.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= PROPOSED))]
-    counted = None
     k = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ", -1)))
-    while True:
+
+    def count() -> DataFrame:
         shared = spark.sparkContext.broadcast(tables)
         seen = rows.select("lang", "text").mapInArrow(_count(shared), "lang string, phrase string, n bigint")
         new = seen.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where((F.col("phrase") == "") | (F.col("n") >= least))
         new = settle(new.select("lang", k.alias("k"), "phrase", "n"))
-        counted = counted.unionByName(new) if counted is not None else new
         shared.destroy()
-        frequent = counted.where("k > 0")
-        if not _hashes_of(frequent, tables[-1]).head(1):
-            return counted
-        tables.append(bits_of(_hashes_of(frequent)))
+        return new
+
+    counted = count()
+    frequent = counted.where("k > 0")
+    if not _hashes_of(frequent, tables[0]).head(1):
+        return counted
+    tables.append(bits_of(_hashes_of(frequent)))
+    return counted.unionByName(count())
 
 
 def _part(words: str, start, size):

@@ -247,6 +247,17 @@ def test_phrases_are_those_of_brute_force(spark, sample, least, top):
     assert len(want) > 20 and sorted(tuple(r) for r in got.collect()) == want
 
 
+@pytest.mark.parametrize("sample", [3, 2**40])
+def test_two_passes_are_enough(spark, sample, monkeypatch):
+    """Whatever the sample leaves out, one more pass counts all lengths."""
+    passes = []
+    monkeypatch.setattr(phrases, "_count", lambda shared, f=phrases._count: passes.append(1) or f(shared))
+    rows = phrase_rows(8)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    assert sorted(tuple(r) for r in phrases.collocations(docs, least=4, sample=sample).collect()) == brute_collocations(rows, 4, 2000)
+    assert len(passes) == 2
+
+
 def test_phrases_of_long_texts_and_none(spark, monkeypatch):
     """Texts above a slice are cut between pieces only."""
     import pyarrow as pa
