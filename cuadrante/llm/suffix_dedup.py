@@ -14,10 +14,11 @@ on whole texts, in four steps:
    lockstep lanes, and shards are merged by binary search of one shard's strings in another's suffix array.
 4. Bytes. Each document gets its repeated intervals back and is hashed without them.
 
-A passage that very many documents share would bring all its segments to one part. Strings of an anchor with over HOT
-occurrences therefore take another way, that Spark splits: the smallest id of each string, named by 128 bits of hashes,
-is found by an aggregation with partial sums, and joined back. They come from the same pass over the texts as segments,
-and go along with these, packed, to parts of their own.
+A passage that very many documents share would bring all its segments to one part. Segments of an anchor with over HOT
+occurrences therefore take another way. They come from the same pass over the texts, in batches of HOT_STRINGS strings:
+a batch asks once for each string that it has, named by 128 bits of hashes, with the smallest and largest id there. Asks
+go to parts by the string's hash, and answers, the smallest id of all, back to the batch, which finds its places by them.
+So however many documents share a string, a part sees it once a batch, and what a batch sends has no row a string.
 
 Exact copies of a text with a smaller id go as a whole and take no part in steps 2 and 3.
 
@@ -47,8 +48,9 @@ UNIT_BYTES = 8_000_000  # of text for each part that anchors are dealt to; a tas
 FLUSH_BYTES = 20_000_000
 LAST = 2**63 - 1
 BASE, MIX, OTHER = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F
-#: An anchor with more occurrences is hot: its strings are counted one by one, by hash, and meet in no part.
+#: An anchor with more occurrences is hot: its segments meet in no part, their strings are asked for by hash.
 HOT = 50_000
+HOT_STRINGS = 500_000  # occurrences of strings in a batch that asks together
 
 
 # --- anchors -------------------------------------------------------------------------------------------------------
@@ -295,22 +297,40 @@ def _named(doc: np.ndarray, h: np.ndarray, marks: list[bytes]) -> np.ndarray:
     return np.flatnonzero(np.isin(doc.astype(np.uint64) << np.uint64(32) | h >> np.uint64(32), named))
 
 
-def strings(ids: np.ndarray, keys: np.ndarray, texts: list[bytes], d: np.ndarray, f: np.ndarray, e: np.ndarray, n_parts: int) -> Iterator[pa.RecordBatch]:
-    """(part, data): the strings of segments (document, first, end) of hot anchors, packed: two hashes, id, key and place
-    of each. Any part from ``n_parts`` on will do, as they don't meet there."""
-    data = np.frombuffer(b"".join([texts[i][u:v] for i, u, v in zip(d.tolist(), f.tolist(), e.tolist())]), np.uint8)
-    n = e - f - SPAN + 1  # strings of each segment
-    at = ragged(np.cumsum(e - f) - (e - f), n)
-    own = np.repeat(d, n)
-    a, b = (gram_hashes(data, SPAN, base)[at].view(np.int64) for base in (BASE, OTHER))
-    rows = np.stack([a, b, ids[own], keys[own], ragged(f, n)])
-    for i in range(0, len(at), 20_000):
-        part = n_parts + int(part_of(a[i : i + 1].view(np.uint64), n_parts)[0])
-        yield pa.record_batch([pa.array([part], pa.int32()), pa.array([rows[:, i : i + 20_000].tobytes()], pa.binary())], names=["part", "data"])
+def asks(ids: np.ndarray, keys: np.ndarray, texts: list[bytes], d: np.ndarray, f: np.ndarray, e: np.ndarray, n_parts: int) -> Iterator[pa.RecordBatch]:
+    """(part, data): of a batch of segments (document, first, end) each different string once, packed by its hash to parts
+    from ``n_parts`` on: two hashes, smallest and largest id, number in the batch. The segments themselves go with the
+    numbers of their strings to a part from ``2 * n_parts`` on, where answers come back."""
+    contents: dict[bytes, int] = {}  # equal segments are looked at once
+    which = np.array([contents.setdefault(texts[i][u:v], len(contents)) for i, u, v in zip(d.tolist(), f.tolist(), e.tolist())], np.int32)
+    sizes = np.array([len(c) for c in contents], np.int64)
+    data = np.frombuffer(b"".join(contents), np.uint8)
+    n = sizes - SPAN + 1  # strings of each content
+    at = ragged(np.cumsum(sizes) - sizes, n)
+    one, two = (gram_hashes(data, SPAN, base)[at] for base in (BASE, OTHER))
+    order = np.argsort(which, kind="stable")
+    begin = _groups(which[order])
+    low, high = (np.repeat(best.reduceat(ids[d][order], begin), n) for best in (np.minimum, np.maximum))
+    order = np.lexsort((two, one))
+    begin = _groups(one[order], two[order])
+    string = np.empty(len(order), np.int32)
+    string[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(order))))
+    one, two, low, high = one[order[begin]], two[order[begin]], np.minimum.reduceat(low[order], begin), np.maximum.reduceat(high[order], begin)
+    own = b"".join([np.array([len(d), len(n), len(string)], np.int64).tobytes(), ids[d].tobytes(), keys[d].tobytes(), f.astype(np.int64).tobytes(), which.tobytes(), n.astype(np.int32).tobytes(), string.tobytes()])
+    batch = int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little", signed=True)  # of contents, so that a task run again names it alike
+    part = part_of(one, n_parts)
+    order = np.argsort(part, kind="stable")
+    begin = _groups(part[order])
+    names, blobs = [2 * n_parts + batch % n_parts], [np.array([batch, -1], np.int64).tobytes() + own]
+    for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(order)]):
+        x = order[i:j]
+        names.append(n_parts + int(part[x[0]]))
+        blobs.append(b"".join([np.array([batch, len(x)], np.int64).tobytes(), one[x].tobytes(), two[x].tobytes(), low[x].tobytes(), high[x].tobytes(), x.astype(np.int32).tobytes()]))
+    yield pa.record_batch([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "data"])
 
 
 def cut_segments(n_parts: int):
-    """(id, key, data, marks, hot) -> (part, data): the packed segments of repeated anchors, and the strings of hot ones."""
+    """(id, key, data, marks, hot) -> (part, data): the packed segments of repeated anchors, and what hot ones ask."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, keys, texts, marks, hot in _row_groups(batches, 5):
@@ -319,7 +339,9 @@ def cut_segments(n_parts: int):
             ids, keys, hot = np.array(ids, np.int64), np.array(keys, np.int64), np.array(hot, bool)[doc[mine]]
             if hot.any():
                 x = mine[hot]
-                yield from strings(ids, keys, texts, doc[x], first[x], last[x] + SPAN, n_parts)
+                n = last[x] - first[x] + 1
+                for own in np.split(x, _groups((np.cumsum(n) - n) // HOT_STRINGS)[1:]):
+                    yield from asks(ids, keys, texts, doc[own], first[own], last[own] + SPAN, n_parts)
                 mine = mine[~hot]
             part = part_of(h[mine], n_parts)
             order = np.lexsort((first[mine], doc[mine], part))
@@ -543,22 +565,77 @@ def merge(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def find_intervals(n_parts: int):
-    """(part, data) -> (part, data, and nulls): documents' repeated intervals in a part, packed for ``by_document``, two
-    numbers a run; of parts from ``n_parts`` on the strings as rows (nulls, a, b, id, key, place)."""
-    names = ["part", "data", "a", "b", "id", "key", "place"]
+    """(part, data) -> (part, data): documents' repeated intervals in a part, packed for ``by_document``, two numbers a
+    run; of parts from ``n_parts`` on answers to asks, and what waits for these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, blobs in by_part(batches):
-            for x in blobs if part >= n_parts else ():
-                rows = np.frombuffer(x, np.int64).reshape(5, -1)
-                yield pa.record_batch([pa.nulls(rows.shape[1], pa.int32()), pa.nulls(rows.shape[1], pa.binary()), *map(pa.array, rows)], names=names)
             if part < n_parts:
-                found = to_buckets(*_intervals(blobs), n_parts)
-                yield pa.record_batch([*found.columns, *[pa.nulls(found.num_rows, pa.int64())] * 5], names=names)
+                yield to_buckets(*_intervals(blobs), n_parts)
+            elif part < 2 * n_parts:
+                yield _answers(blobs, n_parts)
+            else:
+                for x in blobs:
+                    yield pa.record_batch([pa.array([part], pa.int32()), pa.array([x], pa.binary())], names=["part", "data"])
 
     return run
 
 
+def _answers(blobs: list[bytes], n_parts: int) -> pa.RecordBatch:
+    """(part, data): to each batch the smallest id of its strings, where an id there is larger."""
+    heads, cols = [], [[] for _ in range(5)]
+    for b in blobs:
+        batch, m = np.frombuffer(b, np.int64, 2).tolist()
+        heads.append((batch, m))
+        for to, x in zip(cols, _cut(b[16:], (np.uint64, m), (np.uint64, m), (np.int64, m), (np.int64, m), (np.int32, m))):
+            to.append(x)
+    one, two, low, high, number = map(np.concatenate, cols)
+    order = np.lexsort((two, one))
+    begin = _groups(one[order], two[order])
+    least = np.empty(len(order), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(low[order], begin), np.diff(np.append(begin, len(order))))
+    names, out, at = [], [], 0
+    for batch, m in heads:
+        x = at + np.flatnonzero(least[at : at + m] < high[at : at + m])
+        at += m
+        if len(x):
+            names.append(2 * n_parts + batch % n_parts)
+            out.append(b"".join([np.array([batch, len(x)], np.int64).tobytes(), least[x].tobytes(), number[x].tobytes()]))
+    return pa.record_batch([pa.array(names, pa.int32()), pa.array(out, pa.binary())], names=["part", "data"])
+
+
+def read_answers(n_parts: int):
+    """(part, data) -> (part, data): the repeated intervals of batches that asked, packed for ``by_document``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, blobs in by_part(batches):
+            asked: list[tuple[int, bytes]] = []
+            told: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+            for b in blobs:
+                batch, m = np.frombuffer(b, np.int64, 2).tolist()
+                if m < 0:
+                    asked.append((batch, b[16:]))
+                else:
+                    told.setdefault(batch, []).append(_cut(b[16:], (np.int64, m), (np.int32, m)))
+            for batch, own in asked:
+                if batch in told:
+                    yield to_buckets(*_understood(own, told[batch]), n_parts)
+
+    return run
+
+
+def _understood(own: bytes, answers: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n, k, m = np.frombuffer(own, np.int64, 3)
+    ids, keys, firsts, which, counts, string = _cut(own[24:], (np.int64, n), (np.int64, n), (np.int64, n), (np.int32, n), (np.int32, k), (np.int32, m))
+    low = np.full(int(string.max()) + 1, LAST)
+    for least, number in answers:
+        low[number] = least
+    counts = counts.astype(np.int64)
+    each = np.repeat(np.arange(n), counts[which])
+    hit = low[string[ragged((np.cumsum(counts) - counts)[which], counts[which])]] < ids[each]
+    return _runs(ids, keys, each[hit], ragged(firsts, counts[which])[hit])
+
+
 def _intervals(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     cols: list[list[np.ndarray]] = [[] for _ in range(6)]
     before = 0
@@ -570,7 +647,11 @@ def _intervals(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         cols[3][-1] = cols[3][-1] + np.int64(before)
         before += k
     ids, keys, firsts, which, sizes, text = map(np.concatenate, cols)
-    seg, place = repeated_places(ids, firsts, which, sizes.astype(np.int64), text)
+    return _runs(ids, keys, *repeated_places(ids, firsts, which, sizes.astype(np.int64), text))
+
+
+def _runs(ids: np.ndarray, keys: np.ndarray, seg: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(id, key, numbers, flat): of each document the maximal runs of repeated strings, by their segments and places."""
     order = np.lexsort((place, keys[seg], ids[seg]))
     i, k, place = ids[seg[order]], keys[seg[order]], place[order]
     # Maximal runs of a document: a place goes on with a run if its string begins where the one before ends, or sooner.
@@ -584,16 +665,15 @@ def _intervals(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, key, data, copy, spans, places) -> the result's rows."""
+    """(id, key, data, copy, spans) -> the result's rows."""
     for batch in batches:
         rows = []
-        for i, data, copy, spans, places in zip(batch.column(0), batch.column(2), *[batch.column(c).to_pylist() for c in (3, 4, 5)]):
+        for i, data, copy, spans in zip(batch.column(0), batch.column(2), *[batch.column(c).to_pylist() for c in (3, 4)]):
             text, name = data.as_py(), i.as_py()
             if copy and len(text) >= SPAN:
                 kept, n = b"", 1
-            elif spans or places:
-                more = np.array(places or [], np.int64)
-                pairs = np.concatenate([np.frombuffer(spans or b"", np.int64).reshape(-1, 2), np.column_stack([more, more + SPAN])])
+            elif spans:
+                pairs = np.frombuffer(spans, np.int64).reshape(-1, 2)
                 s, e = (x.tolist() for x in merge(pairs[:, 0], pairs[:, 1]))
                 kept, n = b"".join([text[a:b] for a, b in zip([0, *e], [*s, len(text)])]), len(s)
             else:
@@ -627,16 +707,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marks = dealt(rows.mapInArrow(anchors(units), blob)).mapInArrow(mark_repeated(units), blob)
     masks = settle(dealt(marks).mapInArrow(by_document(np.uint32, units), row)).withColumnRenamed("data", "masks").join(copies, ["id", "key"], "left_anti")
     named = rows.join(masks, ["id", "key"]).select("id", "key", "data", "masks", "hot")  # texts are moved once for both ways
-    spans = settle(dealt(named.mapInArrow(cut_segments(units), blob)).mapInArrow(find_intervals(units), f"{blob}, a bigint, b bigint, id bigint, key bigint, place bigint"))
-    by_doc = dealt(spans.where("part is not null").select("part", "data")).mapInArrow(by_document(np.int64, units), row).select("id", "key", F.col("data").alias("spans"))
+    spans = settle(dealt(named.mapInArrow(cut_segments(units), blob)).mapInArrow(find_intervals(units), blob))
+    found = spans.where(F.col("part") < units)
     if not masks.where("hot").isEmpty():
-        found = spans.where("part is null").select("a", "b", "id", "key", "place")
-        low = found.groupBy("a", "b").agg(F.min("id").alias("low"))
-        hits = found.join(low, ["a", "b"]).where("id > low").groupBy("id", "key").agg(F.collect_set("place").alias("places"))
-        by_doc = by_doc.join(hits, ["id", "key"], "full")
-    else:
-        by_doc = by_doc.withColumn("places", F.lit(None).cast("array<bigint>"))
-    by_doc = settle(by_doc)
-    last = rows.join(by_doc, ["id", "key"], "left").join(copies, ["id", "key"], "left").select("id", "key", "data", F.coalesce("copy", F.lit(False)).alias("copy"), "spans", "places")
+        found = found.unionByName(dealt(spans.where(F.col("part") >= units)).mapInArrow(read_answers(units), blob))
+    by_doc = settle(dealt(found).mapInArrow(by_document(np.int64, units), row).select("id", "key", F.col("data").alias("spans")))
+    last = rows.join(by_doc, ["id", "key"], "left").join(copies, ["id", "key"], "left").select("id", "key", "data", F.coalesce("copy", F.lit(False)).alias("copy"), "spans")
     out = last.mapInArrow(_finish, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string")
     return out.withColumnRenamed("id", id_col)

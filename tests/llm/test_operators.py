@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +63,54 @@ def test_hot_anchors_move_no_texts_again(spark, monkeypatch):
     assert read[50_000] == read[100] > 0
 
 
+@pytest.mark.parametrize("n", [200, 800])
+def test_rows_of_a_hot_passage_do_not_grow_with_its_documents(spark, n, monkeypatch):
+    """No table between the steps has a row for each document or string of the passage."""
+    rng = random.Random(9)
+    passage = " ".join(f"word{i}" for i in range(40))
+    rows = [(i, passage + " " + str(rng.random()) * 3) for i in range(n)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen, settle, mark = [], suffix_dedup.settle, suffix_dedup.mark_repeated
+    monkeypatch.setattr(suffix_dedup, "settle", lambda df: seen.append(settle(df)) or seen[-1])
+    monkeypatch.setattr(suffix_dedup, "mark_repeated", lambda n: _with_hot(mark(n), 100))
+    assert rows_of(suffix_dedup.remove_repeats(table).drop("kept_text")) == brute_repeats(rows)
+    packed = [t for t in seen if "part" in t.columns]
+    assert len(packed) == 1 and packed[0].count() <= 12 * 12 + 2 * 3 * 13
+
+
+@pytest.mark.parametrize("together", [1, 40, 10**6])
+def test_asks_and_answers(together, monkeypatch):
+    """Batches of one segment, of some and of all give the brute-force intervals: ids that are equal, missing or negative,
+    equal rows in two batches, a string twice in a document, texts that are too short."""
+    monkeypatch.setattr(suffix_dedup, "HOT_STRINGS", together)
+    rng = random.Random(10)
+    pool = [bytes(rng.randrange(97, 100) for _ in range(rng.randint(50, 120))) for _ in range(4)]
+    texts = [b"".join(rng.choice(pool) if rng.random() < 0.6 else bytes(rng.randrange(97, 123) for _ in range(rng.randint(0, 60))) for _ in range(rng.randint(0, 5))) for _ in range(60)]
+    ids = [rng.choice([suffix_dedup.LAST, -4, 7, 7, *range(100)]) for _ in texts]
+    rows = [(i, k, t) for k, (i, t) in enumerate(zip(ids, texts))]
+    rows += rows[:5]
+    deal = lambda batches: iter(pa.Table.from_batches(list(batches)).sort_by("part").to_batches())
+
+    def batch(some):
+        marks = [(np.unique(suffix_dedup.segments([t])[3]) >> np.uint64(32)).astype(np.uint32).tobytes() for _, _, t in some]
+        return pa.record_batch([*map(pa.array, zip(*some)), pa.array(marks, pa.binary()), pa.array([True] * len(some))], names=["id", "key", "data", "marks", "hot"])
+
+    cut = [b for some in (rows[:30], rows[30:]) for b in suffix_dedup.cut_segments(5)(iter([batch(some)])) if b.num_rows]
+    assert all(p >= 5 for b in cut for p in b.column(0).to_pylist())
+    told = suffix_dedup.read_answers(5)(deal(suffix_dedup.find_intervals(5)(deal(cut))))
+    got = {}
+    for b in suffix_dedup.by_document(np.int64, 5)(deal(told)):
+        for i, k, spans in zip(*[b.column(c).to_pylist() for c in range(3)]):
+            assert (i, k) not in got
+            got[i, k] = {q for u, v in np.frombuffer(spans, np.int64).reshape(-1, 2).tolist() for q in range(u, v)}
+    first = {}
+    for i, _, t in rows:
+        for q in range(len(t) - 49):
+            first[t[q : q + 50]] = min(i, first.get(t[q : q + 50], i))
+    want = {(i, k): {q + x for q in range(len(t) - 49) if first[t[q : q + 50]] < i for x in range(50)} for i, k, t in rows}
+    assert got == {name: places for name, places in want.items() if places} and got
+
+
 def test_long_texts_are_cut(spark, monkeypatch):
     """An empty text right before one that is cut, and strings that lie across cuts."""
     monkeypatch.setattr(suffix_dedup, "STEP", 700)
