@@ -36,9 +36,8 @@ PLACES = {"degree_code": "degree.code", "degree_name": "degree.name", "grp": "gr
 def items(records: DataFrame) -> DataFrame:
     """One item per record; accepted ones come first (``item_ord``), each in the records' order (ord, pos). The fields
     as extracted stay in ``original``. ``reason`` of a rejected record, where given, goes before its issues."""
-    origin = F.when(F.col("accepted"), "accepted").otherwise("rejected")
     seq = F.row_number().over(Window.partitionBy("origin", "file", "page").orderBy("ord", "pos"))
-    out = records.withColumn("origin", origin).withColumn("seq", seq)
+    out = with_origin(records).withColumn("seq", seq)
     status = F.when(~F.col("accepted"), "INVALID").when(F.size("issues") > 0, "WARNING").otherwise("VALID")
     given = F.col("reason") if "reason" in records.columns else F.lit(None).cast("array<string>")
     out = out.withColumns({
@@ -221,6 +220,11 @@ def apply(table: DataFrame, last: DataFrame) -> DataFrame:
     return out.withColumns({f: F.col(f"_now.{f}") for f in known}).drop("_now", "r", "e", "s", "events")
 
 
+def with_origin(records: DataFrame) -> DataFrame:
+    """Records of one table with their origin, in one pass; two tables are put together by ``union_origin``."""
+    return records.withColumn("origin", F.when(F.col("accepted"), "accepted").otherwise("rejected"))
+
+
 def union_origin(accepted: DataFrame, rejected: DataFrame) -> DataFrame:
     """Accepted rows, then rejected ones, with their origin."""
     return accepted.withColumn("origin", F.lit("accepted")).unionByName(rejected.withColumn("origin", F.lit("rejected")), allowMissingColumns=True)

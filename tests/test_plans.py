@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+from cuadrante.operators import review
 from cuadrante.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -28,3 +29,13 @@ def test_issue_counts(spark):
     rows = catalogue.built(spark, SF).select("issues").collect()
     want = Counter(x for r in rows for x in r["issues"])
     assert len(want) > 5 and None not in want and dict(map(tuple, catalogue.issue_counts(spark, SF).collect())) == want
+
+
+def test_origins_of_one_table_in_one_pass(spark):
+    spark.conf.set("spark.sql.maxPlanStringLength", "100000000")
+    built = catalogue.built(spark, SF)
+    got = catalogue.union_origin(spark, SF)
+    assert text(got).count("Generate posexplode") == 1
+    parts = review.union_origin(built.where("accepted"), built.where("not accepted")).select("ord", "pos", "origin")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, parts.collect()))
+    assert {r["origin"] for r in got.collect()} == {"accepted", "rejected"}
