@@ -59,6 +59,17 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(...))"), F.lit(1)))
 
 
+def trigram_lists(rows: DataFrame, chunk: int, n: int) -> DataFrame:
+    """(gram, chunk, places, bucket) in ``n`` parts, sorted. The rows of a folder meet once, as text and place: equal
+    texts are one before they are taken apart, and a folder's trigrams are put together where they are made."""
+    place = (F.col("number") - F.col("chunk") * chunk).cast("int")
+    texts = rows.select("chunk", place.alias("place"), review.searched_text().alias("text")).repartition(n, "chunk")
+    different = texts.groupBy("chunk", "text").agg(F.collect_list("place").alias("places"))
+    grams = different.select("chunk", "places", F.explode(trigrams(F.col("text"))).alias("gram"))
+    lists = grams.groupBy("gram", "chunk").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("places")).withColumn("bucket", _bucket(F.col("gram")))
+    return lists.repartition(n, "bucket", F.col("chunk") % max(1, -(-n // BUCKETS))).sortWithinPartitions("bucket", "gram", "chunk")
+
+
 def _bucket(value: Column) -> Column:
     return (F.crc32(value.cast("binary")) % BUCKETS).cast("int")
 
@@ -76,14 +87,13 @@ class Index:
     def build(cls, items: DataFrame, path: str, chunk: int = CHUNK) -> Index:
         """Write the tables below ``path``; the description comes last, so a half-written index is none."""
         spark, path = items.sparkSession, path.rstrip("/")
-        rows = settle(numbered(items, review.order()).withColumn("chunk", F.floor(F.col("number") / chunk).cast("long")))
+        # Numbers are added to the settled, sorted items wherever these are read.
+        rows = numbered(items, review.order()).withColumn("chunk", F.floor(F.col("number") / chunk).cast("long"))
         n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         rows.repartition(n, "chunk").sortWithinPartitions("chunk", "number").write.partitionBy("chunk").parquet(f"{path}/rows")
         ids = rows.select("id", "number", _bucket(F.col("id")).alias("bucket"))
         ids.repartitionByRange(n, "bucket", "id").sortWithinPartitions("bucket", "id").write.partitionBy("bucket").option("parquet.bloom.filter.enabled#id", "true").parquet(f"{path}/ids")
-        places = rows.select("chunk", (F.col("number") - F.col("chunk") * chunk).cast("int").alias("place"), F.explode(trigrams(review.searched_text())).alias("gram"))
-        lists = places.groupBy("gram", "chunk").agg(F.sort_array(F.collect_list("place")).alias("places")).withColumn("bucket", _bucket(F.col("gram")))
-        lists.repartitionByRange(n, "bucket", "gram", "chunk").sortWithinPartitions("bucket", "gram", "chunk").write.partitionBy("bucket").parquet(f"{path}/trigrams")
+        trigram_lists(rows, chunk, n).write.partitionBy("bucket").parquet(f"{path}/trigrams")
         live.counts(rows).write.parquet(f"{path}/counts")
         live.codes(rows).write.parquet(f"{path}/codes")
         sizes = [(r["chunk"], r["count"]) for r in rows.groupBy("chunk").count().orderBy("chunk").collect()]  # one for each folder
