@@ -11,8 +11,10 @@ from .matching import longest_contained
 # The formats that cells are written in.
 GROUP = r"\d+[A-Z](?:\d+)?"
 ROOM = r"[^()]{1,50}"
-STANDARD = rf"(?iu)(.+?)\s*-\s*({GROUP})\*?\s*\(({ROOM})\)"
-ROOM_FIRST = rf"(?iu)(.+?)\s*\(({ROOM})\)\s*-\s*({GROUP})"
+# The repeated formats begin with any text, so a match from some place is one from where the last match ended, too, as long
+# as texts are without line ends (``T.clean``): looking there alone (\G) finds the same, in proportion to the text.
+STANDARD = rf"(?iu)\G(.+?)\s*-\s*({GROUP})\*?\s*\(({ROOM})\)"
+ROOM_FIRST = rf"(?iu)\G(.+?)\s*\(({ROOM})\)\s*-\s*({GROUP})"
 GROUP_FIRST = rf"(?iu)^({GROUP})\s*\(({ROOM})\)\s+(.+?)\s*[-]?$"
 SIMPLE = r"(?iu)^(.+?)\s*\(([^)]+)\)$"
 REDIRECT = rf"(?iu){GROUP}\s*(?:→|->)\s*{GROUP}\s*\([A-Z0-9]{{1,10}}\)"
@@ -82,12 +84,12 @@ def _nothing() -> Column:
 
 
 def standard(t: Column) -> Column:
-    """name - subgroup (room), repeated."""
+    """name - subgroup (room), repeated; of a clean text."""
     return _all(t, STANDARD, 1, 2, 3)
 
 
 def room_first(t: Column) -> Column:
-    """name (room) - subgroup, repeated."""
+    """name (room) - subgroup, repeated; of a clean text."""
     return _all(t, ROOM_FIRST, 1, 3, 2)
 
 
